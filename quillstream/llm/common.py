@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that split words in the contracts: space and tab to carriage return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -174,3 +175,42 @@ def _within(got: DataFrame, most_bytes: int) -> DataFrame:
     if size[0] and size[0] > most_bytes:
         return got.where(F.col("_h") < int((size[1] + 1) * most_bytes / size[0]))
     return got
+
+
+def with_text_scores(df: DataFrame, score, text: str = "text", out: str = "score") -> DataFrame:
+    """The frame plus a double column ``out``: score(bytes, offsets) of the whole texts of each Arrow batch.
+
+    Every other column passes unchanged; one already named ``out`` is replaced.
+    """
+    df = df.drop(out)
+    place = df.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            raw, off = text_bytes(b.column(place))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(raw, off), pa.float64())], [*b.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+
+
+def arrow_rows(df: DataFrame) -> pa.Table:
+    """A bounded sample as an Arrow table on the driver, in the order of doc_id."""
+    t = df.toArrow()
+    return t.sort_by("doc_id") if "doc_id" in t.column_names and t.num_rows else t
+
+
+class Adam:
+    """Adam over a dict of float32 arrays."""
+
+    def __init__(self, params: dict[str, np.ndarray], rate: float):
+        self.p, self.rate, self.t = params, rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in params.items()}
+        self.v = {k: np.zeros_like(v) for k, v in params.items()}
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        fix = np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        for k, g in grads.items():
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.001 * (g * g - self.v[k])
+            self.p[k] -= (self.rate * fix) * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)
