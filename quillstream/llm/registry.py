@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from quillstream.llm.avi import op6_avi_clips
 from quillstream.llm.language import op9_language
+from quillstream.llm.licenses import op5_license_scan
+from quillstream.llm.mixing import op10_mixing
+from quillstream.llm.packing import op4_length_buckets
 from quillstream.llm.quality import op8_quality
 from quillstream.llm.toxicity import op1_toxicity
 
-QUERIES = {"op9_language": op9_language, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_length_buckets": op4_length_buckets,
+    "op5_license_scan": op5_license_scan,
+    "op6_avi_clips": op6_avi_clips,
+    "op8_quality": op8_quality,
+    "op9_language": op9_language,
+    "op10_mixing": op10_mixing,
+}
 ORACLES: dict[str, str] = {}
