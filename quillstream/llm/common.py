@@ -60,7 +60,7 @@ def doc_fold(n: int, key: str = "doc_id") -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that the frame's plan reads; it costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())  # noqa: SLF001
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
 
 
 def shards_for(df: DataFrame, bytes_a_shard: int = 16 << 20) -> int:

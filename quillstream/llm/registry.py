@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillstream.llm.avi import op6_avi_clips
+from quillstream.llm.jaccard import op7_ngram_jaccard
 from quillstream.llm.language import op9_language
 from quillstream.llm.licenses import op5_license_scan
 from quillstream.llm.mixing import op10_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_length_buckets": op4_length_buckets,
     "op5_license_scan": op5_license_scan,
     "op6_avi_clips": op6_avi_clips,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
