@@ -104,6 +104,15 @@ def pieces(offsets: np.ndarray, most: int, overlap: int = 0) -> Iterator[tuple[n
         yield doc[a:b], start[a:b], end[a:b]
 
 
+def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents of at most about ``most`` bytes: the first, and the one behind the last."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, a bijection of 64-bit words."""
     x = x.astype(np.uint64, copy=True)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import mix64, shards_for, table, text_bytes, word_hashes, written
+from quillstream.llm.common import mix64, runs, shards_for, table, text_bytes, word_hashes, written
 from quillstream.llm.components import components, local_components
 
 BITS = 1024
@@ -75,17 +75,8 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return d[new], s[new]
 
 
-def _runs(offsets: np.ndarray, most: int):
-    """Runs of whole documents of at most about ``most`` bytes: (first, behind the last)."""
-    a, n = 0, len(offsets) - 1
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
-        yield a, b
-        a = b
-
-
 def _sets(raw: np.ndarray, offsets: np.ndarray, params: JaccardParams):
-    for a, b in _runs(offsets, params.block):
+    for a, b in runs(offsets, params.block):
         yield a, b, *shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], params.words)
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import LOWER, Adam, _within, arrow_rows, doc_fold, labelled_sample, pieces, table, text_bytes, with_text_scores
+from quillstream.llm.common import LOWER, Adam, _within, arrow_rows, doc_fold, labelled_sample, pieces, runs, table, text_bytes, with_text_scores
 
 NGRAM, BITS = 5, 20
 
@@ -64,7 +64,7 @@ def _grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return h[inside], run[inside]
 
 
-def presence(raw: np.ndarray, offsets: np.ndarray, index: np.ndarray | None, block: int = 4 << 20) -> np.ndarray:
+def presence(raw: np.ndarray, offsets: np.ndarray, index: np.ndarray | None, block: int = 2 << 20) -> np.ndarray:
     """Distinct (document, feature) pairs as document << 32 | feature; index maps hashes to features, -1 to none."""
     out = []
     for doc, a, b in pieces(offsets, block, NGRAM - 1):
@@ -88,6 +88,15 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def _document_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Documents that hold each n-gram, counted over runs of whole documents so that few pairs are held at a time."""
+    counts = np.zeros(1 << BITS, np.int64)
+    for a, b in runs(offsets, 1 << 20):
+        f = presence(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None)
+        counts += np.bincount(f & 0xFFFFFFFF, minlength=1 << BITS)
+    return counts
+
+
 def fit(positive, unlabelled, prior: float, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """positive, unlabelled: Arrow columns of texts."""
     rp, op = text_bytes(pc.unique(positive))  # copies would make their own words look toxic or clean
@@ -96,8 +105,7 @@ def fit(positive, unlabelled, prior: float, params: ToxicityParams = ToxicityPar
     empty = np.full(1 << BITS, -1, np.int16)
     if not n_p or not n_u:
         return ToxicityModel(empty, np.zeros(0), -60.0, prior)
-    fp, fu = (presence(r, o, None) for r, o in ((rp, op), (ru, ou)))
-    dp, du = (np.bincount(f & 0xFFFFFFFF, minlength=1 << BITS) for f in (fp, fu))
+    dp, du = (_document_counts(r, o) for r, o in ((rp, op), (ru, ou)))
     pooled = (dp + du + 0.5) / (n_p + n_u + 1)
     z = (dp / n_p - du / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
     chosen = np.argsort(-np.abs(z), kind="stable")[: params.features]
@@ -105,13 +113,13 @@ def fit(positive, unlabelled, prior: float, params: ToxicityParams = ToxicityPar
     index = empty.copy()
     index[chosen] = np.arange(len(chosen))
 
-    def dense(f: np.ndarray, n: int) -> np.ndarray:
-        x = np.zeros((n, len(chosen)), np.float32)
-        i = index[f & 0xFFFFFFFF]
-        x[f[i >= 0] >> 32, i[i >= 0]] = 1
+    def dense(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(off) - 1, len(chosen)), np.float32)
+        f = presence(raw, off, index)
+        x[f >> 32, f & 0xFFFFFFFF] = 1
         return x
 
-    xp, xu = dense(fp, n_p), dense(fu, n_u)
+    xp, xu = dense(rp, op), dense(ru, ou)
     w = {"w": np.zeros(len(chosen), np.float32), "b": np.full(1, np.log(prior / (1 - prior)), np.float32)}
     adam = Adam(w, params.rate)
     sig = lambda v: 1 / (1 + np.exp(-np.clip(v, -60, 60)))
