@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillstream.llm.avi import op6_avi_clips
+from quillstream.llm.embedding import op2_embedding_dedup
 from quillstream.llm.jaccard import op7_ngram_jaccard
 from quillstream.llm.language import op9_language
 from quillstream.llm.licenses import op5_license_scan
@@ -13,6 +14,7 @@ from quillstream.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op4_length_buckets": op4_length_buckets,
     "op5_license_scan": op5_license_scan,
     "op6_avi_clips": op6_avi_clips,
