@@ -7,6 +7,7 @@ from quillstream.llm.embedding import op2_embedding_dedup
 from quillstream.llm.jaccard import op7_ngram_jaccard
 from quillstream.llm.language import op9_language
 from quillstream.llm.licenses import op5_license_scan
+from quillstream.llm.lm import op3_lm_score
 from quillstream.llm.mixing import op10_mixing
 from quillstream.llm.packing import op4_length_buckets
 from quillstream.llm.quality import op8_quality
@@ -15,6 +16,7 @@ from quillstream.llm.toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_lm_score": op3_lm_score,
     "op4_length_buckets": op4_length_buckets,
     "op5_license_scan": op5_license_scan,
     "op6_avi_clips": op6_avi_clips,
