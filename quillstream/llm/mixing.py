@@ -163,9 +163,9 @@ def cube_sample(rows: DataFrame, params: MixParams) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """docs (doc_id, text, source). Returns (doc_id, tie, source, size, source_size, target, copies)."""
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    sized = written(sized.withColumn("row", F.coalesce("doc_id", F.lit(-1)).cast("long")))
+    """docs (doc_id, text, source). Returns (doc_id, text_hash, source, size, source_size, target, copies), a row for each row."""
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    sized = written(sized.withColumns({"tie": F.col("text_hash"), "row": F.coalesce("doc_id", F.lit(-1)).cast("long")}))
     # equal rows are told apart by a number within their (row, tie); such groups are copies of one row
     if _repeats(sized):
         nth = F.row_number().over(W.partitionBy("row", "tie").orderBy("source"))
@@ -176,7 +176,17 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     rated = rated.withColumn("base", F.floor(rate + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), rate - F.col("base")))
     chosen = cube_sample(rated.select("row", "tie", "source", "size", "p", "n_docs"), params)
     out = rated.join(chosen.select("row", "tie", "chosen"), ["row", "tie"])
-    return out.select("doc_id", "tie", "source", "size", "source_size", "target", (F.col("base") + F.col("chosen")).cast("long").alias("copies"))
+    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", (F.col("base") + F.col("chosen")).cast("long").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns. Rows equal in id, text and source are one
+    document that is taken as often as all of them are."""
+    taken = mix_sources(docs.select("doc_id", "text", "source"), params).where("copies > 0")
+    taken = taken.groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("__copies")).toDF("__id", "__hash", "__source", "__copies")
+    own = docs.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash", "source"])
+    rows = own.join(taken.withColumnRenamed("__hash", "__h"), F.expr("doc_id <=> __id and __hash = __h and source <=> __source"))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def _repeats(sized: DataFrame) -> bool:
