@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of hashed byte n-grams is trained from confirmed toxic texts (P) and
+A linear classifier over the presence of hashed byte n-grams and word beginnings is trained from confirmed toxic texts (P) and
 unlabelled texts (U) by minimising the class-prior-corrected risk
 
     prior * E_P[loss(f, +1)] + max(0, E_U[loss(f, -1)] - prior * E_P[loss(f, -1)])
@@ -23,9 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import LOWER, Adam, _within, arrow_rows, doc_fold, labelled_sample, pieces, runs, table, text_bytes, with_text_scores
+from quillstream.llm.common import IS_SPACE, LOWER, Adam, _within, arrow_rows, doc_fold, labelled_sample, mix64, pieces, runs, table, text_bytes, with_text_scores
+from quillstream.llm.jaccard import shingles
 
-NGRAM, BITS = 5, 20
+#: Bytes of an n-gram anywhere, and of the beginnings of words; bits of a hash.
+NGRAM, BEGINNINGS, BITS = 5, (4, 6, 8), 20
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,8 @@ class ToxicityParams:
     most_unlabelled: int = 8000
     most_bytes: int = 24 << 20
     features: int = 2048
-    least_z: float = 5.0
+    #: Least likelihood-ratio statistic of a feature's document counts in P against those in U.
+    least_g: float = 24.0
     #: Used only where labels tell nothing of the class prior.
     default_prior: float = 0.1
     steps: int = 250
@@ -44,35 +47,64 @@ class ToxicityParams:
     seed: int = 11
 
 
-def _grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the byte n-grams (A-Z lowered) that lie within runs [start, end), and each one's run."""
-    size = end - start
-    low = np.concatenate([LOWER[raw[a:b]] for a, b in zip(start, end, strict=True)]) if len(start) < 8 or not np.array_equal(end[:-1], start[1:]) else LOWER[raw[start[0] : end[-1]]]
-    if len(low) < NGRAM:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    n = len(low) - NGRAM + 1
-    h = np.zeros(n, np.uint32)
-    for k in range(NGRAM):
+def _hashed(low: np.ndarray, at: np.ndarray | None, size: int) -> np.ndarray:
+    """Hashes, of BITS bits, of the ``size`` bytes from each place (from every place where at is None)."""
+    n = len(low) - size + 1 if at is None else len(at)
+    h = np.full(n, size if at is None else size + 64, np.uint32)
+    for k in range(size):
         h *= np.uint32(0x01000193)
-        h += low[k : k + n]
-        h ^= h >> np.uint32(15) if k else np.uint32(0)
+        h += low[k : k + n] if at is None else low[at + k]
+        h ^= h >> np.uint32(15)
     h *= np.uint32(0x9E3779B1)
     h >>= np.uint32(32 - BITS)
-    run = np.repeat(np.arange(len(start)), size)[:n]
-    left = np.repeat(np.cumsum(size), size)[:n] - np.arange(n)
-    inside = left >= NGRAM
-    return h[inside], run[inside]
+    return h
+
+
+def _grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the byte n-grams (A-Z lowered) and of the word beginnings that lie within runs [start, end), and each
+    one's run. opens: whether a run begins a document, and so a word."""
+    size = end - start
+    low = LOWER[np.concatenate([raw[a:b] for a, b in zip(start, end, strict=True)])]
+    run = np.repeat(np.arange(len(start)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(low))
+    space = IS_SPACE[low]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    first = (np.cumsum(size) - size)[size > 0]
+    begins[first] = ~space[first] & opens[size > 0]
+    out, of = [], []
+    if len(low) >= NGRAM:
+        inside = left[: len(low) - NGRAM + 1] >= NGRAM
+        out.append(_hashed(low, None, NGRAM)[inside])
+        of.append(run[: len(inside)][inside])
+    for n in BEGINNINGS:
+        at = np.flatnonzero(begins & (left >= n))
+        out.append(_hashed(low, at, n))
+        of.append(run[at])
+    return np.concatenate(out), np.concatenate(of)
 
 
 def presence(raw: np.ndarray, offsets: np.ndarray, index: np.ndarray | None, block: int = 2 << 20) -> np.ndarray:
-    """Distinct (document, feature) pairs as document << 32 | feature; index maps hashes to features, -1 to none."""
-    out = []
-    for doc, a, b in pieces(offsets, block, NGRAM - 1):
-        h, run = _grams(raw, a, b)
-        f = h.astype(np.int64) if index is None else index[h].astype(np.int64)
-        hit = f >= 0
-        out.append(np.unique(doc[run[hit]].astype(np.int64) << 32 | f[hit]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    """Distinct (document, feature) pairs as document << 32 | feature. Each hash is two features: that a document holds
+    it, and, 2**BITS further, that it does so more than once; index maps features to numbers, -1 to none."""
+    keys, counts = [], []
+    for doc, a, b in pieces(offsets, block, max(NGRAM, *BEGINNINGS) - 1):
+        h, run = _grams(raw, a, b, a == offsets[doc])
+        if index is not None:
+            hit = (index[h] >= 0) | (index[h + np.uint32(1 << BITS)] >= 0)
+            h, run = h[hit], run[hit]
+        k, n = np.unique(doc[run].astype(np.int64) << 32 | h, return_counts=True)
+        keys.append(k)
+        counts.append(n)
+    if not keys:
+        return np.zeros(0, np.int64)
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    twice = key[np.bincount(place, np.concatenate(counts), minlength=len(key)) > 1] + (1 << BITS)
+    found = np.concatenate([key, twice])
+    if index is None:
+        return found
+    number = index[found & 0xFFFFFFFF].astype(np.int64)
+    return (found >> 32 << 32 | number)[number >= 0]
 
 
 class ToxicityModel:
@@ -90,26 +122,45 @@ class ToxicityModel:
 
 def _document_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Documents that hold each n-gram, counted over runs of whole documents so that few pairs are held at a time."""
-    counts = np.zeros(1 << BITS, np.int64)
+    counts = np.zeros(2 << BITS, np.int64)
     for a, b in runs(offsets, 1 << 20):
         f = presence(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None)
-        counts += np.bincount(f & 0xFFFFFFFF, minlength=1 << BITS)
+        counts += np.bincount(f & 0xFFFFFFFF, minlength=2 << BITS)
     return counts
 
 
+def _unlike(texts, hashes: int = 4):
+    """The texts without copies and near copies, which would make their own words look toxic or clean: a text goes if
+    it shares one of a few minimum hashes of its three-word shingles with an earlier one."""
+    texts = pc.unique(texts)
+    raw, off = text_bytes(texts)
+    seen: set[tuple[int, int]] = set()
+    keep = np.ones(len(off) - 1, bool)
+    for a, b in runs(off, 1 << 20):
+        doc, s = shingles(raw[off[a] : off[b]], off[a : b + 1] - off[a], 3)
+        first = np.searchsorted(doc, np.arange(b - a))
+        has = np.flatnonzero(np.diff(np.append(first, len(doc))))
+        least = [np.minimum.reduceat(mix64(s + np.uint64(k + 1) * np.uint64(0x9E37)), first[has]) for k in range(hashes)] if len(has) else []
+        for i, *own in zip((a + has).tolist(), *(x.tolist() for x in least), strict=True) if len(has) else ():
+            marks = set(enumerate(own))
+            keep[i] = not marks & seen
+            seen |= marks
+    return texts.filter(keep)
+
+
 def fit(positive, unlabelled, prior: float, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """positive, unlabelled: Arrow columns of texts."""
-    rp, op = text_bytes(pc.unique(positive))  # copies would make their own words look toxic or clean
-    ru, ou = text_bytes(pc.unique(unlabelled))
+    rp, op = text_bytes(_unlike(positive))
+    ru, ou = text_bytes(_unlike(unlabelled))
     n_p, n_u = len(op) - 1, len(ou) - 1
-    empty = np.full(1 << BITS, -1, np.int16)
+    empty = np.full(2 << BITS, -1, np.int16)
     if not n_p or not n_u:
         return ToxicityModel(empty, np.zeros(0), -60.0, prior)
     dp, du = (_document_counts(r, o) for r, o in ((rp, op), (ru, ou)))
-    pooled = (dp + du + 0.5) / (n_p + n_u + 1)
-    z = (dp / n_p - du / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
-    chosen = np.argsort(-np.abs(z), kind="stable")[: params.features]
-    chosen = np.sort(chosen[np.abs(z[chosen]) >= params.least_z])
+    expected = (du + 0.5) * (n_p / n_u)
+    g = 2 * (dp * np.log(np.maximum(dp, 1) / expected) - (dp - expected))
+    chosen = np.argsort(-g, kind="stable")[: params.features]
+    chosen = np.sort(chosen[g[chosen] >= params.least_g])
     index = empty.copy()
     index[chosen] = np.arange(len(chosen))
 
@@ -150,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
     """The frame plus the probability that each text is toxic."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # 2**20 int16 and at most `features` weights
+    sent = df.sparkSession.sparkContext.broadcast(model)  # 2**21 int16 and at most `features` weights
     return with_text_scores(df, lambda raw, off: sent.value.score(raw, off), text, out)
 
 
