@@ -43,16 +43,17 @@ SMALL = 0.1  # of the unigram smoothing
 class LmParams:
     discount: float = 0.75
     #: Bytes of input a shard, and the least number of shards.
-    shard: int = 20 << 20
-    least_shards: int = 24
+    shard: int = 16 << 20
+    least_shards: int = 32
     #: Documents of the sample that shows common words, and the most such words.
     sample: int = 2000
     common: int = 4096
-    #: Pairs of a message batch.
-    pairs: int = 1 << 22
+    #: Bytes of text, and pairs, of a message batch.
+    block: int = 8 << 20
+    pairs: int = 1 << 20
 
 
-def pairs_of(raw: np.ndarray, offsets: np.ndarray, block: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pairs_of(raw: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, word, document) of each token: every word and one end, in order."""
     h, d = [], []
     for a, b in runs(offsets, block):
@@ -106,44 +107,63 @@ def _read_message(raw: bytes):
     eight[:, :6] = six
     word = eight.view("<u8").ravel().astype(np.uint64)[_unplanes(place)]
     context = np.repeat(np.frombuffer(c, np.uint64), _unplanes(pairs))
-    return context, word, _unplanes(tokens).astype(np.int64), _unplanes(at).astype(np.int64), np.frombuffer(key, np.int64), np.frombuffer(train, bool)
+    return context, word, _unplanes(tokens), _unplanes(at), np.frombuffer(key, np.int64), np.frombuffer(train, bool)
 
 
 def _sender(shards: int, common: np.ndarray, parts: np.ndarray, params: LmParams):
+    def messages(context, word, owner, key, train):
+        # one sort of 64-bit words: places of the context and the word among those of the batch, and the owner
+        word = word & W48
+        seen, place = np.unique(np.concatenate([context, word]), return_inverse=True)
+        low = owner[0]
+        bits = max(1, int(owner[-1] - low).bit_length())
+        wide = max(1, len(seen).bit_length())
+        if 2 * wide + bits > 64:
+            order = np.lexsort((owner, word, context))
+            c, w, o = context[order], word[order], owner[order]
+        else:
+            packed = place[: len(context)].astype(np.uint64) << np.uint64(wide + bits)
+            packed |= place[len(context) :].astype(np.uint64) << np.uint64(bits)
+            packed |= (owner - low).astype(np.uint64)
+            del place
+            packed.sort()
+            c = seen[(packed >> np.uint64(wide + bits)).astype(np.int64)]
+            w = seen[(packed >> np.uint64(bits) & np.uint64((1 << wide) - 1)).astype(np.int64)]
+            o = (packed & np.uint64((1 << bits) - 1)).astype(np.int64) + low
+        shard = c % np.uint64(shards)
+        at = np.minimum(np.searchsorted(common, c), len(common) - 1)
+        hot = common[at] == c
+        shard[hot] = (shard[hot] + w[hot] % parts[at[hot]]) % np.uint64(shards)
+        shard = shard.astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        for p in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            yield int(shard[p[0]]), _message(c[p], w[p], o[p], key, train)
+
     def run(batches):
         for b in batches:
             key, train = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            context, word, owner = pairs_of(*text_bytes(b.column(2)))
-            for i in range(0, len(context), params.pairs):
-                s = slice(i, i + params.pairs)
-                c, w = context[s], word[s]
-                low = owner[s][0] if len(c) else 0
-                # one sort of 64-bit words: places of the context and the word among those of the batch, and the owner
-                seen, place = np.unique(np.concatenate([c, w & W48]), return_inverse=True)
-                bits = max(1, int(owner[s][-1] - low).bit_length())
-                wide = max(1, len(seen).bit_length())
-                if 2 * wide + bits > 64:
-                    order = np.lexsort((owner[s], w & W48, c))
-                    c, w, o = c[order], (w & W48)[order], owner[s][order]
-                else:
-                    packed = place[: len(c)].astype(np.uint64) << np.uint64(wide + bits) | place[len(c) :].astype(np.uint64) << np.uint64(bits) | (owner[s] - low).astype(np.uint64)
-                    packed.sort()
-                    c = seen[(packed >> np.uint64(wide + bits)).astype(np.int64)]
-                    w = seen[(packed >> np.uint64(bits) & np.uint64((1 << wide) - 1)).astype(np.int64)]
-                    o = (packed & np.uint64((1 << bits) - 1)).astype(np.int64) + low
-                shard = c % np.uint64(shards)
-                at = np.minimum(np.searchsorted(common, c), len(common) - 1)
-                hot = common[at] == c
-                shard[hot] = (shard[hot] + w[hot] % parts[at[hot]]) % np.uint64(shards)
-                shard = shard.astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                cut = np.flatnonzero(np.diff(shard[order])) + 1
-                out = [(int(shard[p[0]]), _message(c[p], w[p], o[p], key, train)) for p in np.split(order, cut) if len(p)]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "message"])
+            raw, off = text_bytes(b.column(2))
+            for first, behind in runs(off, params.block):
+                context, word, owner = pairs_of(raw[off[first] : off[behind]], off[first : behind + 1] - off[first])
+                for i in range(0, len(context), params.pairs):
+                    s = slice(i, i + params.pairs)
+                    out = list(messages(context[s], word[s], owner[s] + first, key, train))
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "message"])
 
     return run
 
 
+def _numbered(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the place of each value among them, in 32 bits."""
+    x = np.concatenate(parts)
+    parts.clear()
+    distinct = np.unique(x)
+    out = np.empty(len(x), np.uint32)
+    for i in range(0, len(x), 1 << 20):
+        out[i : i + (1 << 20)] = np.searchsorted(distinct, x[i : i + (1 << 20)])
+    return distinct, out
+
+
 _ANSWER = "kind int, key long, word long, n long, m long, score double, base double"
 
 
@@ -172,15 +192,17 @@ def _shard(common: np.ndarray, params: LmParams):
         keys, place = np.unique(np.concatenate([g[4] for g in got]), return_inverse=True)
         train = np.concatenate([g[5] for g in got])
         shift = np.cumsum([0] + [len(g[4]) for g in got])[:-1]
-        context, c_at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        word, w_at = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
-        pair, p_at = np.unique(c_at.astype(np.uint64) * np.uint64(len(word)) + w_at.astype(np.uint64), return_inverse=True)
-        del c_at, w_at
-        p_at = np.repeat(p_at, np.concatenate([g[2] for g in got]))  # from here on for each token
-        owner = np.concatenate([g[3] + s for g, s in zip(got, shift, strict=True)])
+        owner = np.concatenate([g[3] + np.uint32(s) for g, s in zip(got, shift, strict=True)])  # of each token
+        tokens = np.concatenate([g[2] for g in got])
+        context, c_at = _numbered([g[0] for g in got])
+        word, w_at = _numbered([g[1] for g in got])
         del got
+        pair, p_at = _numbered([c_at.astype(np.uint64) * np.uint64(len(word)) + w_at])
+        del c_at, w_at
+        p_at = np.repeat(p_at, tokens)  # from here on for each token
+        del tokens
         count = np.bincount(p_at[train[owner]], minlength=len(pair))
-        owner = place[owner]
+        owner = place.astype(np.uint32)[owner]
         c, w = (pair // np.uint64(len(word))).astype(np.int64), (pair % np.uint64(len(word))).astype(np.int64)
         del pair
         known = count > 0
