@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import mix64, runs, shards_for, table, text_bytes, word_hashes, written
 from quillstream.llm.components import components, local_components
 
-BITS = 1024
+#: Bits of a bitmap: the power of two from twice the set's size on, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,40 @@ def _sets(raw: np.ndarray, offsets: np.ndarray, params: JaccardParams):
         yield a, b, *shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], params.words)
 
 
+def bitmap_bits(n: np.ndarray) -> np.ndarray:
+    want = np.maximum(2 * np.asarray(n, np.int64), 1)
+    return np.clip(1 << np.ceil(np.log2(want)).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
+def bitmaps(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A bitmap for each document: the bit of each shingle is its hash modulo the size, so halves of a bitmap laid over each
+    other are the bitmap of half the size."""
+    bits = bitmap_bits(n)
+    start = np.cumsum(bits) - bits
+    flat = np.zeros(int(bits.sum()), bool)
+    flat[start[doc] + ((s >> np.uint64(24)).astype(np.int64) & (bits[doc] - 1))] = True
+    packed = np.packbits(flat, bitorder="little").tobytes()
+    return [packed[a // 8 : (a + b) // 8] for a, b in zip(start.tolist(), bits.tolist(), strict=True)]
+
+
+def differing(flat: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which bitmaps i and j differ, at the size of the smaller; flat holds all bitmaps in 64-bit words."""
+    out = np.zeros(len(i), np.int64)
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    wide = np.where(size[i] >= size[j], i, j)
+    slim = np.where(size[i] >= size[j], j, i)
+    for w, v in {(int(a), int(b)) for a, b in zip(small, large, strict=True)}:
+        own = np.flatnonzero((small == w) & (large == v))
+        for k in range(0, len(own), max(1, (1 << 21) // v)):
+            part = own[k : k + max(1, (1 << 21) // v)]
+            x = flat[start[slim[part]][:, None] + np.arange(w)]
+            y = flat[start[wide[part]][:, None] + np.arange(v)]
+            while y.shape[1] > w:
+                y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+            out[part] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return out
+
+
 def needed(n, percent: int):
     """The least overlap of a set of n with any that links with it."""
     return -(-(percent * n) // 100)
@@ -97,10 +132,11 @@ def _sketcher(params: JaccardParams, common: np.ndarray, shards: int):
             posted = []
             total = len(off) - 1
             set1, set2, size = np.zeros(total, np.uint64), np.zeros(total, np.uint64), np.zeros(total, np.int64)
-            bits = np.zeros((total, BITS // 8), np.uint8)
+            bits: list[bytes] = []
             for a, b, doc, s in _sets(raw, off, params):
                 n = np.bincount(doc, minlength=b - a)
                 size[a:b] = n
+                bits += bitmaps(doc, s, n)
                 if not len(s):
                     continue
                 has = np.flatnonzero(n)
@@ -108,9 +144,6 @@ def _sketcher(params: JaccardParams, common: np.ndarray, shards: int):
                 with np.errstate(over="ignore"):
                     set1[a + has] = mix64(np.add.reduceat(mix64(s), first) + n[has].astype(np.uint64))
                     set2[a + has] = mix64(np.add.reduceat(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), first))
-                own = np.zeros((b - a, BITS), bool)
-                own[doc, (s >> np.uint64(24)).astype(np.int64) % BITS] = True
-                bits[a:b] = np.packbits(own, axis=1)
                 # the first n - needed + 1 shingles, common ones last
                 often = np.searchsorted(common, s)
                 often = common[np.minimum(often, len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
@@ -118,7 +151,7 @@ def _sketcher(params: JaccardParams, common: np.ndarray, shards: int):
                 rank = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
                 keep = order[rank < (n - needed(n, params.percent) + 1)[doc]]
                 posted.append((s[keep], set1[a + doc[keep]]))
-            rows = [batch.column(0), pa.array(set1.view(np.int64)), pa.array(set2.view(np.int64)), pa.array(size), pa.array([x.tobytes() for x in bits], pa.binary())]
+            rows = [batch.column(0), pa.array(set1.view(np.int64)), pa.array(set2.view(np.int64)), pa.array(size), pa.array(bits, pa.binary())]
             none = pa.nulls(total)
             yield pa.RecordBatch.from_arrays([*rows, none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names)
             if posted:
@@ -173,7 +206,12 @@ def _tiler(params: JaccardParams, reach: int | None):
         tile, owner, n, guest, cluster = (t[c].to_numpy() for c in ("tile", "set1", "n", "guest", "cluster"))
         order = np.lexsort((owner, n, tile))
         tile, owner, n, guest, cluster = tile[order], owner[order], n[order], guest[order].astype(bool), cluster[order]
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)[order]
+        maps = t["bits"].to_pylist()
+        flat = np.frombuffer(b"".join(maps), np.uint64)
+        size = np.array([len(x) // 8 for x in maps], np.int64)
+        start = (np.cumsum(size) - size)[order]
+        size = size[order]
+        del maps
         live = np.arange(len(tile))
         found, held, k = [], 0, 0
         a = b = np.zeros(0, np.int64)
@@ -187,9 +225,8 @@ def _tiler(params: JaccardParams, reach: int | None):
                 todo = todo[cluster[todo] != cluster[todo + k]]
             if not len(todo):
                 continue
-            differ = np.bitwise_count(bits[todo] ^ bits[todo + k]).sum(1, dtype=np.int64)
             both = n[todo] + n[todo + k]
-            most = (both - differ) // 2  # of the overlap
+            most = (both - differing(flat, start, size, todo, todo + k)) // 2  # of the overlap
             ok = todo[100 * most >= params.percent * (both - most)]
             if len(ok):
                 found.append((owner[ok], owner[ok + k]))
