@@ -38,7 +38,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The frame as a table in the shared folder, read again: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = path or shared_folder(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillstream_path = path  # noqa: SLF001
     return out
