@@ -7,8 +7,9 @@
    space; those of at least two classes become groups, and groups of equal members are one.
 3. A group is cut into tiles by size band; a class also visits the next band, so that all sizes that may link meet. In a
    tile, two classes with differing bits d have at least d shingles that only one of them holds, which bounds the
-   overlap from above. Pairs that pass join candidate clusters; a first round compares near rows only, and a
-   second skips what lies in one cluster already, so large groups of copies don't cost the square of their size.
+   overlap from above. Pairs that pass join candidate clusters. A first round pairs rows that are near in size, each
+   pair once over all groups; a second compares the rest, but skips what lies in one cluster already, so large
+   groups of copies don't cost the square of their size.
 4. Clusters fetch their texts, and within size bands sorted arrays are intersected exactly; a pair that
    is connected already is not intersected again. Links then give the components.
 
@@ -198,39 +199,83 @@ def band(n, percent: int):
     return F.floor(F.log(n.cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int")
 
 
-def _tiler(params: JaccardParams, reach: int | None):
-    """Candidate pairs within the tiles of a shard, as stars. reach: rows after each one to compare with; None: all,
-    but what has one cluster already."""
+def _in_tiles(t: pa.Table, *names: str):
+    """The named columns sorted by tile, size and class, and the order."""
+    tile, owner, n = (t[c].to_numpy() for c in ("tile", "set1", "n"))
+    order = np.lexsort((owner, n, tile))
+    return order, tile[order], owner[order], n[order], *(t[c].to_numpy(zero_copy_only=False)[order] for c in names)
+
+
+def _steps(tile: np.ndarray, n: np.ndarray, guest: np.ndarray, percent: int, reach: int | None):
+    """(rows, k): rows to compare with those k further on. Sizes rise within a tile, so a row that has met one too large
+    meets no more."""
+    live, k = np.arange(len(tile)), 0
+    while len(live) and (reach is None or k < reach):
+        k += 1
+        live = live[live + k < len(tile)]
+        live = live[(tile[live] == tile[live + k]) & (100 * n[live] >= percent * n[live + k])]
+        todo = live[~(guest[live] & guest[live + k])]
+        if len(todo):
+            yield todo, k
+
+
+def _bounded(n: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the pairs may link, by the bits that differ."""
+    both = n[i] + n[j]
+    most = (both - differ) // 2  # of the overlap
+    return 100 * most >= percent * (both - most)
+
+
+def _neighbours(params: JaccardParams):
+    """Pairs of each row in the tiles of a shard with the ``reach`` next ones, by size alone."""
 
     def run(t: pa.Table) -> pa.Table:
-        tile, owner, n, guest, cluster = (t[c].to_numpy() for c in ("tile", "set1", "n", "guest", "cluster"))
-        order = np.lexsort((owner, n, tile))
-        tile, owner, n, guest, cluster = tile[order], owner[order], n[order], guest[order].astype(bool), cluster[order]
-        maps = t["bits"].to_pylist()
+        _, tile, owner, n, guest = _in_tiles(t, "guest")
+        found = [(owner[i], owner[i + k]) for i, k in _steps(tile, n, guest, params.percent, params.reach)]
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _near(params: JaccardParams):
+    """Of rows (a, b, n_a, n_b, bits_a, bits_b) the pairs that their bitmaps let link."""
+
+    def run(batches):
+        for batch in batches:
+            m = batch.num_rows
+            maps = batch.column(4).to_pylist() + batch.column(5).to_pylist()
+            flat = np.frombuffer(b"".join(maps), np.uint64)
+            size = np.array([len(x) // 8 for x in maps], np.int64)
+            n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+            i = np.arange(m)
+            ok = _bounded(n, i, i + m, differing(flat, np.cumsum(size) - size, size, i, i + m), params.percent) if m else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _tiler(params: JaccardParams):
+    """Candidate pairs within the tiles of a shard, as stars; what has one cluster already is not compared."""
+
+    def run(t: pa.Table, signatures: pa.Table) -> pa.Table:
+        _, tile, owner, n, guest, cluster = _in_tiles(t, "guest", "cluster")
+        signatures = signatures.sort_by("set1")
+        maps = signatures["bits"].to_pylist()
         flat = np.frombuffer(b"".join(maps), np.uint64)
         size = np.array([len(x) // 8 for x in maps], np.int64)
-        start = (np.cumsum(size) - size)[order]
-        size = size[order]
+        place = np.searchsorted(signatures["set1"].to_numpy(), owner)
+        start, size = (np.cumsum(size) - size)[place], size[place]
         del maps
-        live = np.arange(len(tile))
-        found, held, k = [], 0, 0
+        found, held = [], 0
         a = b = np.zeros(0, np.int64)
-        while len(live) and (reach is None or k < reach):
-            k += 1
-            live = live[live + k < len(tile)]
-            # sizes rise within a tile, so a row that has met one too large meets no more
-            live = live[(tile[live] == tile[live + k]) & (100 * n[live] >= params.percent * n[live + k])]
-            todo = live[~(guest[live] & guest[live + k])]
-            if reach is None:
-                todo = todo[cluster[todo] != cluster[todo + k]]
-            if not len(todo):
-                continue
-            both = n[todo] + n[todo + k]
-            most = (both - differing(flat, start, size, todo, todo + k)) // 2  # of the overlap
-            ok = todo[100 * most >= params.percent * (both - most)]
-            if len(ok):
-                found.append((owner[ok], owner[ok + k]))
-                held += len(ok)
+        for i, k in _steps(tile, n, guest, params.percent, None):
+            i = i[cluster[i] != cluster[i + k]]
+            if len(i):
+                i = i[_bounded(n, i, i + k, differing(flat, start, size, i, i + k), params.percent)]
+                found.append((owner[i], owner[i + k]))
+                held += len(i)
             if held > 1 << 20:
                 a, b = local_components(np.concatenate([a, *(x for x, _ in found)]), np.concatenate([b, *(y for _, y in found)]))
                 found, held = [], 0
@@ -309,19 +354,31 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
     classes = written(sketch.where("n > 0 and doc_id is not null").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")))
     copies = sketch.where("n > 0 and doc_id is not null").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    groups = written(sketched.where("shard is not null").select("shard", "keys", "sets").groupBy("shard").applyInArrow(_grouped, "grp long, set1 long").distinct())
-    sized = classes.select("set1", "n", "bits").withColumn("band", band(F.col("n"), params.percent))
-    tiled = groups.join(sized, "set1").withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1))))
-    tiled = tiled.select(F.xxhash64("grp", F.col("band") + F.col("visit")).alias("tile"), "set1", "n", "bits", (F.col("visit") == 1).alias("guest"))
-    first = tiled.withColumn("cluster", F.col("set1")).groupBy(F.pmod("tile", F.lit(shards))).applyInArrow(_tiler(params, params.reach), "a long, b long")
-    near = written(first.distinct())
+    groups = sketched.where("shard is not null").select("shard", "keys", "sets").groupBy("shard").applyInArrow(_grouped, "grp long, set1 long").distinct()
+    sizes = classes.select("set1", "n").withColumn("band", band(F.col("n"), params.percent))
+    groups = written(groups.join(sizes, "set1"))
+
+    def tiles(rows: DataFrame) -> DataFrame:
+        """Rows of groups with the tiles they visit; a tile counts if it has a pair."""
+        visits = rows.withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1))))
+        visits = visits.withColumn("tile_band", F.col("band") + F.col("visit")).withColumn("guest", F.col("visit") == 1)
+        visits = visits.withColumn("tile", F.xxhash64("grp", "tile_band"))
+        return visits.drop("visit", "band", "grp")
+
+    pairs = tiles(groups).drop("tile_band").groupBy(F.pmod("tile", F.lit(shards))).applyInArrow(_neighbours(params), "a long, b long").distinct()
+    maps = classes.select("set1", "n", "bits")
+    pairs = pairs.join(maps.toDF("a", "n_a", "bits_a"), "a").join(maps.toDF("b", "n_b", "bits_b"), "b")
+    near = written(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_near(params), "a long, b long"))
     clusters = components(near)
-    # tiles that the first round did not compare whole, and that lie in more than one cluster
-    label = groups.join(clusters.withColumnRenamed("node", "set1"), "set1", "left").select("grp", "set1", F.coalesce("component", "set1").alias("cluster"))
-    mixed = label.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where((F.col("rows") > params.reach + 1) & (F.col("lo") < F.col("hi")))
-    again = label.join(mixed.select("grp"), "grp").join(sized, "set1").withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1))))
-    again = again.select(F.xxhash64("grp", F.col("band") + F.col("visit")).alias("tile"), "set1", "n", "bits", (F.col("visit") == 1).alias("guest"), "cluster")
-    rest = again.groupBy(F.pmod("tile", F.lit(shards))).applyInArrow(_tiler(params, None), "a long, b long")
+    # groups that the first round did not compare whole, and that lie in more than one cluster
+    label = groups.join(clusters.withColumnRenamed("node", "set1"), "set1", "left").withColumn("cluster", F.coalesce("component", "set1")).drop("component")
+    mixed = label.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("set1").alias("anchor")).where((F.col("rows") > params.reach + 1) & (F.col("lo") < F.col("hi")))
+    again = tiles(label.join(mixed.select("grp", "anchor"), "grp"))
+    busy = again.groupBy("tile").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("tile")
+    # groups of one passage mostly have one smallest member: they meet in one shard, which gets each bitmap once
+    again = written(again.join(busy, "tile").withColumn("shard", F.pmod(F.xxhash64("anchor", "tile_band"), F.lit(4 * shards))).drop("anchor", "tile_band"))
+    signatures = again.select("shard", "set1").distinct().join(classes.select("set1", "bits"), "set1")
+    rest = again.groupBy("shard").cogroup(signatures.groupBy("shard")).applyInArrow(_tiler(params), "a long, b long")
     clusters = components(near.unionByName(rest)).withColumnsRenamed({"node": "set1", "component": "cluster"})
 
     members = classes.join(clusters, "set1").select(F.col("rep").alias("doc_id"), "cluster", band(F.col("n"), params.percent).alias("band"))
