@@ -38,7 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows without id all stay."""
     groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi")
+    if groups.count() > groups.select("doc_id").distinct().count():  # only then an id repeats
+        kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,12 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)  # noqa: SLF001
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps that are over: Spark deletes them once the driver has collected the frames."""
+    gc.collect()
+    spark._jvm.System.gc()  # noqa: SLF001
+
+
 def doc_fold(n: int, key: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import mix64, runs, shards_for, table, text_bytes, word_hashes, written
+from quillstream.llm.common import dropped, mix64, released, runs, shards_for, table, text_bytes, word_hashes, written
 from quillstream.llm.components import components, local_components
 
 #: Bits of a bitmap: the power of two from twice the set's size on, within these bounds.
@@ -346,7 +346,16 @@ def common_shingles(docs: DataFrame, params: JaccardParams) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """docs (doc_id, text). Returns (doc_id, n_shingles, component_id), a row for each row."""
+    """docs (doc_id, text). Returns (doc_id, n_shingles, component_id), a row for each row; what it took is deleted."""
+    out, steps = _joined(docs, params)
+    for step in steps:
+        dropped(step)
+    del steps
+    released(docs.sparkSession)
+    return out
+
+
+def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[DataFrame]]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shards_for(docs, 8 << 20)
     sketched = written(docs.mapInArrow(_sketcher(params, common_shingles(docs, params), shards), _SKETCH))
@@ -377,8 +386,8 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
     busy = again.groupBy("tile").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("tile")
     # groups of one passage mostly have one smallest member: they meet in one shard, which gets each bitmap once
     again = written(again.join(busy, "tile").withColumn("shard", F.pmod(F.xxhash64("anchor", "tile_band"), F.lit(4 * shards))).drop("anchor", "tile_band"))
-    signatures = again.select("shard", "set1").distinct().join(classes.select("set1", "bits"), "set1")
-    rest = again.groupBy("shard").cogroup(signatures.groupBy("shard")).applyInArrow(_tiler(params), "a long, b long")
+    signatures = again.select("shard", "set1").distinct().join(classes.select("set1", "bits"), "set1").toDF("set1_", "shard_", "bits").withColumnsRenamed({"set1_": "set1", "shard_": "at"})
+    rest = again.groupBy("shard").cogroup(signatures.groupBy("at")).applyInArrow(_tiler(params), "a long, b long")
     clusters = components(near.unionByName(rest)).withColumnsRenamed({"node": "set1", "component": "cluster"})
 
     members = classes.join(clusters, "set1").select(F.col("rep").alias("doc_id"), "cluster", band(F.col("n"), params.percent).alias("band"))
@@ -387,7 +396,8 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
     links = texts.groupBy(F.pmod(F.xxhash64("cluster", "tile_band"), F.lit(4 * shards))).applyInArrow(_verifier(params), "a long, b long")
     found = components(links.unionByName(copies)).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = written(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    return out, [sketched, classes, groups, near, again]
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
