@@ -33,9 +33,9 @@ NGRAM, BEGINNINGS, BITS = 5, (4, 6, 8), 20
 @dataclass(frozen=True)
 class ToxicityParams:
     #: Bounds of the training samples: rows of each kind, and bytes of text.
-    most_positive: int = 4000
-    most_unlabelled: int = 8000
-    most_bytes: int = 24 << 20
+    most_positive: int = 3000
+    most_unlabelled: int = 5000
+    most_bytes: int = 14 << 20
     features: int = 2048
     #: Least likelihood-ratio statistic of a feature's document counts in P against those in U.
     least_g: float = 24.0
