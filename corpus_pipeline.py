@@ -37,11 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group that five-word shingles link at 0.8 or more; a repeated id stays once,
     rows without id all stay."""
     groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    if groups.count() > groups.select("doc_id").distinct().count():  # only then an id repeats
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    few = others.count() <= jaccard.JaccardParams.broadcast  # then no text moves
+    kept = docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti")
+    if groups.where("doc_id is not null").count() == groups.select("doc_id").where("doc_id is not null").distinct().count():
+        return kept.select(*docs.columns)
+    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ class JaccardParams:
     common: int = 65536
     #: Rows after each one that the first round compares with.
     reach: int = 4
+    #: Rows (of some 20 bytes) up to which a join's side is broadcast; beyond, both sides are shuffled.
+    broadcast: int = 2_000_000
     #: Bytes of text that are turned into shingles at a time.
     block: int = 4 << 20
 
@@ -391,6 +393,9 @@ def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[Dat
     clusters = components(near.unionByName(rest)).withColumnsRenamed({"node": "set1", "component": "cluster"})
 
     members = classes.join(clusters, "set1").select(F.col("rep").alias("doc_id"), "cluster", band(F.col("n"), params.percent).alias("band"))
+    # ids of candidates are few beside the documents: while they are, no text moves but theirs
+    members = written(members)
+    members = F.broadcast(members) if members.count() <= params.broadcast else members
     texts = docs.join(members, "doc_id").dropDuplicates(["doc_id"]).withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1))))
     texts = texts.select("doc_id", "text", "cluster", (F.col("band") + F.col("visit")).alias("tile_band"), (F.col("visit") == 1).alias("guest"))
     links = texts.groupBy(F.pmod(F.xxhash64("cluster", "tile_band"), F.lit(4 * shards))).applyInArrow(_verifier(params), "a long, b long")

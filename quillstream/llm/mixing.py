@@ -182,9 +182,12 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns. Rows equal in id, text and source are one
     document that is taken as often as all of them are."""
-    taken = mix_sources(docs.select("doc_id", "text", "source"), params).where("copies > 0")
-    taken = taken.groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("__copies")).toDF("__id", "__hash", "__source", "__copies")
-    own = docs.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash", "source"])
+    taken = mix_sources(docs.select("doc_id", "text", "source"), params)
+    taken = written(taken.groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).toDF("__id", "__hash", "__source", "__copies", "__rows"))
+    own = docs.withColumn("__hash", F.xxhash64("text"))
+    if taken.where("__rows > 1").take(1):
+        own = own.dropDuplicates(["doc_id", "__hash", "source"])
+    taken = taken.where("__copies > 0")
     rows = own.join(taken.withColumnRenamed("__hash", "__h"), F.expr("doc_id <=> __id and __hash = __h and source <=> __source"))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
