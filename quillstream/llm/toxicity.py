@@ -60,25 +60,31 @@ def _hashed(low: np.ndarray, at: np.ndarray | None, size: int) -> np.ndarray:
     return h
 
 
-def _grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the byte n-grams (A-Z lowered) and of the word beginnings that lie within runs [start, end), and each
-    one's run. opens: whether a run begins a document, and so a word."""
+#: Bytes that pieces of one document share, so that whatever begins in one ends in it.
+_SHARED = max(NGRAM, *BEGINNINGS) - 1
+
+
+def _grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the byte n-grams (A-Z lowered) and of the word beginnings within runs [start, end), and each one's run.
+    opens, closes: whether a run begins or ends its document; what begins in the bytes shared with the next run is left to it."""
     size = end - start
     low = LOWER[np.concatenate([raw[a:b] for a, b in zip(start, end, strict=True)])]
     run = np.repeat(np.arange(len(start)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(low))
+    own = left > np.repeat(np.where(closes, 0, _SHARED), size)
     space = IS_SPACE[low]
     begins = ~space
     begins[1:] &= space[:-1]
-    first = (np.cumsum(size) - size)[size > 0]
-    begins[first] = ~space[first] & opens[size > 0]
+    first = np.cumsum(size) - size
+    begins[first] = ~space[first] & (opens | IS_SPACE[raw[np.maximum(start - 1, 0)]])
     out, of = [], []
     if len(low) >= NGRAM:
-        inside = left[: len(low) - NGRAM + 1] >= NGRAM
+        n = len(low) - NGRAM + 1
+        inside = (left[:n] >= NGRAM) & own[:n]
         out.append(_hashed(low, None, NGRAM)[inside])
-        of.append(run[: len(inside)][inside])
+        of.append(run[:n][inside])
     for n in BEGINNINGS:
-        at = np.flatnonzero(begins & (left >= n))
+        at = np.flatnonzero(begins & own & (left >= n))
         out.append(_hashed(low, at, n))
         of.append(run[at])
     return np.concatenate(out), np.concatenate(of)
@@ -88,8 +94,8 @@ def presence(raw: np.ndarray, offsets: np.ndarray, index: np.ndarray | None, blo
     """Distinct (document, feature) pairs as document << 32 | feature. Each hash is two features: that a document holds
     it, and, 2**BITS further, that it does so more than once; index maps features to numbers, -1 to none."""
     keys, counts = [], []
-    for doc, a, b in pieces(offsets, block, max(NGRAM, *BEGINNINGS) - 1):
-        h, run = _grams(raw, a, b, a == offsets[doc])
+    for doc, a, b in pieces(offsets, block, _SHARED):
+        h, run = _grams(raw, a, b, a == offsets[doc], b == offsets[doc + 1])
         if index is not None:
             hit = (index[h] >= 0) | (index[h + np.uint32(1 << BITS)] >= 0)
             h, run = h[hit], run[hit]
