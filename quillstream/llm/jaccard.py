@@ -1,7 +1,7 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact sorted-array intersection.
 
 1. One pass over the documents makes, for each, its set of distinct word shingles (64-bit hashes), the size, a hash
-   of the whole set, a bitmap signature, and the prefix of the set in a global order (common shingles last, then by hash).
+   of the whole set, a bitmap signature, and the prefix of the set in a global order (rare words first, common shingles last).
    Sets that overlap enough share a shingle of their prefixes, so no link is lost.
 2. Equal sets are one class with one representative. Prefix shingles go in packed arrays to shards of the shingle
    space; those of at least two classes become groups, and groups of equal members are one.
@@ -39,9 +39,9 @@ LEAST_BITS, MOST_BITS = 256, 1 << 17
 class JaccardParams:
     words: int = 5
     percent: int = 80
-    #: Sample of documents in which common shingles are looked for; they only order the prefixes.
-    sample: int = 2000
-    common: int = 65536
+    #: Sample of documents in which common shingles and words are looked for; they only order the prefixes.
+    sample: int = 8000
+    common: int = 1 << 18
     #: Rows after each one that the first round compares with.
     reach: int = 4
     #: Rows (of some 20 bytes) up to which a join's side is broadcast; beyond, both sides are shuffled.
@@ -50,11 +50,28 @@ class JaccardParams:
     block: int = 4 << 20
 
 
-def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the distinct shingles of each document, sorted by both."""
+@dataclass(frozen=True)
+class Order:
+    """Common shingles, and common words with a level each, sorted by hash. A prefix takes shingles by rising level of
+    their words, then by hash, and common shingles last; any such order gives the same links."""
+
+    shingles: np.ndarray
+    words: np.ndarray
+    levels: np.ndarray
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, self.levels[at], 0)
+
+
+def shingles(raw: np.ndarray, offsets: np.ndarray, k: int, order: Order | None = None) -> tuple[np.ndarray, ...]:
+    """(document, hash) of the distinct shingles of each document, sorted by both; with an order also their levels."""
     h, doc = word_hashes(raw, offsets)
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *([np.zeros(0, np.int64)] if order else []))
+    common = order.level(h) if order else np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         odd = mix64(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         n = max(0, len(h) - k + 1)
@@ -63,6 +80,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
         for j in range(k):
             s += h[j : j + n] * odd[j]
         s, d = mix64(s[full]), doc[:n][full]
+        level = np.sum([common[j : j + n] for j in range(k)], 0)[full] if order else common
         count = np.bincount(doc, minlength=len(offsets) - 1)
         few = np.flatnonzero((count > 0) & (count < k))
         if len(few):
@@ -72,16 +90,17 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
                 has = count[few] > j
                 own[has] += h[first[few[has]] + j] * odd[j]
             s, d = np.concatenate([s, mix64(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))]), np.concatenate([d, few])
-    order = np.lexsort((s, d))
-    s, d = s[order], d[order]
+            level = np.concatenate([level, np.zeros(len(few), np.int64)]) if order else level
+    by = np.lexsort((s, d))
+    s, d = s[by], d[by]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-    return d[new], s[new]
+    return (d[new], s[new], level[by][new]) if order else (d[new], s[new])
 
 
-def _sets(raw: np.ndarray, offsets: np.ndarray, params: JaccardParams):
+def _sets(raw: np.ndarray, offsets: np.ndarray, params: JaccardParams, order: Order | None = None):
     for a, b in runs(offsets, params.block):
-        yield a, b, *shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], params.words)
+        yield a, b, *shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], params.words, order)
 
 
 def bitmap_bits(n: np.ndarray) -> np.ndarray:
@@ -126,7 +145,7 @@ def needed(n, percent: int):
 _SKETCH = "doc_id long, set1 long, set2 long, n long, bits binary, shard int, keys binary, sets binary"
 
 
-def _sketcher(params: JaccardParams, common: np.ndarray, shards: int):
+def _sketcher(params: JaccardParams, common: Order, shards: int):
     names = [x.split()[0] for x in _SKETCH.split(", ")]
 
     def run(batches):
@@ -136,7 +155,7 @@ def _sketcher(params: JaccardParams, common: np.ndarray, shards: int):
             total = len(off) - 1
             set1, set2, size = np.zeros(total, np.uint64), np.zeros(total, np.uint64), np.zeros(total, np.int64)
             bits: list[bytes] = []
-            for a, b, doc, s in _sets(raw, off, params):
+            for a, b, doc, s, level in _sets(raw, off, params, common):
                 n = np.bincount(doc, minlength=b - a)
                 size[a:b] = n
                 bits += bitmaps(doc, s, n)
@@ -147,10 +166,11 @@ def _sketcher(params: JaccardParams, common: np.ndarray, shards: int):
                 with np.errstate(over="ignore"):
                     set1[a + has] = mix64(np.add.reduceat(mix64(s), first) + n[has].astype(np.uint64))
                     set2[a + has] = mix64(np.add.reduceat(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), first))
-                # the first n - needed + 1 shingles, common ones last
-                often = np.searchsorted(common, s)
-                often = common[np.minimum(often, len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
-                order = np.lexsort((s, often, doc))
+                # the first n - needed + 1 shingles by the order
+                if len(common.shingles):
+                    at = np.minimum(np.searchsorted(common.shingles, s), len(common.shingles) - 1)
+                    level = np.where(common.shingles[at] == s, np.iinfo(np.int64).max, level)
+                order = np.lexsort((s, level, doc))
                 rank = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
                 keep = order[rank < (n - needed(n, params.percent) + 1)[doc]]
                 posted.append((s[keep], set1[a + doc[keep]]))
@@ -332,19 +352,29 @@ def _verifier(params: JaccardParams):
     return run
 
 
-def common_shingles(docs: DataFrame, params: JaccardParams) -> np.ndarray:
-    """Shingles that several documents of a sample hold, at most ``common``: any list gives the same links."""
+def sampled_order(docs: DataFrame, params: JaccardParams) -> Order:
+    """Shingles and words that several documents of a sample hold, at most ``common`` of each. A word's level is the
+    logarithm of its count."""
     part = min(1.0, params.sample / max(docs.select("doc_id").count(), 1))
     some = docs.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("text")
 
     def run(batches):
         for b in batches:
             raw, off = text_bytes(b.column(0))
-            for _, _, _, s in _sets(raw, off, params):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["s"])
-
-    often = some.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c >= 3").orderBy(F.desc("c"), "s").limit(params.common)
-    return np.sort(np.array([r.s for r in often.select("s").collect()], np.int64).view(np.uint64))
+            for i, j, _, s in _sets(raw, off, params):
+                h = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])[0]
+                for kind, values in ((0, s), (1, h)):
+                    v, n = np.unique(values, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(v.view(np.int64)), pa.array(n)], ["kind", "v", "n"])
+
+    counts = some.mapInArrow(run, "kind int, v long, n long").groupBy("kind", "v").agg(F.sum("n").alias("n")).where("n >= 2")
+    found = []
+    for kind in (0, 1):
+        rows = counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "v").limit(params.common).select("v", "n").toArrow()
+        v, n = rows["v"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64)
+        by = np.argsort(v)
+        found.append((v[by], n[by]))
+    return Order(found[0][0], found[1][0], np.log2(found[1][1].astype(np.float64) + 1).astype(np.int64) if len(found[1][1]) else found[1][1])
 
 
 def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -360,7 +390,7 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
 def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[DataFrame]]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shards_for(docs, 8 << 20)
-    sketched = written(docs.mapInArrow(_sketcher(params, common_shingles(docs, params), shards), _SKETCH))
+    sketched = written(docs.mapInArrow(_sketcher(params, sampled_order(docs, params), shards), _SKETCH))
     sketch = sketched.where("shard is null").select("doc_id", "set1", "set2", "n", "bits")
     classes = written(sketch.where("n > 0 and doc_id is not null").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")))
     copies = sketch.where("n > 0 and doc_id is not null").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
