@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quillstream.llm.common import Adam, _within, arrow_rows, doc_fold, table, text_bytes
 
-SPAN, HIDDEN = 128, 16
+SPAN, HIDDEN = 128, 12
 
 
 @dataclass(frozen=True)
@@ -63,6 +63,8 @@ class LanguageModel:
         h = np.zeros((n, HIDDEN), np.float32)
         out = np.empty((steps, n, HIDDEN), np.float32)
         kept = []
+        if not keep:
+            return self._forward(d, x, out)
         for t in range(steps):
             a = p[d + "in"][x[t]]
             g = _sigmoid(a[:, : 2 * HIDDEN] + h @ p[d + "gate"])
@@ -75,6 +77,32 @@ class LanguageModel:
             out[t] = h
         return (out, kept) if keep else out
 
+    def _forward(self, d: str, x: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """states() without what training keeps: arrays are reused, units run along rows, and the halves of the sigmoid are
+        folded into the weights."""
+        p, (steps, n) = self.p, x.shape
+        table = np.ascontiguousarray(p[d + "in"])
+        table = np.concatenate([table[:, : 2 * HIDDEN] * 0.5, table[:, 2 * HIDDEN :]], 1).astype(np.float32)
+        gate, new = (p[d + "gate"] * 0.5).astype(np.float32), p[d + "new"].astype(np.float32)
+        h = np.zeros((n, HIDDEN), np.float32)
+        g, c, q = (np.empty((n, w), np.float32) for w in (2 * HIDDEN, HIDDEN, HIDDEN))
+        a = np.empty((n, 3 * HIDDEN), np.float32)
+        for t in range(steps):
+            np.take(table, x[t], axis=0, out=a, mode="clip")
+            np.matmul(h, gate, out=g)
+            g += a[:, : 2 * HIDDEN]
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            np.multiply(g[:, HIDDEN:], h, out=q)
+            np.matmul(q, new, out=c)
+            c += a[:, 2 * HIDDEN :]
+            np.tanh(c, out=c)
+            c -= h
+            c *= g[:, :HIDDEN]
+            h = np.add(h, c, out=out[t])
+        return out
+
     def labels(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of the languages at each position: steps by runs by languages."""
         both = np.concatenate([self.states("f", x), self.states("b", x[::-1])[::-1]], 2)
@@ -84,7 +112,7 @@ class LanguageModel:
         y /= y.sum(1, keepdims=True)
         return y.reshape(*x.shape, len(self.langs))
 
-    def pooled(self, raw: np.ndarray, offsets: np.ndarray, block: int = 4096) -> np.ndarray:
+    def pooled(self, raw: np.ndarray, offsets: np.ndarray, block: int = 2048) -> np.ndarray:
         """Mean probabilities of each document over its positions; zeros for empty ones."""
         n = len(offsets) - 1
         total = np.zeros((n, len(self.langs)))
