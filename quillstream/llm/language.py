@@ -33,7 +33,7 @@ class LanguageParams:
     batch: int = 256
     span: int = 48
     steps: int = 260
-    rate: float = 0.02
+    rate: float = 0.03
     seed: int = 3
 
 
