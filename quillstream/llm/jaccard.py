@@ -44,6 +44,8 @@ class JaccardParams:
     common: int = 1 << 18
     #: Rows after each one that the first round compares with.
     reach: int = 4
+    #: Rows of tiles of one passage that a shard takes together.
+    together: int = 2048
     #: Rows (of some 20 bytes) up to which a join's side is broadcast; beyond, both sides are shuffled.
     broadcast: int = 2_000_000
     #: Bytes of text that are turned into shingles at a time.
@@ -416,8 +418,13 @@ def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[Dat
     mixed = label.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("set1").alias("anchor")).where((F.col("rows") > params.reach + 1) & (F.col("lo") < F.col("hi")))
     again = tiles(label.join(mixed.select("grp", "anchor"), "grp"))
     busy = again.groupBy("tile").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("tile")
-    # groups of one passage mostly have one smallest member: they meet in one shard, which gets each bitmap once
-    again = written(again.join(busy, "tile").withColumn("shard", F.pmod(F.xxhash64("anchor", "tile_band"), F.lit(4 * shards))).drop("anchor", "tile_band"))
+    # groups of one passage mostly have one smallest member: their tiles meet in one shard, which gets each bitmap once;
+    # those of a passage with very many rows are dealt over several
+    again = again.join(busy, "tile")
+    wide = again.groupBy("anchor", "tile_band").agg(F.ceil(F.count(F.lit(1)) / params.together).alias("parts")).where("parts > 1")
+    part = F.when(F.col("parts").isNotNull(), F.pmod("tile", F.col("parts"))).otherwise(F.lit(0))
+    again = again.join(wide, ["anchor", "tile_band"], "left").withColumn("shard", F.pmod(F.xxhash64("anchor", "tile_band", part), F.lit(4 * shards)))
+    again = written(again.drop("anchor", "tile_band", "parts"))
     signatures = again.select("shard", "set1").distinct().join(classes.select("set1", "bits"), "set1").toDF("set1_", "shard_", "bits").withColumnsRenamed({"set1_": "set1", "shard_": "at"})
     rest = again.groupBy("shard").cogroup(signatures.groupBy("at")).applyInArrow(_tiler(params), "a long, b long")
     clusters = components(near.unionByName(rest)).withColumnsRenamed({"node": "set1", "component": "cluster"})
