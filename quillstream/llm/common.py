@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -60,6 +62,13 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()  # noqa: SLF001
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: workers live on from task to task, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def doc_fold(n: int, key: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n
@@ -205,6 +214,7 @@ def with_text_scores(df: DataFrame, score, text: str = "text", out: str = "score
         for b in batches:
             raw, off = text_bytes(b.column(place))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(raw, off), pa.float64())], [*b.schema.names, out])
+            give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import dropped, mix64, released, runs, shards_for, table, text_bytes, word_hashes, written
+from quillstream.llm.common import dropped, give_back, mix64, released, runs, shards_for, table, text_bytes, word_hashes, written
 from quillstream.llm.components import components, local_components
 
 #: Bits of a bitmap: the power of two from twice the set's size on, within these bounds.
@@ -49,7 +49,7 @@ class JaccardParams:
     #: Rows (of some 20 bytes) up to which a join's side is broadcast; beyond, both sides are shuffled.
     broadcast: int = 2_000_000
     #: Bytes of text that are turned into shingles at a time.
-    block: int = 4 << 20
+    block: int = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -190,6 +190,7 @@ def _sketcher(params: JaccardParams, common: Order, shards: int):
                 gone = [pa.nulls(m, pa.int64())] * 4
                 packs = [pa.array([x[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()) for x in (key, owner)]
                 yield pa.RecordBatch.from_arrays([*gone, pa.nulls(m, pa.binary()), pa.array(shard[starts]), *packs], names)
+            give_back()
 
     return run
 
@@ -305,6 +306,7 @@ def _tiler(params: JaccardParams):
                 found, held = [], 0
         if found:
             a, b = local_components(np.concatenate([a, *(x for x, _ in found)]), np.concatenate([b, *(y for _, y in found)]))
+        give_back()
         return pa.table({"a": a.astype(np.int64)[a != b], "b": b.astype(np.int64)[a != b]})
 
     return run
@@ -349,6 +351,8 @@ def _verifier(params: JaccardParams):
             merged = sorted([x for g in joined for x in g] + [i], key=lambda x: size[x]) if joined else [i]
             groups = [*rest, merged]
         a, b = (np.array(x, np.int64) for x in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
+        del sets
+        give_back()
         return pa.table({"a": a, "b": b})
 
     return run

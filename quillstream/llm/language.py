@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.common import Adam, _within, arrow_rows, doc_fold, table, text_bytes
+from quillstream.llm.common import Adam, _within, arrow_rows, doc_fold, give_back, table, text_bytes
 
 SPAN, HIDDEN = 128, 12
 
@@ -227,6 +227,7 @@ def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", ke
                 best = [model.langs[k] if ok else "und" for k, ok in zip(top, letters, strict=True)]
                 score = np.where(letters, np.clip(p.max(1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(score)], [key, "lang_pred", "score"])
+            give_back()
 
     return lettered.mapInArrow(run, T.StructType([df.schema[key], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 

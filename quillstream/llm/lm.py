@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import doc_fold, input_bytes, runs, table, text_bytes, word_hashes, written
+from quillstream.llm.common import doc_fold, give_back, input_bytes, runs, table, text_bytes, word_hashes, written
 from quillstream.llm.trie import W48, Trie
 
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0x0FEDCBA987654321)
@@ -149,6 +149,7 @@ def _sender(shards: int, common: np.ndarray, parts: np.ndarray, params: LmParams
                     s = slice(i, i + params.pairs)
                     out = list(messages(context[s], word[s], owner[s] + first, key, train))
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "message"])
+            give_back()
 
     return run
 
@@ -236,7 +237,10 @@ def _shard(common: np.ndarray, params: LmParams):
         ask, place = np.unique(owner[both].astype(np.uint64) * np.uint64(len(context)) + c[p_at[both]].astype(np.uint64), return_inverse=True)
         n, m = np.bincount(place, minlength=len(ask)), np.bincount(place[hit[p_at[both]]], minlength=len(ask))
         rows.append(_answer(4, len(ask), key=keys[(ask // np.uint64(len(context))).astype(np.int64)], word=context[(ask % np.uint64(len(context))).astype(np.int64)].view(np.int64), n=n, m=m))
-        return pa.table({k: np.concatenate([r[k] for r in rows]) for k in rows[0]})
+        out = pa.table({k: np.concatenate([r[k] for r in rows]) for k in rows[0]})
+        del rows, trie, context, word, c, w, p_at, owner, value, logp
+        give_back()
+        return out
 
     return run
 

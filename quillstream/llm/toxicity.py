@@ -90,7 +90,7 @@ def _grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray, opens: np.ndarra
     return np.concatenate(out), np.concatenate(of)
 
 
-def presence(raw: np.ndarray, offsets: np.ndarray, index: np.ndarray | None, block: int = 2 << 20) -> np.ndarray:
+def presence(raw: np.ndarray, offsets: np.ndarray, index: np.ndarray | None, block: int = 1 << 20) -> np.ndarray:
     """Distinct (document, feature) pairs as document << 32 | feature. Each hash is two features: that a document holds
     it, and, 2**BITS further, that it does so more than once; index maps features to numbers, -1 to none."""
     keys, counts = [], []
