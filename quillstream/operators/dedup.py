@@ -51,7 +51,7 @@ def leaders(items: DataFrame) -> DataFrame:
         found = own if found is None else found.unionByName(own)
         todo = todo.join(own.select("seq"), "seq", "left_anti")
         for key in KEYS:
-            todo = todo.join(own.where(_real(key)).select(key).distinct(), key, "left_anti") if key else todo
+            todo = todo.join(own.where(_real(key)).select(key).distinct(), key, "left_anti")
         todo = cut(todo.select("seq", *KEYS))
     if found is None:
         return items.select("seq", F.col("seq").alias("leader"))

@@ -55,11 +55,19 @@ def backfilled(t: Tables) -> Tables:
     return t | {"rss_sources": sources, "articles": articles, "article_sources": merge.insert_ignore(t["article_sources"], told, ["article_id", "rss_source_id", "canonical_url"])}
 
 
-def purged_contents(contents: DataFrame, extractor: str) -> DataFrame:
-    """Contents of another extractor: failures of its HTTP days are made new, empty and successful ones go. The pattern's
-    underscore is any character, as in LIKE."""
-    old_failure = (F.col("status") == "failed") & (F.col("failure_kind").like("http_%") | F.col("failure_kind").isin("timeout", "network", "unsupported_type"))
-    kept = contents.where(~((F.col("status") == "failed") & ~old_failure & (F.coalesce("requested_url", F.lit("")) == "")))
-    kept = kept.where(~((F.col("status") == "success") & (F.coalesce("extractor", F.lit("")) != extractor)))
-    new = {"attempt_count": F.lit(0), "failure_kind": F.lit(""), "next_retry_at": F.lit(None).cast("timestamp"), "is_terminal": F.lit(0), "ignored_at": F.lit(None).cast("timestamp")}
-    return kept.withColumns({k: F.when(old_failure, v).otherwise(F.col(k)) for k, v in new.items()})
+# Failure kinds of the days when pages were fetched over HTTP (besides those LIKE 'http_%').
+OLD_FAILURES = ("network", "dns", "resolver", "extraction", "content_type", "too_large")
+MIGRATED = "migration_pending"
+
+
+def purged_contents(contents: DataFrame, extractor: str, note: str = "to be read again") -> DataFrame:
+    """Contents after a change of the extractor: failures of the old one may be tried again, those of them that hold no text go,
+    and so do another extractor's successes. The pattern's underscore is any character, as in LIKE."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    old = (F.col("status") == "failed") & (F.col("failure_kind").like("http_%") | F.col("failure_kind").isin(*OLD_FAILURES))
+    new = {"attempt_count": F.lit(0), "next_retry_at": F.lit(None).cast("timestamp"), "is_terminal": F.lit(0), "ignored_at": F.lit(None).cast("timestamp"), "error_message": F.lit(note)}
+    reset = contents.withColumn("_old", F.coalesce(old, F.lit(False)))
+    reset = reset.withColumns({k: F.when(F.col("_old"), v).otherwise(F.col(k)) for k, v in new.items()} | {"failure_kind": F.when(F.col("_old"), MIGRATED).otherwise(F.col("failure_kind"))})
+    gone = (F.col("status") == "failed") & (F.col("failure_kind") == MIGRATED) & empty("content_hash") & empty("full_text")
+    foreign = (F.col("status") == "success") & ~empty("extractor") & (F.col("extractor") != extractor)
+    return reset.where(~F.coalesce(gone, F.lit(False)) & ~F.coalesce(foreign, F.lit(False))).drop("_old")

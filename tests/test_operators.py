@@ -259,3 +259,9 @@ def test_stream(spark, tmp_path):
     t = current(spark, str(folder), 1)
     assert t["articles"].count() == 2 and t["collection_runs"].count() == 2
     assert empty(spark, "articles").count() == 0
+
+
+def test_change_of_extractor(spark):
+    rows = [{"article_id": 1, "status": "failed", "failure_kind": "http_500", "attempt_count": 3, "is_terminal": 1, "full_text": "kept"}, {"article_id": 2, "status": "failed", "failure_kind": "dns"}, {"article_id": 3, "status": "failed", "failure_kind": "not_found", "attempt_count": 1}, {"article_id": 4, "status": "success", "extractor": "old"}, {"article_id": 5, "status": "success", "extractor": "new"}, {"article_id": 6, "status": "success"}]
+    out = {r["article_id"]: r for r in recovery.purged_contents(tables(spark, article_contents=rows)["article_contents"], "new").collect()}
+    assert sorted(out) == [1, 3, 5, 6] and (out[1]["failure_kind"], out[1]["attempt_count"], out[1]["is_terminal"]) == ("migration_pending", 0, 0) and out[3]["attempt_count"] == 1
