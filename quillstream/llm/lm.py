@@ -43,8 +43,8 @@ SMALL = 0.1  # of the unigram smoothing
 class LmParams:
     discount: float = 0.75
     #: Bytes of input a shard, and the least number of shards.
-    shard: int = 16 << 20
-    least_shards: int = 32
+    shard: int = 9 << 20
+    least_shards: int = 56
     #: Documents of the sample that shows common words, and the most such words.
     sample: int = 2000
     common: int = 4096
