@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import doc_fold, give_back, input_bytes, runs, table, text_bytes, word_hashes, written
-from quillstream.llm.trie import W48, Trie
+from quillstream.llm.trie import SLICE, W48, Trie
 
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0x0FEDCBA987654321)
 SMALL = 0.1  # of the unigram smoothing
@@ -207,13 +207,14 @@ def _shard(common: np.ndarray, params: LmParams):
         c, w = (pair // np.uint64(len(word))).astype(np.int64), (pair % np.uint64(len(word))).astype(np.int64)
         del pair
         known = count > 0
+        give_back()
         trie = Trie.open(mapped(Trie.build(context[c[known]], word[w[known]], count[known], params.discount).dump()))
 
         at = trie.context(context)
         total, kinds, weight = trie.count(at), trie.kinds(at), trie.backoff(at)
         logp = np.empty(len(c))
-        for i in range(0, len(c), 1 << 20):
-            s = slice(i, i + (1 << 20))
+        for i in range(0, len(c), SLICE):
+            s = slice(i, i + SLICE)
             logp[s] = trie.successor(at[c[s]], word[w[s]])
         hit = ~np.isnan(logp)
         often = np.isin(context, common)

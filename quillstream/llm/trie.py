@@ -13,6 +13,8 @@ import json
 import numpy as np
 
 W48 = np.uint64((1 << 48) - 1)
+#: Entries that are coded or looked up at a time, so that temporary arrays stay small.
+SLICE = 1 << 16
 #: Place of the k-th set bit of a byte.
 _IN_BYTE = np.zeros((256, 8), np.uint8)
 for _b in range(256):
@@ -50,18 +52,19 @@ class EliasFano:
         n = len(v)
         top = int(v[-1]) if n else 0
         bits = max(0, ((top + 1) // max(1, n)).bit_length() - 1)
-        high = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n) if bits < 64 else np.arange(n)
-        size = (top >> bits) + n + 2
-        words = np.zeros(-(-size // 64), np.uint64)
-        np.bitwise_or.at(words, high >> 6, np.uint64(1) << (high & 63).astype(np.uint64))
+        words = np.zeros(-(-((top >> bits) + n + 2) // 64), np.uint64)
         low = np.zeros(n * bits // 64 + 2, np.uint64)
-        if bits:
-            part = v & np.uint64((1 << bits) - 1)
-            at = np.arange(n, dtype=np.int64) * bits
-            w, s = at >> 6, (at & 63).astype(np.uint64)
-            np.bitwise_or.at(low, w, part << s)
-            over = s.astype(np.int64) + bits > 64
-            np.bitwise_or.at(low, w[over] + 1, part[over] >> (np.uint64(64) - s[over]))
+        for first in range(0, n, SLICE):
+            part = v[first : first + SLICE]
+            place = np.arange(first, first + len(part), dtype=np.int64)
+            high = (part >> np.uint64(bits)).astype(np.int64) + place if bits < 64 else place
+            np.bitwise_or.at(words, high >> 6, np.uint64(1) << (high & 63).astype(np.uint64))
+            if bits:
+                part = part & np.uint64((1 << bits) - 1)
+                w, s = place * bits >> 6, (place * bits & 63).astype(np.uint64)
+                np.bitwise_or.at(low, w, part << s)
+                over = s.astype(np.int64) + bits > 64
+                np.bitwise_or.at(low, w[over] + 1, part[over] >> (np.uint64(64) - s[over]))
         return cls(n, bits, low, words)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -74,10 +77,17 @@ class EliasFano:
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
+        if len(i) > SLICE:
+            return np.concatenate([self[i[k : k + SLICE]] for k in range(0, len(i), SLICE)])
         return (_select(self.high, self.ones, i) - i).astype(np.uint64) << np.uint64(self.bits) | self._low(i)
 
     def index(self, v: np.ndarray) -> np.ndarray:
         """Place of each value, or -1: the zeros of the high bits bound a bucket, whose low bits are searched."""
+        if len(v) <= SLICE:
+            return self._index(v)
+        return np.concatenate([self._index(v[i : i + SLICE]) for i in range(0, len(v), SLICE)])
+
+    def _index(self, v: np.ndarray) -> np.ndarray:
         out = np.full(len(v), -1, np.int64)
         if not self.n or not len(v):
             return out
