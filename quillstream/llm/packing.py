@@ -1,13 +1,12 @@
 """Packing into optimal length buckets.
 
-The histogram of document lengths over all rows is gathered once (at most ``bins`` rows reach the driver, whatever the
-input). Dynamic programming chooses the bucket boundaries that minimise the padding of all documents to their bucket's length.
+The histogram of document lengths over all rows is gathered once: a row for each distinct length reaches the driver (D distinct
+numbers of words need D * D / 2 words of input at least, so 5 billion words have at most 100,000). Dynamic programming chooses the bucket boundaries that minimise the padding of all documents to their bucket's length.
 Inside each bucket documents are numbered in parallel and cut into batches whose padded tokens keep to a budget.
 
 Edge cases: null and empty texts have length 0 and share the shortest bucket; documents longer than the budget
-form batches of one; equal rows are packed as rows of their own; an empty table gives an empty result. Lengths over
-``bins`` distinct values are rounded up to a common multiple for the choice of boundaries; a bucket's length is the longest
-document in it, rounded so.
+form batches of one; equal rows are packed as rows of their own; an empty table gives an empty result. No length is rounded,
+however many there are: a bucket's length is that of the longest document in it.
 """
 
 from __future__ import annotations
@@ -27,30 +26,26 @@ from quillstream.llm.mixing import words
 class PackingParams:
     buckets: int = 16
     budget: int = 16384
-    bins: int = 4096
     #: Documents that one task numbers.
     block: int = 65536
 
 
 def boundaries(length: np.ndarray, count: np.ndarray, buckets: int) -> np.ndarray:
     """Upper lengths of at most ``buckets`` buckets over a histogram (lengths rising) that minimise
-    sum(count * (bucket length - length)): exact dynamic programming, k rows over all split places.
+    sum(count * (bucket length - length)): exact dynamic programming in integers.
 
-    The cost of bins i..j as one bucket is length[j] * (C[j] - C[i-1]) - (S[j] - S[i-1]), with prefix sums C and S."""
+    The cost of bins i..j as one bucket is length[j] * (C[j] - C[i-1]) - (S[j] - S[i-1]), with prefix sums C and S. It keeps
+    the quadrangle inequality, so the best split place rises with j: each layer finds the places of middle bins first, and
+    theirs bound those of the halves (n log n costs a layer)."""
     n = len(length)
     if not n:
         return np.zeros(0, np.int64)
-    c, s = (np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]) for x in (count, count * length))
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    back = []
-    for _ in range(min(buckets, n)):
-        new, place = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        new[0] = 0.0
-        for j in range(1, n + 1):
-            total = best[:j] + length[j - 1] * (c[j] - c[:j]) - (s[j] - s[:j])
-            k = int(total.argmin())
-            new[j], place[j] = total[k], k
+    length, count = length.astype(np.int64), count.astype(np.int64)
+    c, s = (np.concatenate([[0], np.cumsum(x)]) for x in (count, count * length))
+    best = np.concatenate([[0], length * c[1:] - s[1:]])
+    back = [np.zeros(n + 1, np.int64)]
+    for _ in range(1, min(buckets, n)):
+        new, place = _layer(best, length, c, s)
         back.append(place)
         best = new
     cuts, j = [], n
@@ -62,16 +57,34 @@ def boundaries(length: np.ndarray, count: np.ndarray, buckets: int) -> np.ndarra
     return np.array(cuts[::-1], np.int64)
 
 
+def _layer(best: np.ndarray, length: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least costs of the first j bins with one more bucket, and the first split place of each. All middles of one depth
+    are settled at once: row by row their candidates lie one behind the other."""
+    n = len(length)
+    new, place = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    a, b, low, high = (np.array([x]) for x in (1, n, 0, n - 1))
+    while len(a):
+        j = (a + b) // 2
+        size = np.minimum(j - 1, high) - low + 1
+        start = np.cumsum(size) - size
+        k = np.arange(size.sum()) + np.repeat(low - start, size)
+        row = np.repeat(j, size)
+        total = best[k] + length[row - 1] * (c[row] - c[k]) - (s[row] - s[k])
+        least = np.minimum.reduceat(total, start)
+        hits = np.flatnonzero(total == np.repeat(least, size))
+        at = k[hits[np.searchsorted(hits, start)]]
+        new[j], place[j] = least, at
+        a, b, low, high = (np.concatenate(x) for x in ((a, j + 1), (j - 1, b), (low, at), (at, high)))
+        some = a <= b
+        a, b, low, high = a[some], b[some], low[some], high[some]
+    return new, place
+
+
 def choose_buckets(sized: DataFrame, params: PackingParams) -> np.ndarray:
     """sized (n_tokens). The boundaries for all its rows."""
-    most = sized.agg(F.max("n_tokens")).first()[0]
-    if most is None:
-        return np.zeros(0, np.int64)
-    unit = max(1, -(-int(most) // params.bins))
-    rounded = (F.ceil(F.col("n_tokens") / unit) * unit).cast("long").alias("length")
-    rows = sized.groupBy(rounded).agg(F.count(F.lit(1)).alias("n")).collect()  # at most bins + 1 rows
-    rows.sort(key=lambda r: r["length"])
-    return boundaries(np.array([r["length"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64), params.buckets)
+    rows = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows.sort(key=lambda r: r["n_tokens"])
+    return boundaries(np.array([r["n_tokens"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64), params.buckets)
 
 
 def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, params: PackingParams = PackingParams()) -> DataFrame:

@@ -105,6 +105,25 @@ def test_buckets_are_optimal():
     assert packing.boundaries(np.zeros(0, np.int64), np.zeros(0, np.int64), 3).tolist() == []
 
 
+def test_buckets_beside_a_huge_document(spark):
+    """One long text must not coarsen the buckets of the others."""
+    sized = spark.range(1, 901).selectExpr("id % 300 + 1 AS n_tokens").union(spark.createDataFrame([(5_000_000,)], "n_tokens long"))
+    ends = packing.choose_buckets(sized, packing.PackingParams(buckets=31))
+    assert ends.tolist() == [*range(10, 301, 10), 5_000_000]
+
+
+def test_many_lengths_are_exact():
+    """More distinct lengths than ever, against the plain programme over all split places."""
+    r = np.random.default_rng(9)
+    length, count = np.sort(r.choice(10**6, 6000, replace=False)) + 1, r.integers(1, 50, 6000)
+    c, s = (np.concatenate([[0], np.cumsum(x)]) for x in (count, count * length))
+    best = np.concatenate([[0], length * c[1:] - s[1:]])
+    for _ in range(3):
+        best = np.array([0] + [(best[:j] + length[j - 1] * (c[j] - c[:j]) - (s[j] - s[:j])).min() for j in range(1, 6001)])
+    ends = packing.boundaries(length, count, 4)
+    assert int((count * (ends[np.searchsorted(ends, length)] - length)).sum()) == best[-1]
+
+
 def test_packing(spark):
     rows = corpus(random.Random(4)) + NASTY + [(5, "a b", "s", 1), (5, "a b", "s", 1)]
     params = packing.PackingParams(buckets=4, budget=100, block=16)
