@@ -127,9 +127,11 @@ def content_hash(c: Column) -> Column:
 
 
 def sentences_without(c: Column, pattern: str) -> Column:
-    """Text without the sentences that match the pattern, and without blank ones."""
-    parts = F.split(c, r"(?<=[。！？!?])|\n+")
-    return F.trim(F.array_join(F.filter(parts, lambda s: (F.trim(s) != "") & ~s.rlike(pattern)), ""))
+    """Text without the sentences that match the pattern, and without blank ones. Line ends part sentences and go, after a mark
+    too: Java's split would skip a line end right behind the empty match at a mark."""
+    parts = F.split(c, r"(?<=[。！？!?])(?!\n)|\n+")
+    kept = F.array_join(F.filter(parts, lambda s: s.rlike(r"(?U)[^\s\x1C-\x1F]") & ~s.rlike(pattern)), "")
+    return F.regexp_replace(kept, r"(?U)^[\s\x1C-\x1F]+|(?<![\s\x1C-\x1F])[\s\x1C-\x1F]+\z", "")
 
 
 def clean_list(values: Column, limit: int = 8, length: int = 500) -> Column:

@@ -447,6 +447,12 @@ def sentence_filter(spark, d):
     return docs.select("doc_id", F.length(text.sentences_without(F.col("text"), r"(?i)\blicen[cs]e")).cast("long").alias("chars"))
 
 
+@query("sentence_filter_whole", r"""SELECT doc_id, length(regexp_replace(array_to_string(list_filter(regexp_extract_all(text, '[^。！？!?\n]+[。！？!?]?|[。！？!?]'), lambda x: NOT regexp_matches(x, '^[\s\p{Z}]*$') AND NOT regexp_matches(x, '(?i)\blicen[cs]e')), ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS chars FROM documents""")
+def sentence_filter_whole(spark, d):
+    """Over all documents, those with marks too."""
+    return _t(spark, d, "documents").select("doc_id", F.length(text.sentences_without(F.col("text"), r"(?i)\blicen[cs]e")).cast("long").alias("chars"))
+
+
 @query("term_normalize", "SELECT p_partkey, array_to_string(list_filter([trim(regexp_replace(replace(p_name, '\"', ' '), '\\s+', ' ', 'g')), CASE WHEN lower(p_type) <> lower(p_name) THEN p_type END], lambda x: x IS NOT NULL), '|') AS terms FROM part")
 def term_normalize(spark, d):
     terms = text.normalize_terms(F.array("p_name", F.upper("p_name"), F.lit(" "), "p_type"))

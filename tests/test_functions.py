@@ -77,6 +77,18 @@ def test_text(spark):
     assert one(spark, text.term_hits_folded(F.lit("Die STRASSE"), F.lit(""), F.array(F.lit("Straße")))) == ["Straße"]
 
 
+def test_sentences_against_brute_force(spark):
+    """Marks, line ends and both together, against the rule in Python."""
+    import random
+    import re
+
+    r = random.Random(11)
+    rows = [(i, "".join(r.choice(["a", "Acme", " ", "\t", "\u3000", "\n", "!", "。", "?"]) for _ in range(r.randint(0, 25)))) for i in range(400)]
+    got = {x["i"]: x["s"] for x in spark.createDataFrame(rows, "i long, t string").select("i", text.sentences_without(F.col("t"), "(?i)Acme").alias("s")).collect()}
+    for i, t in rows:
+        assert got[i] == "".join(s for s in re.split(r"(?<=[。！？!?])|\n+", t) if s.strip() and not re.search("(?i)Acme", s)).strip(), t
+
+
 def test_fingerprint_keeps_empty_parts(spark):
     import hashlib
 
