@@ -205,6 +205,13 @@ def analysis_run(spark, d):
     return rows.select(F.col("a.id").alias("article_id"), F.col("ic.status").alias("content_status"), "rr.is_relevant", "ba.risk_score")
 
 
+@query("analysis_run_whole", f"{_STAR} SELECT a.id AS article_id, ic.status AS content_status, rr.is_relevant, ba.risk_score FROM a LEFT JOIN ic ON ic.article_id = a.id LEFT JOIN rr ON rr.article_id = a.id LEFT JOIN ba ON ba.article_id = a.id")
+def analysis_run_whole(spark, d):
+    """A run over all articles."""
+    rows = enrich.star(_star_tables(spark, d))
+    return rows.select(F.col("a.id").alias("article_id"), F.col("ic.status").alias("content_status"), "rr.is_relevant", "ba.risk_score")
+
+
 @query("article_search", "SELECT doc_id, n_chars FROM documents WHERE text ILIKE '%licens%' OR source ILIKE '%licens%' ORDER BY doc_id DESC LIMIT 50 OFFSET 5")
 def article_search(spark, d):
     return _t(spark, d, "documents").where(F.col("text").ilike("%licens%") | F.col("source").ilike("%licens%")).orderBy(F.desc("doc_id")).offset(5).limit(50).select("doc_id", "n_chars")
@@ -334,6 +341,13 @@ def stored_matches(spark, d):
     return dedup.stored_matches(k, k.where("seq % 10 = 0").withColumnRenamed("seq", "id"))
 
 
+@query("stored_matches_whole", "WITH k AS (SELECT doc_id, sha256(text) AS f, source || '-' || n_chars AS u FROM documents), h AS (SELECT doc_id AS seq, min(doc_id) OVER (PARTITION BY f) AS article_id FROM k WHERE f IS NOT NULL UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY u) FROM k WHERE u IS NOT NULL) SELECT seq, min(article_id) AS article_id FROM h GROUP BY 1")
+def stored_matches_whole(spark, d):
+    """All documents are stored articles; each meets itself at least."""
+    k = _keyed(spark, d)
+    return dedup.stored_matches(k, k.withColumnRenamed("seq", "id"))
+
+
 _SEEN = "SELECT event_id AS seq, user_id % 50 AS article_id, user_id % 3 AS rss_source_id, event_type AS canonical_url, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'g' || event_id END AS guid, ts FROM events"
 
 

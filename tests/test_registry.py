@@ -54,3 +54,14 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_whole_queries_leave_no_document_out(spark):
+    from quillstream.plans import registry
+
+    ids = {r[0] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
+    for name, key in (("sentence_filter_whole", "doc_id"), ("analysis_run_whole", "article_id"), ("stored_matches_whole", "seq")):
+        got = registry.QUERIES[name](spark, FOLDER)
+        assert {r[0] for r in got.select(key).collect()} == ids, name
+    # the stored side holds articles of every remainder
+    assert {r[0] % 10 for r in registry.QUERIES["stored_matches_whole"](spark, FOLDER).select("article_id").collect()} == set(range(10))
