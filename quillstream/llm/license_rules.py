@@ -1,6 +1,7 @@
 """Signature rules of the licence scan: ordered regexes over lower-case words that single spaces part.
 
-A licence has a label, a keyword that its text must hold, its name as a regex, and its identifier's words. Three forms
+A licence has a label, a keyword that its text must hold (or two parted by a bar: either one), its name as a regex, and its
+identifier's words. Every alternative of a pattern must hold a keyword of its rule. Three forms
 of each make three rules: an identifier tag (priority 1), a grant that names it (2), and the bare name (3). Terms that
 name no licence follow with priority 4.
 """
@@ -16,6 +17,8 @@ class Rule:
     keyword: str
     pattern: str
     priority: int
+    #: A second keyword: where a text holds either, the rule is tried.
+    other: str | None = None
 
 
 GRANT = r"(?:licen[cs]ed|released|distributed|published|provided|available|covered|governed|redistributed|offered)(?: to you| for use| by| as is| only)? (?:under|by)(?: the)?(?: terms(?: and conditions)? of(?: the)?)? "
@@ -23,7 +26,7 @@ TAG = r"(?:spdx )?licen[cs]e(?: identifier| id)? "
 
 #: label, keyword, name, identifier.
 LICENCES = (
-    ("mit", "mit", r"(?:the )?(?:mit|expat)(?: x11)? licen[cs]e", r"mit"),
+    ("mit", "mit|expat", r"(?:the )?(?:mit|expat)(?: x11)? licen[cs]e", r"mit"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?", r"mit 0"),
     ("x11", "x11", r"x11(?: style)? licen[cs]e", r"x11"),
     ("apache-1.0", "apache", r"apache(?: software)? licen[cs]e(?: version| v)? ?1 0", r"apache 1 0"),
@@ -35,7 +38,7 @@ LICENCES = (
     ("bsd-4-clause", "bsd", r"(?:(?:4|four) clause bsd|original bsd|old bsd)(?: licen[cs]e)?", r"bsd 4 clause"),
     ("0bsd", "bsd", r"(?:zero|0) clause bsd(?: licen[cs]e)?", r"0bsd"),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", r"bsd"),
-    ("isc", "isc", r"(?:isc|internet systems consortium) licen[cs]e", r"isc"),
+    ("isc", "isc|internet systems", r"(?:isc|internet systems consortium) licen[cs]e", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", r"zlib"),
     ("libpng", "libpng", r"libpng licen[cs]e(?: version 2)?", r"libpng(?: 2 0)?"),
     ("gpl-1.0", "general public", r"(?:gnu )?general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
@@ -79,7 +82,7 @@ LICENCES = (
     ("artistic-2.0", "artistic", r"artistic licen[cs]e(?: version)? 2 0", r"artistic 2 0"),
     ("artistic", "artistic", r"artistic licen[cs]e", r"artistic"),
     ("perl", "perl", r"same terms as perl(?: itself)?", r"perl"),
-    ("psf-2.0", "python", r"python software foundation licen[cs]e(?: version 2)?", r"(?:psf|python) 2 0"),
+    ("psf-2.0", "python|psf", r"python software foundation licen[cs]e(?: version 2)?", r"(?:psf|python) 2 0"),
     ("ruby", "ruby", r"ruby licen[cs]e", r"ruby"),
     ("php-3.0", "php", r"php licen[cs]e(?: version)? 3 0", r"php 3 0"),
     ("php-3.01", "php", r"php licen[cs]e(?: version)? 3 01", r"php 3 01"),
@@ -164,7 +167,9 @@ def rules() -> list[Rule]:
     """All rules in order."""
     out = []
     for label, keyword, name, ident in LICENCES:
-        out += [Rule(label, ident.split(" ")[0].split("(")[0].rstrip("\\d") or keyword, TAG + ident, 1), Rule(label, keyword, GRANT + name, 2), Rule(label, keyword, name, 3)]
+        keyword, _, other = keyword.partition("|")
+        word, other = ident.split(" ")[0].split("(")[0].rstrip("\\d"), other or None
+        out += [Rule(label, word or keyword, TAG + ident, 1, None if word else other), Rule(label, keyword, GRANT + name, 2, other), Rule(label, keyword, name, 3, other)]
     for label, name, ident in CREATIVE:
         for version in VERSIONS:
             v = version.replace(".", " ")

@@ -1,6 +1,6 @@
 """Licence scan by ordered signature rules, in DataFrame functions only.
 
-A text becomes lower-case words parted by single spaces. Texts that pass the gate try the rules whose keyword they hold;
+A text becomes lower-case words parted by single spaces. Texts that pass the gate try the rules of which they hold a keyword;
 each match is an interval of words. Of overlapping detections one is dropped that lies inside a longer one, that equals
 one of better priority or earlier rank, or that partly overlaps one of better priority.
 
@@ -35,11 +35,12 @@ def _places(words: Column, pattern: Column) -> tuple[Column, Column]:
 
 
 def _rule_table(own: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(k).alias("rule")) for k, r in enumerate(own)])
+    return F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.other).cast("string").alias("other"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(k).alias("rule")) for k, r in enumerate(own)])
 
 
 def _detected(words: Column, own: list[Rule]) -> Column:
-    held = F.filter(_rule_table(own), lambda r: F.contains(words, r["keyword"]) & F.rlike(words, F.concat(F.lit("(?<![^ ])(?:"), r["pattern"], F.lit(")(?![^ ])"))))
+    opened = lambda r: F.contains(words, r["keyword"]) | F.coalesce(F.contains(words, r["other"]), F.lit(False))
+    held = F.filter(_rule_table(own), lambda r: opened(r) & F.rlike(words, F.concat(F.lit("(?<![^ ])(?:"), r["pattern"], F.lit(")(?![^ ])"))))
 
     def rows(r: Column) -> Column:
         first, last = _places(words, r["pattern"])
