@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import dropped, give_back, mix64, released, runs, shards_for, table, text_bytes, word_hashes, written
+from quillstream.llm.common import dropped, give_back, input_bytes, mix64, released, runs, shards_for, table, text_bytes, word_hashes, written
 from quillstream.llm.components import components, local_components
 
 #: Bits of a bitmap: the power of two from twice the set's size on, within these bounds.
@@ -39,9 +39,8 @@ LEAST_BITS, MOST_BITS = 256, 1 << 17
 class JaccardParams:
     words: int = 5
     percent: int = 80
-    #: Sample of documents in which common shingles and words are looked for; they only order the prefixes.
-    sample: int = 8000
-    common: int = 1 << 18
+    #: Most cells (of a byte) of the table of counts that orders the prefixes.
+    most_cells: int = 1 << 24
     #: Rows after each one that the first round compares with.
     reach: int = 4
     #: Rows of tiles of one passage that a shard takes together.
@@ -52,28 +51,26 @@ class JaccardParams:
     block: int = 1 << 20
 
 
+def _cells(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.uint32)
+
+
 @dataclass(frozen=True)
 class Order:
-    """Common shingles, and common words with a level each, sorted by hash. A prefix takes shingles by rising level of
-    their words, then by hash, and common shingles last; any such order gives the same links."""
+    """A level for each cell of hashed shingles: the logarithm of how often all documents hold those of the cell. A prefix
+    takes shingles by rising level, then by hash; any such order gives the same links."""
 
-    shingles: np.ndarray
-    words: np.ndarray
     levels: np.ndarray
 
-    def level(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.levels[at], 0)
+    def level(self, s: np.ndarray) -> np.ndarray:
+        return self.levels[_cells(s, len(self.levels).bit_length() - 1)]
 
 
-def shingles(raw: np.ndarray, offsets: np.ndarray, k: int, order: Order | None = None) -> tuple[np.ndarray, ...]:
-    """(document, hash) of the distinct shingles of each document, sorted by both; with an order also their levels."""
+def _shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of each place where a shingle begins, repeats counted; short documents come last."""
     h, doc = word_hashes(raw, offsets)
     if not len(h):
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *([np.zeros(0, np.int64)] if order else []))
-    common = order.level(h) if order else np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         odd = mix64(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         n = max(0, len(h) - k + 1)
@@ -82,7 +79,6 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int, order: Order | None =
         for j in range(k):
             s += h[j : j + n] * odd[j]
         s, d = mix64(s[full]), doc[:n][full]
-        level = np.sum([common[j : j + n] for j in range(k)], 0)[full] if order else common
         count = np.bincount(doc, minlength=len(offsets) - 1)
         few = np.flatnonzero((count > 0) & (count < k))
         if len(few):
@@ -92,17 +88,22 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int, order: Order | None =
                 has = count[few] > j
                 own[has] += h[first[few[has]] + j] * odd[j]
             s, d = np.concatenate([s, mix64(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))]), np.concatenate([d, few])
-            level = np.concatenate([level, np.zeros(len(few), np.int64)]) if order else level
+    return d, s
+
+
+def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the distinct shingles of each document, sorted by both."""
+    d, s = _shingles(raw, offsets, k)
     by = np.lexsort((s, d))
     s, d = s[by], d[by]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-    return (d[new], s[new], level[by][new]) if order else (d[new], s[new])
+    return d[new], s[new]
 
 
-def _sets(raw: np.ndarray, offsets: np.ndarray, params: JaccardParams, order: Order | None = None):
+def _sets(raw: np.ndarray, offsets: np.ndarray, params: JaccardParams):
     for a, b in runs(offsets, params.block):
-        yield a, b, *shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], params.words, order)
+        yield a, b, *shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], params.words)
 
 
 def bitmap_bits(n: np.ndarray) -> np.ndarray:
@@ -147,7 +148,7 @@ def needed(n, percent: int):
 _SKETCH = "doc_id long, set1 long, set2 long, n long, bits binary, shard int, keys binary, sets binary"
 
 
-def _sketcher(params: JaccardParams, common: Order, shards: int):
+def _sketcher(params: JaccardParams, levels, shards: int):
     names = [x.split()[0] for x in _SKETCH.split(", ")]
 
     def run(batches):
@@ -157,7 +158,7 @@ def _sketcher(params: JaccardParams, common: Order, shards: int):
             total = len(off) - 1
             set1, set2, size = np.zeros(total, np.uint64), np.zeros(total, np.uint64), np.zeros(total, np.int64)
             bits: list[bytes] = []
-            for a, b, doc, s, level in _sets(raw, off, params, common):
+            for a, b, doc, s in _sets(raw, off, params):
                 n = np.bincount(doc, minlength=b - a)
                 size[a:b] = n
                 bits += bitmaps(doc, s, n)
@@ -169,10 +170,7 @@ def _sketcher(params: JaccardParams, common: Order, shards: int):
                     set1[a + has] = mix64(np.add.reduceat(mix64(s), first) + n[has].astype(np.uint64))
                     set2[a + has] = mix64(np.add.reduceat(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), first))
                 # the first n - needed + 1 shingles by the order
-                if len(common.shingles):
-                    at = np.minimum(np.searchsorted(common.shingles, s), len(common.shingles) - 1)
-                    level = np.where(common.shingles[at] == s, np.iinfo(np.int64).max, level)
-                order = np.lexsort((s, level, doc))
+                order = np.lexsort((s, levels.value.level(s), doc))
                 rank = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
                 keep = order[rank < (n - needed(n, params.percent) + 1)[doc]]
                 posted.append((s[keep], set1[a + doc[keep]]))
@@ -358,29 +356,52 @@ def _verifier(params: JaccardParams):
     return run
 
 
-def sampled_order(docs: DataFrame, params: JaccardParams) -> Order:
-    """Shingles and words that several documents of a sample hold, at most ``common`` of each. A word's level is the
-    logarithm of its count."""
-    part = min(1.0, params.sample / max(docs.select("doc_id").count(), 1))
-    some = docs.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("text")
+def _slices(t: pa.Table) -> pa.Table:
+    """Of one slice of the count table: the levels of its cells."""
+    cells = int(t["cells"][0].as_py())
+    total = np.zeros(cells, np.int64)
+    for at, n in zip(t["places"].to_pylist(), t["counts"].to_pylist(), strict=True):
+        total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint32)
+    return pa.table({"slice": pa.array([t["slice"][0].as_py()], pa.int32()), "levels": pa.array([np.log2(total + 1).astype(np.uint8).tobytes()], pa.binary())})
+
+
+def counted_order(docs: DataFrame, params: JaccardParams) -> Order:
+    """Counts the shingles of all documents in a table of hashed cells, in proportion to the input and of at most ``most_cells``.
+    Tasks count what they read and send the cells that they met, by slices of the table; only levels (a byte a cell) come
+    to the driver."""
+    bits = int(np.clip(input_bytes(docs) // 16, 1 << 12, params.most_cells)).bit_length() - 1
+    slices = 1 << min(6, bits - 6)
+    cells = (1 << bits) // slices
 
     def run(batches):
-        for b in batches:
-            raw, off = text_bytes(b.column(0))
-            for i, j, _, s in _sets(raw, off, params):
-                h = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])[0]
-                for kind, values in ((0, s), (1, h)):
-                    v, n = np.unique(values, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(v.view(np.int64)), pa.array(n)], ["kind", "v", "n"])
-
-    counts = some.mapInArrow(run, "kind int, v long, n long").groupBy("kind", "v").agg(F.sum("n").alias("n")).where("n >= 2")
-    found = []
-    for kind in (0, 1):
-        rows = counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "v").limit(params.common).select("v", "n").toArrow()
-        v, n = rows["v"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64)
-        by = np.argsort(v)
-        found.append((v[by], n[by]))
-    return Order(found[0][0], found[1][0], np.log2(found[1][1].astype(np.float64) + 1).astype(np.int64) if len(found[1][1]) else found[1][1])
+        held, rows = [], 0
+
+        def sent():
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.searchsorted(at, np.arange(slices + 1, dtype=np.uint64) * np.uint64(cells))
+            parts = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if a < b]
+            places, counts = (at % cells).astype(np.uint32), n.astype(np.uint32)
+            packs = [pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for x in (places, counts)]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in parts], pa.int32()), pa.array([cells] * len(parts), pa.int32()), *packs], ["slice", "cells", "places", "counts"])
+
+        for batch in batches:
+            raw, off = text_bytes(batch.column(0))
+            for a, b in runs(off, params.block):
+                held.append(_cells(_shingles(raw[off[a] : off[b]], off[a : b + 1] - off[a], params.words)[1], bits))
+                rows += len(held[-1])
+                if rows >= 1 << 22:
+                    yield sent()
+                    held, rows = [], 0
+        if rows:
+            yield sent()
+        give_back()
+
+    counts = docs.select("text").mapInArrow(run, "slice int, cells int, places binary, counts binary")
+    got = counts.groupBy("slice").applyInArrow(_slices, "slice int, levels binary").collect()
+    levels = np.zeros(1 << bits, np.uint8)
+    for r in got:
+        levels[r["slice"] * cells : (r["slice"] + 1) * cells] = np.frombuffer(r["levels"], np.uint8)
+    return Order(levels)
 
 
 def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -396,7 +417,8 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
 def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[DataFrame]]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shards_for(docs, 8 << 20)
-    sketched = written(docs.mapInArrow(_sketcher(params, sampled_order(docs, params), shards), _SKETCH))
+    levels = docs.sparkSession.sparkContext.broadcast(counted_order(docs, params))
+    sketched = written(docs.mapInArrow(_sketcher(params, levels, shards), _SKETCH))
     sketch = sketched.where("shard is null").select("doc_id", "set1", "set2", "n", "bits")
     classes = written(sketch.where("n > 0 and doc_id is not null").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")))
     copies = sketch.where("n > 0 and doc_id is not null").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
