@@ -6,7 +6,9 @@ turns the fractions into zeros and ones: it moves the vector of inclusion probab
 balancing constraints (the document count and the word total) until some reach 0 or 1. Two constraints leave one free
 direction among three documents, so one step looks at three documents and settles at least one of them; no more
 than two of a block stay open. Blocks of a source run in parallel; what they leave open meets in further
-rounds, and in the last the landing gives up the document count, then rounds the last document by its probability.
+rounds. The landing, where a source has one block left, rounds its last two documents and mends what that puts the words off
+balance by changing short ones. A document much longer than the others would stay open to the end, so it is settled
+at once, and the ones behind it make up for it.
 
 Edge cases: null, empty and wordless texts have size 0 and are taken 0 words; a null source is a source of its own,
 sorted last; repeated rows count as rows of their own, ordered by id and text hash; a source without words has target 0;
@@ -15,6 +17,7 @@ an empty table gives an empty result. The draws come from hashes, so reruns agre
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +30,7 @@ from pyspark.sql import types as T
 from quillstream.llm.common import mix64, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+_EPS = 1e-9
 
 
 @dataclass(frozen=True)
@@ -36,7 +40,7 @@ class MixParams:
     share: float = 1.5
     most_copies: float = 2.0
     #: Documents that one task balances.
-    block: int = 16384
+    block: int = 2048
     seed: int = 7
 
 
@@ -65,18 +69,63 @@ def source_targets(totals: DataFrame, params: MixParams) -> DataFrame:
     return t.select("source", "source_size", "n_docs", target.cast("double").alias("target"))
 
 
+class _Rest:
+    """The documents that a flight has not reached yet, with what long documents were settled off balance dealt out among
+    them: each one's p moves by the same share of its way to 1 (or 0), so all later moves are one line a * p + b."""
+
+    def __init__(self, p: list[float], size: list[float]):
+        self.a, self.b = 1.0, 0.0
+        tail = lambda x: np.append(np.cumsum(np.asarray(x, np.float64)[::-1])[::-1], 0.0).tolist()
+        own = np.asarray(p, np.float64)
+        free = (own > _EPS) & (own < 1 - _EPS)
+        self.words, self.taken = tail(np.where(free, size, 0.0)), tail(np.where(free, own * np.asarray(size, np.float64), 0.0))
+
+    def p(self, p: float) -> float:
+        return self.a * p + self.b if _EPS < p < 1 - _EPS else p
+
+    def room(self, k: int) -> tuple[float, float]:
+        """Words that the documents from place k on can take more, and less."""
+        now = self.a * self.taken[k] + self.b * self.words[k]
+        return self.words[k] - now, now
+
+    def deal(self, k: int, words: float) -> None:
+        """The documents from place k on take so many words more, on balance."""
+        more, less = self.room(k)
+        if words > 0:
+            t = min(1.0, words / more) if more > 0 else 0.0
+            self.a, self.b = self.a * (1 - t), self.b * (1 - t) + t
+        elif words < 0:
+            t = min(1.0, -words / less) if less > 0 else 0.0
+            self.a, self.b = self.a * (1 - t), self.b * (1 - t)
+
+
 def flight(p: list[float], size: list[float], draw: list[float]) -> tuple[list[float], list[int]]:
     """Moves p along the null space of (1, size), three entries at a time, until at most two are between 0 and 1.
 
-    Returns the moved p and the places still open. Sums of p and of p * size stay as they are.
+    A document that is open beside others of less than half its size would stay open to the end: it moves by the
+    difference of theirs. Where those still to come can make up for it, it is settled by its probability, and
+    they take the words that it took too many or too few. With sizes falling, the open ones left are among
+    the shortest. Sums of p * size stay as they are, those of p where nothing was settled so.
+
+    Returns the moved p and the places still open.
     """
     p, live = list(p), []
-    eps = 1e-9
+    rest = _Rest(p, size)
     for k in range(len(p)):
-        if eps < p[k] < 1 - eps:
+        p[k] = rest.p(p[k])
+        if _EPS < p[k] < 1 - _EPS:
             live.append(k)
         else:
             p[k] = float(round(p[k]))
+        for i in [i for i in live if i != k and size[i] > 2 * size[k]]:
+            more, less = rest.room(k + 1)
+            for z in (1.0, 0.0) if draw[i] < p[i] else (0.0, 1.0):
+                owed = (p[i] - z) * size[i]
+                if -less / 2 <= owed <= more / 2:
+                    rest.deal(k + 1, owed)
+                    p[i] = z
+                    live.remove(i)
+                    break
         if len(live) < 3:
             continue
         a, b, c = live
@@ -86,50 +135,57 @@ def flight(p: list[float], size: list[float], draw: list[float]) -> tuple[list[f
         up = min(((1 - p[i]) / v if v > 0 else p[i] / -v) for i, v in zip(live, u, strict=True) if v)
         down = min((p[i] / v if v > 0 else (1 - p[i]) / -v) for i, v in zip(live, u, strict=True) if v)
         step = up if draw[k] * (up + down) < down else -down
-        rest = []
+        still = []
         for i, v in zip(live, u, strict=True):
             q = p[i] + step * v
-            p[i] = 0.0 if q < eps else 1.0 if q > 1 - eps else q
+            p[i] = 0.0 if q < _EPS else 1.0 if q > 1 - _EPS else q
             if 0 < p[i] < 1:
-                rest.append(i)
-        live = rest
+                still.append(i)
+        live = still
     return p, live
 
 
-def land(p: list[float], size: list[float], live: list[int], draw: list[float]) -> list[float]:
-    """Settles the last open entries: two move against each other so that the words stay, and the last one is drawn."""
+def land(p: list[float], size: list[float], live: list[int], before: list[float]) -> list[float]:
+    """Settles the last open entries, whose words are off balance by what they are rounded by: of their roundings the one that
+    is off least. What is still off then is mended by settled documents that may change (``before`` was a fraction), the
+    largest that fit first, so that less than the smallest of them stays off."""
     p = list(p)
-    live = [i for i in live if size[i]] + [i for i in live if not size[i]]
-    if len(live) == 2 and size[live[0]] and size[live[1]]:
-        a, b = live
-        u = (size[b], -size[a])
-        up, down = min((1 - p[a]) / u[0], p[b] / -u[1]), min(p[a] / u[0], (1 - p[b]) / -u[1])
-        step = up if draw[a] * (up + down) < down else -down
-        p[a], p[b] = p[a] + step * u[0], p[b] + step * u[1]
-    for i in live:
-        p[i] = 0.0 if p[i] < 1e-9 else 1.0 if p[i] > 1 - 1e-9 else float(draw[i] < p[i])
+    if live:
+        due = sum(p[i] * size[i] for i in live)
+        z = min(itertools.product((0.0, 1.0), repeat=len(live)), key=lambda z: (abs(due - sum(x * size[i] for x, i in zip(z, live, strict=True))), z))
+        for x, i in zip(z, live, strict=True):
+            p[i] = x
+        due -= sum(x * size[i] for x, i in zip(z, live, strict=True))
+        for i in sorted((i for i in range(len(p)) if size[i] and _EPS < before[i] < 1 - _EPS), key=lambda i: (-size[i], i)):
+            if due >= size[i] and p[i] == 0:
+                p[i], due = 1.0, due - size[i]
+            elif -due >= size[i] and p[i] == 1:
+                p[i], due = 0.0, due + size[i]
     return p
 
 
-_STATE = T.StructType([T.StructField("row", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("source", T.StringType()), T.StructField("size", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("open", T.BooleanType())])
+_STATE = T.StructType([T.StructField("row", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("source", T.StringType()), T.StructField("size", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("bound", T.LongType()), T.StructField("open", T.BooleanType())])
 
 
-def _round(rows: DataFrame, last: bool, seed: int) -> DataFrame:
-    """One round over (row, tie, source, size, p, block): a flight in each block, and the landing in the last."""
+def _round(rows: DataFrame, block: int, seed: int) -> DataFrame:
+    """One round over (row, tie, source, size, p, bound, block): a flight in each block, and the landing where a source, of
+    ``bound`` rows at most, has no other block."""
 
     def run(t: pa.Table) -> pa.Table:
+        last = t["bound"][0].as_py() <= block
         key = mix64(t["row"].to_numpy().view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1) + mix64(t["tie"].to_numpy().view(np.uint64)))
-        # long documents first: what stays open to the end is short, and so is the landing's error
+        # long documents first: they are settled while others can make up for them
         order = np.lexsort((t["tie"].to_numpy(), t["row"].to_numpy(), key, -t["size"].to_numpy()))
         t, key = t.take(pa.array(order)), key[order]
         draw = (mix64(key) >> np.uint64(11)).astype(np.float64) / (1 << 53)
         size = t["size"].to_numpy().astype(np.float64).tolist()
-        p, live = flight(t["p"].to_pylist(), size, draw.tolist())
+        before = t["p"].to_pylist()
+        p, live = flight(before, size, draw.tolist())
         if last:
-            p, live = land(p, size, live, (mix64(key + np.uint64(1)) >> np.uint64(11)).astype(np.float64) / (1 << 53)), []
+            p, live = land(p, size, live, before), []
         still = np.zeros(len(p), bool)
         still[live] = True
-        return pa.table([t["row"], t["tie"], t["source"], t["size"], pa.array(p, pa.float64()), pa.array(still)], names=_STATE.names)
+        return pa.table([t["row"], t["tie"], t["source"], t["size"], pa.array(p, pa.float64()), t["bound"], pa.array(still)], names=_STATE.names)
 
     return rows.groupBy("source", "block").applyInArrow(run, _STATE)
 
@@ -139,23 +195,21 @@ def cube_sample(rows: DataFrame, params: MixParams) -> DataFrame:
 
     The number of rounds follows from the largest source: blocks of at most ``block`` documents leave two each.
     """
-    blocks = F.ceil(F.col("n_docs") / params.block).cast("long")
-    todo = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(params.seed), "row", "tie"), F.greatest(blocks, F.lit(1))))
+    blocks = F.greatest(F.ceil(F.col("bound") / params.block).cast("long"), F.lit(1))
+    todo = rows.select("row", "tie", "source", "size", "p", F.col("n_docs").cast("long").alias("bound"))
     most = int(rows.agg(F.max("n_docs")).first()[0] or 0)
     done, depth = [], 0
     while True:
-        most_blocks = -(-most // params.block)
-        last = most_blocks <= 1
-        state = _round(todo.select("row", "tie", "source", "size", "p", "block"), last, params.seed + depth)
-        if last:
+        dealt = todo.withColumn("block", F.pmod(F.xxhash64(F.lit(params.seed + depth), "row", "tie"), blocks))
+        state = _round(dealt, params.block, params.seed + depth)
+        if most <= params.block:
             done.append(state)
             break
         state = written(state)
         done.append(state.where("not open"))
-        most = 2 * most_blocks
-        fewer = -(-most // params.block)
+        most = 2 * -(-most // params.block)
         depth += 1
-        todo = state.where("open").withColumn("block", F.pmod(F.xxhash64(F.lit(params.seed + depth), "row", "tie"), F.lit(fewer)))
+        todo = state.where("open").select("row", "tie", "source", "size", "p", (2 * blocks).alias("bound"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -180,16 +234,16 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """The documents as often as the mix takes them, with all their columns. Rows equal in id, text and source are one
-    document that is taken as often as all of them are."""
+    """The documents as often as the mix takes them, with all their columns, whatever their names. Rows equal in id, text and
+    source are one document that is taken as often as all of them are, with the other columns of any one of them."""
     taken = mix_sources(docs.select("doc_id", "text", "source"), params)
-    taken = written(taken.groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).toDF("__id", "__hash", "__source", "__copies", "__rows"))
-    own = docs.withColumn("__hash", F.xxhash64("text"))
-    if taken.where("__rows > 1").take(1):
-        own = own.dropDuplicates(["doc_id", "__hash", "source"])
-    taken = taken.where("__copies > 0")
-    rows = own.join(taken.withColumnRenamed("__hash", "__h"), F.expr("doc_id <=> __id and __hash = __h and source <=> __source"))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    taken = written(taken.groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).toDF("id", "hash", "of", "copies", "rows"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = own.select("row", F.col("row.doc_id").alias("row_id"), F.xxhash64("row.text").alias("row_hash"), F.col("row.source").alias("row_of"))
+    if taken.where("rows > 1").take(1):
+        own = own.dropDuplicates(["row_id", "row_hash", "row_of"])
+    rows = own.join(taken.where("copies > 0"), F.expr("row_id <=> id and row_hash = hash and row_of <=> of"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def _repeats(sized: DataFrame) -> bool:
