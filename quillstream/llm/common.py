@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
+    """A new folder under spark.checkpoint.dir; only where that is unset on one machine (tests) a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"{tempfile.gettempdir()}/quillstream-shared"
     spark.sparkContext.setCheckpointDir(root) if not spark.sparkContext.getCheckpointDir() else None
     return f"{root.rstrip('/')}/qs-{uuid.uuid4().hex}"
@@ -202,18 +205,27 @@ def _within(got: DataFrame, most_bytes: int) -> DataFrame:
     return got
 
 
-def with_text_scores(df: DataFrame, score, text: str = "text", out: str = "score") -> DataFrame:
-    """The frame plus a double column ``out``: score(bytes, offsets) of the whole texts of each Arrow batch.
+def sent(spark: SparkSession, value):
+    """Broadcasts a value of bounded size, and returns what loads it in a task. Its classes travel with it (a plain broadcast
+    names them only), so executors need no copy of this library."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)
+
+
+def with_text_scores(df: DataFrame, model, text: str = "text", out: str = "score") -> DataFrame:
+    """The frame plus a double column ``out``: model.score(bytes, offsets) of the whole texts of each Arrow batch.
 
     Every other column passes unchanged; one already named ``out`` is replaced.
     """
     df = df.drop(out)
     place = df.columns.index(text)
+    load = sent(df.sparkSession, model)
 
     def run(batches):
+        model = load()
         for b in batches:
             raw, off = text_bytes(b.column(place))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(raw, off), pa.float64())], [*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(raw, off), pa.float64())], [*b.schema.names, out])
             give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))

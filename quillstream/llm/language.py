@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.common import Adam, _within, arrow_rows, doc_fold, give_back, table, text_bytes
+from quillstream.llm.common import Adam, _within, arrow_rows, doc_fold, give_back, sent, table, text_bytes
 
 SPAN, HIDDEN = 128, 12
 
@@ -211,11 +211,11 @@ def train(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Languag
 
 def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score) of each row."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # some thousand floats
+    load = sent(df.sparkSession, model)  # some thousand floats
     lettered = df.select(key, text, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered"))
 
     def run(batches):
-        model = sent.value
+        model = load()
         for b in batches:
             raw, off = text_bytes(b.column(1))
             n = len(off) - 1

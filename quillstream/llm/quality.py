@@ -29,7 +29,7 @@ class QualityParams:
     #: Bounds of the training sample.
     most_rows: int = 4000
     most_bytes: int = 12 << 20
-    epochs: int = 6
+    steps: int = 504
     batch: int = 48
     rate: float = 4e-3
     seed: int = 5
@@ -138,21 +138,32 @@ def fit(texts, y: np.ndarray, params: QualityParams = QualityParams()) -> Qualit
         return QualityModel(None)
     model = QualityModel.new(params.seed)
     adam, r = Adam(model.p, params.rate), np.random.default_rng(params.seed + 1)
-    steps = params.epochs * -(-n // params.batch)
-    done = 0
-    for _ in range(params.epochs):
-        order = r.permutation(n)
-        for i in range(0, n, params.batch):
-            own = order[i : i + params.batch]
-            part = np.concatenate([raw[off[k] : off[k + 1]] for k in own])
-            o = np.concatenate([[0], np.cumsum(off[own + 1] - off[own])])
-            _, g = model.gradients(part, o, y[own].astype(np.float32))
-            adam.rate = params.rate * (1 - 0.9 * done / steps)
-            adam.step(g)
-            done += 1
+    order = np.zeros(0, np.int64)
+    for step in range(params.steps):  # as many for any number of rows
+        if len(order) < params.batch:
+            order = np.concatenate([order, r.permutation(n)])
+        own, order = order[: params.batch], order[params.batch :]
+        part = np.concatenate([raw[off[k] : off[k + 1]] for k in own])
+        o = np.concatenate([[0], np.cumsum(off[own + 1] - off[own])])
+        _, g = model.gradients(part, o, y[own].astype(np.float32))
+        adam.rate = params.rate * (1 - 0.9 * step / params.steps)
+        adam.step(g)
+    model.p["out_b"] += np.float32(shift(model.score(raw, off), float(np.mean(y))))
     return model
 
 
+def shift(score: np.ndarray, rate: float) -> float:
+    """What to add to all log odds so that the mean score is the rate of label 1 (0 where all labels are equal)."""
+    if not 0 < rate < 1:
+        return 0.0
+    z = np.log(np.clip(score, 1e-12, 1)) - np.log(np.clip(1 - score, 1e-12, 1))
+    low, high = -30.0, 30.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.mean(1 / (1 + np.exp(-np.clip(z + mid, -60, 60)))) < rate else (low, mid)
+    return (low + high) / 2
+
+
 def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
     """docs (doc_id, text), labels (doc_id, quality); pass only rows that may be learned from."""
     got = arrow_rows(labelled_sample(docs, labels, "quality", params.most_rows, params.most_bytes, params.seed))
@@ -161,8 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
 
 def score_quality(df: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:
     """The frame plus the probability that each text is of good quality."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # some thousand floats
-    return with_text_scores(df, lambda raw, off: sent.value.score(raw, off), text, out)
+    return with_text_scores(df, model, text, out)  # some thousand floats
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,8 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
     """The frame plus the probability that each text is toxic."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # 2**21 int16 and at most `features` weights
-    return with_text_scores(df, lambda raw, off: sent.value.score(raw, off), text, out)
+    return with_text_scores(df, model, text, out)  # 2**21 int16 and at most `features` weights
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
