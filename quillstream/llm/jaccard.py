@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import dropped, give_back, input_bytes, mix64, released, runs, shards_for, table, text_bytes, word_hashes, written
+from quillstream.llm.common import dropped, give_back, input_bytes, mix64, released, runs, sent, shards_for, table, text_bytes, word_hashes, written
 from quillstream.llm.components import components, local_components
 
 #: Bits of a bitmap: the power of two from twice the set's size on, within these bounds.
@@ -148,10 +148,11 @@ def needed(n, percent: int):
 _SKETCH = "doc_id long, set1 long, set2 long, n long, bits binary, shard int, keys binary, sets binary"
 
 
-def _sketcher(params: JaccardParams, levels, shards: int):
+def _sketcher(params: JaccardParams, load, shards: int):
     names = [x.split()[0] for x in _SKETCH.split(", ")]
 
     def run(batches):
+        levels = load()
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
             posted = []
@@ -170,7 +171,7 @@ def _sketcher(params: JaccardParams, levels, shards: int):
                     set1[a + has] = mix64(np.add.reduceat(mix64(s), first) + n[has].astype(np.uint64))
                     set2[a + has] = mix64(np.add.reduceat(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), first))
                 # the first n - needed + 1 shingles by the order
-                order = np.lexsort((s, levels.value.level(s), doc))
+                order = np.lexsort((s, levels.level(s), doc))
                 rank = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
                 keep = order[rank < (n - needed(n, params.percent) + 1)[doc]]
                 posted.append((s[keep], set1[a + doc[keep]]))
@@ -356,12 +357,24 @@ def _verifier(params: JaccardParams):
     return run
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Numbers from 1 on in a byte each, and those of 255 or more in four bytes behind; the count of the former leads."""
+    return len(x).to_bytes(4, "little") + np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<u4").tobytes()
+
+
+def _from_small(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    x = np.frombuffer(raw, np.uint8, n, 4).astype(np.int64)
+    x[x == 255] = np.frombuffer(raw[4 + n :], "<u4")
+    return x
+
+
 def _slices(t: pa.Table) -> pa.Table:
     """Of one slice of the count table: the levels of its cells."""
     cells = int(t["cells"][0].as_py())
     total = np.zeros(cells, np.int64)
     for at, n in zip(t["places"].to_pylist(), t["counts"].to_pylist(), strict=True):
-        total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint32)
+        total[np.cumsum(_from_small(at)) - 1] += _from_small(n)
     return pa.table({"slice": pa.array([t["slice"][0].as_py()], pa.int32()), "levels": pa.array([np.log2(total + 1).astype(np.uint8).tobytes()], pa.binary())})
 
 
@@ -376,12 +389,12 @@ def counted_order(docs: DataFrame, params: JaccardParams) -> Order:
     def run(batches):
         held, rows = [], 0
 
-        def sent():
+        def met():
             at, n = np.unique(np.concatenate(held), return_counts=True)
             cut = np.searchsorted(at, np.arange(slices + 1, dtype=np.uint64) * np.uint64(cells))
             parts = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if a < b]
-            places, counts = (at % cells).astype(np.uint32), n.astype(np.uint32)
-            packs = [pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for x in (places, counts)]
+            places = (at % cells).astype(np.int64)
+            packs = [pa.array([_small(x) for x in xs], pa.binary()) for xs in ([np.diff(places[a:b], prepend=-1) for _, a, b in parts], [n[a:b] for _, a, b in parts])]
             return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in parts], pa.int32()), pa.array([cells] * len(parts), pa.int32()), *packs], ["slice", "cells", "places", "counts"])
 
         for batch in batches:
@@ -390,10 +403,10 @@ def counted_order(docs: DataFrame, params: JaccardParams) -> Order:
                 held.append(_cells(_shingles(raw[off[a] : off[b]], off[a : b + 1] - off[a], params.words)[1], bits))
                 rows += len(held[-1])
                 if rows >= 1 << 22:
-                    yield sent()
+                    yield met()
                     held, rows = [], 0
         if rows:
-            yield sent()
+            yield met()
         give_back()
 
     counts = docs.select("text").mapInArrow(run, "slice int, cells int, places binary, counts binary")
@@ -417,8 +430,7 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
 def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[DataFrame]]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shards_for(docs, 8 << 20)
-    levels = docs.sparkSession.sparkContext.broadcast(counted_order(docs, params))
-    sketched = written(docs.mapInArrow(_sketcher(params, levels, shards), _SKETCH))
+    sketched = written(docs.mapInArrow(_sketcher(params, sent(docs.sparkSession, counted_order(docs, params)), shards), _SKETCH))
     sketch = sketched.where("shard is null").select("doc_id", "set1", "set2", "n", "bits")
     classes = written(sketch.where("n > 0 and doc_id is not null").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")))
     copies = sketch.where("n > 0 and doc_id is not null").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
