@@ -272,7 +272,8 @@ def lm_scores(docs: DataFrame, train: Column, params: LmParams = LmParams()) ->
     shards = max(params.least_shards, input_bytes(docs) // params.shard)
     common, parts = common_words(docs, shards, params)
     sent = docs.select("key", "train", "text").mapInArrow(_sender(shards, common, parts, params), "shard int, message binary")
-    answers = written(sent.groupBy("shard").applyInArrow(_shard(common, params), _ANSWER))
+    # a partition a shard, however many there are: the shuffle setting does not bound them
+    answers = written(sent.repartition(int(shards), "shard").groupBy("shard").applyInArrow(_shard(common, params), _ANSWER))
     ids = written(docs.select("doc_id", "key", "train"))
     ends = ids.where("train").count()
     often = F.col("word").isin([int(x) for x in common.view(np.int64)])

@@ -1,8 +1,9 @@
 """A bigram trie in Elias-Fano coded levels, laid out in one buffer that can be mapped from a file.
 
 Levels: the contexts (sorted 64-bit hashes), monotone pointers to their successors, the dictionary of successors (sorted
-48-bit hashes), and the successors themselves as context * dictionary size + place, which rises over the whole level. A query
-finds its context, then its successor by search within the context's range. Smoothed log probabilities and
+48-bit hashes), and the successors themselves. Those of one context rise by their place in the dictionary; the last value of
+the context before is added to them, so the whole level rises and stays dense. A query finds its context, reads the
+range of its successors from two pointers and the value that the range starts from, and searches its word, relative to that, within the range. Smoothed log probabilities and
 back-off weights are two bytes each, with a codebook; exact context counts are the steps of a coded running sum.
 """
 
@@ -81,13 +82,15 @@ class EliasFano:
             return np.concatenate([self[i[k : k + SLICE]] for k in range(0, len(i), SLICE)])
         return (_select(self.high, self.ones, i) - i).astype(np.uint64) << np.uint64(self.bits) | self._low(i)
 
-    def index(self, v: np.ndarray) -> np.ndarray:
-        """Place of each value, or -1: the zeros of the high bits bound a bucket, whose low bits are searched."""
+    def index(self, v: np.ndarray, first: np.ndarray | None = None, behind: np.ndarray | None = None) -> np.ndarray:
+        """Place of each value, or -1; with first and behind, only within that range of places. The zeros of the high
+        bits bound a bucket, whose low bits are searched."""
+        cut = lambda x, i: None if x is None else x[i : i + SLICE]
         if len(v) <= SLICE:
-            return self._index(v)
-        return np.concatenate([self._index(v[i : i + SLICE]) for i in range(0, len(v), SLICE)])
+            return self._index(v, first, behind)
+        return np.concatenate([self._index(v[i : i + SLICE], cut(first, i), cut(behind, i)) for i in range(0, len(v), SLICE)])
 
-    def _index(self, v: np.ndarray) -> np.ndarray:
+    def _index(self, v: np.ndarray, first: np.ndarray | None, behind: np.ndarray | None) -> np.ndarray:
         out = np.full(len(v), -1, np.int64)
         if not self.n or not len(v):
             return out
@@ -99,6 +102,8 @@ class EliasFano:
         end = _select(not_high, self.zeros, hi) - hi
         start = np.where(hi > 0, _select(not_high, self.zeros, np.maximum(hi - 1, 0)) - np.maximum(hi - 1, 0), 0)
         end = np.minimum(end, self.n)
+        if first is not None:
+            start, end = np.maximum(start, first), np.minimum(end, behind)
         low = v & self.mask
         live = np.flatnonzero(ok & (start < end))
         while len(live):
@@ -140,7 +145,9 @@ class Trie:
         kinds = ends - first
         p, p_book = quantise(np.log10((count - discount) / total[place]) if len(context) else np.zeros(0))
         b, b_book = quantise(np.log10(discount * kinds / total) if len(first) else np.zeros(0))
-        successors = place.astype(np.uint64) * np.uint64(len(words)) + np.searchsorted(words, word).astype(np.uint64)
+        successors = np.searchsorted(words, word).astype(np.int64)
+        last = successors[ends - 1] + 1 if len(first) else np.zeros(0, np.int64)
+        successors = (successors + (np.cumsum(last) - last)[place]).astype(np.uint64)
         levels = {
             "contexts": EliasFano.build(contexts),
             "pointers": EliasFano.build(np.append(0, ends) if len(first) else np.zeros(1, np.int64)),
@@ -174,7 +181,10 @@ class Trie:
         w = self.l["words"].index(word)
         ask = np.flatnonzero((c >= 0) & (w >= 0))
         if len(ask):
-            at = self.l["successors"].index(c[ask].astype(np.uint64) * np.uint64(self.l["words"].n) + w[ask].astype(np.uint64))
+            known, place = np.unique(c[ask], return_inverse=True)
+            first, behind = (self.l["pointers"][known + k].astype(np.int64) for k in (0, 1))
+            base = np.where(first > 0, self.l["successors"][np.maximum(first - 1, 0)] + np.uint64(1), np.uint64(0))
+            at = self.l["successors"].index(base[place] + w[ask].astype(np.uint64), first[place], behind[place])
             hit = at >= 0
             out[ask[hit]] = self.c["p_book"][self.c["p"][at[hit]]]
         return out
