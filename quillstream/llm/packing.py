@@ -5,7 +5,7 @@ numbers of words need D * D / 2 words of input at least, so 5 billion words have
 Inside each bucket documents are numbered in parallel and cut into batches whose padded tokens keep to a budget.
 
 Edge cases: null and empty texts have length 0 and share the shortest bucket; documents longer than the budget
-form batches of one; equal rows are packed as rows of their own; an empty table gives an empty result. No length is rounded,
+form batches of one; equal rows are packed as rows of their own, in the order of id and length, so that reruns agree; an empty table gives an empty result. No length is rounded,
 however many there are: a bucket's length is that of the longest document in it.
 """
 
@@ -98,11 +98,11 @@ def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, par
     bucketed = sized.withColumn("bucket_len", fits)
     # numbers within a bucket: within blocks in parallel, plus the rows of the blocks before
     blocks = max(1, -(-sized.count() // params.block))
-    bucketed = bucketed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    bucketed = bucketed.withColumn("block", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(blocks)))
     counted = bucketed.groupBy("bucket_len", "block").agg(F.count(F.lit(1)).alias("rows"))
     ahead = W.partitionBy("bucket_len").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offset = counted.withColumn("ahead", F.coalesce(F.sum("rows").over(ahead), F.lit(0))).drop("rows")
-    nth = F.row_number().over(W.partitionBy("bucket_len", "block").orderBy("doc_id")) - 1
+    nth = F.row_number().over(W.partitionBy("bucket_len", "block").orderBy("doc_id", "n_tokens")) - 1
     numbered = bucketed.withColumn("nth", nth).join(offset, ["bucket_len", "block"])
     room = F.greatest(F.lit(1), F.floor(F.lit(params.budget) / F.greatest(F.col("bucket_len"), F.lit(1))))
     place = F.col("nth") + F.col("ahead")
