@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import table
+from quillstream.llm.common import table, unused
 from quillstream.llm.license_rules import GATE, Rule, rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,6 +23,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases that always count, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+#: Detections of a text that are compared with those beside them at a time.
+RUN = 256
 _OPEN, _SHUT = "\x01", "\x02"
 _NONE = "cast(array() as array<struct<label:string,rule:int,priority:int,first:int,stop:int>>)"
 
@@ -63,17 +65,21 @@ def license_scan(df: DataFrame, text: str = "text", own: list[Rule] | None = Non
     (label, rule, priority, first, stop) of what suppression leaves, by place."""
     own = rules() if own is None else own
     t = F.col(text)
-    df = df.withColumn("n_words", F.coalesce(F.regexp_count(t, F.lit(RAW_WORD)), F.lit(0)).cast("long"))
+    words, found, near, *base = unused(df, "words", "found", "near", *[f"base{k}" for k in range(len(BASE))])
     low = F.translate(t, UPPER, LOWER)
-    df = df.withColumn("_words", F.when(t.rlike(GATE), F.array_join(F.regexp_extract_all(low, F.lit(WORD), 0), " ")))
-    bases = [F.when(F.contains(F.col("_words"), F.lit(p)), _places(F.col("_words"), F.lit(p))[0]) for p, _ in BASE]
-    df = df.withColumns({f"_base{k}": F.coalesce(b, F.expr("cast(array() as array<int>)")) for k, b in enumerate(bases)})
-    df = df.withColumn("_found", F.when(F.col("_words").isNotNull(), _detected(F.col("_words"), own)))
-    df = df.withColumn("_found", F.coalesce(F.array_sort("_found", lambda a, b: F.when(a["first"] != b["first"], a["first"] - b["first"]).when(a["stop"] != b["stop"], b["stop"] - a["stop"]).otherwise(a["rule"] - b["rule"])), F.expr(_NONE)))
-    kept = F.filter("_found", lambda d: ~F.exists("_found", lambda e: _beaten(d, e)))
-    labels = F.array_compact(F.array(*[F.when(F.size(f"_base{k}") > 0, F.lit(name)) for k, (_, name) in enumerate(BASE)]))
-    df = df.withColumns({"base_first": F.flatten(F.array(*[F.col(f"_base{k}") for k in range(len(BASE))])), "base_labels": labels, "detections": kept})
-    return df.drop("_words", "_found", *[f"_base{k}" for k in range(len(BASE))])
+    df = df.withColumns({"n_words": F.coalesce(F.regexp_count(t, F.lit(RAW_WORD)), F.lit(0)).cast("long"), words: F.when(t.rlike(GATE), F.array_join(F.regexp_extract_all(low, F.lit(WORD), 0), " "))})
+    bases = [F.when(F.contains(F.col(words), F.lit(p)), _places(F.col(words), F.lit(p))[0]) for p, _ in BASE]
+    df = df.withColumns({name: F.coalesce(b, F.expr("cast(array() as array<int>)")) for name, b in zip(base, bases, strict=True)})
+    df = df.withColumn(found, F.when(F.col(words).isNotNull(), _detected(F.col(words), own)))
+    df = df.withColumn(found, F.coalesce(F.array_sort(found, lambda a, b: F.when(a["first"] != b["first"], a["first"] - b["first"]).when(a["stop"] != b["stop"], b["stop"] - a["stop"]).otherwise(a["rule"] - b["rule"])), F.expr(_NONE)))
+    # runs of detections, each with those that overlap its stretch of words: only these are compared
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(found), F.lit(1)) - 1) / RUN).cast("int")), lambda k: F.slice(found, k * RUN + 1, F.lit(RUN)))
+    beside = lambda own: F.filter(found, lambda e: (e["first"] < F.array_max(own["stop"])) & (e["stop"] > F.array_min(own["first"])))
+    df = df.withColumn(near, F.transform(runs, lambda own: F.struct(own.alias("own"), beside(own).alias("near"))))
+    kept = F.flatten(F.transform(near, lambda p: F.filter(p["own"], lambda d: ~F.exists(p["near"], lambda e: _beaten(d, e)))))
+    labels = F.array_compact(F.array(*[F.when(F.size(b) > 0, F.lit(name)) for b, (_, name) in zip(base, BASE, strict=True)]))
+    df = df.withColumns({"base_first": F.flatten(F.array(*[F.col(b) for b in base])), "base_labels": labels, "detections": kept})
+    return df.drop(words, found, near, *base)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
