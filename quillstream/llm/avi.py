@@ -323,17 +323,19 @@ def samples(c: np.ndarray, head: dict) -> np.ndarray:
     return np.clip(np.rint((c.reshape(-1, 64) * quant) @ IDCT + 128), 0, 255).astype(np.uint8).reshape(len(c), -1)
 
 
-def shots(luma: np.ndarray, bins: int = 16, factor: float = 2.0, least: float = 0.05) -> list[int]:
+def shots(luma: np.ndarray, bins: int = 16, factor: float = 2.0, least: float = 0.05, hard: float = 0.5) -> list[int]:
     """First frames of the shots: where the histogram difference exceeds the mean of those in the shot so far by
-    ``factor`` deviations, and ``least`` of the samples."""
+    ``factor`` deviations, and ``least`` of the samples. A shot's first difference has none before it: it is a cut beyond
+    ``hard`` of the samples, or beyond the film's mean by ``factor`` of the film's deviations; so a shot may last one frame."""
     n = len(luma)
     own = (np.arange(n)[:, None] * bins + (luma >> 4 if bins == 16 else luma.astype(np.int64) * bins // 256)).ravel()
     h = np.bincount(own, minlength=n * bins).reshape(n, bins) / max(1, luma.shape[1])
     diff = np.abs(np.diff(h, axis=0)).sum(1) / 2
+    first = max(least, min(hard, float(diff.mean() + factor * diff.std()))) if len(diff) else hard
     starts, count, mean, square = [0], 0, 0.0, 0.0
     for k, d in enumerate(diff.tolist(), 1):
         spread = max(0.0, square - mean * mean) ** 0.5
-        if d > least and count and d > mean + factor * spread + least:
+        if d > (mean + factor * spread + least if count else first):
             starts.append(k)
             count, mean, square = 0, 0.0, 0.0
             continue
