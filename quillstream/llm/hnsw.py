@@ -171,14 +171,14 @@ class Graph:
         return np.where(ids >= 0, base.ids[ids], -1), sims
 
     def dump(self) -> bytes:
-        return pickle.dumps((self.vec, [(x.ids, x.links) for x in self.layers]), 5)
+        return pickle.dumps([(x.ids, x.links) for x in self.layers], 5)
 
     @staticmethod
-    def load(raw: bytes) -> Graph:
+    def load(raw: bytes, vec: np.ndarray) -> Graph:
+        """What dump() wrote of the graph over these rows."""
         g = Graph.__new__(Graph)
-        g.vec, layers = pickle.loads(raw)  # noqa: S301  written by dump() in this job
-        g.layers = []
-        for ids, links in layers:
+        g.vec, g.layers = np.ascontiguousarray(vec, np.float32), []
+        for ids, links in pickle.loads(raw):  # noqa: S301  written by dump() in this job
             layer = Layer(ids, 0)
             layer.links = links
             g.layers.append(layer)

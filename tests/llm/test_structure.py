@@ -77,22 +77,50 @@ def test_components_in_rounds(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
-def test_embedding_against_brute_force(spark):
-    r = np.random.default_rng(2)
-    base = r.normal(size=(150, 16))
-    v = np.concatenate([base, base[:40] + r.normal(size=(40, 16)) * 0.08, np.repeat(base[:1], 30, 0) + r.normal(size=(30, 16)) * 0.02, base[:5]]).astype(np.float32)
-    rows = [(i, x.tolist(), i) for i, x in enumerate(v)] + [(500, None, 0), (501, [], 0), (502, [0.0] * 16, 0), (503, [None] * 16, 0), (504, [float("nan")] * 16, 0), (505, [float("inf")] + [1.0] * 15, 0), (506, [1.0, 2.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links long")
-    got = {x["vec_id"]: x for x in embedding.embedding_links(df).collect()}
+def linked_vectors(r, n, dims):
+    """Vectors of which a tenth have near copies, some of them many."""
+    base = r.normal(size=(n, dims))
+    near = base[: n // 10] + r.normal(size=(n // 10, dims)) * 0.2 * r.random((n // 10, 1))
+    return np.concatenate([base, near, np.repeat(base[:1], 60, 0) + r.normal(size=(60, dims)) * 0.02, base[:5]]).astype(np.float32)
+
+
+def brute_links(v):
     u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
     node, root = components.local_components(*np.nonzero(near))
-    want = dict(zip(node.tolist(), root.tolist(), strict=True))
-    for i in range(len(v)):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum(), want.get(i, i), want.get(i, i) == i)
-    assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(500, 507))
-    assert embedding.embedding_links(df.limit(0)).count() == 0
+    return near, dict(zip(node.tolist(), root.tolist(), strict=True))
+
+
+def test_embedding_against_brute_force(spark):
+    """Shards of more than a thousand, so that graphs are searched: beams of 16 are no scans."""
+    v = linked_vectors(np.random.default_rng(2), 4000, 16)
+    rows = [(i, x.tolist(), i) for i, x in enumerate(v)] + [(9000, None, 0), (9001, [], 0), (9002, [0.0] * 16, 0), (9003, [None] * 16, 0), (9004, [float("nan")] * 16, 0), (9005, [float("inf")] + [1.0] * 15, 0), (9006, [1.0, 2.0], 0), (9007, [3.0], 0), (None, [1.0] * 16, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links long")
+    got = {x["vec_id"]: x for x in embedding.embedding_links(df, embedding.EmbeddingParams(piece=100_000)).collect()}
+    near, want = brute_links(v)
+    assert near.any(1).sum() > 500 and len(got) == len(rows) and got[0]["recall"] >= 0.995
+    same = [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum(), want.get(i, i), want.get(i, i) == i) for i in range(len(v))]
+    assert np.mean(same) >= 0.99
+    assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(9000, 9008))
+    assert got[None]["component_id"] is None and embedding.embedding_links(df.limit(0)).count() == 0
+
+
+def test_shards_search_their_graphs(monkeypatch):
+    """Without any exact scan but the audit's, the beam finds what links; planted neighbours measure it."""
+    v = linked_vectors(np.random.default_rng(3), 3000, 64)
+    near, _ = brute_links(v)
+    u, first = np.unique(embedding.unit(v), axis=0, return_index=True)
+    near = near[first][:, first]
+    shard = embedding.Shard(embedding.Graph(u.astype(np.float32), (np.arange(len(u)) + 1) / len(u), 32), u, np.arange(len(u)), np.ones(len(u), np.int64), embedding.EmbeddingParams())
+    assert shard.true >= 128 and shard.hits >= 0.995 * shard.true and shard.ef < 1000
+    scanned = []
+    exact = shard._exact
+    monkeypatch.setattr(shard, "_exact", lambda q, own, rows: scanned.append(len(rows)) or exact(q, own, rows))
+    links = shard.search(u, np.arange(len(u)))
+    assert sum(scanned) < 100 and links.count.sum() >= 0.99 * near.sum()
+    probes = embedding.planted(u, embedding.EmbeddingParams())
+    assert ((probes @ u.T).max(1) >= 0.95).all()
 
 
 def test_buckets_are_optimal():
@@ -135,6 +163,20 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_long_documents_do_not_unbalance():
+    """One document as long as many others: settled first, the others make up for it."""
+    r = random.Random(12)
+    for _ in range(200):
+        size = sorted([r.randint(5, 60) for _ in range(50)] + [r.randint(500, 1200)], reverse=True)
+        p0 = r.uniform(0.3, 0.7)
+        p, live = mixing.flight([p0] * 51, size, [r.random() for _ in size])
+        assert all(size[i] <= 60 for i in live)
+        p = mixing.land(p, size, live, [p0] * 51)
+        off = p0 * sum(size) - sum(a * b for a, b in zip(p, size, strict=True))
+        assert set(p) <= {0.0, 1.0}
+        assert all(size[i] > abs(off) for i in range(51) if p[i] == (0.0 if off > 0 else 1.0))
+
+
 def test_flight_keeps_totals():
     r = random.Random(5)
     size = [r.randint(0, 50) for _ in range(300)]
@@ -165,12 +207,17 @@ def test_mixing(spark):
         open_ = [s for s in open_ if s not in full]
     for s, g in a.groupby("source"):
         assert g.target.iloc[0] == pytest.approx(target[s]) and g.source_size.iloc[0] == size[s]
-        assert abs((g["size"] * g.copies).sum() - target[s]) <= max(60, 0.02 * target[s] if s != "s" else 30000)
+        off = target[s] - (g["size"] * g.copies).sum()
+        # no document may change that would mend more: 's' has one of 30,000 words and hardly any others
+        base = int(target[s] / size[s] + 1e-9) if size[s] else 0
+        able = g[(g["size"] > 0) & (g.copies == base)] if off > 0 else g[(g["size"] > 0) & (g.copies > base)]
+        assert abs(off) < 60 or (able["size"] > abs(off)).all()
     b = mixing.mix_sources(df.repartition(3), params).toPandas()
     key = ["doc_id", "size", "copies"]
     assert a.sort_values(key)[key].reset_index(drop=True).equals(b.sort_values(key)[key].reset_index(drop=True))
-    out = mixing.mixed_documents(df, params)
-    assert out.columns == df.columns and out.count() == a.copies.sum()
+    clashing = df.withColumns({"__copies": F.lit("c"), "copies": F.lit(1), "hash": F.lit(2), "id": F.lit(3), "row": F.lit(4), "of": F.lit(5)})
+    out = mixing.mixed_documents(clashing, params)
+    assert out.columns == clashing.columns and out.count() == a.copies.sum() and out.where("__copies = 'c' and row = 4").count() == out.count()
     assert mixing.mix_sources(frame(spark, [])).count() == 0
 
 
@@ -188,8 +235,9 @@ LICENSED = [
 
 def test_licenses(spark):
     assert len(rules()) > 300 and all(re.compile(r.pattern) for r in rules())
-    df = spark.createDataFrame([(i, t, "x") for i, t in LICENSED], "doc_id long, text string, n_words string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in LICENSED], "doc_id long, text string, n_words string").withColumns({"words": F.lit(1), "_found": F.lit(2), "Base0": F.lit(3)})
     got = {r["doc_id"]: r for r in licenses.license_scan(df).collect()}
+    assert all((r["words"], r["_found"], r["Base0"]) == (1, 2, 3) for r in got.values()) and licenses.license_scan(df.limit(0)).count() == 0
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for i, t in LICENSED:
         w = word.findall((t or "").lower())
@@ -290,6 +338,8 @@ def _flat_jpeg(level):
 
 def test_shots_of_a_film(spark):
     film = avi.write_avi([_flat_jpeg(v) for v in [200] * 5 + [40] * 4 + [128] * 3], 8, 8, 10)
+    flash = avi.write_avi([_flat_jpeg(v) for v in [200] + [40] * 4 + [128, 220]], 8, 8, 10)
+    assert [r[1] for r in avi.clip_rows(flash)] == [0, 1, 5, 6]
     assert avi.clip_rows(film) == [(0, 0, 5, 0, 500), (1, 5, 4, 500, 900), (2, 9, 3, 900, 1200)]
     c, head = avi.coefficients(film, avi.read_avi(film))
     assert [int(x[0]) for x in avi.samples(c, head)] == [200] * 5 + [40] * 4 + [128] * 3
