@@ -127,8 +127,8 @@ def cited_details(details: Column, allowed: Column) -> Column:
 
 
 def positive_ids(values: Column) -> Column:
-    """Distinct positive numbers among strings."""
-    ids = F.transform(values, lambda v: v.try_cast("bigint"))
+    """Distinct positive whole numbers among strings; a fraction is none."""
+    ids = F.transform(values, lambda v: F.when(v.rlike(r"^\s*[+-]?[0-9]+\s*$"), v.try_cast("bigint")))
     return F.array_distinct(F.filter(ids, lambda v: v.isNotNull() & (v > 0)))
 
 

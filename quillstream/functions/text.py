@@ -86,21 +86,29 @@ def casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 
 
-def normalize_terms(terms: Column) -> Column:
-    """Search terms: double quotes out, whitespace squashed, blanks out, first spelling by lower case."""
-    clean = F.filter(F.transform(terms, lambda t: squash(F.replace(t, F.lit('"'), F.lit(" ")))), lambda t: t != "")
-    return distinct_by(clean, F.lower)
+@F.pandas_udf(_STRINGS)
+def _folded_first(terms: pd.Series) -> pd.Series:
+    """The first spelling of each term by case folding."""
+
+    def first(own):
+        found: dict[str, str] = {}
+        for t in own:
+            found.setdefault(t.casefold(), t)
+        return list(found.values())
 
+    return terms.map(first, na_action="ignore")
 
-def term_hits(title: Column, summary: Column, terms: Column) -> Column:
-    """Terms that the title or summary holds, whatever the case, as they are spelled and in their order."""
-    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(summary, F.lit(""))))
-    return F.filter(terms, lambda t: (F.trim(t) != "") & F.contains(text, F.lower(F.trim(t))))
+
+def normalize_terms(terms: Column) -> Column:
+    """Search terms: double quotes out, whitespace squashed, blanks out, first spelling by case folding. Strategies are few, so
+    an Arrow UDF serves where Java's lower case and folding differ."""
+    return _folded_first(F.filter(F.transform(terms, lambda t: squash(F.replace(t, F.lit('"'), F.lit(" ")))), lambda t: t != ""))
 
 
 @F.pandas_udf(_STRINGS)
-def term_hits_folded(title: pd.Series, summary: pd.Series, terms: pd.Series) -> pd.Series:
-    """term_hits with full case folding, where one letter may fold to two."""
+def term_hits(title: pd.Series, summary: pd.Series, terms: pd.Series) -> pd.Series:
+    """Terms that the title or summary holds by full case folding, where one letter may fold to two, as they are spelled and
+    in their order."""
     texts = (title.fillna("") + "\n" + summary.fillna("")).map(str.casefold)
     return pd.Series([[t for t in (own if own is not None else ()) if t.strip() and t.strip().casefold() in text] for text, own in zip(texts, terms, strict=True)])
 

@@ -65,7 +65,7 @@ def judged(items: DataFrame, tasks: DataFrame, now: Column, local_filter: bool)
     own = items.where("keyword_id is not null").join(tasks, ["rss_source_id", "keyword_id"])
     shared = items.where("keyword_id is null").drop("keyword_id").join(tasks, "rss_source_id")
     both = own.unionByName(shared.select(*own.columns))
-    hits = text.term_hits(F.col("title"), F.col("summary"), F.col("match_terms"))
+    hits = text.term_hits("title", "summary", "match_terms")
     both = both.withColumn("matched_terms", hits)
     must = F.lit(True) if local_filter else F.col("require_local_match") == 1
     outcome = F.when(F.col("published_at").isNull(), "undated").when(~F.col("published_at").between(F.col("window_start"), now), "outside").when(must & (F.size("matched_terms") == 0), "unmatched").otherwise("matched")
@@ -74,7 +74,7 @@ def judged(items: DataFrame, tasks: DataFrame, now: Column, local_filter: bool)
 
 def with_keys(items: DataFrame) -> DataFrame:
     """Items with canonical_url, publisher_normalized and fingerprint."""
-    items = items.withColumn("canonical_url", urls.canonical_url_exact("url")).withColumn("publisher_normalized", text.publisher_key("publisher"))
+    items = items.withColumn("canonical_url", urls.canonical_url(F.col("url"))).withColumn("publisher_normalized", text.publisher_key("publisher"))
     return items.withColumn("fingerprint", text.fingerprint(text.folded_title("title"), text.casefold("publisher_normalized"), F.col("published_at")))
 
 

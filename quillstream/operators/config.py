@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, fields
+from datetime import date
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
@@ -31,8 +32,18 @@ class Settings:
     ai_parallelism: int = 4
     ai_content_max_chars: int = 30000
     report_time: str = "08:00"
-
-    RANGES = {"crawler_cooldown_minutes": (5, 1440), "ai_relevance_threshold": (0, 100), "ai_batch_size": (1, 100), "ai_parallelism": (1, 20), "ai_content_max_chars": (2000, 100000)}
+    crawler_respect_robots: bool = True
+    crawler_min_interval_seconds: int = 3
+    business_profile: str = ""
+    relevance_prompt: str = ""
+    report_prompt: str = ""
+    auto_analyze: bool = False
+    auto_report: bool = False
+    auto_push: bool = False
+
+    #: Least characters of texts that are set, and the most.
+    LENGTHS = {"business_profile": (50, 10000), "relevance_prompt": (20, 20000), "report_prompt": (20, 20000)}
+    RANGES = {"crawler_cooldown_minutes": (5, 1440), "ai_relevance_threshold": (0, 100), "ai_batch_size": (1, 100), "ai_parallelism": (1, 20), "ai_content_max_chars": (2000, 100000), "crawler_min_interval_seconds": (0, 60)}
 
     @classmethod
     def read(cls, rows: dict[str, str]) -> Settings:
@@ -51,8 +62,47 @@ class Settings:
 
 
 def settings(df: DataFrame) -> Settings:
-    """The settings table as a value; it has a row for each setting."""
-    return Settings.read({r["key"]: r["value"] for r in df.limit(1000).collect()})
+    """The settings table as a value; other keys than those of its fields stay where they are."""
+    known = [f.name for f in fields(Settings)]
+    return Settings.read({r["key"]: r["value"] for r in df.where(F.col("key").isin(known)).collect()})
+
+
+def save_settings(t: Tables, changes: dict[str, object]) -> Tables:
+    """Settings written after checks: what is read may be clamped, but what is written must be in its range. Booleans are
+    stored as true and false, and texts trimmed."""
+    kinds = {f.name: f.type for f in fields(Settings)}
+    rows = []
+    for name, value in changes.items():
+        if name not in kinds:
+            raise ValueError(f"no setting {name}")
+        if kinds[name] == "bool":
+            if not isinstance(value, bool):
+                raise ValueError(f"{name} is true or false")
+            value = str(value).lower()
+        elif kinds[name] == "int":
+            low, high = Settings.RANGES[name]
+            if isinstance(value, bool) or not isinstance(value, int) or not low <= value <= high:
+                raise ValueError(f"{name} must be {low} to {high}")
+        else:
+            value = schedule(str(value)) if name == "report_time" else str(value).strip()
+            low, high = Settings.LENGTHS.get(name, (1, 100))
+            if not low <= len(value) <= high:
+                raise ValueError(f"{name} must have {low} to {high} characters")
+        rows.append((name, str(value), 1))
+    new = t["app_settings"].sparkSession.createDataFrame(rows, "key string, value string, seq int")
+    return t | {"app_settings": merge.upsert(t["app_settings"], new, ["key"])}
+
+
+def checked_days(day_from: str | None, day_to: str | None) -> None:
+    """ISO days, the last not before the first."""
+    days = [date.fromisoformat(d) for d in (day_from, day_to) if d]
+    if days != sorted(days):
+        raise ValueError("the last day is before the first")
+
+
+def checked_category(category: str, codes: tuple[str, ...]) -> None:
+    if category and codes and category not in codes:
+        raise ValueError("no such category")
 
 
 def page(limit: int, offset: int) -> tuple[int, int]:

@@ -5,11 +5,16 @@ an article unless an earlier one shares a key with it; only articles register th
 clustering, not connected components: A(f1,u1), B(f1,u2), C(f3,u2) gives two articles.
 
 Leaders are found in rounds: an item that comes first among the undecided by both its keys is a leader, and whatever
-shares a key with a leader is none. Each round is two grouped minima and two joins on one key; no OR in a join.
+shares a key with a leader is none. Each round is two grouped minima and two joins on one key; no OR in a join. A long
+chain, each item sharing a key with the next, would take a round for every other item, so what few items are left undecided
+are settled by one task in their order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +22,8 @@ from pyspark.sql import functions as F
 from quillstream.operators.lineage import cut
 
 KEYS = ("fingerprint", "canonical_url")
+#: Undecided items, of two keys each, that one task settles.
+FEW = 250_000
 
 
 def _real(key: str):
@@ -39,11 +46,30 @@ def stored_matches(items: DataFrame, articles: DataFrame) -> DataFrame:
     return found.groupBy("seq").agg(F.min("article_id").alias("article_id"))
 
 
-def leaders(items: DataFrame) -> DataFrame:
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of items by rising seq those that share no key with an earlier one that stayed."""
+    held: tuple[set, set] = (set(), set())
+    for b in batches:
+        keep = []
+        for keys in zip(*(b.column(k).to_pylist() for k in KEYS), strict=True):
+            keep.append(not any(k and k in own for k, own in zip(keys, held, strict=True)))
+            if keep[-1]:
+                for k, own in zip(keys, held, strict=True):
+                    own.add(k)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def leaders(items: DataFrame, few: int = FEW) -> DataFrame:
     """items (seq, fingerprint, canonical_url), seq unique. Returns (seq, leader): the seq of the item it is one with."""
     items = cut(items.select("seq", *KEYS))
     todo, found = items, None
-    while todo.take(1):
+    while True:
+        left = todo.count()
+        if left <= few:
+            if left:
+                own = cut(todo.coalesce(1).sortWithinPartitions("seq").mapInArrow(_in_order, todo.schema))
+                found = own if found is None else found.unionByName(own)
+            break
         first = todo
         for key in KEYS:
             least = todo.where(_real(key)).groupBy(key).agg(F.min("seq").alias(f"_{key}"))

@@ -9,10 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.functions import dates, rules, text
@@ -50,10 +50,11 @@ def candidates(t: Tables, now: Column, limit: int | None = None, force: bool = F
 
 
 def batches(queue: DataFrame, size: int) -> DataFrame:
-    """The ordered queue with batch numbers from 0; size is kept within 1..100. A queue is what one run may take, so its
-    numbering is a small sort."""
-    nth = F.row_number().over(W.orderBy("rank", F.desc("published_at"), F.desc("article_id")))
-    return queue.withColumn("batch", F.floor((nth - 1) / max(1, min(100, size))).cast("int"))
+    """The ordered queue with batch numbers from 0; size is kept within 1..100. Rows are numbered within ranges of the order."""
+    newest = F.coalesce(-F.unix_micros("published_at"), F.lit((1 << 63) - 1))
+    ordered = queue.withColumn("_order", F.struct("rank", newest.alias("newest"), (-F.col("article_id")).alias("last")))
+    nth = merge.next_ids(queue.sparkSession.createDataFrame([], "id long"), ordered, "_order")
+    return nth.withColumn("batch", F.floor((F.col("id") - 1) / max(1, min(100, size))).cast("int")).drop("_order", "id")
 
 
 def with_content(contents: DataFrame, results: DataFrame, now: Column) -> DataFrame:
@@ -85,14 +86,47 @@ def ignored(contents: DataFrame, article_id: int, now: Column) -> DataFrame:
     return contents.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in new.items()})
 
 
-def with_reviews(t: Tables, results: DataFrame, now: Column, codes: tuple[str, ...], threshold: int, version: str, entity: str | None = None) -> Tables:
-    """Tables after scorer results: refused or failed ones are stored as failed; sound ones pass the gate, and a negative
-    review takes the accepted row away. entity: a pattern that reasons may name only if the text does."""
+@dataclass(frozen=True)
+class Boundary:
+    """What assessments may say of a company: sentences that match the pattern stay only if the text itself names it. The notes
+    say so where they went; ``paths`` say by category how its event may reach the company, ``other_path`` for the rest."""
+
+    pattern: str
+    review_note: str = ""
+    analysis_note: str = ""
+    paths: tuple[tuple[str, str], ...] = ()
+    other_path: str = ""
+    summary: str = ""
+
+    def named(self) -> Column:
+        return F.coalesce(F.col("full_text").rlike(self.pattern), F.lit(False))
+
+    def without(self, c: Column) -> Column:
+        return F.coalesce(text.sentences_without(c, self.pattern), F.lit(""))
+
+    def unnamed(self, values: str) -> Column:
+        return F.filter(values, lambda v: ~v.rlike(self.pattern))
+
+    def review(self) -> dict[str, Column]:
+        reason = F.substring(F.concat(self.without(F.col("relevance_reason")), F.lit(self.review_note)), 1, 1000)
+        return {c: F.when(self.named(), F.col(c)).otherwise(new) for c, new in (("relevance_reason", reason), ("evidence", self.unnamed("evidence")))}
+
+    def analysis(self) -> dict[str, Column]:
+        path = F.lit(self.other_path)
+        for category, told in self.paths:
+            path = F.when(F.col("category") == category, F.lit(told)).otherwise(path)
+        said = lambda c: F.nullif(self.without(F.col(c)), F.lit(""))
+        new = {"summary": F.coalesce(said("summary"), F.lit(self.summary)), "impact_analysis": F.concat(F.coalesce(said("impact_analysis"), path), F.lit(self.analysis_note)), "evidence": self.unnamed("evidence")}
+        new |= {c: F.filter(F.transform(c, self.without), lambda v: v != "") for c in ("risk_factors", "opportunities", "recommended_actions")}
+        return {c: F.when(self.named(), F.col(c)).otherwise(v) for c, v in new.items()}
+
+
+def with_reviews(t: Tables, results: DataFrame, now: Column, codes: tuple[str, ...], threshold: int, version: str, boundary: Boundary | None = None) -> Tables:
+    """Tables after scorer results: refused or failed ones are stored as failed; sound ones pass the boundary and the gate, and
+    a negative review takes the accepted row away."""
     fault = F.coalesce(F.col("error"), rules.assessment_fault(codes))
     r = results.withColumn("fault", fault).join(t["article_contents"].select("article_id", "content_hash", "full_text"), "article_id")
-    if entity:
-        r = r.withColumn("relevance_reason", F.when(F.col("full_text").rlike(entity), F.col("relevance_reason")).otherwise(F.substring(text.sentences_without(F.col("relevance_reason"), entity), 1, 1000)))
-        r = r.withColumn("evidence", F.when(F.col("full_text").rlike(entity), F.col("evidence")).otherwise(F.filter("evidence", lambda e: ~e.rlike(entity))))
+    r = r.withColumns(boundary.review()) if boundary else r
     r = r.withColumns(rules.gated(threshold)).withColumn("evidence", text.clean_list(F.col("evidence")))
     bad = F.col("fault").isNotNull()
     kept = [f.name for f in SCHEMAS["article_relevance_reviews"].fields if f.name in ("is_relevant", "relevance_score", "relevance_reason", "category", "secondary_categories", "keyword_categories", "evidence", "confidence")]
@@ -101,14 +135,11 @@ def with_reviews(t: Tables, results: DataFrame, now: Column, codes: tuple[str, .
     return t | {"article_relevance_reviews": merge.upsert(t["article_relevance_reviews"], new.withColumn("seq", F.lit(1)), ["article_id"]), "business_articles": t["business_articles"].join(negative, "article_id", "left_anti")}
 
 
-def with_analyses(t: Tables, results: DataFrame, now: Column, codes: tuple[str, ...], entity: str | None = None) -> Tables:
+def with_analyses(t: Tables, results: DataFrame, now: Column, codes: tuple[str, ...], boundary: Boundary | None = None) -> Tables:
     """Tables after analyses: refused or failed ones are stored as failed."""
     r = results.withColumn("fault", F.coalesce(F.col("error"), rules.assessment_fault(codes, review=False))).join(t["article_contents"].select("article_id", "content_hash", "full_text"), "article_id")
     lists = ("risk_factors", "opportunities", "recommended_actions", "evidence")
-    if entity:
-        named = F.col("full_text").rlike(entity)
-        r = r.withColumns({c: F.when(named, F.col(c)).otherwise(text.sentences_without(F.col(c), entity)) for c in ("summary", "impact_analysis")})
-        r = r.withColumns({c: F.when(named, F.col(c)).otherwise(F.filter(F.transform(c, lambda v: text.sentences_without(v, entity)), lambda v: v != "")) for c in lists})
+    r = r.withColumns(boundary.analysis()) if boundary else r
     r = r.withColumns({c: text.clean_list(F.col(c)) for c in lists} | {"secondary_categories": F.array_remove(F.array_distinct("secondary_categories"), F.col("category"))})
     bad = F.col("fault").isNotNull()
     kept = [c for c in SCHEMAS["business_articles"].names if c not in ("article_id", "analysis_status", "content_hash", "analyzed_at", "error_message")]
@@ -165,23 +196,68 @@ def rule_analyst(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def prompt(rows: DataFrame, instruction: str, most_chars: int = 30000) -> DataFrame:
-    """Rows with system and user prompts: the instruction, and the article as compact JSON with its text cut."""
-    body, cut_off = text.truncated(F.col("full_text"), most_chars)
-    user = F.to_json(F.struct("title", "publisher", F.col("published_at").cast("string").alias("published_at"), body.alias("full_text"), cut_off.alias("truncated")))
-    return rows.withColumns({"system_prompt": F.lit(instruction), "user_prompt": user})
+#: What each task tells its model of an article, besides the text: a review sees the article alone, an analysis its review too.
+TASKS = {"review": ("title", "publisher", "published_at"), "analysis": ("title", "publisher", "published_at", "category", "relevance_reason"), "report": ("article_id", "title", "publisher", "published_at", "category", "risk_score", "summary", "matched_keyword_names")}
+
+
+def prompt(rows: DataFrame, instruction: str, most_chars: int = 30000, task: str = "review", profile: str = "") -> DataFrame:
+    """Rows with system and user prompts of a task: the instruction, led by the company's profile where there is one, and the
+    task's fields as compact JSON, with the text cut. A report has no text: it is about many articles."""
+    fields = [F.col(c).cast("string").alias(c) if c == "published_at" else F.col(c) for c in TASKS[task] if c in rows.columns]
+    if task != "report":
+        body, cut_off = text.truncated(F.col("full_text"), most_chars)
+        fields += [body.alias("full_text"), cut_off.alias("truncated")]
+    return rows.withColumns({"system_prompt": F.lit("\n\n".join(x for x in (profile, instruction) if x)), "user_prompt": F.to_json(F.struct(*fields))})
+
+
+def report_prompt(inputs: DataFrame, instruction: str, day: str, profile: str = "") -> DataFrame:
+    """One row: the prompts of a day's report over its articles (what report.report_input gives), the riskiest first."""
+    told = inputs.select(*[F.col(c).cast("string").alias(c) if c == "published_at" else F.col(c) for c in TASKS["report"] if c in inputs.columns])
+    order = F.struct((-F.col("risk_score")).alias("risk"), F.col("article_id").alias("id"), F.struct(*told.columns).alias("a"))
+    rows = told.agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["a"]).alias("articles"))
+    user = F.to_json(F.struct(F.lit(day).alias("report_date"), F.size("articles").alias("article_count"), "articles"))
+    return rows.select(F.lit("\n\n".join(x for x in (profile, instruction) if x)).alias("system_prompt"), user.alias("user_prompt"))
+
+
+# Ends of the failure kinds that stop a batch for all, and that are worth one try at once.
+STOPPING, AT_ONCE = ("_http_429", "_web_search_unavailable"), ("_web_unavailable",)
+
+
+def guarded(reader: Stage, step: int = 20) -> Stage:
+    """The reader asked for ``step`` articles at a time: failures that pass at once are tried once more, and after one that
+    means that the provider refuses everybody the rest of the partition is not asked for, so it stays in the queue."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i : i + step]
+                got = pd.concat(reader(iter([part])), ignore_index=True)
+                kind = got["failure_kind"].fillna("")
+                once = got.loc[kind.str.endswith(AT_ONCE) & got["retryable"].fillna(False).astype(bool), "article_id"]
+                if len(once):
+                    again = pd.concat(reader(iter([part[part["article_id"].isin(once)]])), ignore_index=True)
+                    got = pd.concat([got[~got["article_id"].isin(once)], again], ignore_index=True)
+                    kind = got["failure_kind"].fillna("")
+                yield got
+                if kind.str.endswith(STOPPING).any():
+                    return
+
+    return run
 
 
-def run_batch(t: Tables, queue: DataFrame, now: Column, run_id: int, codes: tuple[str, ...], reader: Stage = rule_reader, scorer: Stage | None = None, analyst: Stage = rule_analyst, parallelism: int = 4, threshold: int = rules.RELEVANCE_THRESHOLD, version: str = "v1", force: bool = False, entity: str | None = None) -> Tables:
-    """One batch of the queue (article_id) through its phases. Content that succeeded is kept unless forced, and so is a
-    review of the same hash, at no tokens; analyses of relevant articles always run again."""
+def run_batch(t: Tables, queue: DataFrame, now: Column, run_id: int, codes: tuple[str, ...], reader: Stage = rule_reader, scorer: Stage | None = None, analyst: Stage = rule_analyst, parallelism: int = 4, threshold: int = rules.RELEVANCE_THRESHOLD, version: str = "v1", force: bool = False, boundary: Boundary | None = None) -> Tables:
+    """Articles of the queue (article_id, and batch where it has several: each is a run of its own, numbered from run_id on)
+    through its phases, all batches at once. Content that succeeded is kept unless forced, and so is a review of the same
+    hash, at no tokens; analyses of relevant articles always run again. What the reader did not come to stays pending."""
     scorer = scorer or rule_scorer(())
     workers = max(1, min(20, parallelism))
-    own = cut(queue.select("article_id"))
+    of = F.lit(run_id).cast("long") + (F.col("batch") if "batch" in queue.columns else F.lit(0))
+    queue = cut(queue.select("article_id", of.alias("run_id")))
+    own = queue.select("article_id")
     have = t["article_contents"].where("status = 'success'").select("article_id")
     read = own if force else own.join(have, "article_id", "left_anti")
     read = read.join(t["articles"].withColumnRenamed("id", "article_id"), "article_id").select("article_id", "title", "url", "publisher", "summary")
-    got = cut(read.repartition(workers).mapInPandas(reader, CONTENT))
+    got = cut(read.repartition(workers).mapInPandas(guarded(reader), CONTENT))
     t = t | {"article_contents": cut(with_content(t["article_contents"], got, now))}
 
     ready = own.join(t["article_contents"].where("status = 'success'"), "article_id")
@@ -189,41 +265,47 @@ def run_batch(t: Tables, queue: DataFrame, now: Column, run_id: int, codes: tupl
     valid = t["article_relevance_reviews"].where("status = 'success'").select("article_id", "content_hash")
     ask = told if force else told.join(valid, ["article_id", "content_hash"], "left_anti")
     scores = cut(ask.select("article_id", "title", "publisher", "published_at", "full_text").repartition(workers).mapInPandas(scorer, REVIEW))
-    t = with_reviews(t, scores, now, codes, threshold, version, entity)
+    t = with_reviews(t, scores, now, codes, threshold, version, boundary)
     t = t | {"article_relevance_reviews": cut(t["article_relevance_reviews"]), "business_articles": cut(t["business_articles"])}
 
     relevant = t["article_relevance_reviews"].where("status = 'success' and is_relevant = 1").select("article_id", "category", "content_hash")
     accepted = told.join(relevant, ["article_id", "content_hash"])
     found = cut(accepted.select("article_id", "title", "publisher", "published_at", "full_text", "category").repartition(workers).mapInPandas(analyst, ANALYSIS))
-    t = with_analyses(t, found, now, codes, entity)
+    t = with_analyses(t, found, now, codes, boundary)
     t = t | {"business_articles": cut(t["business_articles"])}
 
-    rows = own.alias("q")
+    rows = queue.alias("q")
     for name, alias in (("article_contents", "ic"), ("article_relevance_reviews", "rr"), ("business_articles", "ba")):
         rows = rows.join(t[name].alias(alias), F.col("q.article_id") == F.col(f"{alias}.article_id"), "left")
     no_text, no_review = F.col("ic.status") != "success", F.coalesce(F.col("rr.status") != "success", F.lit(True))
     minor = F.coalesce(F.col("rr.is_relevant") == 0, F.lit(False))
-    worst = F.when(no_text | no_review, "failed").when(minor, "success").otherwise(F.coalesce("ba.analysis_status", F.lit("failed")))
+    left = F.col("ic.article_id").isNull()
+    worst = F.when(left, "pending").when(no_text | no_review, "failed").when(minor, "success").otherwise(F.coalesce("ba.analysis_status", F.lit("failed")))
     item = rows.select(
-        F.lit(run_id).cast("long").alias("run_id"), F.col("q.article_id").alias("article_id"), worst.alias("status"), F.col("ic.status").alias("content_status"), F.when(no_text, "skipped").otherwise(F.coalesce("rr.status", F.lit("failed"))).alias("relevance_status"),
-        F.when(no_text | no_review | minor, "skipped").otherwise(F.coalesce("ba.analysis_status", F.lit("failed"))).alias("business_analysis_status"), F.when(~no_text, F.col("rr.is_relevant")).alias("is_relevant"), F.coalesce(F.nullif("ic.error_message", F.lit("")), F.nullif("rr.error_message", F.lit("")), F.col("ba.error_message"), F.lit("")).alias("error_message"),
+        F.col("q.run_id").alias("run_id"), F.col("q.article_id").alias("article_id"), worst.alias("status"), F.coalesce("ic.status", F.lit("pending")).alias("content_status"), F.when(left, "pending").when(no_text, "skipped").otherwise(F.coalesce("rr.status", F.lit("failed"))).alias("relevance_status"),
+        F.when(left, "pending").when(no_text | no_review | minor, "skipped").otherwise(F.coalesce("ba.analysis_status", F.lit("failed"))).alias("business_analysis_status"), F.when(~no_text, F.col("rr.is_relevant")).alias("is_relevant"), F.coalesce(F.nullif("ic.error_message", F.lit("")), F.nullif("rr.error_message", F.lit("")), F.col("ba.error_message"), F.lit("")).alias("error_message"),
     )
-    items = cut(t["ai_analysis_run_items"].where(F.col("run_id") != run_id).unionByName(item))
-    tokens = scores.select("prompt_tokens", "completion_tokens").unionByName(found.select("prompt_tokens", "completion_tokens")).agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"))
-    run = run_outcomes(items.where(F.col("run_id") == run_id)).crossJoin(tokens).select(
+    item = cut(item)
+    old = queue.select("run_id").distinct()
+    items = t["ai_analysis_run_items"].join(old, "run_id", "left_anti").select(*item.columns).unionByName(item)
+    spent = scores.select("article_id", "prompt_tokens", "completion_tokens").unionByName(found.select("article_id", "prompt_tokens", "completion_tokens"))
+    tokens = queue.join(spent, "article_id", "left").groupBy("run_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens")])
+    run = run_outcomes(item).join(tokens, "run_id").select(
         F.col("run_id").alias("id"), "status", now.cast("timestamp").alias("started_at"), now.cast("timestamp").alias("finished_at"), F.col("total").cast("int").alias("articles_total"), F.col("succeeded").cast("int").alias("articles_succeeded"), F.col("failed").cast("int").alias("articles_failed"), F.col("relevant").cast("int").alias("articles_relevant"), "prompt_tokens", "completion_tokens", F.lit("").alias("message"),
     )
-    return t | {"ai_analysis_run_items": items, "ai_analysis_runs": t["ai_analysis_runs"].where(F.col("id") != run_id).unionByName(run)}
+    runs = t["ai_analysis_runs"].join(old.withColumnRenamed("run_id", "id"), "id", "left_anti").select(*run.columns).unionByName(run)
+    return t | {"ai_analysis_run_items": items, "ai_analysis_runs": runs}
 
 
-def run_queue(t: Tables, now: Column, first_run_id: int, codes: tuple[str, ...], size: int = 20, stop: Callable[[Tables], bool] = lambda t: False, **options) -> Tables:
-    """All of the queue, batch by batch; ``stop`` is asked between batches (a pause, or a provider that fails)."""
+def run_queue(t: Tables, now: Column, first_run_id: int, codes: tuple[str, ...], size: int = 20, stop: Callable[[Tables], bool] = lambda t: False, wave: int = 10_000, **options) -> Tables:
+    """All of the queue: batches are runs of their own, but ``wave`` of them go through the phases together, so the tables are
+    merged once a wave. ``stop`` is asked between waves (a pause); a provider that refuses stops readers at once."""
     queue = cut(batches(candidates(t, now), size))
-    count = queue.agg(F.max("batch")).first()[0]
-    for k in range(0 if count is None else count + 1):
+    last = queue.agg(F.max("batch")).first()[0]
+    for k in range(0, 0 if last is None else last + 1, wave):
         if stop(t):
             break
-        t = run_batch(t, queue.where(F.col("batch") == k), now, first_run_id + k, codes, **options)
+        t = run_batch(t, queue.where(F.col("batch").between(k, k + wave - 1)), now, first_run_id, codes, **options)
     return t
 
 

@@ -12,14 +12,15 @@ from quillstream.sources.tables import CHILDREN, Tables
 def latest(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The last row of each key by order: one shuffle, and maxima are combined before it."""
     rest = [c for c in rows.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*[o if isinstance(o, Column) else F.col(o) for o in order])).alias("r")
-    return rows.groupBy(*keys).agg(best).select(*keys, "r.*").select(*rows.columns)
+    best = F.max_by(F.struct(*rest), F.struct(*[o if isinstance(o, Column) else F.col(o) for o in order])).alias("_latest")
+    return rows.groupBy(*keys).agg(best).select(*keys, "_latest.*").select(*rows.columns)
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """base with the delta's rows, the latest by seq for each key."""
-    old = base.withColumn(seq, F.lit(-1).cast(delta.schema[seq].dataType))
-    return latest(old.unionByName(delta.select(*old.columns)), keys, [seq]).drop(seq)
+    """base, which has a row for each key, with the delta's rows in place of those of their keys, the latest by seq of each. The
+    base passes through one anti join, so a small delta's keys are broadcast and the base is not shuffled."""
+    new = latest(delta.select(*base.columns, seq), keys, [seq]).drop(seq)
+    return base.join(new.select(*keys), keys, "left_anti").select(*base.columns).unionByName(new)
 
 
 def insert_ignore(base: DataFrame, delta: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
@@ -39,10 +40,12 @@ def provenance(base: DataFrame, seen: DataFrame) -> DataFrame:
     """Where articles were seen: article_sources with sightings (the same columns, seen_at and seq) merged in.
 
     The feed, the URL and last_seen_at are the latest; guid, language, country and categories the last that are not blank;
-    first_seen_at stays.
+    first_seen_at stays. Rows that no sighting touches pass through unchanged.
     """
     keys = ["article_id", "rss_source_id", "canonical_url"]
-    old = base.withColumns({"seq": F.lit(-1).cast("long"), "first": F.col("first_seen_at"), "last": F.col("last_seen_at")}).drop("first_seen_at", "last_seen_at")
+    touched = seen.select(*keys).distinct()
+    same = base.join(touched, keys, "left_anti").select(*base.columns)
+    old = base.join(touched, keys, "left_semi").select(*base.columns).withColumns({"seq": F.lit(-1).cast("long"), "first": F.col("first_seen_at"), "last": F.col("last_seen_at")}).drop("first_seen_at", "last_seen_at")
     new = seen.withColumns({"seq": F.col("seq").cast("long"), "first": F.col("seen_at"), "last": F.col("seen_at")}).drop("seen_at")
     both = old.unionByName(new.select(*old.columns))
     last = lambda c, ok: F.max_by(F.when(ok, F.col(c)), F.when(ok, F.col("seq"))).alias(c)
@@ -52,7 +55,7 @@ def provenance(base: DataFrame, seen: DataFrame) -> DataFrame:
         last("feed_url", always), last("observed_url", always), text("guid"), text("language"), text("country"), last("categories", F.size("categories") > 0), F.min_by("first", "seq").alias("first_seen_at"), F.max_by("last", "seq").alias("last_seen_at")
     )
     filled = {c: F.coalesce(F.col(c), F.lit("")) for c in ("guid", "language", "country")} | {"categories": F.coalesce("categories", F.array().cast("array<string>"))}
-    return out.withColumns(filled).select(*base.columns)
+    return same.unionByName(out.withColumns(filled).select(*base.columns))
 
 
 def advanced_cursors(cursors: DataFrame, pairs: DataFrame, at: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import dates, rules
 from quillstream.operators import enrich, report
-from quillstream.operators.config import page
+from quillstream.operators.config import checked_category, checked_days, page
 from quillstream.sources.tables import Tables
 
 COUNTS = ("hit_count", "reviewed_count", "business_relevant_count", "relevant_count")
@@ -52,7 +52,7 @@ def keyword_hit_stats(t: Tables, **rule) -> DataFrame:
 def category_hit_stats(t: Tables, **rule) -> DataFrame:
     """Each active category, and one row for active keywords without one; articles that several keywords hit count once."""
     rows = hits(t, **rule).where("active = 1")
-    keys = rows.groupBy("category_id").agg(F.count_distinct("keyword_id").alias("keyword_count"))
+    keys = t["keywords"].where("archived = 0 and active = 1").groupBy("category_id").agg(F.count_distinct("id").alias("keyword_count"))
     counted = _counted(rows, "category_id").withColumnRenamed("category_id", "_c").join(keys.withColumnRenamed("category_id", "_k"), F.expr("_c <=> _k"), "left").drop("_k")
     named = t["keyword_categories"].where("active = 1").select(F.col("id").alias("category_id"), F.col("name").alias("category_name"), "sort_order")
     spark = named.sparkSession
@@ -63,7 +63,8 @@ def category_hit_stats(t: Tables, **rule) -> DataFrame:
 
 def overall_hit_rate(t: Tables, **rule) -> DataFrame:
     rows = hits(t, **rule).where("active = 1")
-    return with_rates(_counted(rows).crossJoin(rows.agg(F.count_distinct("keyword_id").alias("keyword_count"))))
+    keys = t["keywords"].where("archived = 0 and active = 1").agg(F.count_distinct("id").alias("keyword_count"))
+    return with_rates(_counted(rows).crossJoin(keys))
 
 
 def funnel(t: Tables, now: Column) -> DataFrame:
@@ -86,6 +87,7 @@ def search(t: Tables, q: str = "", keyword_id: int | None = None, source_id: int
     """Articles, newest first, with where they were seen and what they matched; or how many there are. The text is sought in
     title, summary, publisher and URL, and its % and _ stay wildcards."""
     limit, offset = page(limit, offset)
+    checked_days(day_from, day_to)
     a = t["articles"]
     conditions: list[Column] = []
     if q:
@@ -150,6 +152,7 @@ def content_failures(t: Tables, now: Column, limit: int = 100, offset: int = 0)
 def reviews(t: Tables, relevant: bool | None = None, day_from: str | None = None, day_to: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Reviews that hold, the latest first."""
     limit, offset = page(limit, offset)
+    checked_days(day_from, day_to)
     c = t["article_contents"].where("status = 'success'").select("article_id", "content_hash", "final_url", "content_chars", "fetched_at")
     rows = t["article_relevance_reviews"].where("status = 'success'").join(c, ["article_id", "content_hash"]).join(t["articles"].select(F.col("id").alias("article_id"), "title", "url", "publisher", "published_at"), "article_id")
     if relevant is not None:
@@ -157,8 +160,11 @@ def reviews(t: Tables, relevant: bool | None = None, day_from: str | None = None
     return _days(rows, day_from, day_to).orderBy(F.desc("reviewed_at"), F.desc("article_id")).offset(offset).limit(limit)
 
 
-def business_articles(t: Tables, category: str = "", day_from: str | None = None, day_to: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def business_articles(t: Tables, category: str = "", day_from: str | None = None, day_to: str | None = None, limit: int = 50, offset: int = 0, codes: tuple[str, ...] = ()) -> DataFrame:
+    """Accepted articles, the newest first; a category must be one of the codes, if these are given."""
     limit, offset = page(limit, offset)
+    checked_category(category, codes)
+    checked_days(day_from, day_to)
     rows = report.accepted(t)
     if category:
         rows = rows.where(F.col("category") == category)

@@ -6,49 +6,21 @@ arriving items, orders and lineitem are runs and their details, pages are crawle
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.functions import dates, rules, text, urls
 from quillstream.operators import collect, dedup, enrich, merge, report, retention
 from quillstream.plans import read_models as q
+from quillstream.plans.catalog import NOW, ORACLES, QUERIES, now, query, read, stamp  # noqa: F401
 from quillstream.sources import page, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-NOW = "2024-02-01 00:00:00"
-
 # A strategy list: id, name, category, term, active.
 KEYWORDS = [(1, "licence", 1, "license", 1), (2, "apache", 1, "apache", 1), (3, "german", 2, " der ", 1), (4, "secret", 2, "password", 1), (5, "token", None, "token", 1), (6, "french", None, " que ", 0)]
 CATEGORIES = [(1, "Licences", 1, 1), (2, "Signals", 2, 1), (3, "Idle", 3, 1)]
 RULE = {"named": {"Signals": "toxic"}, "new_versions": ("v2",)}
 
 
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _now():
-    return F.lit(NOW).cast("timestamp")
-
-
-def _stamp(c) -> F.Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-
-
 def _aligned(df: DataFrame, name: str) -> DataFrame:
     return tables.aligned(df, name)
 
@@ -61,15 +33,15 @@ def _config(spark: SparkSession) -> tables.Tables:
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
     """(article_id, keyword_id, matched_terms): the strategies' terms in the documents. Strategies are configuration of a few
-    rows, so each text is read once and tested against all of them."""
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text")
-    k = spark.createDataFrame(KEYWORDS, "keyword_id long, name string, category_id long, term string, active int").select("keyword_id", "term")
-    low = docs.select("article_id", F.lower("text").alias("low"))
-    return low.join(F.broadcast(k), F.contains(F.col("low"), F.col("term"))).select("article_id", "keyword_id", F.array("term").alias("matched_terms"))
+    rows, so each text is read and lowered once and tested against all of them where it lies, without a join."""
+    own = F.array(*[F.struct(F.lit(k).cast("long").alias("id"), F.lit(term).alias("term")) for k, _, _, term, _ in KEYWORDS])
+    low = read(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.lower("text").alias("low"))
+    hits = low.select("article_id", F.explode(F.filter(own, lambda k: F.contains(F.col("low"), k["term"]))).alias("k"))
+    return hits.select("article_id", F.col("k.id").alias("keyword_id"), F.array("k.term").alias("matched_terms"))
 
 
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
-    return _aligned(_t(spark, d, "labels").select(F.col("doc_id").alias("article_id"), F.lit("success").alias("status"), F.col("quality").alias("is_relevant"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("category"), F.array().cast("array<string>").alias("secondary_categories"), F.array().cast("array<string>").alias("keyword_categories"), F.lit("v1").alias("prompt_version")), "article_relevance_reviews")
+    return _aligned(read(spark, d, "labels").select(F.col("doc_id").alias("article_id"), F.lit("success").alias("status"), F.col("quality").alias("is_relevant"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("category"), F.array().cast("array<string>").alias("secondary_categories"), F.array().cast("array<string>").alias("keyword_categories"), F.lit("v1").alias("prompt_version")), "article_relevance_reviews")
 
 
 def _hit_tables(spark: SparkSession, d: str) -> tables.Tables:
@@ -108,7 +80,7 @@ def overall_hit_rate(spark, d):
 
 
 def _star_tables(spark: SparkSession, d: str) -> tables.Tables:
-    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
     n, own = F.col("doc_id"), F.sha2("text", 256)
     a = docs.select(n.alias("id"), F.lit("t").alias("title"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=n.cast("int"))).alias("published_at"))
     failed = F.col("n_chars") % 7 == 0
@@ -139,7 +111,7 @@ w AS (SELECT *, coalesce(ic_id IS NULL OR (ic_status = 'failed' AND is_terminal
  count_if(ic_status = 'success' AND rr_status = 'failed' AND rr_fresh) AS review_failed, count_if(ic_status = 'success' AND analysis_status = 'success' AND ba_fresh) AS analyzed, count_if(ic_status = 'success' AND analysis_status = 'failed' AND ba_fresh) AS analysis_failed FROM w)
  SELECT *, content_failed + review_failed + analysis_failed AS failed FROM f""")
 def pipeline_funnel(spark, d):
-    return q.funnel(_star_tables(spark, d), _now())
+    return q.funnel(_star_tables(spark, d), now())
 
 
 _QUEUE = f"{_STAR} SELECT id AS article_id, CASE WHEN ic_id IS NULL THEN 0 WHEN ic_status = 'success' THEN 1 ELSE 2 END AS rank, published_at FROM w WHERE candidate"
@@ -147,17 +119,17 @@ _QUEUE = f"{_STAR} SELECT id AS article_id, CASE WHEN ic_id IS NULL THEN 0 WHEN
 
 @query("candidate_queue", f"SELECT article_id, rank, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published FROM ({_QUEUE}) ORDER BY rank, published_at DESC, article_id DESC LIMIT 100")
 def candidate_queue(spark, d):
-    return enrich.candidates(_star_tables(spark, d), _now(), limit=100).select("article_id", "rank", _stamp(F.col("published_at")).alias("published"))
+    return enrich.candidates(_star_tables(spark, d), now(), limit=100).select("article_id", "rank", stamp(F.col("published_at")).alias("published"))
 
 
 @query("queue_batches", f"SELECT article_id, CAST(floor((row_number() OVER (ORDER BY rank, published_at DESC, article_id DESC) - 1) / 20) AS INT) AS batch FROM ({_QUEUE})")
 def queue_batches(spark, d):
-    return enrich.batches(enrich.candidates(_star_tables(spark, d), _now()), 20).select("article_id", "batch")
+    return enrich.batches(enrich.candidates(_star_tables(spark, d), now()), 20).select("article_id", "batch")
 
 
 @query("pending_purge", f"{_STAR} SELECT 'articles' AS t, count(*) AS n FROM w WHERE NOT candidate UNION ALL SELECT 'article_contents', count(*) FROM w WHERE NOT candidate AND ic_id IS NOT NULL")
 def pending_purge(spark, d):
-    left = retention.purge_pending(_star_tables(spark, d), _now())
+    left = retention.purge_pending(_star_tables(spark, d), now())
     one = lambda n: left[n].agg(F.lit(n).alias("t"), F.count(F.lit(1)).alias("n"))
     return one("articles").unionByName(one("article_contents"))
 
@@ -165,7 +137,7 @@ def pending_purge(spark, d):
 @query("content_failures", f"""{_STAR} SELECT article_id, CASE WHEN ignored_at IS NOT NULL THEN 'ignored' WHEN is_terminal = 1 THEN 'final_failed' WHEN next_retry_at > TIMESTAMP '{NOW}' THEN 'waiting' ELSE 'retry_ready' END AS disposition
  FROM ic WHERE status = 'failed' ORDER BY CASE WHEN ignored_at IS NULL AND is_terminal = 1 THEN 0 WHEN ignored_at IS NULL THEN 1 ELSE 2 END, fetched_at DESC, article_id DESC LIMIT 100""")
 def content_failures(spark, d):
-    return q.content_failures(_star_tables(spark, d), _now()).select("article_id", "disposition")
+    return q.content_failures(_star_tables(spark, d), now()).select("article_id", "disposition")
 
 
 _DAYS = "published_at >= TIMESTAMP '2023-12-31 16:00:00' AND published_at < TIMESTAMP '2024-01-01 16:00:00'"
@@ -199,42 +171,11 @@ def matched_names(spark, d):
     return report.matched_names(t).select("article_id", F.array_join("matched_keyword_names", ",").alias("names"))
 
 
-@query("analysis_run", f"{_STAR} SELECT a.id AS article_id, ic.status AS content_status, rr.is_relevant, ba.risk_score FROM a LEFT JOIN ic ON ic.article_id = a.id LEFT JOIN rr ON rr.article_id = a.id LEFT JOIN ba ON ba.article_id = a.id WHERE a.id % 4 = 1")
-def analysis_run(spark, d):
-    rows = enrich.star(_star_tables(spark, d)).where("a.id % 4 = 1")
-    return rows.select(F.col("a.id").alias("article_id"), F.col("ic.status").alias("content_status"), "rr.is_relevant", "ba.risk_score")
-
-
-@query("analysis_run_whole", f"{_STAR} SELECT a.id AS article_id, ic.status AS content_status, rr.is_relevant, ba.risk_score FROM a LEFT JOIN ic ON ic.article_id = a.id LEFT JOIN rr ON rr.article_id = a.id LEFT JOIN ba ON ba.article_id = a.id")
-def analysis_run_whole(spark, d):
-    """A run over all articles."""
-    rows = enrich.star(_star_tables(spark, d))
-    return rows.select(F.col("a.id").alias("article_id"), F.col("ic.status").alias("content_status"), "rr.is_relevant", "ba.risk_score")
-
-
-@query("article_search", "SELECT doc_id, n_chars FROM documents WHERE text ILIKE '%licens%' OR source ILIKE '%licens%' ORDER BY doc_id DESC LIMIT 50 OFFSET 5")
-def article_search(spark, d):
-    return _t(spark, d, "documents").where(F.col("text").ilike("%licens%") | F.col("source").ilike("%licens%")).orderBy(F.desc("doc_id")).offset(5).limit(50).select("doc_id", "n_chars")
-
-
-@query("search_by_source", "SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AND source IN ('src1', 'src2', 'src3')")
-def search_by_source(spark, d):
-    toxic = _t(spark, d, "labels").where("toxic = 1").select("doc_id")
-    return _t(spark, d, "documents").where(F.col("source").isin("src1", "src2", "src3")).join(toxic, "doc_id", "left_semi").select("doc_id")
-
-
-@query("article_with_children", "SELECT o_orderkey AS id, count(*) AS n, string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS children FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
-def article_with_children(spark, d):
-    kids = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("c"))
-    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(kids, F.col("id") == F.col("l_orderkey"))
-    return rows.select("id", F.size("c").cast("long").alias("n"), F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_returnflag"])), ",").alias("children"))
-
-
 _ITEMS = "SELECT o_custkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success' ELSE 'pending' END AS status, CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderkey % 2 AS INT) END AS is_relevant FROM orders"
 
 
 def _run_items(spark, d):
-    o = _t(spark, d, "orders")
+    o = read(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "success").otherwise("pending")
     return o.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("article_id"), status.alias("status"), F.when(F.col("o_orderstatus") == "O", (F.col("o_orderkey") % 2).cast("int")).alias("is_relevant"))
 
@@ -245,39 +186,33 @@ def run_outcome(spark, d):
     return enrich.run_outcomes(_run_items(spark, d))
 
 
-@query("run_details", "SELECT o_orderkey AS run_id, c_custkey AS source_id, c_name AS source_name, n_name AS keyword_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'P'")
-def run_details(spark, d):
-    o = _t(spark, d, "orders").where("o_orderstatus = 'P'")
-    c, n = _t(spark, d, "customer"), _t(spark, d, "nation")
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("o_orderkey").alias("run_id"), F.col("c_custkey").alias("source_id"), F.col("c_name").alias("source_name"), F.col("n_name").alias("keyword_name"))
-
-
 @query("latest_runs", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders ORDER BY o_orderkey DESC LIMIT 20")
 def latest_runs(spark, d):
-    return q.runs(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))
+    return q.runs(read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))
 
 
-_LOCAL = "CAST(date_trunc('day', ts + INTERVAL 8 HOUR) AS DATE)"
-
-
-@query("daily_risk_floor", f"SELECT strftime({_LOCAL}, '%Y-%m-%d') AS day, count(*) AS articles, CAST(floor(max(value)) AS BIGINT) % 101 AS risk, CASE WHEN CAST(floor(max(value)) AS BIGINT) % 101 >= 85 THEN 'critical' WHEN CAST(floor(max(value)) AS BIGINT) % 101 >= 65 THEN 'high' WHEN CAST(floor(max(value)) AS BIGINT) % 101 >= 35 THEN 'medium' ELSE 'low' END AS level FROM events GROUP BY ALL")
-def daily_risk_floor(spark, d):
-    e = _t(spark, d, "events").withColumn("day", F.date_format(dates.local_day(F.col("ts").cast("timestamp")), "yyyy-MM-dd"))
-    g = e.groupBy("day").agg(F.count(F.lit(1)).alias("articles"), (F.floor(F.max("value")) % 101).cast("long").alias("risk"))
-    return g.withColumn("level", rules.risk_level(F.col("risk")))
 
 
 @query("risk_buckets", "SELECT CASE WHEN l_quantity >= 85 THEN 'critical' WHEN l_quantity >= 65 THEN 'high' WHEN l_quantity >= 35 THEN 'medium' ELSE 'low' END AS level, count(*) AS n FROM lineitem GROUP BY 1")
 def risk_buckets(spark, d):
-    return _t(spark, d, "lineitem").groupBy(rules.risk_level(F.col("l_quantity")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return read(spark, d, "lineitem").groupBy(rules.risk_level(F.col("l_quantity")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pairs(spark, d):
-    """Events as items: user_id % 20 is the source, the type the strategy; even sources have cursors."""
-    e = _t(spark, d, "events").select("event_id", (F.col("user_id") % 20).alias("rss_source_id"), F.col("event_type").alias("keyword"), F.col("ts").cast("timestamp").alias("published_at"), "value", "user_id")
+def _arrivals(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Events as items, and the tasks they meet: user_id % 20 is the source, the type the strategy and its term; even sources have
+    cursors."""
+    items = read(spark, d, "events").select(
+        "event_id", (F.col("user_id") % 20).alias("rss_source_id"), F.crc32("event_type").alias("keyword_id"), F.col("event_type").alias("title"), F.lit("").alias("summary"), F.col("ts").cast("timestamp").alias("published_at")
+    )
     cursor = F.when(F.col("rss_source_id") % 2 == 0, F.lit("2024-01-10").cast("timestamp"))
     start = dates.window_start(cursor, dates.lookback_start(F.lit("2024-01-20 04:00:00").cast("timestamp"), "Asia/Shanghai", F.lit(14)))
-    return e.withColumn("window_start", start)
+    tasks = items.select("rss_source_id", "keyword_id", "title").distinct().select("rss_source_id", "keyword_id", F.array("title").alias("match_terms"), F.col("title").alias("keyword"), start.alias("window_start"), F.lit("f").alias("feed_url"))
+    return items, tasks
+
+
+def _judged(spark, d) -> DataFrame:
+    items, tasks = _arrivals(spark, d)
+    return collect.judged(items, tasks, F.lit("2024-01-20 04:00:00").cast("timestamp"), True)
 
 
 _PAIRS = "SELECT event_id, user_id, user_id % 20 AS rss_source_id, event_type AS keyword, ts AS published_at, value, CASE WHEN (user_id % 20) % 2 = 0 THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2024-01-06 16:00:00' END AS window_start FROM events"
@@ -286,43 +221,38 @@ _END = "TIMESTAMP '2024-01-20 04:00:00'"
 
 @query("incremental_window", f"SELECT event_id, rss_source_id, keyword FROM ({_PAIRS}) WHERE published_at BETWEEN window_start AND {_END}")
 def incremental_window(spark, d):
-    return _pairs(spark, d).where(F.col("published_at").between(F.col("window_start"), F.lit("2024-01-20 04:00:00").cast("timestamp"))).select("event_id", "rss_source_id", "keyword")
+    return _judged(spark, d).where("outcome = 'matched'").select("event_id", "rss_source_id", "keyword")
 
 
 @query("pair_counters", f"SELECT rss_source_id, keyword, count(*) AS seen, count_if(published_at BETWEEN window_start AND {_END}) AS inside, count_if(NOT published_at BETWEEN window_start AND {_END}) AS outside FROM ({_PAIRS}) GROUP BY ALL")
 def pair_counters(spark, d):
-    inside = F.col("published_at").between(F.col("window_start"), F.lit("2024-01-20 04:00:00").cast("timestamp"))
-    return _pairs(spark, d).groupBy("rss_source_id", "keyword").agg(F.count(F.lit(1)).alias("seen"), F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"))
+    items, tasks = _arrivals(spark, d)
+    keys = ["rss_source_id", "keyword_id"]
+    seen = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("items_seen"))
+    none = spark.createDataFrame([], "rss_source_id long, keyword_id long, inserted boolean")
+    rows = collect.counters(_judged(spark, d), none, tasks, seen).join(tasks.select(*keys, "keyword"), keys)
+    return rows.select("rss_source_id", "keyword", F.col("items_seen").alias("seen"), F.col("items_matched").alias("inside"), F.col("skipped_outside_window").alias("outside"))
 
 
 @query("cursor_advance", "SELECT s AS rss_source_id, k AS keyword_id, CASE WHEN EXISTS (SELECT 1 FROM events WHERE user_id % 20 = s AND length(event_type) = k) THEN '2024-01-20 04:00:00' ELSE '2024-01-10 00:00:00' END AS at FROM (SELECT DISTINCT user_id % 20 AS s, length(event_type) AS k FROM events UNION SELECT r, 99 FROM range(10) t(r))")
 def cursor_advance(spark, d):
-    done = _t(spark, d, "events").select((F.col("user_id") % 20).alias("rss_source_id"), F.length("event_type").cast("long").alias("keyword_id")).distinct()
+    done = read(spark, d, "events").select((F.col("user_id") % 20).alias("rss_source_id"), F.length("event_type").cast("long").alias("keyword_id")).distinct()
     old = spark.range(10).select(F.col("id").alias("rss_source_id"), F.lit(99).cast("long").alias("keyword_id"), F.lit("2024-01-10").cast("timestamp").alias("last_collected_at"))
     out = merge.advanced_cursors(old, done, F.lit("2024-01-20 04:00:00"))
-    return out.select("rss_source_id", "keyword_id", _stamp(F.col("last_collected_at")).alias("at"))
+    return out.select("rss_source_id", "keyword_id", stamp(F.col("last_collected_at")).alias("at"))
 
 
 @query("run_window_start", "SELECT strftime(min(CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2024-01-06 16:00:00' END), '%Y-%m-%d %H:%M:%S') AS window_start FROM supplier")
 def run_window_start(spark, d):
-    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
     k = spark.createDataFrame([(1, 14)], "id long, lookback_days int")
     cursors = s.where("id % 2 = 0").select(F.col("id").alias("rss_source_id"), F.lit(1).cast("long").alias("keyword_id"), F.lit("2024-01-10").cast("timestamp").alias("last_collected_at"))
     rows = collect.run_window_start(_aligned(s, "rss_sources"), _aligned(k, "keywords"), cursors, F.lit("2024-01-20 04:00:00").cast("timestamp"))
-    return rows.select(_stamp(F.col("window_start")).alias("window_start"))
-
-
-@query("language_routing", """WITH k(id, terms) AS (VALUES (1, ['tariff', '关税']), (2, ['贸易']), (3, ['42'])) SELECT DISTINCT d.source, d.lang, k.id AS keyword_id, array_to_string(list_filter(k.terms, lambda t: NOT regexp_matches(t, '[㐀-鿿]')), ',') AS terms
- FROM documents d, k WHERE d.lang = 'en' AND len(list_filter(k.terms, lambda t: NOT regexp_matches(t, '[㐀-鿿]'))) > 0""")
-def language_routing(spark, d):
-    s = _t(spark, d, "documents").select("source", "lang").distinct()
-    k = spark.createDataFrame([(1, ["tariff", "关税"]), (2, ["贸易"]), (3, ["42"])], "keyword_id long, match_terms array<string>")
-    rows = s.where(F.col("lang").isin("zh", "en")).crossJoin(F.broadcast(k)).withColumn("t", text.terms_for(F.col("match_terms"), F.col("lang")))
-    return rows.where(F.size("t") > 0).select("source", "lang", F.col("keyword_id").cast("int").alias("keyword_id"), F.array_join("t", ",").alias("terms"))
+    return rows.select(stamp(F.col("window_start")).alias("window_start"))
 
 
 def _keyed(spark, d):
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.sha2("text", 256).alias("fingerprint"), F.concat(F.col("source"), F.lit("-"), F.col("n_chars")).alias("canonical_url"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.sha2("text", 256).alias("fingerprint"), F.concat(F.col("source"), F.lit("-"), F.col("n_chars")).alias("canonical_url"))
 
 
 @query("dedup_fingerprint", "SELECT doc_id AS seq, min(doc_id) OVER (PARTITION BY sha256(text)) AS leader FROM documents")
@@ -330,19 +260,19 @@ def dedup_fingerprint(spark, d):
     return dedup.first_of_key(_keyed(spark, d)).select("seq", "leader")
 
 
-@query("dedup_two_key")
+_LEADERS = """WITH RECURSIVE k AS (SELECT doc_id AS seq, dense_rank() OVER (ORDER BY sha256(text)) AS f, dense_rank() OVER (ORDER BY source || '-' || n_chars) AS u, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+s AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS leader, CAST(MAP {} AS MAP(BIGINT, BIGINT)) AS fs, CAST(MAP {} AS MAP(BIGINT, BIGINT)) AS us
+ UNION ALL SELECT k.n, k.seq, coalesce(least(fs[f], us[u]), k.seq), CASE WHEN fs[f] IS NULL AND us[u] IS NULL THEN map_concat(fs, MAP {f: k.seq}) ELSE fs END, CASE WHEN fs[f] IS NULL AND us[u] IS NULL THEN map_concat(us, MAP {u: k.seq}) ELSE us END FROM s JOIN k ON k.n = s.n + 1)
+SELECT seq, leader FROM s WHERE seq IS NOT NULL"""
+
+
+@query("dedup_two_key", _LEADERS)
 def dedup_two_key(spark, d):
     return dedup.leaders(_keyed(spark, d))
 
 
-@query("stored_matches", "WITH k AS (SELECT doc_id, sha256(text) AS f, source || '-' || n_chars AS u FROM documents), h AS (SELECT i.doc_id AS seq, s.doc_id AS article_id FROM k i JOIN k s ON s.f = i.f WHERE s.doc_id % 10 = 0 UNION ALL SELECT i.doc_id, s.doc_id FROM k i JOIN k s ON s.u = i.u WHERE s.doc_id % 10 = 0) SELECT seq, min(article_id) AS article_id FROM h GROUP BY 1")
+@query("stored_matches", "WITH k AS (SELECT doc_id, sha256(text) AS f, source || '-' || n_chars AS u FROM documents), h AS (SELECT doc_id AS seq, min(doc_id) OVER (PARTITION BY f) AS article_id FROM k WHERE f IS NOT NULL UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY u) FROM k WHERE u IS NOT NULL) SELECT seq, min(article_id) AS article_id FROM h GROUP BY 1")
 def stored_matches(spark, d):
-    k = _keyed(spark, d)
-    return dedup.stored_matches(k, k.where("seq % 10 = 0").withColumnRenamed("seq", "id"))
-
-
-@query("stored_matches_whole", "WITH k AS (SELECT doc_id, sha256(text) AS f, source || '-' || n_chars AS u FROM documents), h AS (SELECT doc_id AS seq, min(doc_id) OVER (PARTITION BY f) AS article_id FROM k WHERE f IS NOT NULL UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY u) FROM k WHERE u IS NOT NULL) SELECT seq, min(article_id) AS article_id FROM h GROUP BY 1")
-def stored_matches_whole(spark, d):
     """All documents are stored articles; each meets itself at least."""
     k = _keyed(spark, d)
     return dedup.stored_matches(k, k.withColumnRenamed("seq", "id"))
@@ -353,18 +283,18 @@ _SEEN = "SELECT event_id AS seq, user_id % 50 AS article_id, user_id % 3 AS rss_
 
 @query("provenance_merge", f"SELECT article_id, rss_source_id, canonical_url, coalesce(arg_max(guid, seq) FILTER (guid <> ''), '') AS guid, arg_max(seq, seq) AS observed, strftime(arg_min(ts, seq), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(arg_max(ts, seq), '%Y-%m-%d %H:%M:%S') AS last_seen FROM ({_SEEN}) GROUP BY 1, 2, 3")
 def provenance_merge(spark, d):
-    e = _t(spark, d, "events")
+    e = read(spark, d, "events")
     seen = e.select(
         (F.col("user_id") % 50).alias("article_id"), (F.col("user_id") % 3).alias("rss_source_id"), F.lit("f").alias("feed_url"), F.col("event_id").cast("string").alias("observed_url"), F.col("event_type").alias("canonical_url"),
         F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit("g"), F.col("event_id"))).alias("guid"), F.lit("").alias("language"), F.lit("").alias("country"), F.array().cast("array<string>").alias("categories"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").alias("seq"),
     )
     out = merge.provenance(tables.empty(spark, "article_sources"), seen)
-    return out.select("article_id", "rss_source_id", "canonical_url", "guid", F.col("observed_url").cast("long").alias("observed"), _stamp(F.col("first_seen_at")).alias("first_seen"), _stamp(F.col("last_seen_at")).alias("last_seen"))
+    return out.select("article_id", "rss_source_id", "canonical_url", "guid", F.col("observed_url").cast("long").alias("observed"), stamp(F.col("first_seen_at")).alias("first_seen"), stamp(F.col("last_seen_at")).alias("last_seen"))
 
 
 @query("upsert_latest", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def upsert_latest(spark, d):
-    e = _t(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    e = read(spark, d, "events").select("user_id", "event_type", "event_id", "value")
     old, new = e.where("event_id % 3 = 0"), e
     base = merge.latest(old, ["user_id", "event_type"], ["event_id"])
     return merge.upsert(base, new.withColumn("seq", F.col("event_id")), ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "value")
@@ -372,15 +302,15 @@ def upsert_latest(spark, d):
 
 @query("insert_ignore", "SELECT user_id, CASE WHEN min(event_id) FILTER (event_id % 5 = 0) IS NOT NULL THEN min(event_id) FILTER (event_id % 5 = 0) ELSE min(event_id) END AS event_id FROM events GROUP BY 1")
 def insert_ignore(spark, d):
-    e = _t(spark, d, "events").select("user_id", "event_id")
+    e = read(spark, d, "events").select("user_id", "event_id")
     base = e.where("event_id % 5 = 0").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
     return merge.insert_ignore(base, e.withColumn("seq", F.col("event_id")), ["user_id"], "seq")
 
 
 @query("cascade_delete", "SELECT 'runs' AS t, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'details', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def cascade_delete(spark, d):
-    o = _t(spark, d, "orders").withColumnRenamed("o_orderkey", "id")
-    t = {"collection_runs": o, "collection_run_details": _t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "run_id")}
+    o = read(spark, d, "orders").withColumnRenamed("o_orderkey", "id")
+    t = {"collection_runs": o, "collection_run_details": read(spark, d, "lineitem").withColumnRenamed("l_orderkey", "run_id")}
     left = merge.deleted(t, "collection_runs", o.where("o_orderstatus = 'F'").select("id"))
     one = lambda n, t: left[n].agg(F.lit(t).alias("t"), F.count(F.lit(1)).alias("n"))
     return one("collection_runs", "runs").unionByName(one("collection_run_details", "details"))
@@ -391,7 +321,7 @@ _RUN_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success'
 
 @query("retention_preview", f"WITH r AS (SELECT {_RUN_STATUS} AS status, o_orderdate AS moment FROM orders), c AS (SELECT count_if(moment < TIMESTAMP '1996-01-01') AS articles, count_if(status <> 'running' AND moment < TIMESTAMP '1996-01-01') AS collection_runs FROM r) SELECT 'history' AS scope, '1996-01-01' AS before, articles, collection_runs, CAST(0 AS BIGINT) AS ai_analysis_runs, CAST(0 AS BIGINT) AS daily_reports, articles + collection_runs AS total_records FROM c")
 def retention_preview(spark, d):
-    o = _t(spark, d, "orders")
+    o = read(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "success").otherwise("running")
     runs = o.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
     t = {"articles": _aligned(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("published_at")), "articles"), "collection_runs": _aligned(runs, "collection_runs")}
@@ -404,12 +334,12 @@ _PARTS = r"regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?',
 @query("url_canonical", f"""WITH p AS (SELECT page_id, {_PARTS} AS u FROM pages), f AS (SELECT page_id, u, list_filter(string_split(u.query, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(string_split(x, '=')[1]) NOT IN ('gclid', 'fbclid', 'mc_cid', 'mc_eid')) AS q FROM p)
  SELECT page_id, lower(u.scheme) || '://' || lower(u.host) || CASE WHEN rtrim(u.path, '/') = '' THEN '/' ELSE rtrim(u.path, '/') END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_transform(q, lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') ELSE '' END AS canonical_url FROM f""")
 def url_canonical(spark, d):
-    return _t(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url"))
+    return read(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url"))
 
 
 @query("site_key", f"SELECT page_id, regexp_replace(lower({_PARTS}.host), '^www\\.', '') AS site FROM pages")
 def site_key(spark, d):
-    return _t(spark, d, "pages").select("page_id", urls.site_key(F.col("url")).alias("site"))
+    return read(spark, d, "pages").select("page_id", urls.site_key(F.col("url")).alias("site"))
 
 
 @query("url_country", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'US' WHEN doc_id % 3 = 1 THEN upper(lang) ELSE 'GB' END AS country FROM documents")
@@ -417,17 +347,27 @@ def url_country(spark, d):
     n = F.col("doc_id")
     url = F.when(n % 3 == 0, "https://n.org/rss?q={query}&gl=us").when(n % 3 == 1, "https://n.org/rss").otherwise("https://www.trade.gov.uk/rss")
     language = F.when(n % 3 == 1, F.concat(F.lit("xx-"), F.col("lang"))).otherwise("xx")
-    return _t(spark, d, "documents").select("doc_id", urls.country(url, language).alias("country"))
+    return read(spark, d, "documents").select("doc_id", urls.country(url, language).alias("country"))
 
 
 @query("url_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE year(o_orderdate) >= 2000 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE year(o_orderdate) < 2000")
 def url_date(spark, d):
     url = F.concat(F.lit("https://n.org/"), F.date_format("o_orderdate", "yyyy/M/d"), F.lit("/title"))
-    return _t(spark, d, "orders").select("o_orderkey", F.date_format(urls.url_date(url), "yyyy-MM-dd").alias("day"))
+    return read(spark, d, "orders").select("o_orderkey", F.date_format(urls.url_date(url), "yyyy-MM-dd").alias("day"))
 
 
 def _pages(spark, d):
-    return page.read_pages(_t(spark, d, "pages").select("page_id", "url", F.col("html").alias("body")))
+    return page.read_pages(read(spark, d, "pages").select("page_id", "url", F.col("html").alias("body")), articles=False)
+
+
+_ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+_LINKS = rf"""WITH raw AS (SELECT page_id, url AS page_url, regexp_extract(url, '^[a-z]+://[^/]*') AS origin, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label, unnest(range(len(regexp_extract_all(html, '<a href="')))) AS position FROM pages),
+a AS (SELECT page_id, page_url, CAST(position AS INT) AS position, CASE WHEN contains(href, '://') THEN href ELSE origin || {_ENTITIES.format('href')} END AS url, trim(regexp_replace({_ENTITIES.format('label')}, '\s+', ' ', 'g')) AS text FROM raw),
+p AS (SELECT *, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM a),
+w AS (SELECT *, list_filter(string_split_regex(path, '[-/_.]+'), lambda x: x <> '') AS seg, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS parts FROM p),
+l AS (SELECT page_id, page_url, position, url, text, CASE WHEN regexp_matches(path, '\.({'|'.join(x[1:] for x in urls.FILE_SUFFIXES)})$') OR path IN ('', '/') OR list_has_any(seg, {list(urls.OTHER_SEGMENTS)}) OR length(text) NOT BETWEEN 6 AND 300 THEN NULL
+ ELSE 2 + CASE WHEN list_has_any(seg, {list(urls.ARTICLE_SEGMENTS)}) THEN 3 ELSE 0 END + CASE WHEN regexp_matches(path, '/20\d\d[/-]\d\d?[/-]\d\d?(/|$)') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(path, '\d\d\d\d') THEN 1 ELSE 0 END + CASE WHEN parts >= 2 THEN 1 ELSE 0 END END AS score FROM w)"""
+_CANON = "lower(regexp_extract({0}, '^([a-zA-Z]+://[^/?#]*)', 1)) || CASE WHEN rtrim(regexp_extract({0}, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract({0}, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/') END"
 
 
 @query("page_title_text", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
@@ -435,61 +375,60 @@ def page_title_text(spark, d):
     return _pages(spark, d).select("page_id", "title")
 
 
-@query("link_scores")
+@query("link_scores", f"{_LINKS} SELECT page_id, position, score FROM l")
 def link_scores(spark, d):
     return _pages(spark, d).select("page_id", F.inline("anchors")).select("page_id", "position", urls.link_score(F.col("url"), F.col("text")).alias("score"))
 
 
-@query("crawl_topk")
+_RANKED = f"""{_LINKS}, c AS (SELECT *, {_CANON.format('url')} AS canonical_url, {_CANON.format('page_url')} AS own FROM l WHERE score IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id, canonical_url ORDER BY position) AS nth FROM c WHERE canonical_url <> own), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, position) AS rank FROM o WHERE nth = 1)
+ SELECT page_id, CAST(rank AS INT) AS rank, position, url, canonical_url, text, score FROM r WHERE rank <= 60"""
+
+
+@query("crawl_topk", _RANKED)
 def crawl_topk(spark, d):
     return page.ranked_links(_pages(spark, d))
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash, length(text) AS content_chars FROM documents")
 def content_hash(spark, d):
-    return _t(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), F.length("text").cast("long").alias("content_chars"))
+    return read(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), F.length("text").cast("long").alias("content_chars"))
 
 
 @query("text_normalize", r"SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split_regex(text, '\r\n|\n|\r'), lambda x: trim(regexp_replace(x, '[\s\p{Z}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS normalized FROM documents")
 def text_normalize(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.sha2(text.normalize_full_text(F.col("text")), 256).alias("normalized"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(text.normalize_full_text(F.col("text")), 256).alias("normalized"))
 
 
-@query("sentence_filter", r"SELECT doc_id, length(trim(array_to_string(list_filter(regexp_extract_all(text, '[^。！？!?\n]+[。！？!?]?|[。！？!?]'), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '(?i)\blicen[cs]e')), ''))) AS chars FROM documents WHERE NOT regexp_matches(text, '[。！？!?]')")
+@query("sentence_filter", r"""SELECT doc_id, length(regexp_replace(array_to_string(list_filter(regexp_extract_all(text, '[^。！？!?\n]+[。！？!?]?|[。！？!?]'), lambda x: NOT regexp_matches(x, '^[\s\p{Z}]*$') AND NOT regexp_matches(x, '(?i)\blicen[cs]e')), ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS chars FROM documents""")
 def sentence_filter(spark, d):
-    docs = _t(spark, d, "documents").where(~F.col("text").rlike("[。！？!?]"))
-    return docs.select("doc_id", F.length(text.sentences_without(F.col("text"), r"(?i)\blicen[cs]e")).cast("long").alias("chars"))
-
-
-@query("sentence_filter_whole", r"""SELECT doc_id, length(regexp_replace(array_to_string(list_filter(regexp_extract_all(text, '[^。！？!?\n]+[。！？!?]?|[。！？!?]'), lambda x: NOT regexp_matches(x, '^[\s\p{Z}]*$') AND NOT regexp_matches(x, '(?i)\blicen[cs]e')), ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS chars FROM documents""")
-def sentence_filter_whole(spark, d):
     """Over all documents, those with marks too."""
-    return _t(spark, d, "documents").select("doc_id", F.length(text.sentences_without(F.col("text"), r"(?i)\blicen[cs]e")).cast("long").alias("chars"))
+    return read(spark, d, "documents").select("doc_id", F.length(text.sentences_without(F.col("text"), r"(?i)\blicen[cs]e")).cast("long").alias("chars"))
 
 
 @query("term_normalize", "SELECT p_partkey, array_to_string(list_filter([trim(regexp_replace(replace(p_name, '\"', ' '), '\\s+', ' ', 'g')), CASE WHEN lower(p_type) <> lower(p_name) THEN p_type END], lambda x: x IS NOT NULL), '|') AS terms FROM part")
 def term_normalize(spark, d):
     terms = text.normalize_terms(F.array("p_name", F.upper("p_name"), F.lit(" "), "p_type"))
-    return _t(spark, d, "part").select("p_partkey", F.array_join(terms, "|").alias("terms"))
+    return read(spark, d, "part").select("p_partkey", F.array_join(terms, "|").alias("terms"))
 
 
 @query("list_clean", "SELECT c_custkey, array_to_string(list_distinct([substr(c_name, 1, 500)]) || CASE WHEN lower(c_mktsegment) <> lower(c_name) THEN [c_mktsegment] ELSE [] END, '|') AS items FROM customer")
 def list_clean(spark, d):
-    return _t(spark, d, "customer").select("c_custkey", F.array_join(text.clean_list(F.array(F.concat(F.lit("  "), F.col("c_name")), F.lower("c_name"), F.lit(""), "c_mktsegment")), "|").alias("items"))
+    return read(spark, d, "customer").select("c_custkey", F.array_join(text.clean_list(F.array(F.concat(F.lit("  "), F.col("c_name")), F.lower("c_name"), F.lit(""), "c_mktsegment")), "|").alias("items"))
 
 
 @query("backoff_schedule", "SELECT o_orderkey, CAST(least(1440, 5 * power(2, (o_orderkey % 12))) AS INT) AS minutes, CASE WHEN o_orderkey % 12 + 1 < 3 AND o_orderstatus <> 'F' THEN strftime(o_orderdate + to_minutes(CAST(5 * power(2, o_orderkey % 12) AS INT)), '%Y-%m-%d %H:%M:%S') END AS next_at FROM orders")
 def backoff_schedule(spark, d):
     attempt = (F.col("o_orderkey") % 12 + 1).cast("int")
     at = dates.next_retry(F.col("o_orderdate").cast("timestamp"), attempt, F.col("o_orderstatus") != "F")
-    return _t(spark, d, "orders").select("o_orderkey", dates.wait_minutes(attempt).alias("minutes"), _stamp(at).alias("next_at"))
+    return read(spark, d, "orders").select("o_orderkey", dates.wait_minutes(attempt).alias("minutes"), stamp(at).alias("next_at"))
 
 
 @query("restart_recovery", f"SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'interrupted' ELSE {_RUN_STATUS} END AS status, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'stopped' WHEN o_orderkey % 2 = 0 THEN '' ELSE 'm' END AS message FROM orders")
 def restart_recovery(spark, d):
     from quillstream.operators import recovery
 
-    o = _t(spark, d, "orders")
+    o = read(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "success").otherwise("running")
     runs = o.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("m").alias("message"))
     t = {n: tables.empty(spark, n) for n in tables.SCHEMAS} | {"collection_runs": runs}
@@ -499,14 +438,14 @@ def restart_recovery(spark, d):
 @query("review_gate", "SELECT doc_id AS article_id, CASE WHEN quality = 1 AND doc_id % 101 < 70 THEN 0 ELSE quality END AS is_relevant, CASE WHEN quality <> 1 OR doc_id % 101 < 70 THEN 'other' ELSE 'news' END AS category, CASE WHEN quality <> 1 OR doc_id % 101 < 70 THEN '' ELSE 'x' END AS secondary FROM labels")
 def review_gate(spark, d):
     none = F.array().cast("array<string>")
-    r = _t(spark, d, "labels").select(F.col("doc_id").alias("article_id"), F.col("quality").alias("is_relevant"), (F.col("doc_id") % 101).alias("relevance_score"), F.lit("news").alias("category"), F.array(F.lit("x"), F.lit("news"), F.lit("x")).alias("secondary_categories"), none.alias("keyword_categories"), F.lit("r").alias("relevance_reason"))
+    r = read(spark, d, "labels").select(F.col("doc_id").alias("article_id"), F.col("quality").alias("is_relevant"), (F.col("doc_id") % 101).alias("relevance_score"), F.lit("news").alias("category"), F.array(F.lit("x"), F.lit("news"), F.lit("x")).alias("secondary_categories"), none.alias("keyword_categories"), F.lit("r").alias("relevance_reason"))
     g = r.withColumns(rules.gated(70))
     return g.select("article_id", "is_relevant", "category", F.array_join("secondary_categories", ",").alias("secondary"))
 
 
 @query("citation_filter", "WITH c AS (SELECT l_orderkey, list_distinct(list(l_linenumber) FILTER (l_linenumber <= 3)) AS ids FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(list_sort(ids), ',') AS cited FROM c WHERE len(ids) > 0")
 def citation_filter(spark, d):
-    g = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_linenumber").cast("long"))).alias("ids"))
+    g = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_linenumber").cast("long"))).alias("ids"))
     details = F.array(F.struct(F.lit("t").alias("title"), F.lit("c").alias("content"), F.col("ids").alias("article_ids")))
     kept = g.select("l_orderkey", rules.cited_details(details, F.array(*[F.lit(n).cast("long") for n in (1, 2, 3)])).alias("d")).where(F.size("d") > 0)
     return kept.select("l_orderkey", F.array_join(F.element_at("d", 1)["article_ids"], ",").alias("cited"))
@@ -515,47 +454,32 @@ def citation_filter(spark, d):
 @query("search_expression", """SELECT doc_id, '("' || lang || '"OR"' || source || '")AND("news")-"ads"when:' || (1 + doc_id % 365) || 'd' AS expression FROM documents""")
 def search_expression(spark, d):
     e = text.search_expression(F.array("lang", "source", F.upper("lang")), F.array(F.lit(' "news" ')), F.array(F.lit("ads")), (F.col("doc_id") % 365 + 1).cast("int"))
-    return _t(spark, d, "documents").select("doc_id", e.alias("expression"))
+    return read(spark, d, "documents").select("doc_id", e.alias("expression"))
 
 
 @query("feed_url", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'https://s.org/?q=site%3A' || source || '.org+%22' || lang || '%22' ELSE 'https://s.org/?q={query}' END AS url FROM documents")
 def feed_url(spark, d):
     n = F.col("doc_id")
     url = urls.feed_url(F.lit("https://s.org/?q={query}"), F.when(n % 2 == 0, "search").otherwise("direct"), F.concat(F.lit('"'), F.col("lang"), F.lit('"')), F.concat(F.col("source"), F.lit(".org")))
-    return _t(spark, d, "documents").select("doc_id", url.alias("url"))
+    return read(spark, d, "documents").select("doc_id", url.alias("url"))
 
 
 @query("json_repair", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment ELSE '' END AS items FROM customer")
 def json_repair(spark, d):
     raw = F.when(F.col("c_custkey") % 3 == 0, F.to_json(F.array("c_mktsegment"))).when(F.col("c_custkey") % 3 == 1, "broken[")
-    return _t(spark, d, "customer").select("c_custkey", F.array_join(rules.json_list(raw), ",").alias("items"))
+    return read(spark, d, "customer").select("c_custkey", F.array_join(rules.json_list(raw), ",").alias("items"))
 
 
 @query("failure_classes", "SELECT s AS status, s IN (403, 408, 425, 429) OR s >= 500 AS fetch, s IN (408, 409, 425, 429) OR s >= 500 AS scorer FROM (SELECT DISTINCT 400 + o_orderkey % 130 AS s FROM orders)")
 def failure_classes(spark, d):
-    s = _t(spark, d, "orders").select((F.col("o_orderkey") % 130 + 400).alias("status")).distinct()
+    s = read(spark, d, "orders").select((F.col("o_orderkey") % 130 + 400).alias("status")).distinct()
     return s.select("status", rules.retryable(F.col("status")).alias("fetch"), rules.retryable(F.col("status"), "scorer").alias("scorer"))
 
 
-@query("source_groups", "SELECT lang, source, n FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2 UNION ALL SELECT NULL, NULL, count(*) FROM documents WHERE source IS NULL)")
-def source_groups(spark, d):
-    docs = _t(spark, d, "documents")
-    named = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    none = docs.where(F.col("source").isNull()).agg(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.count(F.lit(1)).alias("n"))
-    return named.unionByName(none)
-
-
 @query("numbered_ids", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) + 1000 AS id FROM documents")
 def numbered_ids(spark, d):
     base = spark.createDataFrame([(1000,)], "id long")
-    return merge.next_ids(base, _t(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "id")
-
-
-def ranked(df: DataFrame, by: str, order: list, most: int) -> DataFrame:
-    """The first rows of each group."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    return merge.next_ids(base, read(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "id")
 
 
-@query("top_of_source", "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 3")
-def top_of_source(spark, d):
-    return ranked(_t(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", [F.desc("n_chars"), "doc_id"], 3)
+from quillstream.plans import function_queries, state_queries  # noqa: E402,F401  they register theirs

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import html
+import itertools
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quillstream.functions.dates import parse_instant
 from quillstream.functions.text import category_names, plain_text, publisher_name
-from quillstream.sources.tables import ITEM
+from quillstream.sources.tables import ITEM, arrow_fields
 
 # Names of the elements that hold each field.
 SUMMARY = ("description", "summary", "content", "encoded")
@@ -20,64 +21,65 @@ PUBLISHER = ("source", "author", "creator")
 DATE = ("pubDate", "published", "updated", "date")
 
 
-def _name(tag) -> str:
-    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
-
-
-def first_text(entry: ET.Element, names: tuple[str, ...]) -> str:
-    """Text of the first child, in document order, that has one of the names and is not blank."""
-    texts = (" ".join("".join(child.itertext()).split()) for child in entry if _name(child.tag) in names)
-    return next((t for t in texts if t), "")
-
-
-def _link(entry: ET.Element) -> str:
-    """The first alternate href; without any, the first link that is text."""
-    links = [child for child in entry if _name(child.tag) == "link"]
-    hrefs = ((x.get("href", "").strip(), x.get("rel", "alternate")) for x in links)
-    href = next((h for h, rel in hrefs if h and rel in ("alternate", "")), "")
-    return href or next((x.text.strip() for x in links if x.text), "")
-
-
-def items(body: bytes) -> Iterator[dict]:
-    """Items with a title and a link; undated ones stay, to be counted later."""
-    for entry in ET.fromstring(body).iter():
-        if _name(entry.tag) not in ("item", "entry"):
-            continue
-        title, link = plain_text(first_text(entry, ("title",))), _link(entry)
-        if not title or not link:
-            continue
-        labels = [plain_text(c.get("term") or c.get("label") or c.text or "") for c in entry if _name(c.tag) == "category"]
-        yield {
-            "title": title,
-            "url": html.unescape(link),
-            "publisher": publisher_name(plain_text(first_text(entry, PUBLISHER))),
-            "summary": plain_text(first_text(entry, SUMMARY)),
-            "published_at": parse_instant(first_text(entry, DATE)),
-            "guid": plain_text(first_text(entry, ("guid", "id"))),
-            "categories": category_names(labels),
+class Entry:
+    """An item or entry of a feed: its children by local name, in the order of the document."""
+
+    def __init__(self, node: ET.Element):
+        self.children = [(c.tag.rpartition("}")[2], c) for c in node if isinstance(c.tag, str)]
+
+    def named(self, *names: str) -> Iterator[ET.Element]:
+        return (c for name, c in self.children if name in names)
+
+    def text(self, *names: str) -> str:
+        """Text of the first child, in document order, that has one of the names and is not blank."""
+        return next(filter(None, (" ".join("".join(c.itertext()).split()) for c in self.named(*names))), "")
+
+    def link(self) -> str:
+        """The first alternate href; without any, the first link that is text."""
+        alternate = (c.get("href", "").strip() for c in self.named("link") if c.get("rel", "alternate") in ("alternate", ""))
+        written = ((c.text or "").strip() for c in self.named("link"))
+        return html.unescape(next(filter(None, itertools.chain(alternate, written)), ""))
+
+    def item(self) -> dict | None:
+        """The item's fields; None without a title or a link. An undated one stays, to be counted later."""
+        item = {"title": plain_text(self.text("title")), "url": self.link()}
+        if not all(item.values()):
+            return None
+        labels = (c.get("term") or c.get("label") or c.text for c in self.named("category"))
+        return item | {
+            "publisher": publisher_name(plain_text(self.text(*PUBLISHER))),
+            "summary": plain_text(self.text(*SUMMARY)),
+            "published_at": parse_instant(self.text(*DATE)),
+            "guid": plain_text(self.text("guid", "id")),
+            "categories": category_names([plain_text(x) for x in labels]),
         }
 
 
+def items(body: bytes) -> list[dict]:
+    """The items of a feed in order; raises ET.ParseError for what is no XML."""
+    found = (Entry(n).item() for n in ET.fromstring(body).iter() if isinstance(n.tag, str) and n.tag.rpartition("}")[2] in ("item", "entry"))
+    return [x for x in found if x]
+
+
 def parse_feeds(df: DataFrame, body: str = "body") -> DataFrame:
     """All columns but the body, and for each item position and the item's fields; a body that is no XML gives one row
-    with position null and its error."""
-    keep = [f for f in df.schema.fields if f.name != body]
+    with position null and its error. The other columns stay in Arrow, so none of their values changes."""
     extra = T._parse_datatype_string(f"position int, {ITEM}, error string")  # noqa: SLF001
-    schema = T.StructType([*keep, *extra.fields])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                raw = r.pop(body)
-                none = dict.fromkeys(schema.names) | r
+    others = [c for c in df.columns if c != body]
+    schema = T.StructType([*(df.schema[c] for c in others), *extra.fields])
+    kinds = [pa.int32(), *arrow_fields(ITEM), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, raw in enumerate(b.column(body).to_pylist()):
                 try:
-                    rows += [none | {"position": i, **x} for i, x in enumerate(items(bytes(raw or b"")))]
+                    found = [x | {"position": k} for k, x in enumerate(items(bytes(raw or b"")))]
                 except ET.ParseError as e:
-                    rows.append(none | {"error": str(e)})
-            out = pd.DataFrame(rows, columns=schema.names)
-            out["published_at"] = pd.to_datetime(out["published_at"], utc=True).dt.tz_localize(None)
-            out["position"] = out["position"].astype("Int32")
-            yield out
+                    found = [{"error": str(e)}]
+                at += [i] * len(found)
+                rows += found
+            kept = [b.column(c).take(pa.array(at, pa.int64())) for c in others]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array([r.get(f.name) for r in rows], k) for f, k in zip(extra.fields, kinds, strict=True))], schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,9 +19,8 @@ from pyspark.sql import types as T
 
 from quillstream.functions import urls
 from quillstream.functions.dates import parse_instant
-from quillstream.functions.urls import canonical
 from quillstream.functions.text import category_names, plain_text, publisher_name
-from quillstream.sources.tables import ITEM
+from quillstream.sources.tables import ITEM, arrow_fields
 
 # JSON-LD types that are articles, and metadata names of each field in order of preference.
 ARTICLE_TYPES = {"article", "blogposting", "newsarticle", "report"}
@@ -169,71 +169,86 @@ def linked_articles(page: Page, page_url: str, publisher: str) -> list[dict]:
     return out
 
 
-def url_instant(url: str):
-    found = re.search(r"/(20\d{2})[/-](0?[1-9]|1[0-2])[/-](0?[1-9]|[12]\d|3[01])(?:/|$)", re.sub(r"^[a-z]+://[^/]*|[?#].*$", "", url, flags=re.IGNORECASE))
-    return parse_instant(f"{found[1]}-{int(found[2]):02}-{int(found[3]):02}") if found else None
-
-
-def article(page: Page, url: str, publisher: str = "") -> dict | None:
-    """The page's own article: the JSON-LD article of its URL, else the only one there is, else what its metadata, heading
-    and times say; none without a title or a date."""
-    linked = linked_articles(page, url, publisher)
-    own = next((x for x in linked if canonical(x["url"]) == canonical(url)), linked[0] if len(linked) == 1 else None)
-    if own:
-        return own
+def described(page: Page, url: str, publisher: str = "") -> dict | None:
+    """The page's own article by its metadata, heading and times; none without a title. Its date may be missing."""
     title = plain_text(page.first(TITLE_META) or page.heading or page.title)
-    dates = (parse_instant(v) for v in (page.first(DATE_META), *page.times))
-    date = next((d for d in dates if d), None) or url_instant(url)
-    if not title or not date:
+    if not title:
         return None
-    return {"title": title, "url": url, "publisher": publisher_name(page.first(PUBLISHER_META) or publisher), "summary": plain_text(page.first(SUMMARY_META)), "published_at": date, "guid": url, "categories": category_names([page.first(SECTION_META)])}
+    dates = (parse_instant(v) for v in (page.first(DATE_META), *page.times))
+    return {"title": title, "url": url, "publisher": publisher_name(page.first(PUBLISHER_META) or publisher), "summary": plain_text(page.first(SUMMARY_META)), "published_at": next((d for d in dates if d), None), "guid": url, "categories": category_names([page.first(SECTION_META)])}
 
 
+_NAMES = [f.split(" ")[0] for f in ITEM.split(", ")]
 _ITEM = T.StructType([T.StructField(n, T.TimestampType() if k == "timestamp" else T.ArrayType(T.StringType()) if k.startswith("array") else T.StringType()) for n, k in (f.split(" ") for f in ITEM.split(", "))])
 _ANCHORS = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())]))
+_ARROW_ITEM = pa.struct(list(zip(_NAMES, arrow_fields(ITEM), strict=True)))
+_ARROW = {
+    "url": pa.string(), "title": pa.string(), "heading": pa.string(), "meta": pa.map_(pa.string(), pa.string()), "base": pa.string(),
+    "linked": pa.list_(_ARROW_ITEM), "described": _ARROW_ITEM, "anchors": pa.list_(pa.struct([("position", pa.int32()), ("url", pa.string()), ("text", pa.string())])),
+}
+
+
+def own_article(url: Column, linked: Column, told: Column) -> Column:
+    """The page's own article: the JSON-LD article of its URL, else the only one there is, else what the page says of itself,
+    dated by its URL where it names no date; null without any date."""
+    same = F.get(F.filter(linked, lambda x: urls.canonical_url(x["url"]) == urls.canonical_url(url)), F.lit(0))
+    by_path = F.to_utc_timestamp(urls.url_date(url).cast("timestamp"), F.current_timezone())
+    dated = F.when(told.isNotNull(), told.withField("published_at", F.coalesce(told["published_at"], by_path)))
+    return F.coalesce(same, F.when(F.size(linked) == 1, F.get(linked, F.lit(0))), F.when(dated["published_at"].isNotNull(), dated))
+
+
+def read_pages(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "body", publisher: str | None = None, articles: bool = True) -> DataFrame:
+    """(key, url, title, heading, meta, base, linked: its JSON-LD articles, own: its own article or null, anchors) of
+    each page; body is binary or text. Links are absolute against the page's base where that is on its site. Without
+    ``articles`` linked is empty and own null, and nothing is spent on them. Keys stay in Arrow, so none of them changes."""
+    told = T._parse_datatype_string("url string, title string, heading string, meta map<string,string>, base string").fields  # noqa: SLF001
+    schema = T.StructType([df.schema[key], *told, T.StructField("linked", T.ArrayType(_ITEM)), T.StructField("described", _ITEM), T.StructField("anchors", _ANCHORS)])
+    taken = df.select(key, F.coalesce(F.col(url), F.lit("")), F.col(body), F.coalesce(F.col(publisher), F.lit("")) if publisher else F.lit(""))
+
+    def absolute(base: str, href: str) -> str | None:
+        try:
+            return urljoin(base, href)
+        except ValueError:
+            return None
+
+    def row(u: str, b, who: str) -> dict:
+        page = Page(b if isinstance(b, str) else decoded(bytes(b or b"")))
+        base = absolute(u, page.base) or u if page.base else u
+        base = base if site(base) and site(base) == site(u) else u
+        links = ((i, absolute(base, html.unescape(href)), text) for i, (href, text) in enumerate(page.anchors))
+        return {
+            "url": u, "title": page.title, "heading": page.heading, "meta": list(page.meta.items()), "base": base,
+            "linked": linked_articles(page, u, who) if articles else [], "described": described(page, u, who) if articles else None,
+            "anchors": [{"position": i, "url": link, "text": text} for i, link, text in links if link is not None],
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [row(*x) for x in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[n] for r in rows], k) for n, k in _ARROW.items())], schema.names)
+
+    pages = taken.mapInArrow(run, schema)
+    own = own_article(F.col("url"), F.col("linked"), F.col("described")) if articles else F.col("described")
+    return pages.select(key, *[f.name for f in told], "linked", own.alias("own"), "anchors")
 
 
-def read_pages(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "body", publisher: str | None = None) -> DataFrame:
-    """(key, url, title, heading, meta, linked: its JSON-LD articles, own: its own article or null, base, anchors) of
-    each page; body is binary or text. Links are absolute against the page's base where that is on its site."""
-    schema = T.StructType([df.schema[key], *T._parse_datatype_string("url string, title string, heading string, meta map<string,string>, base string").fields, T.StructField("linked", T.ArrayType(_ITEM)), T.StructField("own", _ITEM), T.StructField("anchors", _ANCHORS)])  # noqa: SLF001
-    taken = df.select(key, F.col(url).alias("url"), F.col(body).alias("body"), (F.col(publisher) if publisher else F.lit("")).alias("who"))
-
-    def site(u: str) -> str:
-        found = re.match(r"[a-z]+://(?:[^/@]*@)?([^/:?#]*)", u, re.IGNORECASE)
-        return re.sub(r"^www\.", "", (found[1] if found else "").casefold())
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, u, b, who in pdf.itertuples(index=False):
-                u = u or ""
-                page = Page(b if isinstance(b, str) else decoded(bytes(b or b"")))
-                base = urljoin(u, page.base) if page.base else u
-                base = base if site(base) and site(base) == site(u) else u
-                anchors = []
-                for i, (href, text) in enumerate(page.anchors):
-                    try:
-                        anchors.append({"position": i, "url": urljoin(base, html.unescape(href)), "text": text})
-                    except ValueError:
-                        continue
-                rows.append((k, u, page.title, page.heading, page.meta, base, linked_articles(page, base, who), article(page, u, who), anchors))
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return taken.mapInPandas(run, schema)
+def site(url: str) -> str:
+    """The site of a URL: its host without port and without one leading www."""
+    found = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)", url, re.IGNORECASE)
+    return re.sub(r"^www\.", "", (found[1] if found else "").casefold())
 
 
 def ranked_links(pages: DataFrame, key: str = "page_id", most: int = 2 * MOST_ARTICLES) -> DataFrame:
     """Links of each page worth fetching, best score first: on its site, not itself, one of each canonical URL.
-    Returns (key, rank, position, url, canonical_url, text, score). The links of one page rank within the page."""
-    a = pages.select(key, F.col("url").alias("page_url"), "base", F.inline("anchors"))
-    a = a.where(F.lower(F.try_parse_url("url", F.lit("PROTOCOL"))).isin("http", "https") & urls.same_site(F.col("base"), F.col("url")))
-    a = a.withColumn("canonical_url", urls.canonical_url(F.col("url"))).withColumn("score", urls.link_score(F.col("url"), F.col("text")))
-    a = a.where(F.col("score").isNotNull() & (F.col("canonical_url") != urls.canonical_url(F.col("page_url"))))
-    first = F.row_number().over(W.partitionBy(key, "canonical_url").orderBy("position"))
-    a = a.withColumn("nth", first).where("nth = 1")
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "position"))
-    return a.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "rank", "position", "url", "canonical_url", "text", "score")
+    Returns (key, rank, position, url, canonical_url, text, score). A page's links rank within its row: nothing is shuffled."""
+    link = lambda a: F.struct((-urls.link_score(a["url"], a["text"])).alias("order"), a["position"].alias("position"), a["url"].alias("url"), urls.canonical_url(a["url"]).alias("canonical_url"), a["text"].alias("text"))
+    near = F.filter("anchors", lambda a: urls.scheme(a["url"]).isin("http", "https") & urls.same_site(F.col("base"), a["url"]))
+    rows = pages.select(key, urls.canonical_url(F.col("url")).alias("own"), F.filter(F.transform(near, link), lambda x: x["order"].isNotNull()).alias("links"))
+    rows = rows.select(key, F.filter("links", lambda x: x["canonical_url"] != F.col("own")).alias("links"))
+    rows = rows.select(key, "links", F.transform("links", lambda x: x["canonical_url"]).alias("seen"))
+    first = F.filter("links", lambda x, i: F.array_position("seen", x["canonical_url"]) == i + 1)
+    ranked = rows.select(key, F.posexplode(F.slice(F.array_sort(first), 1, most)).alias("nth", "x"))
+    return ranked.select(key, (F.col("nth") + 1).alias("rank"), "x.position", "x.url", "x.canonical_url", "x.text", (-F.col("x.order")).alias("score"))
 
 
 def crawl(pages: DataFrame, fetched: DataFrame, key: str = "page_id", most: int = MOST_ARTICLES) -> DataFrame:
@@ -247,7 +262,7 @@ def crawl(pages: DataFrame, fetched: DataFrame, key: str = "page_id", most: int
     links = ranked_links(pages, key).join(fetched.where("own is not null").select("url", F.col("own").alias("item")), "url")
     linked = links.join(pages.select(key, F.col("url").alias("page_url")), key).select(key, "page_url", F.col("rank").alias("pos"), "item", F.lit(2).alias("step"))
     rows = listed.unionByName(own).unionByName(linked)
-    rows = rows.where(F.lower(F.try_parse_url("item.url", F.lit("PROTOCOL"))).isin("http", "https") & urls.same_site(F.col("page_url"), F.col("item.url")))
+    rows = rows.where(urls.scheme(F.col("item.url")).isin("http", "https") & urls.same_site(F.col("page_url"), F.col("item.url")))
     rows = rows.withColumn("canonical", urls.canonical_url(F.col("item.url")))
     once = F.row_number().over(W.partitionBy(key, "canonical").orderBy("step", "pos"))
     rows = rows.withColumn("once", once).where("once = 1")

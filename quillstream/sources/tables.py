@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,12 @@ DETAILS = T.ArrayType(T.StructType([T.StructField("title", _S), T.StructField("c
 ITEM = "title string, url string, publisher string, summary string, published_at timestamp, guid string, categories array<string>"
 
 
+def arrow_fields(ddl: str) -> list[pa.DataType]:
+    """Arrow types of a list of names and types; instants are UTC."""
+    kinds = {"timestamp": pa.timestamp("us", "UTC"), "array<string>": pa.list_(pa.string()), "string": pa.string(), "int": pa.int32()}
+    return [kinds[f.split(" ")[1]] for f in ddl.split(", ")]
+
+
 def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 

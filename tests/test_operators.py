@@ -1,8 +1,10 @@
 """Deduplication, merges and whole runs, from inline literals and against brute force."""
 
+import json
 import random
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,10 +46,18 @@ def test_leaders_are_greedy(spark):
     many = [(i, f"f{r.randrange(40)}", f"u{r.randrange(40)}") for i in range(150)]
     for items in (chain, many):
         df = spark.createDataFrame(items, "seq long, fingerprint string, canonical_url string")
-        assert {x["seq"]: x["leader"] for x in dedup.leaders(df).collect()} == brute(items)
+        for few in (0, 20, dedup.FEW):  # by rounds alone, by both, by one task
+            assert {x["seq"]: x["leader"] for x in dedup.leaders(df, few).collect()} == brute(items)
     assert dedup.leaders(df.limit(0)).count() == 0
 
 
+def test_leaders_of_a_long_chain(spark):
+    """Each item shares a key with the next, by turns: rounds alone would be as many as half the items."""
+    items = [(i, f"f{(i + 1) // 2}", f"u{i // 2}") for i in range(10_000)]
+    df = spark.createDataFrame(items, "seq long, fingerprint string, canonical_url string")
+    assert {x["seq"]: x["leader"] for x in dedup.leaders(df).collect()} == brute(items)
+
+
 def source(i, **kw):
     return {"id": i, "name": f"s{i}", "url_template": "https://n.org/?q={query}", "mode": "search", "language": "en", "country": "US", "site_domain": "", "active": 1, "archived": 0, "crawler_enabled": 0, "crawler_failures": 0} | kw
 
@@ -167,6 +177,70 @@ def test_queue_and_gate(spark):
     assert q.content_failures(gone, at()).first()["disposition"] == "ignored"
 
 
+def test_refusing_provider(spark):
+    """A reader that is refused leaves the rest of its articles pending; a failure that passes at once is tried once more."""
+
+    def reader(frames):
+        for pdf in frames:
+            kind = ["x_http_429" if i == 5 else "x_web_unavailable" if i == 2 else None for i in pdf["article_id"]]
+            again = len(pdf) == 1 and pdf["article_id"].iloc[0] == 2
+            yield pd.DataFrame({"article_id": pdf["article_id"], "requested_url": pdf["url"], "final_url": pdf["url"], "full_text": "tax is up", "http_status": 200, "content_type": "text/plain", "failure_kind": [None if again else k for k in kind], "retryable": True, "message": "m"})
+
+    asked = pd.DataFrame({"article_id": range(1, 9), "url": "u", "title": "t", "publisher": "p", "summary": "s"})
+    got = pd.concat(enrich.guarded(reader, 3)(iter([asked])))
+    assert sorted(got["article_id"]) == [1, 2, 3, 4, 5, 6] and got.loc[got["article_id"] == 2, "failure_kind"].isna().all()
+    t = tables(spark, articles=[article(i) for i in range(1, 9)])
+    out = enrich.run_queue(t, at(), 1, CODES, size=3, reader=lambda frames: reader(x for x in frames if not (x["article_id"] == 99).any()), parallelism=1, scorer=enrich.rule_scorer(("tax", "up"), "trade_tariff"))
+    status = {r["article_id"]: (r["run_id"], r["status"]) for r in out["ai_analysis_run_items"].collect()}
+    assert len(status) == 8 and {run for run, _ in status.values()} == {1, 2, 3} and status[5][1] == "failed"
+    runs = {r["id"]: r["status"] for r in out["ai_analysis_runs"].collect()}
+    assert set(runs) == {1, 2, 3} and "partial" in runs.values()
+
+
+def test_boundary(spark):
+    told = enrich.Boundary("Acme", review_note=" Not named.", analysis_note=" Not named.", paths=(("trade_tariff", "Costs."),), other_path="Somehow.", summary="An event.")
+    rows = spark.createDataFrame([(1, "Acme grew.", "trade_tariff", "Acme did. Good.", ["Acme x", "y"]), (2, "Others grew.", "trade_tariff", "Acme did。Good。", ["Acme x", "y"]), (3, None, "other", "Acme did.", ["Acme"])], "id int, full_text string, category string, relevance_reason string, evidence array<string>")
+    got = rows.withColumns(told.review()).orderBy("id").collect()
+    assert [(r["relevance_reason"], r["evidence"]) for r in got] == [("Acme did. Good.", ["Acme x", "y"]), ("Good。 Not named.", ["y"]), (" Not named.", [])]
+    a = rows.withColumnRenamed("relevance_reason", "summary").withColumns({"impact_analysis": F.col("summary"), "risk_factors": F.array("summary"), "opportunities": F.array(F.lit("z")), "recommended_actions": F.array("summary")})
+    got = a.withColumns(told.analysis()).orderBy("id").collect()
+    assert [(r["summary"], r["impact_analysis"], r["risk_factors"]) for r in got] == [("Acme did. Good.", "Acme did. Good.", ["Acme did. Good."]), ("Good。", "Good。 Not named.", ["Good。"]), ("An event.", "Somehow. Not named.", [])]
+
+
+def test_prompts(spark):
+    rows = spark.createDataFrame([(1, "t", "p", "x" * 50, "other", "r"), (2, "u", "p", None, "other", None)], "article_id long, title string, publisher string, full_text string, category string, relevance_reason string").withColumn("published_at", at())
+    got = enrich.prompt(rows, "judge", 10, "analysis", "we").orderBy("article_id").collect()
+    assert got[0]["system_prompt"] == "we\n\njudge" and json.loads(got[0]["user_prompt"]) == {"title": "t", "publisher": "p", "published_at": "2026-07-22 04:00:00", "category": "other", "relevance_reason": "r", "full_text": "x" * 10, "truncated": True}
+    inputs = rows.withColumns({"risk_score": F.when(F.col("article_id") == 1, 3).otherwise(9), "summary": F.lit("s"), "matched_keyword_names": F.array(F.lit("k"))})
+    whole = json.loads(enrich.report_prompt(inputs, "report", "2026-07-22").first()["user_prompt"])
+    assert whole["report_date"] == "2026-07-22" and [a["article_id"] for a in whole["articles"]] == [2, 1] and whole["article_count"] == 2
+    assert json.loads(enrich.report_prompt(inputs.limit(0), "report", "2026-07-22").first()["user_prompt"])["articles"] == []
+
+
+def test_settings(spark):
+    t = tables(spark, app_settings=[{"key": "ai_parallelism", "value": "4"}, {"key": "other", "value": "x"}] + [{"key": f"k{i}", "value": "v"} for i in range(1200)])
+    out = config.save_settings(t, {"ai_parallelism": 20, "crawler_enabled": True, "report_time": "23:59", "business_profile": " " + "x" * 50})
+    assert config.settings(out["app_settings"]) == config.Settings(ai_parallelism=20, crawler_enabled=True, report_time="23:59", business_profile="x" * 50)
+    assert out["app_settings"].count() == 1205
+    for bad in ({"ai_parallelism": 21}, {"ai_batch_size": 0}, {"crawler_enabled": "yes"}, {"report_time": "24:00"}, {"business_profile": "short"}, {"unheard": 1}, {"ai_batch_size": True}):
+        with pytest.raises(ValueError):
+            config.save_settings(t, bad)
+
+
+def test_list_checks(spark):
+    t = tables(spark)
+    for bad in (lambda: q.business_articles(t, category="x", codes=("y",)), lambda: q.search(t, day_from="2024-02-02", day_to="2024-02-01"), lambda: q.reviews(t, day_from="2024-02-02", day_to="2024-02-01"), lambda: q.search(t, limit=201)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_upsert_does_not_shuffle_its_base(spark):
+    base = spark.range(100_000).selectExpr("id", "cast(id as string) v")
+    delta = spark.range(5, 6).selectExpr("id", "'x' v", "1 seq")
+    plan = merge.upsert(base, delta, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_report(spark):
     ok = {"analysis_status": "success", "content_hash": "h", "category": "other"}
     t = tables(
@@ -208,7 +282,7 @@ def test_strategy_change_invalidates(spark):
     assert out["keywords"].where("id = 1").first()["query"] == '("a"OR"z")when:14d'
     with pytest.raises(ValueError):
         config.save_keyword(t, keyword(1, ["a"], category_id=9))
-    s = config.save_source(t, source(5, country="", language="en-AU", site_domain="https://a.org/x, b.org"))["rss_sources"].first()
+    s = config.save_source(t, source(5, country="", language="en-AU", site_domain="https://a.org/, b.org"))["rss_sources"].first()
     assert (s["country"], s["site_domain"]) == ("AU", "a.org OR b.org")
     assert config.Settings.read({"incremental": "false", "ai_parallelism": "99", "ai_batch_size": "x"}) == config.Settings(incremental=False, ai_parallelism=20)
 

@@ -41,8 +41,10 @@ def test_pushdown(spark):
     """The searched column reaches the scan alone, and the limit stays a top-k."""
     from quillstream.plans import registry
 
-    plan = registry.QUERIES["run_details"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "EqualTo(o_orderstatus,P)" in plan and "o_totalprice" not in plan
+    plan = registry.QUERIES["latest_runs"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "o_totalprice" not in plan
+    plan = registry.QUERIES["crawl_topk"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
     plan = registry.QUERIES["candidate_queue"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
     for name in ("dedup_two_key", "stored_matches"):
@@ -60,8 +62,8 @@ def test_whole_queries_leave_no_document_out(spark):
     from quillstream.plans import registry
 
     ids = {r[0] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
-    for name, key in (("sentence_filter_whole", "doc_id"), ("analysis_run_whole", "article_id"), ("stored_matches_whole", "seq")):
+    for name, key in (("sentence_filter", "doc_id"), ("analysis_run", "article_id"), ("stored_matches", "seq")):
         got = registry.QUERIES[name](spark, FOLDER)
         assert {r[0] for r in got.select(key).collect()} == ids, name
     # the stored side holds articles of every remainder
-    assert {r[0] % 10 for r in registry.QUERIES["stored_matches_whole"](spark, FOLDER).select("article_id").collect()} == set(range(10))
+    assert {r[0] % 10 for r in registry.QUERIES["stored_matches"](spark, FOLDER).select("article_id").collect()} == set(range(10))

@@ -22,6 +22,15 @@ def test_feeds(spark):
     assert rows[1]["published_at"] is None and rows[2]["publisher"] == "Agency" and rows[2]["categories"] == ["Law"] and rows[3]["error"]
 
 
+def test_feeds_keep_their_keys(spark):
+    """Numbers beyond 2^53 beside nulls, and clashing names, stay as they are."""
+    df = spark.createDataFrame([(9007199254740993, RSS), (None, ATOM)], "keyword_id long, body binary").withColumn("who", F.lit("w"))
+    got = feed.parse_feeds(df)
+    assert {(r["keyword_id"], r["who"], r["title"]) for r in got.collect()} == {(9007199254740993, "w", "New duty"), (9007199254740993, "w", "Undated"), (None, "w", "Rule")}
+    assert feed.parse_feeds(df.limit(0)).count() == 0
+    assert [x["url"] for x in feed.items(b"<feed><entry><title>t</title><link> </link><link>https://n.org/?a=1&amp;amp;b</link></entry></feed>")] == ["https://n.org/?a=1&b"]
+
+
 LIST = b"""<html><head><base href="https://evil.org/"><title>List</title></head><body><a href="/about">About this site</a>
 <a href="/news/2024/05/06/duty-rises">Duty rises again</a><a href="/news/2024/05/07/quota">Quota is cut in half</a><a href="https://other.org/news/1">Elsewhere today</a></body></html>"""
 META = b"""<html><head><meta property="og:title" content="Duty rises"><meta property="og:site_name" content="Wire"><meta name="description" content="d">
@@ -38,6 +47,10 @@ def test_pages(spark):
     found = page.crawl(pages.where("page_id = 1"), pages.where("page_id > 1")).orderBy("nth").collect()
     assert [(r["title"], r["publisher"], list(r["categories"])) for r in found] == [("Duty rises", "Wire", []), ("Quota", "Desk", ["Trade"])]
     assert found[0]["published_at"].isoformat() == "2024-05-06T01:00:00"
+    assert page.read_pages(spark.createDataFrame(rows, "page_id long, url string, body binary"), articles=False).where("own is not null or size(linked) > 0").count() == 0
+    odd = b'<a href="https://a_b.org/news/x|y z">A link of some length</a><a href="http://[bad">Another bad link</a>'
+    got = page.ranked_links(page.read_pages(spark.createDataFrame([(9007199254740993, "https://www.a_b.org/", odd), (2, None, None)], "page_id long, url string, body binary"))).collect()
+    assert [(r["page_id"], r["rank"], r["url"]) for r in got] == [(9007199254740993, 1, "https://a_b.org/news/x|y z")]
 
 
 def test_sniffing(spark):
