@@ -249,4 +249,4 @@ def embedding_links(vectors: DataFrame, params: EmbeddingParams = EmbeddingParam
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return embedding_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("recall")

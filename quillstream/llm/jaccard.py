@@ -8,14 +8,17 @@
 3. A group is cut into tiles by size band; a class also visits the next band, so that all sizes that may link meet. In a
    tile, two classes with differing bits d have at least d shingles that only one of them holds, which bounds the
    overlap from above. Pairs that pass join candidate clusters. A first round pairs rows that are near in size, each
-   pair once over all groups; a second compares the rest, but skips what lies in one cluster already, so large
-   groups of copies don't cost the square of their size.
+   pair once over all groups; a second compares the rest, but skips what lies in one cluster already. Groups with the
+   same smallest member, as the shingles of one passage have, meet in one tile for all of them.
 4. Clusters fetch their texts, and within size bands sorted arrays are intersected exactly; a pair that
    is connected already is not intersected again. Links then give the components.
 
+A tile, or a band of a cluster, of more than ``together`` rows is dealt in blocks over several tasks, a task for each pair of
+blocks, so no task grows with a group; the rows it sends grow with the square of such a group, divided by ``together``.
+
 Edge cases: a text with fewer words than a shingle is one shingle of the whole sequence; null, empty and wordless
-texts have the empty set and link with nothing; equal texts always link; repeated ids are one document for the
-components and keep their rows; a null id keeps its row and has no component; an empty table gives an empty
+texts have the empty set and link with nothing; equal texts always link; repeated ids, of one text or of several,
+are one document for the components and keep their rows; a null id keeps its row and has no component; an empty table gives an empty
 result; only the id and the text are read.
 """
 
@@ -43,8 +46,8 @@ class JaccardParams:
     most_cells: int = 1 << 24
     #: Rows after each one that the first round compares with.
     reach: int = 4
-    #: Rows of tiles of one passage that a shard takes together.
-    together: int = 2048
+    #: Rows of a tile, or of a band of a cluster, that are not dealt over several tasks.
+    together: int = 1024
     #: Rows (of some 20 bytes) up to which a join's side is broadcast; beyond, both sides are shuffled.
     broadcast: int = 2_000_000
     #: Bytes of text that are turned into shingles at a time.
@@ -145,7 +148,7 @@ def needed(n, percent: int):
     return -(-(percent * n) // 100)
 
 
-_SKETCH = "doc_id long, set1 long, set2 long, n long, bits binary, shard int, keys binary, sets binary"
+_SKETCH = "doc_id long, mark long, set1 long, set2 long, n long, bits binary, shard int, keys binary, sets binary"
 
 
 def _sketcher(params: JaccardParams, load, shards: int):
@@ -175,7 +178,7 @@ def _sketcher(params: JaccardParams, load, shards: int):
                 rank = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
                 keep = order[rank < (n - needed(n, params.percent) + 1)[doc]]
                 posted.append((s[keep], set1[a + doc[keep]]))
-            rows = [batch.column(0), pa.array(set1.view(np.int64)), pa.array(set2.view(np.int64)), pa.array(size), pa.array(bits, pa.binary())]
+            rows = [batch.column(0), batch.column(2), pa.array(set1.view(np.int64)), pa.array(set2.view(np.int64)), pa.array(size), pa.array(bits, pa.binary())]
             none = pa.nulls(total)
             yield pa.RecordBatch.from_arrays([*rows, none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names)
             if posted:
@@ -186,7 +189,7 @@ def _sketcher(params: JaccardParams, load, shards: int):
                 cut = np.flatnonzero(np.diff(shard)) + 1
                 starts, ends = [0, *cut.tolist()], [*cut.tolist(), len(shard)]
                 m = len(starts)
-                gone = [pa.nulls(m, pa.int64())] * 4
+                gone = [pa.nulls(m, pa.int64())] * 5
                 packs = [pa.array([x[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()) for x in (key, owner)]
                 yield pa.RecordBatch.from_arrays([*gone, pa.nulls(m, pa.binary()), pa.array(shard[starts]), *packs], names)
             give_back()
@@ -223,6 +226,17 @@ def band(n, percent: int):
     return F.floor(F.log(n.cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int")
 
 
+def _blocks(rows: DataFrame, key: str, member: str, together: int) -> DataFrame:
+    """Rows of groups (key) with cell and side: a group of at most ``together`` rows is one cell; a larger one has a cell for
+    each pair of its blocks, in which rows of different sides meet (0 meets all)."""
+    wide = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / together).alias("parts")).where("parts > 1")
+    dealt = rows.join(wide, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(3), member), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cell = F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return dealt.withColumn("cell", cell).withColumn("side", side).drop("parts", "own", "other")
+
+
 def _in_tiles(t: pa.Table, *names: str):
     """The named columns sorted by tile, size and class, and the order."""
     tile, owner, n = (t[c].to_numpy() for c in ("tile", "set1", "n"))
@@ -230,15 +244,17 @@ def _in_tiles(t: pa.Table, *names: str):
     return order, tile[order], owner[order], n[order], *(t[c].to_numpy(zero_copy_only=False)[order] for c in names)
 
 
-def _steps(tile: np.ndarray, n: np.ndarray, guest: np.ndarray, percent: int, reach: int | None):
+def _steps(tile: np.ndarray, n: np.ndarray, guest: np.ndarray, percent: int, reach: int | None, side: np.ndarray | None = None):
     """(rows, k): rows to compare with those k further on. Sizes rise within a tile, so a row that has met one too large
-    meets no more."""
+    meets no more. Guests don't meet guests, nor do rows of one side."""
     live, k = np.arange(len(tile)), 0
     while len(live) and (reach is None or k < reach):
         k += 1
         live = live[live + k < len(tile)]
         live = live[(tile[live] == tile[live + k]) & (100 * n[live] >= percent * n[live + k])]
         todo = live[~(guest[live] & guest[live + k])]
+        if side is not None:
+            todo = todo[(side[todo] != side[todo + k]) | (side[todo] == 0)]
         if len(todo):
             yield todo, k
 
@@ -284,7 +300,7 @@ def _tiler(params: JaccardParams):
     """Candidate pairs within the tiles of a shard, as stars; what has one cluster already is not compared."""
 
     def run(t: pa.Table, signatures: pa.Table) -> pa.Table:
-        _, tile, owner, n, guest, cluster = _in_tiles(t, "guest", "cluster")
+        _, tile, owner, n, guest, cluster, side = _in_tiles(t, "guest", "cluster", "side")
         signatures = signatures.sort_by("set1")
         maps = signatures["bits"].to_pylist()
         flat = np.frombuffer(b"".join(maps), np.uint64)
@@ -294,7 +310,7 @@ def _tiler(params: JaccardParams):
         del maps
         found, held = [], 0
         a = b = np.zeros(0, np.int64)
-        for i, k in _steps(tile, n, guest, params.percent, None):
+        for i, k in _steps(tile, n, guest, params.percent, None, side):
             i = i[cluster[i] != cluster[i + k]]
             if len(i):
                 i = i[_bounded(n, i, i + k, differing(flat, start, size, i, i + k), params.percent)]
@@ -312,15 +328,14 @@ def _tiler(params: JaccardParams):
 
 
 def _verifier(params: JaccardParams):
-    """Exact links within the size bands of a shard of clusters, as stars over doc_id."""
+    """Exact links within the cells of a shard, as stars over doc_id."""
 
     def run(t: pa.Table) -> pa.Table:
         raw, off = text_bytes(t["text"])
         sets: list[np.ndarray] = []
         for a, b, doc, s in _sets(raw, off, params):
             sets += np.split(s, np.searchsorted(doc, np.arange(1, b - a)))
-        ids, guest = t["doc_id"].to_numpy(), t["guest"].to_numpy()
-        tile = list(zip(t["cluster"].to_pylist(), t["tile_band"].to_pylist(), strict=True))
+        ids, guest, side, tile = (t[c].to_numpy() for c in ("doc_id", "guest", "side", "cell"))
         size = np.array([len(s) for s in sets])
         order = sorted(range(len(ids)), key=lambda i: (tile[i], size[i], ids[i]))
         links: list[tuple[int, int]] = []
@@ -335,7 +350,7 @@ def _verifier(params: JaccardParams):
                 for j in reversed(g):  # the nearest in size first
                     if 100 * size[j] < params.percent * size[i]:
                         break
-                    if guest[i] and guest[j]:
+                    if (guest[i] and guest[j]) or (side[i] and side[i] == side[j]):
                         continue
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= params.percent * (size[i] + size[j] - both):
@@ -428,11 +443,12 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
 
 
 def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[DataFrame]]:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     shards = shards_for(docs, 8 << 20)
     sketched = written(docs.mapInArrow(_sketcher(params, sent(docs.sparkSession, counted_order(docs, params)), shards), _SKETCH))
-    sketch = sketched.where("shard is null").select("doc_id", "set1", "set2", "n", "bits")
-    classes = written(sketch.where("n > 0 and doc_id is not null").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")))
+    sketch = sketched.where("shard is null").select("doc_id", "mark", "set1", "set2", "n", "bits")
+    classes = sketch.where("n > 0 and doc_id is not null").groupBy("set1", "set2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.min("bits").alias("bits"))
+    classes = written(classes.select("set1", "set2", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("mark"), "bits"))
     copies = sketch.where("n > 0 and doc_id is not null").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     groups = sketched.where("shard is not null").select("shard", "keys", "sets").groupBy("shard").applyInArrow(_grouped, "grp long, set1 long").distinct()
@@ -451,34 +467,39 @@ def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[Dat
     pairs = pairs.join(maps.toDF("a", "n_a", "bits_a"), "a").join(maps.toDF("b", "n_b", "bits_b"), "b")
     near = written(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_near(params), "a long, b long"))
     clusters = components(near)
-    # groups that the first round did not compare whole, and that lie in more than one cluster
+    # groups that the first round did not compare whole, and that lie in more than one cluster; those with the same smallest
+    # member are one, and a tile counts if a host of it meets another cluster
     label = groups.join(clusters.withColumnRenamed("node", "set1"), "set1", "left").withColumn("cluster", F.coalesce("component", "set1")).drop("component")
     mixed = label.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("set1").alias("anchor")).where((F.col("rows") > params.reach + 1) & (F.col("lo") < F.col("hi")))
-    again = tiles(label.join(mixed.select("grp", "anchor"), "grp"))
-    busy = again.groupBy("tile").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("tile")
-    # groups of one passage mostly have one smallest member: their tiles meet in one shard, which gets each bitmap once;
-    # those of a passage with very many rows are dealt over several
-    again = again.join(busy, "tile")
-    wide = again.groupBy("anchor", "tile_band").agg(F.ceil(F.count(F.lit(1)) / params.together).alias("parts")).where("parts > 1")
-    part = F.when(F.col("parts").isNotNull(), F.pmod("tile", F.col("parts"))).otherwise(F.lit(0))
-    again = again.join(wide, ["anchor", "tile_band"], "left").withColumn("shard", F.pmod(F.xxhash64("anchor", "tile_band", part), F.lit(4 * shards)))
-    again = written(again.drop("anchor", "tile_band", "parts"))
+    again = label.join(mixed.select("grp", "anchor"), "grp").select(F.col("anchor").alias("grp"), "set1", "n", "band", "cluster").distinct()
+    again = tiles(again).drop("tile_band")
+    busy = again.groupBy("tile").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("guest").alias("guests")).where("lo < hi and not guests").select("tile")
+    again = _blocks(again.join(busy, "tile"), "tile", "set1", params.together).drop("tile").withColumnRenamed("cell", "tile")
+    again = written(again.withColumn("shard", F.pmod("tile", F.lit(4 * shards))))
     signatures = again.select("shard", "set1").distinct().join(classes.select("set1", "bits"), "set1").toDF("set1_", "shard_", "bits").withColumnsRenamed({"set1_": "set1", "shard_": "at"})
     rest = again.groupBy("shard").cogroup(signatures.groupBy("at")).applyInArrow(_tiler(params), "a long, b long")
     clusters = components(near.unionByName(rest)).withColumnsRenamed({"node": "set1", "component": "cluster"})
 
-    members = classes.join(clusters, "set1").select(F.col("rep").alias("doc_id"), "cluster", band(F.col("n"), params.percent).alias("band"))
+    members = classes.join(clusters, "set1").select(F.col("rep").alias("doc_id"), "mark", "cluster", band(F.col("n"), params.percent).alias("band"))
+    members = members.withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1))))
+    members = members.select("doc_id", "mark", F.xxhash64("cluster", F.col("band") + F.col("visit")).alias("tile"), (F.col("visit") == 1).alias("guest"))
+    hosted = members.groupBy("tile").agg(F.min("guest").alias("guests"), F.count(F.lit(1)).alias("rows")).where("not guests and rows > 1").select("tile")
     # ids of candidates are few beside the documents: while they are, no text moves but theirs
-    members = written(members)
+    members = written(_blocks(members.join(hosted, "tile"), "tile", "mark", params.together).drop("tile"))
     members = F.broadcast(members) if members.count() <= params.broadcast else members
-    texts = docs.join(members, "doc_id").dropDuplicates(["doc_id"]).withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1))))
-    texts = texts.select("doc_id", "text", "cluster", (F.col("band") + F.col("visit")).alias("tile_band"), (F.col("visit") == 1).alias("guest"))
-    links = texts.groupBy(F.pmod(F.xxhash64("cluster", "tile_band"), F.lit(4 * shards))).applyInArrow(_verifier(params), "a long, b long")
+    texts = docs.dropDuplicates(["doc_id", "mark"]) if _repeated(sketch) else docs
+    texts = texts.join(members, ["doc_id", "mark"]).select("doc_id", "text", "cell", "side", "guest")
+    links = texts.groupBy(F.pmod("cell", F.lit(4 * shards))).applyInArrow(_verifier(params), "a long, b long")
     found = components(links.unionByName(copies)).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     out = written(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
     return out, [sketched, classes, groups, near, again]
 
 
+def _repeated(sketch: DataFrame) -> bool:
+    """Whether a row occurs twice; else no text moves to find out."""
+    return bool(sketch.where("doc_id is not null").groupBy("doc_id", "mark").count().where("count > 1").take(1))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), JaccardParams(words=4, percent=85))

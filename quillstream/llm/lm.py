@@ -246,6 +246,17 @@ def _shard(common: np.ndarray, params: LmParams):
     return run
 
 
+def _each(solve):
+    """solve() over the whole of a partition."""
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            yield from solve(pa.Table.from_batches(parts)).to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
 def common_words(docs: DataFrame, shards: int, params: LmParams) -> tuple[np.ndarray, np.ndarray]:
     """Contexts that would fill half a shard or more by a sample, sorted, and over how many shards each is dealt."""
     part = min(1.0, params.sample / max(docs.select("key").count(), 1))
@@ -272,8 +283,8 @@ def lm_scores(docs: DataFrame, train: Column, params: LmParams = LmParams()) ->
     shards = max(params.least_shards, input_bytes(docs) // params.shard)
     common, parts = common_words(docs, shards, params)
     sent = docs.select("key", "train", "text").mapInArrow(_sender(shards, common, parts, params), "shard int, message binary")
-    # a partition a shard, however many there are: the shuffle setting does not bound them
-    answers = written(sent.repartition(int(shards), "shard").groupBy("shard").applyInArrow(_shard(common, params), _ANSWER))
+    # each shard is a partition of its own, however many there are
+    answers = written(sent.repartitionById(int(shards), F.col("shard")).mapInArrow(_each(_shard(common, params)), _ANSWER))
     ids = written(docs.select("doc_id", "key", "train"))
     ends = ids.where("train").count()
     often = F.col("word").isin([int(x) for x in common.view(np.int64)])

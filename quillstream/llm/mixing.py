@@ -31,6 +31,8 @@ from quillstream.llm.common import mix64, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
+#: A document so many times as long as all still to come is settled at once.
+OUTLIER = 8
 
 
 @dataclass(frozen=True)
@@ -102,26 +104,25 @@ class _Rest:
 def flight(p: list[float], size: list[float], draw: list[float]) -> tuple[list[float], list[int]]:
     """Moves p along the null space of (1, size), three entries at a time, until at most two are between 0 and 1.
 
-    A document that is open beside others of less than half its size would stay open to the end: it moves by the
-    difference of theirs. Where those still to come can make up for it, it is settled by its probability, and
-    they take the words that it took too many or too few. With sizes falling, the open ones left are among
-    the shortest. Sums of p * size stay as they are, those of p where nothing was settled so.
+    A document that is open beside others much shorter would stay open to the end: it moves by the difference of theirs. Where
+    those still to come, all shorter by OUTLIER, can make up for it, it is settled by its probability, and they take the
+    words that it took too many or too few. Sums of p * size stay as they are, those of p where nothing was settled so.
 
     Returns the moved p and the places still open.
     """
     p, live = list(p), []
-    rest = _Rest(p, size)
+    rest, longest = _Rest(p, size), np.maximum.accumulate(np.asarray(size)[::-1])[::-1].tolist()
     for k in range(len(p)):
         p[k] = rest.p(p[k])
         if _EPS < p[k] < 1 - _EPS:
             live.append(k)
         else:
             p[k] = float(round(p[k]))
-        for i in [i for i in live if i != k and size[i] > 2 * size[k]]:
+        for i in [i for i in live if i != k and size[i] > OUTLIER * longest[k]]:
             more, less = rest.room(k + 1)
             for z in (1.0, 0.0) if draw[i] < p[i] else (0.0, 1.0):
                 owed = (p[i] - z) * size[i]
-                if -less / 2 <= owed <= more / 2:
+                if -0.9 * less <= owed <= 0.9 * more:
                     rest.deal(k + 1, owed)
                     p[i] = z
                     live.remove(i)

@@ -181,7 +181,9 @@ class Trie:
         w = self.l["words"].index(word)
         ask = np.flatnonzero((c >= 0) & (w >= 0))
         if len(ask):
-            known, place = np.unique(c[ask], return_inverse=True)
+            own = c[ask]
+            new = np.concatenate([[True], own[1:] != own[:-1]])  # queries of one context mostly come together
+            known, place = own[new], np.cumsum(new) - 1
             first, behind = (self.l["pointers"][known + k].astype(np.int64) for k in (0, 1))
             base = np.where(first > 0, self.l["successors"][np.maximum(first - 1, 0)] + np.uint64(1), np.uint64(0))
             at = self.l["successors"].index(base[place] + w[ask].astype(np.uint64), first[place], behind[place])
