@@ -1,17 +1,21 @@
 """A corpus from raw documents: drop poor and toxic texts, keep one of each near-duplicate group, mix sources, pack batches.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; it is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents. Classifiers learn from the labelled documents that are still there, never
-from those that the queries of the same operators hold out.
+All but the last return the columns of documents, whatever further columns there are. Classifiers learn from the labelled
+documents that are still there, never from those that the queries of the same operators hold out.
+
+Edge cases: an empty table passes every stage as one; rows that repeat are judged alike, and each stage's docstring says what
+becomes of null ids, null and empty texts. Nothing is cut from long texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.llm import jaccard, mixing, packing, quality, toxicity
-from quillstream.llm.common import doc_fold, table, written
+from quillstream.llm.common import doc_fold, table, unused, written
 
 #: SQL can't express the classifiers, the cube method or the dynamic program; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -20,38 +24,48 @@ LEAST_QUALITY, MOST_TOXICITY = 0.3, 0.7
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches LEAST_QUALITY."""
+    """Documents whose quality score reaches LEAST_QUALITY. Null and empty texts are scored as one chunk of padding; a null id
+    is only never learned from; without labels every document stays."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(doc_fold(5) != 0)
     model = quality.train(docs.select("doc_id", "text").where(doc_fold(5) != 0), labels)
-    return quality.score_quality(docs, model, out="__quality").where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
+    (score,) = unused(docs, "quality_score")
+    return quality.score_quality(docs, model, out=score).where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under MOST_TOXICITY."""
+    """Documents whose toxicity score stays under MOST_TOXICITY. Null and empty texts hold no n-gram and are scored by the
+    class prior alone, so they stay; without toxic labels every document stays."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(doc_fold(3) != 1)
     model = toxicity.train(docs.select("doc_id", "text").where(doc_fold(3) != 1), labels)
-    return toxicity.score_toxicity(docs, model, out="__toxicity").where(F.col("__toxicity") < MOST_TOXICITY).select(*docs.columns)
+    (score,) = unused(docs, "toxicity_score")
+    return toxicity.score_toxicity(docs, model, out=score).where(F.col(score) < MOST_TOXICITY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at 0.8 or more; a repeated id stays once,
-    rows without id all stay."""
+    """The document with the smallest id of each group that five-word shingles link at 0.8 or more. Of rows with one id the
+    first by text hash, text and source stays, the same on each run; rows without id, and texts without words, which link
+    with nothing, all stay."""
     groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     few = others.count() <= jaccard.JaccardParams.broadcast  # then no text moves
-    kept = docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti")
-    if groups.where("doc_id is not null").count() == groups.select("doc_id").where("doc_id is not null").distinct().count():
-        return kept.select(*docs.columns)
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    kept = docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(*docs.columns)
+    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        return kept
+    (nth,) = unused(docs, "nth")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "source"))
+    single = kept.where(F.col("doc_id").isNotNull()).withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
+    return single.unionByName(kept.where(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix of sources takes them."""
+    """The documents as often as the mix of sources takes them, up to twice. A null source is one of its own; documents without
+    words count no words of any target, and are taken as the flight of their source settles them."""
     return mixing.mixed_documents(docs)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, bucket_len, batch_id, slot) of every row."""
+    """(doc_id, n_tokens, bucket_len, batch_id, slot) of every row; wordless texts share the shortest bucket, one longer than the
+    budget is a batch of its own, and null ids are packed like others."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
