@@ -122,16 +122,15 @@ class LanguageModel:
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs)
         start = offsets[doc] + nth * SPAN
         length = np.minimum(SPAN, offsets[doc + 1] - start)
-        order = np.argsort(-length, kind="stable")  # runs of like length together, so that little is padding
-        for i in range(0, len(order), block):
-            own = order[i : i + block]
-            most = int(length[own[0]])
-            at = np.arange(most)[:, None]
-            inside = at < length[own]
-            x = np.where(inside, raw[np.minimum(start[own] + at, len(raw) - 1)], np.uint8(0))
-            y = np.einsum("tnl,tn->nl", self.labels(x), inside.astype(np.float32))
-            for k in range(total.shape[1]):
-                total[:, k] += np.bincount(doc[own], y[:, k], minlength=n)
+        order = np.argsort(-length, kind="stable")
+        cuts = np.flatnonzero(np.diff(length[order])) + 1
+        for same in np.split(order, cuts):  # runs of one length, so that none is padded and no text's labels depend on others
+            for i in range(0, len(same), block):
+                own = same[i : i + block]
+                x = raw[start[own] + np.arange(length[own[0]])[:, None]]
+                y = self.labels(x).sum(0)
+                for k in range(total.shape[1]):
+                    total[:, k] += np.bincount(doc[own], y[:, k], minlength=n)
         return total / np.maximum(size, 1)[:, None]
 
     def gradients(self, x: np.ndarray, lang: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

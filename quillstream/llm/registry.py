@@ -25,4 +25,14 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+# Components of links by the smallest id that is reachable: each node walks to smaller ones.
+_REACH = "e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(node, root) AS (SELECT id, id FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b), c AS (SELECT node, min(root) AS root FROM r GROUP BY 1)"
+_JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), v AS (SELECT doc_id AS id FROM documents), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)), {_REACH}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.node = doc_id"""
+_COSINE = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), u AS (SELECT id, x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda t: t IS NULL OR NOT isfinite(t))) = 0 AND len(list_filter(x, lambda t: t <> 0)) > 0),
+l AS (SELECT p.id AS a, q.id AS b FROM u p JOIN u q ON p.id < q.id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.95), {_REACH}, k AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, root AS component_id, id = root AS kept FROM v LEFT JOIN k ON k.a = id JOIN c ON c.node = id"""
+ORACLES: dict[str, str] = {"op2_embedding_dedup": _COSINE, "op7_ngram_jaccard": _JOIN}

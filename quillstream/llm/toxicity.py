@@ -154,6 +154,19 @@ def _unlike(texts, hashes: int = 4):
     return texts.filter(keep)
 
 
+def risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The non-negative risk of a linear classifier; its second part before it is cut at zero, the risk of what is not
+    positive; and the direction of the next step: the risk's gradient, or, where that part is below zero, away from it."""
+    sig = lambda v: 1 / (1 + np.exp(-np.clip(v, -60, 60)))
+    zp, zu = xp @ w + b, xu @ w + b
+    first = prior * float(np.logaddexp(0, -zp).mean())
+    rest = float(np.logaddexp(0, zu).mean()) - prior * float(np.logaddexp(0, zp).mean())
+    d_first, d_p, d_u = -(1 - sig(zp)) * prior / len(zp), -prior * sig(zp) / len(zp), sig(zu) / len(zu)
+    gp, gu = (d_first + d_p, d_u) if rest >= 0 else (-d_p, -d_u)
+    gw = xp.T @ gp.astype(xp.dtype) + xu.T @ gu.astype(xu.dtype)
+    return first + max(0.0, rest), rest, gw, np.array([gp.sum() + gu.sum()], w.dtype)
+
+
 def fit(positive, unlabelled, prior: float, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """positive, unlabelled: Arrow columns of texts."""
     rp, op = text_bytes(_unlike(positive))
@@ -179,17 +192,9 @@ def fit(positive, unlabelled, prior: float, params: ToxicityParams = ToxicityPar
     xp, xu = dense(rp, op), dense(ru, ou)
     w = {"w": np.zeros(len(chosen), np.float32), "b": np.full(1, np.log(prior / (1 - prior)), np.float32)}
     adam = Adam(w, params.rate)
-    sig = lambda v: 1 / (1 + np.exp(-np.clip(v, -60, 60)))
     for _ in range(params.steps):
-        zp, zu = xp @ w["w"] + w["b"], xu @ w["w"] + w["b"]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up, gp, gu = -(1 - sig(zp)) * prior / n_p, -prior * sig(zp) / n_p, sig(zu) / n_u
-        if negative >= 0:
-            gp, gu = up + gp, gu
-        else:  # the risk of the unlabelled went below zero: step back from it
-            gp, gu = -gp, -gu
-        g = xp.T @ gp.astype(np.float32) + xu.T @ gu.astype(np.float32)
-        adam.step({"w": g + params.l2 * w["w"], "b": np.array([gp.sum() + gu.sum()], np.float32)})
+        *_, gw, gb = risk(xp, xu, w["w"], w["b"], prior)
+        adam.step({"w": gw + params.l2 * w["w"], "b": gb})
     return ToxicityModel(index, w["w"].astype(np.float64), float(w["b"][0]), prior)
 
 

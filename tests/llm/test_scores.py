@@ -64,6 +64,31 @@ def test_toxicity_held_out(spark):
     assert (toxicity.fit(p.slice(0, 0), u, 0.1).score(*text_bytes(u)) == 0).all()
 
 
+def test_risk_against_plain_sums():
+    """The estimator written out, and its gradient by differences, on both sides of zero."""
+    r = np.random.default_rng(4)
+    xp, xu = r.integers(0, 2, (7, 5)).astype(np.float64), r.integers(0, 2, (11, 5)).astype(np.float64)
+    loss = lambda z: math.log1p(math.exp(-z))
+    sides = set()
+    for scale, prior in ((0.3, 0.1), (0.3, 0.6), (3.0, 0.1), (3.0, 0.9)):
+        w, b = r.normal(0, scale, 5), r.normal(0, scale, 1)
+        if prior > 0.5:
+            w, b = np.abs(w), np.abs(b) - 3 * scale  # positives high, unlabelled low
+            xu = np.zeros_like(xu)
+        p, u = xp @ w + b, xu @ w + b
+        first = prior * np.mean([loss(z) for z in p])
+        rest = np.mean([loss(-z) for z in u]) - prior * np.mean([loss(-z) for z in p])
+        value, second, gw, gb = toxicity.risk(xp, xu, w, b, prior)
+        assert value == pytest.approx(first + max(0, rest)) and second == pytest.approx(rest)
+        sides.add(rest >= 0)
+        part = (lambda w, b: sum(toxicity.risk(xp, xu, w, b, prior)[:1])) if rest >= 0 else (lambda w, b: -toxicity.risk(xp, xu, w, b, prior)[1])  # noqa: B023
+        for k in range(5):
+            e = np.eye(5)[k] * 1e-6
+            assert gw[k] == pytest.approx((part(w + e, b) - part(w - e, b)) / 2e-6, abs=1e-6)
+        assert gb[0] == pytest.approx((part(w, b + 1e-6) - part(w, b - 1e-6)) / 2e-6, abs=1e-6)
+    assert sides == {True, False}
+
+
 def test_toxicity_long_text_is_scored_whole():
     r = random.Random(5)
     base = [syllables(r, 60) for _ in range(400)]
@@ -89,7 +114,7 @@ def test_quality_gradients_and_held_out(spark):
         up = model.gradients(raw, off, y[:6])[0]
         model.p[name][k] -= 2e-4
         assert (up - model.gradients(raw, off, y[:6])[0]) / 2e-4 == pytest.approx(g[name][k], rel=0.05)
-    fitted = quality.fit(pa.array(texts[:200]), y[:200], quality.QualityParams(epochs=25, batch=16))
+    fitted = quality.fit(pa.array(texts[:200]), y[:200], quality.QualityParams(steps=325, batch=16))
     s = fitted.score(*text_bytes(pa.array(texts[200:])))
     assert ((s >= 0.3) == (y[200:] == 1)).mean() > 0.95
     out = quality.score_quality(edge(spark), fitted).collect()
@@ -97,6 +122,36 @@ def test_quality_gradients_and_held_out(spark):
     assert (quality.QualityModel(None).score(raw, off) == 1).all()
 
 
+def test_quality_against_plain_loops():
+    """Every window of every chunk, the largest response of each filter, and the two layers, written out."""
+    r = random.Random(8)
+    model = quality.QualityModel.new(3)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    texts = ["", "short", syllables(r, 30), "é" * 300, syllables(r, 200)]
+    got = model.score(*text_bytes(pa.array(texts)))
+    for text, s in zip(texts, got, strict=True):
+        raw = text.encode()
+        starts = [0]
+        while starts[-1] + quality.CHUNK < len(raw):
+            starts.append(starts[-1] + quality.STRIDE)
+        best = []
+        for a in starts:
+            own = np.frombuffer(raw[a : a + quality.CHUNK].ljust(quality.CHUNK, b"\0"), np.uint8)
+            answers = [p["embed"][own[i : i + quality.WIDTH]].reshape(-1) @ p["filter"] for i in range(quality.CHUNK - quality.WIDTH + 1)]
+            best.append(np.maximum(np.max(answers, 0) + p["bias"], 0))
+        x = np.concatenate([np.max(best, 0), np.mean(best, 0)])
+        z = np.tanh(x @ p["in"] + p["in_b"]) @ p["out"] + p["out_b"][0]
+        assert s == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_intercept_follows_the_labels():
+    s = np.random.default_rng(0).random(500)
+    for rate in (0.02, 0.5, 0.93):
+        z = np.log(s / (1 - s)) + quality.shift(s, rate)
+        assert np.mean(1 / (1 + np.exp(-z))) == pytest.approx(rate, abs=1e-6)
+    assert quality.shift(s, 1.0) == 0
+
+
 def test_chunks_cover_documents():
     off = np.array([0, 0, 10, 10 + quality.CHUNK, 2000])
     start, doc = quality.chunks(np.zeros(2000, np.uint8), off)
@@ -132,6 +187,37 @@ def test_language_gradient_and_held_out(spark):
     assert {r["lang_pred"] for r in language.predict_language(edge(spark), language.LanguageModel([], None)).collect()} == {"und"}
 
 
+def test_language_against_plain_loops():
+    """Both recurrences byte by byte in each run, and the mean of the labels' probabilities."""
+    r = random.Random(9)
+    model = language.LanguageModel.new(["aa", "bb", "cc"], 2)
+    p, h_size = {k: v.astype(np.float64) for k, v in model.p.items()}, language.HIDDEN
+    texts = ["", "a", "héllo wörld", syllables(r, 60)]
+    got = model.pooled(*text_bytes(pa.array(texts)))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def walk(d, own):
+        h, out = np.zeros(h_size), []
+        for byte in own:
+            a = p[d + "in"][byte]
+            g = sig(a[: 2 * h_size] + h @ p[d + "gate"])
+            z, reset = g[:h_size], g[h_size:]
+            h = (1 - z) * h + z * np.tanh(a[2 * h_size :] + (reset * h) @ p[d + "new"])
+            out.append(h)
+        return out
+
+    for text, mean in zip(texts, got, strict=True):
+        raw, rows = text.encode(), []
+        for i in range(0, len(raw), language.SPAN):
+            own = list(raw[i : i + language.SPAN])
+            for f, b in zip(walk("f", own), walk("b", own[::-1])[::-1], strict=True):
+                y = np.exp(np.concatenate([f, b]) @ p["out"] + p["out_b"])
+                rows.append(y / y.sum())
+        want = np.mean(rows, 0) if rows else np.zeros(3)
+        assert mean == pytest.approx(want, abs=1e-4)
+        assert mean == pytest.approx(model.pooled(*text_bytes(pa.array([text])))[0], abs=1e-6)  # whatever stands beside it
+
+
 def test_elias_fano():
     r = np.random.default_rng(0)
     for n, top in ((0, 5), (1, 2**64 - 1), (300, 400), (5000, 2**64 - 1)):
