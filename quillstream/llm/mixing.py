@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.llm.common import mix64, table, written
+from quillstream.operators import merge
 
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
@@ -52,22 +53,28 @@ def words(text: Column) -> Column:
 
 def source_targets(totals: DataFrame, params: MixParams) -> DataFrame:
     """totals: (source, source_size, n_docs), a row for each source. Adds target: shares by weight, with what exceeds
-    the cap of a source dealt again by weight among the others. The water level is found from running sums over
-    the sources in the order in which they fill."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in params.weights]), ((F.row_number().over(by_name) - 1) % len(params.weights) + 1).cast("int"))
-    cap = F.col("source_size") * params.most_copies
-    t = totals.withColumn("weight", weight).withColumn("cap", cap.cast("double"))
-    fills = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = fills.rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy()
-    t = t.withColumn("all_words", F.sum("source_size").over(every) * params.share)
-    t = t.withColumn("level", (F.col("all_words") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    # sources fill in order; the level of the first that does not fill holds for all after it
-    open_ = F.col("level") * F.col("weight") < F.col("cap")
-    t = t.withColumn("turn", F.row_number().over(fills))
-    t = t.withColumn("held", F.min(F.when(open_, F.struct("turn", "level"))).over(every)["level"])
-    target = F.when(F.col("held").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("held") * F.col("weight")))
+    the cap of a source dealt again by weight among the others.
+
+    The water level, at which the smaller of cap and level * weight sums to all words, is found by rounds of one aggregate:
+    sources that the level so far fills stay full, and the rest share what is left, which raises it. No task sees all
+    sources: their order, which gives the weights, is counted within ranges of it."""
+    by_name = F.struct(F.col("source").isNull().alias("last"), "source")
+    t = merge.next_ids(totals.sparkSession.createDataFrame([], "id long"), totals.withColumn("name", by_name), "name")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in params.weights]), ((F.col("id") - 1) % len(params.weights) + 1).cast("int"))
+    t = written(t.select("source", "source_size", "n_docs", weight.alias("weight"), (F.col("source_size") * params.most_copies).cast("double").alias("cap")))
+    words = float(t.agg(F.sum("source_size")).first()[0] or 0) * params.share
+    level = 0.0
+    while True:
+        full = F.col("cap") <= level * F.col("weight")
+        got = t.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if not got[1]:  # every source is full
+            level = float("inf")
+            break
+        new = (words - got[0]) / got[1]
+        if new <= level * (1 + 1e-15):
+            break
+        level = new
+    target = F.col("cap") if level == float("inf") else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
     return t.select("source", "source_size", "n_docs", target.cast("double").alias("target"))
 
 
