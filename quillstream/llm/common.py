@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,12 +58,6 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)  # noqa: SLF001
 
 
-def released(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of steps that are over: Spark deletes them once the driver has collected the frames."""
-    gc.collect()
-    spark._jvm.System.gc()  # noqa: SLF001
-
-
 def give_back() -> None:
     """Returns freed memory of a Python worker to the system: workers live on from task to task, beside the JVM's heap."""
     pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import dropped, give_back, input_bytes, mix64, released, runs, sent, shards_for, table, text_bytes, word_hashes, written
+from quillstream.llm.common import dropped, give_back, input_bytes, mix64, runs, sent, shards_for, table, text_bytes, word_hashes, written
 from quillstream.llm.components import components, local_components
 
 #: Bits of a bitmap: the power of two from twice the set's size on, within these bounds.
@@ -170,13 +170,16 @@ def _sketcher(params: JaccardParams, load, shards: int):
                     continue
                 has = np.flatnonzero(n)
                 first = (np.cumsum(n) - n)[has]
+                # copies in a block post their prefix once
+                once = np.zeros(b - a, bool)
                 with np.errstate(over="ignore"):
                     set1[a + has] = mix64(np.add.reduceat(mix64(s), first) + n[has].astype(np.uint64))
                     set2[a + has] = mix64(np.add.reduceat(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), first))
+                once[has[np.unique(set1[a + has], return_index=True)[1]]] = True
                 # the first n - needed + 1 shingles by the order
                 order = np.lexsort((s, levels.level(s), doc))
                 rank = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
-                keep = order[rank < (n - needed(n, params.percent) + 1)[doc]]
+                keep = order[(rank < (n - needed(n, params.percent) + 1)[doc]) & once[doc]]
                 posted.append((s[keep], set1[a + doc[keep]]))
             rows = [batch.column(0), batch.column(2), pa.array(set1.view(np.int64)), pa.array(set2.view(np.int64)), pa.array(size), pa.array(bits, pa.binary())]
             none = pa.nulls(total)
@@ -437,8 +440,6 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
     out, steps = _joined(docs, params)
     for step in steps:
         dropped(step)
-    del steps
-    released(docs.sparkSession)
     return out
 
 
