@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame written once under spark.checkpoint.dir and read again, in columns: its plan runs once, and what is read is
-    pruned. Only where that setting is missing on one machine does a temporary folder serve."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, kind: str = "cut") -> str:
+    """A new folder's name under spark.checkpoint.dir, which all executors share; only where that setting is missing on one
+    machine does a temporary folder serve."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"{tempfile.gettempdir()}/quillstream-checkpoints"
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame written once to the shared folder and read again, in columns: its plan runs once, and what is read is pruned."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

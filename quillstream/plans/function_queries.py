@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions import dates, rules, text, urls
-from quillstream.operators import enrich, report
+from quillstream.operators import enrich, report, sinks
 from quillstream.plans.catalog import query, read, stamp
 from quillstream.sources import feed, page, responses, tables
 
@@ -243,3 +243,65 @@ def copied_rows(spark, d):
     there = tables.aligned(spark.createDataFrame([(-1, "there", ["old"], 7, 0)], "id long, name string, match_terms array<string>, lookback_days int, active int"), "keywords")
     out = tables.copied({"keywords": old}, {"keywords": there})["keywords"]
     return out.select("id", "name", F.array_join("match_terms", "|").alias("terms"), F.col("lookback_days").alias("lookback"), "active")
+
+
+@query("retry_seconds", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN greatest(1, o_orderkey % 900) WHEN 1 THEN greatest(1, o_orderkey % 3000 - 100) END AS seconds FROM orders")
+def retry_seconds(spark, d):
+    n, now = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    date = F.concat(F.date_format(now + F.make_dt_interval(secs=n % 3000 - 100), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    value = F.when(n % 4 == 0, (n % 900).cast("string")).when(n % 4 == 1, date).when(n % 4 == 2, "soon")
+    return read(spark, d, "orders").select("o_orderkey", dates.retry_seconds(value, now).alias("seconds"))
+
+
+@query("next_runs", """WITH o AS (SELECT o_orderkey, o_orderdate + to_minutes(o_orderkey % 1440) AS now, CASE WHEN o_orderkey % 3 = 0 THEN 480 WHEN o_orderkey % 3 = 1 THEN 1439 ELSE 30 END AS m FROM orders), t AS (SELECT *, date_trunc('day', now + INTERVAL 8 HOUR) + to_minutes(m) - INTERVAL 8 HOUR AS due FROM o)
+ SELECT o_orderkey, strftime(CASE WHEN due > now THEN due ELSE due + INTERVAL 24 HOUR END, '%Y-%m-%d %H:%M:%S') AS due FROM t""")
+def next_runs(spark, d):
+    n = F.col("o_orderkey")
+    now = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=(n % 1440).cast("int"))
+    schedule = F.when(n % 3 == 0, "25:00").when(n % 3 == 1, "23:59").otherwise("00:30")
+    return read(spark, d, "orders").select("o_orderkey", stamp(dates.next_run_at(now, schedule)).alias("due"))
+
+
+@query("clamped_values", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN greatest(1, least(20, o_orderkey - 50)) WHEN 1 THEN 4 ELSE 20 END AS value FROM orders")
+def clamped_values(spark, d):
+    """Settings as text, each clamped to its range; what is no number takes the default."""
+    own = F.udf(lambda v: rules.clamped(v, 1, 20, 4), "long", useArrow=True)
+    n = F.col("o_orderkey")
+    value = F.when(n % 3 == 0, (n - 50).cast("string")).when(n % 3 == 1, "many").otherwise("99")
+    return read(spark, d, "orders").select("o_orderkey", own(value).alias("value"))
+
+
+@query("report_cards", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' WHEN 2 THEN 'orange' ELSE 'red' END AS colour, CAST(1 + (doc_id % 5) AS INT) AS blocks, length(source) + CAST((doc_id % 5) * (length('**' || lang || '**') + 1 + length(source)) AS BIGINT) AS chars FROM documents""")
+def report_cards(spark, d):
+    """The cards of reports: colour by risk, and a block for the overview and each detail."""
+
+    def made(title, overview, level, details):
+        card = sinks.card({"title": title, "overview": overview, "risk_level": level, "details": [{"title": x[0], "content": x[1]} for x in details]})
+        return card["header"]["template"], len(card["elements"]), sum(len(x["content"]) for x in card["elements"])
+
+    n = F.col("doc_id")
+    level = F.element_at(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical")]), (n % 4 + 1).cast("int"))
+    details = F.array_repeat(F.array("lang", "source"), (n % 5).cast("int"))
+    out = F.udf(made, "struct<colour:string,blocks:int,chars:bigint>", useArrow=False)(F.col("lang"), F.col("source"), level, details)
+    return _docs(spark, d).select("doc_id", out.alias("x")).select("doc_id", "x.colour", "x.blocks", "x.chars")
+
+
+@query("crawled_articles", """SELECT doc_id AS page_id, nth, 'A ' || doc_id || ' ' || k AS title, strftime(TIMESTAMP '2024-05-06' + to_hours(k), '%Y-%m-%d %H:%M:%S') AS published
+ FROM documents, (VALUES (1, 2), (2, 0), (3, 1)) v(nth, k) WHERE nth <= 2 OR doc_id % 2 = 0""")
+def crawled_articles(spark, d):
+    """Listing pages and the pages they link to: dated links first, links to the site alone, and undated articles out."""
+    n = F.col("doc_id")
+    site = F.concat(F.lit("https://www.n"), n, F.lit(".org"))
+    link = lambda path, text: F.concat(F.lit("<a href='"), path, F.lit(f"'>{text}</a>"))
+    paths = [F.concat(F.lit("/news/"), n, F.lit("-0")), F.concat(F.lit("/x/"), n, F.lit("-1")), F.lit("/news/2024/05/06/2")]
+    body = F.concat(F.lit("<base href='https://evil.org/'>"), link(F.lit("/about"), "About this site"), *[link(p, "A title that is long") for p in paths], link(F.lit("https://other.org/news/1"), "Elsewhere today"))
+    docs = _docs(spark, d)
+    listed = page.read_pages(docs.select(n.alias("page_id"), F.concat(site, F.lit("/list")).alias("url"), body.alias("body")))
+    meta = lambda k: F.concat(F.lit("<meta property='og:title' content='A "), n, F.lit(f" {k}'>"), F.lit(f"<time datetime='2024-05-06T0{k}:00:00Z'>"))
+    found = None
+    for k, p in enumerate(paths):
+        body = meta(k) if k != 1 else F.when(n % 2 == 0, meta(k)).otherwise("<h1>no date</h1>")
+        one = docs.select(n.alias("page_id"), F.concat(site, p).alias("url"), body.alias("body"))
+        found = one if found is None else found.unionByName(one)
+    rows = page.crawl(listed, page.read_pages(found))
+    return rows.select("page_id", "nth", "title", stamp(F.col("published_at")).alias("published"))

@@ -7,12 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.functions import dates, urls
-from quillstream.operators import collect, config, dedup, enrich, merge, recovery, report, retention
+from quillstream.operators import collect, config, enrich, recovery, report, retention, sinks
+from quillstream.operators.lineage import shared_folder
 from quillstream.plans import read_models as q
-from quillstream.plans.catalog import NOW, now, query, read, stamp
-from quillstream.sources import page, tables
+from quillstream.plans.catalog import now, query, read, stamp
+from quillstream.sources import tables
 from quillstream.sources.tables import SCHEMAS, Tables, aligned, empty
+from quillstream.streaming import collect as stream
 
 _MOMENT = "(TIMESTAMP '2024-01-01' + to_minutes(doc_id))"
 _DAYS = "published_at >= TIMESTAMP '2023-12-31 16:00:00' AND published_at < TIMESTAMP '2024-01-01 16:00:00'"
@@ -196,6 +197,38 @@ def collected_articles(spark, d):
     return t["articles"].join(k, F.col("id") == k["article_id"]).drop("article_id").join(s, F.col("id") == s["article_id"]).select("canonical_url", "keywords", "sources")
 
 
+@query("streamed_articles", f"{_JUDGED} SELECT 'https://n.org/' || doc_id AS canonical_url, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords FROM ranked GROUP BY doc_id UNION ALL SELECT 'cursors', (SELECT count(*) + 1 FROM (SELECT DISTINCT source, keyword FROM told)) + 1")
+def streamed_articles(spark, d):
+    """The same items as files that arrive: a micro-batch over snapshots, its cursors written last. French sources take no
+    strategy; the third strategy, in Chinese alone, meets the direct source only."""
+    t, items = _collection(spark, d)
+    folder, arriving = shared_folder(spark, "stream"), shared_folder(spark, "items")
+    for name, df in t.items():
+        df.write.parquet(f"{folder}/base/{name}")
+    columns = [x.split(" ") for x in stream.ITEMS.split(", ")]
+    items.select([F.col(name).cast(kind) for name, kind in columns]).write.parquet(arriving)
+    stream.collected_stream(spark, arriving, folder, lambda batch: datetime(2024, 1, 4)).awaitTermination()
+    out = stream.current(spark, folder, 0)
+    k = out["article_keywords"].groupBy("article_id").agg(F.array_join(F.sort_array(F.collect_set(F.col("keyword_id").cast("string"))), ",").alias("keywords"))
+    rows = out["articles"].join(k, F.col("id") == k["article_id"]).select("canonical_url", "keywords")
+    return rows.unionByName(out["collection_cursors"].agg(F.lit("cursors").alias("canonical_url"), F.count(F.lit(1)).cast("string").alias("keywords")))
+
+
+@query("snapshot", "SELECT doc_id AS id, 't' || doc_id AS title, source AS publisher FROM documents")
+def snapshot(spark, d):
+    """A snapshot of the tables, read again as a folder of tables."""
+    path = sinks.snapshot({"articles": _library(spark, d)["articles"]}, shared_folder(spark, "snapshots"), "s1")
+    return tables.load(spark, path, ["articles", "keywords"])["articles"].select("id", "title", "publisher")
+
+
+@query("active_categories", "SELECT n_nationkey AS id, row_number() OVER (ORDER BY coalesce(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 5 END, 999999), n_nationkey) AS nth FROM nation WHERE n_nationkey % 4 <> 0")
+def active_categories(spark, d):
+    n = F.col("n_nationkey").cast("long")
+    c = _rows(read(spark, d, "nation"), "keyword_categories", n.alias("id"), F.when(n % 3 == 0, (n % 5).cast("int")).alias("sort_order"), F.when(n % 4 == 0, 0).otherwise(1).alias("active"))
+    rows = q.categories({"keyword_categories": c}).collect()  # a few rows of configuration, in their order
+    return spark.createDataFrame([(r["id"], k + 1) for k, r in enumerate(rows)], "id long, nth long")
+
+
 @query("collected_again", f"{_JUDGED} SELECT count(*) AS items_matched, 0 AS items_inserted, count(*) AS duplicates FROM ranked")
 def collected_again(spark, d):
     """The same items in a second run that looks at its whole window again: nothing is new."""
