@@ -255,3 +255,28 @@ def test_workers_without_the_library(folder, tmp_path):
     done = subprocess.run([sys.executable, "-c", ELSEWHERE.format(repo=repo, folder=folder)], cwd=tmp_path, capture_output=True, text=True, timeout=600, check=False)
     assert done.returncode == 0, done.stderr[-3000:]
     assert len(done.stdout.split()) == 10
+
+
+def test_pipeline_edges(spark, folder, empty, tmp_path):
+    """Columns of clashing names pass every stage but the last, one id with several texts leaves one row, the same on each run, and
+    an empty table passes."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(7) for c in ("quality_score", "toxicity_score", "nth", "row", "copies", "label", "_h", "size", "block")})
+    docs = docs.unionByName(docs.where("doc_id = 8").withColumn("text", F.lit("another text of the same id, long enough to have shingles")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.where("row = 7 and _h = 7").count() == out.count() > 0, name
+    single = [corpus_pipeline.drop_near_duplicates(spark, d, folder).where("doc_id = 8").collect() for d in (docs, docs.repartition(5))]
+    assert len(single[0]) == 1 and single[0] == single[1]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    # nulls and texts without words link with nothing and stay; copies go
+    assert {1000, 1001, 1002} <= {r["doc_id"] for r in kept.collect()} and kept.where("doc_id is null").count() == 1
+    assert kept.where("doc_id = 1007").count() == 1 and kept.count() < docs.count() - 15
+    toxic = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
+    held = [i for i in range(400) if fold(i, 3) == 1 and i % 20 != 19]
+    assert sum(i not in toxic for i in held if i % 7 == 0) >= 0.8 * sum(i % 7 == 0 for i in held) and sum(i in toxic for i in held if i % 7) >= 0.95 * sum(i % 7 > 0 for i in held)
+    packed = corpus_pipeline.pack_batches(spark, docs, folder)
+    assert packed.count() == docs.count() and packed.select("batch_id", "slot").distinct().count() == docs.count()
