@@ -30,25 +30,27 @@ def distinct_by(values: Column, key) -> Column:
     return F.filter(values, lambda v, i: F.array_position(keys, key(v)) == i + 1)
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
+class _Words(HTMLParser):
+    """The words of a fragment's text, whatever tags stand between them."""
+
+    def reset(self) -> None:
+        super().reset()
+        self.words: list[str] = []
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        self.words += data.split()
 
 
 def plain_text(value: str | None) -> str:
-    """Text of an HTML fragment: entities resolved, tags dropped, whitespace squashed."""
-    value = html.unescape(value or "")
-    reader = _Text()
+    """Text of an HTML fragment whose markup may be escaped: entities resolved, tags dropped, whitespace squashed. What the parser
+    refuses is text as it stands."""
+    fragment, reader = html.unescape(value or ""), _Words()
     try:
-        reader.feed(value)
+        reader.feed(fragment)
         reader.close()
-    except Exception:  # noqa: BLE001  a fragment that the parser refuses is text
-        return " ".join(value.split())
-    return " ".join(" ".join(reader.parts).split())
+    except Exception:  # noqa: BLE001
+        return " ".join(fragment.split())
+    return " ".join(reader.words)
 
 
 def publisher_name(value: str | None) -> str:

@@ -231,12 +231,15 @@ def guarded(reader: Stage, step: int = 20) -> Stage:
         for pdf in frames:
             for i in range(0, len(pdf), step):
                 part = pdf.iloc[i : i + step]
-                got = pd.concat(reader(iter([part])), ignore_index=True)
+                told = list(reader(iter([part])))
+                if not told:
+                    continue
+                got = pd.concat(told, ignore_index=True)
                 kind = got["failure_kind"].fillna("")
                 once = got.loc[kind.str.endswith(AT_ONCE) & got["retryable"].fillna(False).astype(bool), "article_id"]
                 if len(once):
-                    again = pd.concat(reader(iter([part[part["article_id"].isin(once)]])), ignore_index=True)
-                    got = pd.concat([got[~got["article_id"].isin(once)], again], ignore_index=True)
+                    again = reader(iter([part[part["article_id"].isin(once)]]))
+                    got = pd.concat([got[~got["article_id"].isin(once)], *again], ignore_index=True)
                     kind = got["failure_kind"].fillna("")
                 yield got
                 if kind.str.endswith(STOPPING).any():
