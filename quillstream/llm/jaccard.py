@@ -43,7 +43,7 @@ class JaccardParams:
     words: int = 5
     percent: int = 80
     #: Most cells (of a byte) of the table of counts that orders the prefixes.
-    most_cells: int = 1 << 24
+    most_cells: int = 1 << 26
     #: Rows after each one that the first round compares with.
     reach: int = 4
     #: Rows of a tile, or of a band of a cluster, that are not dealt over several tasks.
@@ -399,7 +399,7 @@ def _slices(t: pa.Table) -> pa.Table:
 def counted_order(docs: DataFrame, params: JaccardParams) -> Order:
     """Counts the shingles of all documents in a table of hashed cells, in proportion to the input and of at most ``most_cells``.
     Tasks count what they read and send the cells that they met, by slices of the table; only levels (a byte a cell) come
-    to the driver."""
+    to the driver. Beyond some billions of shingles a cell holds many, and only those more common than its mean stand out."""
     bits = int(np.clip(input_bytes(docs) // 16, 1 << 12, params.most_cells)).bit_length() - 1
     slices = 1 << min(6, bits - 6)
     cells = (1 << bits) // slices
