@@ -87,20 +87,23 @@ def arrivals(matched: DataFrame) -> DataFrame:
 
 def merged_articles(articles: DataFrame, resolved: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(articles, matches with their article_id and inserted): new articles from leaders; of each article's later items a strictly longer
-    summary replaces and a publisher fills a blank one, in order of arrival."""
+    summary replaces and a publisher fills a blank one, in order of arrival. Stored articles that no match touches pass by."""
     new = resolved.where("article_id is null and leader = seq").select("seq", "title", "url", "canonical_url", "fingerprint", "published_at", "rss_source_id")
     new = cut(merge.next_ids(articles, new, "seq"))
     numbered = resolved.join(new.select(F.col("seq").alias("leader"), F.col("id").alias("_new")), "leader", "left")
     numbered = numbered.withColumn("article_id", F.coalesce("article_id", "_new")).withColumn("inserted", F.col("_new").isNotNull() & (F.col("leader") == F.col("seq"))).drop("_new")
     numbered = cut(numbered)
+    touched = numbered.select("article_id").distinct()
+    same = articles.join(touched, articles["id"] == touched["article_id"], "left_anti")
+    met = articles.join(touched, articles["id"] == touched["article_id"], "left_semi")
     # the longest summary, the first of equally long ones; stored rows come before all
-    old = articles.select(F.col("id").alias("article_id"), F.lit(-1).cast("long").alias("seq"), "summary", "publisher", "publisher_normalized")
+    old = met.select(F.col("id").alias("article_id"), F.lit(-1).cast("long").alias("seq"), "summary", "publisher", "publisher_normalized")
     told = old.unionByName(numbered.select("article_id", "seq", "summary", "publisher", "publisher_normalized"))
     first = lambda c: F.coalesce(F.min_by(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("seq"))), F.lit("")).alias(c)
     best = told.groupBy("article_id").agg(F.max_by(F.coalesce("summary", F.lit("")), F.struct(F.length(F.coalesce("summary", F.lit(""))), -F.col("seq"))).alias("summary"), first("publisher"), first("publisher_normalized"))
-    base = articles.drop("summary", "publisher", "publisher_normalized").unionByName(new.drop("seq").withColumn("collected_at", now.cast("timestamp")))
+    base = met.drop("summary", "publisher", "publisher_normalized").unionByName(new.drop("seq").withColumn("collected_at", now.cast("timestamp")))
     out = base.join(best, base["id"] == best["article_id"]).drop("article_id").select(*SCHEMAS["articles"].names)
-    return out, numbered
+    return same.select(*out.columns).unionByName(out), numbered
 
 
 def counters(judged_items: DataFrame, numbered: DataFrame, tasks: DataFrame, seen: DataFrame) -> DataFrame:

@@ -36,11 +36,12 @@ def first_of_key(items: DataFrame, key: str = "fingerprint", order: str = "seq")
 
 
 def stored_matches(items: DataFrame, articles: DataFrame) -> DataFrame:
-    """(seq, article_id) of items that a stored article shares a key with. Stored articles are reduced to the first of each key
-    before the join, so a key that many hold costs no pairs."""
+    """(seq, article_id) of items that a stored article shares a key with. Stored articles are first cut to the items' keys, which
+    are broadcast while they are few, and reduced to the first of each key, so a key that many hold costs no pairs."""
     found = None
     for key in KEYS:
-        first = articles.where(_real(key)).groupBy(key).agg(F.min("id").alias("article_id"))
+        asked = items.where(_real(key)).select(key).distinct()
+        first = articles.where(_real(key)).join(asked, key, "left_semi").groupBy(key).agg(F.min("id").alias("article_id"))
         hit = items.where(_real(key)).select("seq", key).join(first, key).select("seq", "article_id")
         found = hit if found is None else found.unionByName(hit)
     return found.groupBy("seq").agg(F.min("article_id").alias("article_id"))
