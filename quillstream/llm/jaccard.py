@@ -463,7 +463,10 @@ def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[Dat
         visits = visits.withColumn("tile", F.xxhash64("grp", "tile_band"))
         return visits.drop("visit", "band", "grp")
 
-    pairs = tiles(groups).drop("tile_band").groupBy(F.pmod("tile", F.lit(shards))).applyInArrow(_neighbours(params), "a long, b long").distinct()
+    # the first round only looks for pairs that are likely, so blocks of a large group may go their own ways
+    wide = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / params.together).alias("parts")).where("parts > 1")
+    first = groups.join(wide, "grp", "left").withColumn("grp", F.when(F.col("parts").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64(F.lit(3), "set1"), F.col("parts"))))).drop("parts")
+    pairs = tiles(first).drop("tile_band").groupBy(F.pmod("tile", F.lit(shards))).applyInArrow(_neighbours(params), "a long, b long").distinct()
     maps = classes.select("set1", "n", "bits")
     pairs = pairs.join(maps.toDF("a", "n_a", "bits_a"), "a").join(maps.toDF("b", "n_b", "bits_b"), "b")
     near = written(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_near(params), "a long, b long"))
