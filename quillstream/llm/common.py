@@ -82,8 +82,13 @@ def doc_fold(n: int, key: str = "doc_id") -> Column:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that the frame's plan reads; it costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
+    """Catalyst's estimate of the bytes that the frame's plan reads, which costs no job; where it has none to speak of (rows from the
+    driver, products of joins), the bytes of the texts, counted."""
+    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
+    if told < 1 << 50:
+        return told
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return int(df.agg(F.sum(sum(texts, F.lit(8).cast("long")))).first()[0] or 0)
 
 
 def shards_for(df: DataFrame, bytes_a_shard: int = 16 << 20) -> int:
