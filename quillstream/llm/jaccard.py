@@ -1,7 +1,7 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact sorted-array intersection.
 
 1. One pass over the documents makes, for each, its set of distinct word shingles (64-bit hashes), the size, a hash
-   of the whole set, a bitmap signature, and the prefix of the set in a global order (rare words first, common shingles last).
+   of the whole set, a bitmap signature, and the prefix of the set in a global order (rare shingles first, by counts over all documents).
    Sets that overlap enough share a shingle of their prefixes, so no link is lost.
 2. Equal sets are one class with one representative. Prefix shingles go in packed arrays to shards of the shingle
    space; those of at least two classes become groups, and groups of equal members are one.
@@ -491,8 +491,9 @@ def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[Dat
     # ids of candidates are few beside the documents: while they are, no text moves but theirs
     members = written(_blocks(members.join(hosted, "tile"), "tile", "mark", params.together).drop("tile"))
     members = F.broadcast(members) if members.count() <= params.broadcast else members
-    texts = docs.dropDuplicates(["doc_id", "mark"]) if _repeated(sketch) else docs
-    texts = texts.join(members, ["doc_id", "mark"]).select("doc_id", "text", "cell", "side", "guest")
+    texts = docs.join(members, ["doc_id", "mark"])
+    texts = texts.dropDuplicates(["doc_id", "mark", "cell"]) if _repeated(sketch) else texts
+    texts = texts.select("doc_id", "text", "cell", "side", "guest")
     links = texts.groupBy(F.pmod("cell", F.lit(4 * shards))).applyInArrow(_verifier(params), "a long, b long")
     found = components(links.unionByName(copies)).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
@@ -501,7 +502,7 @@ def _joined(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, list[Dat
 
 
 def _repeated(sketch: DataFrame) -> bool:
-    """Whether a row occurs twice; else no text moves to find out."""
+    """Whether an id and text occur twice."""
     return bool(sketch.where("doc_id is not null").groupBy("doc_id", "mark").count().where("count > 1").take(1))
 
 
