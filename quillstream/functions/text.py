@@ -24,12 +24,6 @@ def squash(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
 
 
-def distinct_by(values: Column, key) -> Column:
-    """The values whose key no earlier value has, in order."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda v, i: F.array_position(keys, key(v)) == i + 1)
-
-
 class _Words(HTMLParser):
     """The words of a fragment's text, whatever tags stand between them."""
 
@@ -145,9 +139,9 @@ def sentences_without(c: Column, pattern: str) -> Column:
 
 
 def clean_list(values: Column, limit: int = 8, length: int = 500) -> Column:
-    """The first ``limit`` values, squashed and cut, without blanks or values that differ in case alone."""
+    """The first ``limit`` values, squashed and cut, without blanks or values that case folding makes one."""
     cut = F.filter(F.transform(F.slice(values, 1, limit), lambda v: F.substring(squash(v), 1, length)), lambda v: v != "")
-    return distinct_by(cut, F.lower)
+    return _folded_first(cut)
 
 
 def split_names(c: Column) -> Column:
