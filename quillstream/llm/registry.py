@@ -11,6 +11,7 @@ from quillstream.llm.lm import op3_lm_score
 from quillstream.llm.mixing import op10_mixing
 from quillstream.llm.packing import op4_length_buckets
 from quillstream.llm.quality import op8_quality
+from quillstream.llm.sessions import op11_late_sessions
 from quillstream.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
+    "op11_late_sessions": op11_late_sessions,
 }
 # Components of links by the smallest id that is reachable: each node walks to smaller ones.
 _REACH = "e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(node, root) AS (SELECT id, id FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b), c AS (SELECT node, min(root) AS root FROM r GROUP BY 1)"
@@ -35,4 +37,13 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM documents
 _COSINE = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), u AS (SELECT id, x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda t: t IS NULL OR NOT isfinite(t))) = 0 AND len(list_filter(x, lambda t: t <> 0)) > 0),
 l AS (SELECT p.id AS a, q.id AS b FROM u p JOIN u q ON p.id < q.id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.95), {_REACH}, k AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, root AS component_id, id = root AS kept FROM v LEFT JOIN k ON k.a = id JOIN c ON c.node = id"""
-ORACLES: dict[str, str] = {"op2_embedding_dedup": _COSINE, "op7_ngram_jaccard": _JOIN}
+# crc32 of decimal digits, a bit at a time; then sessions of each batch's events so far, without regard to those of the batch before.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({0}) + 1), lambda i: ascii({0}[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+_SESSIONS = f"""WITH t AS (SELECT conv_id, turn, conv_id::VARCHAR AS a, conv_id::VARCHAR || ':' || turn::VARCHAR AS b FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL), c AS (SELECT conv_id, turn, {_CRC.format("a")} AS c, {_CRC.format("b")} AS h FROM t),
+d AS (SELECT 2 * floor(conv_id / 8)::BIGINT + c % 2 AS u, (c // 2) % 7200 + 300 * turn + h % 600 AS s, h, h // 600 AS g FROM c), e AS (SELECT u, s, h, floor(s / 1800)::BIGINT + CASE WHEN g % 5 = 0 THEN g % 4 ELSE 0 END AS b FROM d),
+f AS (SELECT x.u, y.b AS batch, x.s, x.h, x.b FROM e x JOIN (SELECT DISTINCT u, b FROM e) y ON x.u = y.u AND x.b <= y.b), l AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY u, batch ORDER BY s) <= 240 THEN 0 ELSE 1 END AS cut FROM f),
+n AS (SELECT *, sum(cut) OVER (PARTITION BY u, batch ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM l), v AS (SELECT u, batch, k, min(s) AS a, max(s) AS z, count(*) AS n, count(*) FILTER (b = batch) AS fresh, sum(h) AS h FROM n GROUP BY 1, 2, 3 HAVING count(*) FILTER (b = batch) > 0),
+r AS (SELECT v.u, v.batch, v.a, min(w.batch) AS rb, arg_min(w.a, w.batch) AS ra FROM v JOIN v w ON v.u = w.u AND w.batch > v.batch AND w.a <= v.a AND w.z >= v.z GROUP BY 1, 2, 3), m AS (SELECT u, rb, ra, count(*) AS n FROM r GROUP BY 1, 2, 3)
+SELECT v.u::BIGINT AS "user", v.batch::BIGINT AS batch, v.a::BIGINT AS start_s, v.z::BIGINT AS end_s, v.n::BIGINT AS n_events, fresh::BIGINT AS n_new, coalesce(m.n, 0)::BIGINT AS n_retracted, v.h::BIGINT AS h_sum, r.rb::BIGINT AS retracted_batch, r.ra::BIGINT AS retracted_start_s
+FROM v LEFT JOIN r ON r.u = v.u AND r.batch = v.batch AND r.a = v.a LEFT JOIN m ON m.u = v.u AND m.rb = v.batch AND m.ra = v.a"""
+ORACLES: dict[str, str] = {"op11_late_sessions": _SESSIONS, "op2_embedding_dedup": _COSINE, "op7_ngram_jaccard": _JOIN}
