@@ -22,6 +22,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
+#: Bytes that split words of letters and digits: every other ASCII byte.
+IS_MARK = np.ones(256, dtype=bool)
+IS_MARK[48:58] = IS_MARK[65:91] = IS_MARK[97:123] = IS_MARK[128:] = False
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,13 +160,14 @@ with np.errstate(over="ignore"):
     _POWERS[1:] = np.cumprod(np.full(len(_POWERS) - 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of each document (lower-cased A-Z, split at SPACES), in order, and each word's document.
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, splits: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each document (lower-cased A-Z, split at SPACES, or at what ``splits`` marks), in order, and
+    each word's document.
 
     The hash of a word is a polynomial in its bytes plus its length, mixed; equal words, equal hashes anywhere.
     """
     low = LOWER[raw]
-    word = ~IS_SPACE[raw]
+    word = ~splits[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
     bounds = offsets[:-1][offsets[:-1] < offsets[1:]]

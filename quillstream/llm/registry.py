@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quillstream.llm.align import op12_token_alignment
 from quillstream.llm.avi import op6_avi_clips
+from quillstream.llm.decontam import op13_decontamination
 from quillstream.llm.embedding import op2_embedding_dedup
 from quillstream.llm.jaccard import op7_ngram_jaccard
 from quillstream.llm.language import op9_language
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
     "op11_late_sessions": op11_late_sessions,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_decontamination": op13_decontamination,
 }
 # Components of links by the smallest id that is reachable: each node walks to smaller ones.
 _REACH = "e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(node, root) AS (SELECT id, id FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b), c AS (SELECT node, min(root) AS root FROM r GROUP BY 1)"
@@ -46,4 +50,9 @@ n AS (SELECT *, sum(cut) OVER (PARTITION BY u, batch ORDER BY s ROWS UNBOUNDED P
 r AS (SELECT v.u, v.batch, v.a, min(w.batch) AS rb, arg_min(w.a, w.batch) AS ra FROM v JOIN v w ON v.u = w.u AND w.batch > v.batch AND w.a <= v.a AND w.z >= v.z GROUP BY 1, 2, 3), m AS (SELECT u, rb, ra, count(*) AS n FROM r GROUP BY 1, 2, 3)
 SELECT v.u::BIGINT AS "user", v.batch::BIGINT AS batch, v.a::BIGINT AS start_s, v.z::BIGINT AS end_s, v.n::BIGINT AS n_events, fresh::BIGINT AS n_new, coalesce(m.n, 0)::BIGINT AS n_retracted, v.h::BIGINT AS h_sum, r.rb::BIGINT AS retracted_batch, r.ra::BIGINT AS retracted_start_s
 FROM v LEFT JOIN r ON r.u = v.u AND r.batch = v.batch AND r.a = v.a LEFT JOIN m ON m.u = v.u AND m.rb = v.batch AND m.ra = v.a"""
-ORACLES: dict[str, str] = {"op11_late_sessions": _SESSIONS, "op2_embedding_dedup": _COSINE, "op7_ngram_jaccard": _JOIN}
+_ITEM_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_LEAKS = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents), i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark), k AS (SELECT *, least(len(w), 10) AS n FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[j:j + n - 1], ' ') AS g FROM k, unnest(range(1, len(w) - n + 2)) AS t(j)), z AS (SELECT DISTINCT n FROM g), p AS (SELECT r, n, j, array_to_string(w[j:j + n - 1], ' ') AS g FROM d, z, unnest(range(1, len(w) - n + 2)) AS t(j)),
+m AS (SELECT r, n, j, g FROM p SEMI JOIN g USING (n, g)), h AS (SELECT r, count(DISTINCT j + x) AS n_hit FROM m, unnest(range(n)) AS t(x) GROUP BY 1), s AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM m JOIN g USING (n, g) WHERE item_id IS NOT NULL GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)"""
+ORACLES: dict[str, str] = {"op13_decontamination": _LEAKS, "op11_late_sessions": _SESSIONS, "op2_embedding_dedup": _COSINE, "op7_ngram_jaccard": _JOIN}

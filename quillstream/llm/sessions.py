@@ -152,18 +152,19 @@ def _carries(cells: DataFrame, params: SessionParams) -> DataFrame:
     )
     ends = written(ends)
     ahead = ends.select("user", (F.col("segment") + 1).alias("segment"), F.col("last_s").alias("_last"))
-    joined = ends.join(ahead, ["user", "segment"], "left").withColumn("linked", F.coalesce(F.col("first_s") - F.col("_last") <= params.gap, F.lit(False)))
+    joined = ends.join(ahead.hint("merge"), ["user", "segment"], "left").withColumn("linked", F.coalesce(F.col("first_s") - F.col("_last") <= params.gap, F.lit(False)))
     # a segment that is one run, and linked, passes on what comes into it
     state = written(joined.select("user", "segment", "last_s", "start", "n", "h", "linked", F.when(F.col("linked") & (F.col("start") == F.col("first_s")), F.col("segment") - 1).alias("source")))
     dropped(ends)
     while state.where("source is not null").take(1):
         up = state.select("user", F.col("segment").alias("source"), F.col("start").alias("_start"), F.col("n").alias("_n"), F.col("h").alias("_h"), F.col("source").alias("_source"))
-        moved = state.where("source is not null").join(up, ["user", "source"]).select("user", "segment", "last_s", F.col("_start").alias("start"), (F.col("n") + F.col("_n")).alias("n"), (F.col("h") + F.col("_h")).alias("h"), "linked", F.col("_source").alias("source"))
+        moved = state.where("source is not null").join(up.hint("merge"), ["user", "source"]).select("user", "segment", "last_s", F.col("_start").alias("start"), (F.col("n") + F.col("_n")).alias("n"), (F.col("h") + F.col("_h")).alias("h"), "linked", F.col("_source").alias("source"))
         after = written(state.where("source is null").unionByName(moved))
         dropped(state)
         state = after
     into = state.where("linked").select("user", "segment")
-    return into.join(state.select("user", (F.col("segment") + 1).alias("segment"), F.col("last_s").alias("s"), "n", "h", "start"), ["user", "segment"])
+    ahead = state.select("user", (F.col("segment") + 1).alias("segment"), F.col("last_s").alias("s"), "n", "h", "start")
+    return into.join(ahead.hint("merge"), ["user", "segment"])  # merges: users are never broadcast
 
 
 def session_versions(events: DataFrame, params: SessionParams = SessionParams()) -> DataFrame:
