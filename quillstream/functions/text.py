@@ -101,14 +101,6 @@ def normalize_terms(terms: Column) -> Column:
     return _folded_first(F.filter(F.transform(terms, lambda t: squash(F.replace(t, F.lit('"'), F.lit(" ")))), lambda t: t != ""))
 
 
-@F.pandas_udf(_STRINGS)
-def term_hits(title: pd.Series, summary: pd.Series, terms: pd.Series) -> pd.Series:
-    """Terms that the title or summary holds by full case folding, where one letter may fold to two, as they are spelled and
-    in their order."""
-    texts = (title.fillna("") + "\n" + summary.fillna("")).map(str.casefold)
-    return pd.Series([[t for t in (own if own is not None else ()) if t.strip() and t.strip().casefold() in text] for text, own in zip(texts, terms, strict=True)])
-
-
 def fingerprint(title: Column, publisher: Column, published: Column) -> Column:
     """SHA-256 of title, publisher and UTC date; missing parts are empty, never skipped."""
     part = lambda c: F.coalesce(c, F.lit(""))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.functions import dates, rules, text, urls
+from quillstream.functions import dates, rules, terms, text, urls
 from quillstream.operators import dedup, merge
 from quillstream.operators.lineage import cut
 from quillstream.sources.tables import SCHEMAS, Tables
@@ -59,19 +59,41 @@ def run_window_start(sources: DataFrame, keywords: DataFrame, cursors: DataFrame
     return pairs.agg(F.coalesce(F.min(dates.window_start(F.col("last_collected_at"), first, settings.incremental)), now).alias("window_start"))
 
 
+#: Columns of an item that no judgement needs: they stay where they are until it has matched.
+TEXTS = ("title", "url", "publisher", "summary", "guid", "categories")
+
+
+def scanned(items: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
+    """Items, written once, with a number _item and the folded match terms that each holds (_held). A text is read once, by
+    an automaton of the terms of all tasks, and only if it lies within a window of one of its source's."""
+    reach = tasks.groupBy("rss_source_id").agg(F.min("window_start").alias("_from"))
+    due = F.coalesce(F.col("published_at").between(F.col("_from"), now), F.lit(False))
+    known = tasks.select(F.explode(terms.folded_terms("match_terms")).alias("term"))
+    rows = items.join(reach, "rss_source_id", "left").withColumn("_item", F.monotonically_increasing_id())
+    rows = terms.with_terms(rows, F.when(due, F.col("title")), F.when(due, F.col("summary")), known, "_held")
+    return cut(rows.drop("_from"))
+
+
 def judged(items: DataFrame, tasks: DataFrame, now: Column, local_filter: bool) -> DataFrame:
-    """Items by task with outcome: undated, outside, unmatched or matched. Items of direct sources (keyword_id null) meet
-    every task of the source, those of searches their own. The window is closed at both ends."""
-    own = items.where("keyword_id is not null").join(tasks, ["rss_source_id", "keyword_id"])
-    shared = items.where("keyword_id is null").drop("keyword_id").join(tasks, "rss_source_id")
+    """Items by task with matched_terms and outcome: undated, outside, unmatched or matched; TEXTS are left out. Items of direct sources
+    (keyword_id null) meet every task of the source, those of searches their own. The window is closed at both ends."""
+    items = items if "_held" in items.columns else scanned(items, tasks, now)
+    narrow = items.drop(*(c for c in TEXTS if c not in tasks.columns))
+    tasks = tasks.withColumn("_folded", terms.folded_terms("match_terms"))
+    own = narrow.where("keyword_id is not null").join(tasks, ["rss_source_id", "keyword_id"])
+    shared = narrow.where("keyword_id is null").drop("keyword_id").join(tasks, "rss_source_id")
     both = own.unionByName(shared.select(*own.columns))
-    hits = text.term_hits("title", "summary", "match_terms")
-    both = both.withColumn("matched_terms", hits)
+    both = both.withColumn("matched_terms", terms.terms_in(F.col("match_terms"), F.col("_folded"), F.col("_held"))).drop("_folded", "_held")
     must = F.lit(True) if local_filter else F.col("require_local_match") == 1
     outcome = F.when(F.col("published_at").isNull(), "undated").when(~F.col("published_at").between(F.col("window_start"), now), "outside").when(must & (F.size("matched_terms") == 0), "unmatched").otherwise("matched")
     return both.withColumn("outcome", outcome)
 
 
+def with_texts(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Judged rows with the TEXTS of their items."""
+    return rows.join(items.select("_item", *(c for c in TEXTS if c in items.columns)), "_item").drop("_item")
+
+
 def with_keys(items: DataFrame) -> DataFrame:
     """Items with canonical_url, publisher_normalized and fingerprint."""
     items = items.withColumn("canonical_url", urls.canonical_url(F.col("url"))).withColumn("publisher_normalized", text.publisher_key("publisher"))
@@ -129,8 +151,9 @@ def collect(tables: Tables, items: DataFrame, now: Column, run_id: int, failures
     failures = failures if failures is not None else none
     bad = tasks.select(*keys).join(failures.where("keyword_id is null").select("rss_source_id", "error"), "rss_source_id").unionByName(tasks.select(*keys).join(failures.where("keyword_id is not null"), keys)).groupBy(*keys).agg(F.min("error").alias("error"))
     good = tasks.join(bad, keys, "left_anti")
-    seen_items = judged(items, good, now, settings.local_filter)
-    matched = with_keys(seen_items.where("outcome = 'matched'"))
+    read = scanned(items, good, now)
+    seen_items = judged(read, good, now, settings.local_filter)
+    matched = with_keys(with_texts(seen_items.where("outcome = 'matched'"), read))
     matched = cut(arrivals(matched))
     resolved = dedup.resolve(matched, tables["articles"])
     articles, numbered = merged_articles(tables["articles"], resolved, now)

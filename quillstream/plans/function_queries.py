@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.functions import dates, rules, text, urls
+from quillstream.functions import dates, rules, terms, text, urls
 from quillstream.operators import enrich, report, sinks
 from quillstream.plans.catalog import query, read, stamp
-from quillstream.sources import feed, fetch, page, responses, tables
+from quillstream.sources import feed, page, responses, tables
 
 _MOMENT = "(TIMESTAMP '2024-01-01' + to_minutes(doc_id))"
 _SQUASHED = r"trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))"
@@ -157,7 +156,23 @@ def fingerprints(spark, d):
 
 @query("term_matches", "SELECT doc_id, array_to_string(list_filter(['License', ' AND ', 'qui', 'DER'], lambda t: contains(lower(source || chr(10) || text), lower(trim(t)))), ',') AS terms FROM documents")
 def term_matches(spark, d):
-    return _docs(spark, d).select("doc_id", F.array_join(text.term_hits("source", "text", F.array(*[F.lit(t) for t in ("License", " AND ", " ", "qui", "DER")])), ",").alias("terms"))
+    wanted = F.array(*[F.lit(t) for t in ("License", " AND ", " ", "qui", "DER")])
+    known = spark.range(1).select(F.explode(terms.folded_terms(wanted)).alias("term"))
+    found = terms.with_terms(_docs(spark, d), F.col("source"), F.col("text"), known, "held")
+    return found.select("doc_id", F.array_join(terms.terms_in(wanted, terms.folded_terms(wanted), F.col("held")), ",").alias("terms"))
+
+
+@query("document_terms", """WITH t AS (SELECT DISTINCT chr(97 + p_partkey::INT % 26) || chr(97 + p_partkey::INT // 26 % 26) || chr(97 + p_partkey::INT // 676 % 26) AS term FROM part UNION SELECT p_name FROM part), d AS (SELECT doc_id, replace(lower(coalesce(text, '')), 'ß', 'ss') AS x FROM documents),
+ h AS (SELECT doc_id, count(*) AS n, sha256(array_to_string(list_sort(list(term)), ',')) AS held FROM d JOIN t ON contains(x, term) GROUP BY 1) SELECT doc_id, coalesce(n, 0)::INT AS n_terms, coalesce(held, sha256('')) AS held FROM d LEFT JOIN h USING (doc_id)""")
+def document_terms(spark, d):
+    """Every document against a name and a code of three letters for each part, some thousand terms that overlap, in one scan of each text."""
+    n = F.col("p_partkey")
+    letter = lambda k: F.chr((F.floor(n / k) % 26 + 97).cast("int"))
+    parts = read(spark, d, "part")
+    named = F.concat(letter(1), letter(26), letter(676))
+    known = parts.select(F.explode(terms.folded_terms(F.array(named, "p_name"))).alias("term"))
+    found = terms.with_terms(_docs(spark, d), F.lit(None).cast("string"), F.col("text"), known, "held")
+    return found.select("doc_id", F.size("held").alias("n_terms"), F.sha2(F.array_join("held", ","), 256).alias("held"))
 
 
 @query("legacy_reports", r"""WITH s AS (SELECT doc_id, text, trim(string_split_regex(text, '[。！？!?\n]')[1], ' ') AS first FROM documents)
@@ -306,30 +321,3 @@ def crawled_articles(spark, d):
         found = one if found is None else found.unionByName(one)
     rows = page.crawl(listed, page.read_pages(found))
     return rows.select("page_id", "nth", "title", stamp(F.col("published_at")).alias("published"))
-
-
-@query("fetch_outcomes", """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'robots_denied' WHEN page_id % 6 = 1 THEN 'rate_limited' WHEN page_id % 6 IN (2, 5) THEN 'access_blocked' WHEN page_id % 6 = 3 THEN 'temporarily_unavailable' WHEN page_id % 6 = 4 THEN 'crawler_error' END AS kind,
- CASE WHEN page_id % 7 <> 0 AND page_id % 6 = 1 THEN 90 + page_id % 30 END AS seconds, CASE WHEN page_id % 7 <> 0 AND page_id % 6 = 0 THEN octet_length(encode(html)) END AS bytes, CASE WHEN page_id % 7 = 0 THEN 0 ELSE 1 END AS rests FROM pages""")
-def fetch_outcomes(spark, d):
-    """Pages asked for politely, over a transport that answers by the page's number: robots rules first, then a rest, then the page."""
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for i, html in zip(pdf["page_id"], pdf["html"], strict=True):
-                status = (200, 429, 403, 503, 404, 200)[i % 6]
-                body = b"Please solve the CAPTCHA" if i % 6 == 5 else html.encode()
-                rules_text = fetch.Answer(200, b"User-agent: *\nDisallow: /private/")
-                rests: list[float] = []
-                send = lambda url, a=fetch.Answer(status, body, {"retry-after": str(90 + i % 30)}), r=rules_text: r if url.endswith("/robots.txt") else a
-                ask = fetch.PoliteFetcher(send, clock=lambda: 0.0, sleep=rests.append)
-                kind = seconds = size = None
-                try:
-                    size = len(ask(f"https://n.org/{'private' if i % 7 == 0 else 'x'}/{i}"))
-                except fetch.FetchFailure as e:
-                    kind, seconds = e.kind, e.seconds
-                rows.append((i, kind, seconds, size, len(rests)))
-            out = pd.DataFrame(rows, columns=["page_id", "kind", "seconds", "bytes", "rests"])
-            yield out.astype({"seconds": "Int64", "bytes": "Int64"})
-
-    return read(spark, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, kind string, seconds long, bytes long, rests int")

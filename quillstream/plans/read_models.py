@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,10 +200,10 @@ def categories(t: Tables) -> DataFrame:
     return t["keyword_categories"].where("active = 1").orderBy(F.coalesce("sort_order", F.lit(999999)), "id")
 
 
-def system_status(t: Tables, now: datetime, schedule: str | None = None) -> DataFrame:
+def system_status(t: Tables, now: Column, schedule: str | None = None) -> DataFrame:
     """One row: counts, the latest collection run, and the next scheduled report."""
     counts = t["articles"].agg(F.count(F.lit(1)).alias("articles"))
     for name, where in (("rss_sources", "archived = 0 and active = 1"), ("keywords", "archived = 0 and active = 1")):
         counts = counts.crossJoin(t[name].where(where).agg(F.count(F.lit(1)).alias(name)))
     latest = t["collection_runs"].agg(F.max_by(F.struct("id", "status", "started_at"), "id").alias("latest_run"))
-    return counts.crossJoin(latest).withColumn("next_report_at", F.lit(dates.next_run(now, schedule)))
+    return counts.crossJoin(latest).withColumn("next_report_at", dates.next_run_at(now, F.lit(schedule)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import dates, rules, text, urls
 from quillstream.operators import collect, dedup, enrich, merge, report, retention
+from quillstream.operators.lineage import cut
 from quillstream.plans import read_models as q
 from quillstream.plans.catalog import NOW, ORACLES, QUERIES, now, query, read, stamp  # noqa: F401
 from quillstream.sources import page, tables
@@ -207,7 +208,7 @@ def _arrivals(spark, d) -> tuple[DataFrame, DataFrame]:
     cursor = F.when(F.col("rss_source_id") % 2 == 0, F.lit("2024-01-10").cast("timestamp"))
     start = dates.window_start(cursor, dates.lookback_start(F.lit("2024-01-20 04:00:00").cast("timestamp"), "Asia/Shanghai", F.lit(14)))
     tasks = items.select("rss_source_id", "keyword_id", "title").distinct().select("rss_source_id", "keyword_id", F.array("title").alias("match_terms"), F.col("title").alias("keyword"), start.alias("window_start"), F.lit("f").alias("feed_url"))
-    return items, tasks
+    return items, cut(tasks)
 
 
 def _judged(spark, d) -> DataFrame:

@@ -104,8 +104,8 @@ def system_status(spark, d):
     t = _library(spark, d)
     t["rss_sources"] = _rows(read(spark, d, "supplier"), "rss_sources", F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, 0).otherwise(1).alias("active"))
     t["collection_runs"] = _rows(read(spark, d, "orders"), "collection_runs", F.col("o_orderkey").alias("id"), F.lit("success").alias("status"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
-    row = q.system_status(t, datetime.fromisoformat("2024-01-31T10:00:00+00:00"), "08:00")
-    return row.select("articles", "rss_sources", "keywords", F.col("latest_run.id").alias("latest_run"), stamp(F.col("next_report_at").cast("timestamp")).alias("next_report"))
+    row = q.system_status(t, F.lit(datetime.fromisoformat("2024-01-31T10:00:00+00:00")), "08:00")
+    return row.select("articles", "rss_sources", "keywords", F.col("latest_run.id").alias("latest_run"), stamp(F.col("next_report_at")).alias("next_report"))
 
 
 # ---- runs -------------------------------------------------------------------------------------------------------

@@ -78,30 +78,3 @@ def test_scorer_answers(spark):
     got = [r["r"] for r in spark.createDataFrame([(x,) for x in rows], "x string").select(responses.read_scorer(F.col("x")).alias("r")).collect()]
     assert (got[0]["data"], got[0]["prompt_tokens"], got[0]["completion_tokens"]) == ('{"a": 1}', 3, 0)
     assert [r["error"] for r in got] == [None, "invalid_json", "length"]
-
-
-def test_polite_fetching():
-    from datetime import UTC, datetime
-
-    import pytest
-
-    from quillstream.sources.fetch import Answer, FetchFailure, PoliteFetcher
-
-    asked, slept, time = [], [], [0.0]
-    site = {"https://n.org/robots.txt": Answer(200, b"User-agent: *\nDisallow: /private"), "https://n.org/a": Answer(200, b"ok"), "https://n.org/slow": Answer(429, headers={"Retry-After": "90"}), "https://n.org/down": Answer(503), "https://n.org/bot": Answer(200, b"please solve the CAPTCHA"), "https://shut.org/robots.txt": Answer(403)}
-
-    def send(url):
-        asked.append(url)
-        return site[url]
-
-    def sleep(seconds):
-        slept.append(seconds)
-        time[0] += seconds
-
-    get = PoliteFetcher(send, clock=lambda: time[0], sleep=sleep, now=lambda: datetime(2024, 1, 1, tzinfo=UTC))
-    assert get("https://n.org/a") == b"ok" and get("https://n.org/a") == b"ok"
-    assert asked.count("https://n.org/robots.txt") == 1 and slept == [3.0, 3.0]
-    for url, kind, seconds in (("https://n.org/private/x", "robots_denied", None), ("https://n.org/slow", "rate_limited", 90), ("https://n.org/down", "temporarily_unavailable", None), ("https://n.org/bot", "access_blocked", None), ("https://shut.org/x", "robots_denied", None)):
-        with pytest.raises(FetchFailure) as e:
-            get(url)
-        assert (e.value.kind, e.value.seconds) == (kind, seconds)
