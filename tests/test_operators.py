@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.operators import collect, config, dedup, enrich, merge, recovery, report, retention, sinks
+from quillstream.operators import collect, config, dedup, enrich, graph, merge, recovery, report, retention, sinks
 from quillstream.plans import read_models as q
 from quillstream.sources.tables import ITEM, SCHEMAS, empty
 
@@ -46,16 +46,56 @@ def test_leaders_are_greedy(spark):
     many = [(i, f"f{r.randrange(40)}", f"u{r.randrange(40)}") for i in range(150)]
     for items in (chain, many):
         df = spark.createDataFrame(items, "seq long, fingerprint string, canonical_url string")
-        for few in (0, 20, dedup.FEW):  # by rounds alone, by both, by one task
-            assert {x["seq"]: x["leader"] for x in dedup.leaders(df, few).collect()} == brute(items)
+        for few, worth in ((dedup.FEW, 0), (dedup.FEW, 1), (7, 1), (20, dedup.WORTH)):  # by rounds alone, by components, by blocks, by both
+            assert {x["seq"]: x["leader"] for x in dedup.leaders(df, few, worth).collect()} == brute(items)
     assert dedup.leaders(df.limit(0)).count() == 0
 
 
 def test_leaders_of_a_long_chain(spark):
-    """Each item shares a key with the next, by turns: rounds alone would be as many as half the items."""
-    items = [(i, f"f{(i + 1) // 2}", f"u{i // 2}") for i in range(10_000)]
+    """Each item shares a key with the next, by turns, a million times: rounds alone would be as many as half the items. Blocks of its one
+    component, four here, bound the jobs and what a task holds."""
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("seq"), F.concat(F.lit("f"), F.floor((F.col("id") + 1) / 2)).alias("fingerprint"), F.concat(F.lit("u"), F.floor(F.col("id") / 2)).alias("canonical_url"))
+    got = dedup.leaders(df)
+    # greedy: every other item leads, and the next joins it
+    assert got.where("leader <> seq - seq % 2").count() == 0 and got.count() == n
+
+
+def test_leaders_of_hot_keys(spark):
+    """One fingerprint of a third of all items, blank keys that hold nobody together, and chains of all lengths."""
+    r = random.Random(8)
+    items = [(i, "hot" if i % 3 == 0 else ("", None, f"f{(i + 1) // 2}")[i % 5 % 3], f"u{i // 2 if i % 7 else r.randrange(50)}") for i in range(3000)]
     df = spark.createDataFrame(items, "seq long, fingerprint string, canonical_url string")
-    assert {x["seq"]: x["leader"] for x in dedup.leaders(df).collect()} == brute(items)
+    prints, links, want = {}, {}, {}
+    for seq, f, u in items:
+        found = [x for x in (prints.get(f) if f else None, links.get(u)) if x is not None]
+        want[seq] = min(found) if found else seq
+        if not found:
+            prints.setdefault(f, seq), links.setdefault(u, seq)
+    for few, worth in ((dedup.FEW, dedup.WORTH), (50, 1)):
+        assert {x["seq"]: x["leader"] for x in dedup.leaders(df, few, worth).collect()} == want
+
+
+@pytest.mark.parametrize("block", [10, 60, 5000])
+def test_components(spark, block):
+    """Chains, a hub of half the links, and random links, contracted in parts and by rounds, against one walk."""
+    r = random.Random(block)
+    links = [(i, i + 1) for i in range(400) if i % 50] + [(1000, 1001 + i) for i in range(500)] + [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(200)] + [(5, 5), (3, 2)]
+    label = {}
+    for a, b in links:
+        label.setdefault(a, a), label.setdefault(b, b)
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = graph.components(spark.createDataFrame(links, "a long, b long"), block)
+    assert {x["node"]: x["component"] for x in got.collect()} == {k: v for k, v in label.items() if k in linked}
+    rounds = graph._rounds(spark.createDataFrame({(max(x), min(x)) for x in links if x[0] != x[1]}, "a long, b long"))
+    assert {x["node"]: x["component"] for x in rounds.collect()} == {k: v for k, v in label.items() if k in linked}
 
 
 def source(i, **kw):
