@@ -195,27 +195,54 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, splits: np.ndarray = IS_SP
     return h, doc
 
 
+def sample_hash(seed: int, *keys: str | Column) -> Column:
+    """A hash of 62 bits that deals rows into samples."""
+    x = F.xxhash64(F.lit(seed), *keys)
+    return F.pmod(x, F.lit(1 << 30)) * F.lit(1 << 32) + F.pmod(F.shiftright(x, 30), F.lit(1 << 32))
+
+
+def row_hash(seed: int) -> Column:
+    """sample_hash of the id, or of the text where there is no id, which would tell no rows apart."""
+    return F.when(F.col("doc_id").isNull(), sample_hash(seed, "text")).otherwise(sample_hash(seed, "doc_id"))
+
+
+def sample_limit(part: float) -> int:
+    """The value of sample_hash below which that part of all rows lies."""
+    return int(min(1.0, part) * (1 << 62))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int, seed: int) -> DataFrame:
-    """At most about ``rows`` labelled documents and ``most_bytes`` bytes of text, chosen by a hash of the id.
+    """About ``rows`` labelled documents, chosen by a hash of the id, and at most ``most_bytes`` bytes of text (see ``within``).
 
-    Returns (doc_id, text, label). Rows whose id or label is null are not labelled. The ids to fetch are
+    Returns (doc_id, text, label), a row for each id. Rows whose id or label is null are not labelled. The ids to fetch are
     bounded by ``rows``, so they may be broadcast.
     """
     kept = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    kept = kept.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)))
+    kept = kept.withColumn("_h", sample_hash(seed, "doc_id"))
     total = kept.count()
-    part = min(1.0, rows / max(total, 1))
-    kept = kept.where(F.col("_h") < int(part * (1 << 30)))
+    kept = kept.where(F.col("_h") < sample_limit(rows / max(total, 1)))
     got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(kept), "doc_id")
-    return _within(got, most_bytes).select("doc_id", "text", "label")
-
-
-def _within(got: DataFrame, most_bytes: int) -> DataFrame:
-    """Thins rows by their hash column _h until their texts hold at most about most_bytes bytes."""
-    size = got.agg(F.sum(F.octet_length("text")), F.max("_h")).first()
-    if size[0] and size[0] > most_bytes:
-        return got.where(F.col("_h") < int((size[1] + 1) * most_bytes / size[0]))
-    return got
+    return within(got, most_bytes).select("doc_id", "text", "label")
+
+
+def within(got: DataFrame, most_bytes: int) -> DataFrame:
+    """Rows of a sample (text, and their hash _h) in the order of their hash, as far as their texts hold ``most_bytes`` bytes in all: the bound
+    holds whatever single texts there are. To learn from, a text of more than a thirty-second of that is cut to a piece of that size, at a
+    place that its hash tells. Of rows of one hash the least is taken, so repeated ids and texts count once. Only hashes and
+    sizes of the sample come to the driver."""
+    most = max(most_bytes // 32, 4)
+    chars = most // 4  # of four bytes at most
+    at = F.pmod(F.col("_h"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
+    got = got.withColumn("text", F.when(F.octet_length("text") > most, F.substr("text", at.cast("int"), F.lit(chars))).otherwise(F.col("text")))
+    rest = [c for c in got.columns if c != "_h"]
+    got = got.groupBy("_h").agg(F.min(F.struct(*rest)).alias("_row")).select("_h", *(F.col(f"_row.{c}").alias(c) for c in rest))
+    total, last = 0, -1
+    for h, size in sorted(map(tuple, got.select("_h", F.octet_length("text")).collect())):
+        total += size
+        if total > most_bytes:
+            break
+        last = h
+    return got.where(F.col("_h") <= last)
 
 
 def sent(spark: SparkSession, value):

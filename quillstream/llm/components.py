@@ -1,72 +1,5 @@
-"""Connected components of links, on the executors."""
+"""Connected components of links: those of the library, whose contraction spreads a node with very many links."""
 
-from __future__ import annotations
+from quillstream.operators.graph import components, least_reachable as local_components
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quillstream.llm.common import dropped, written
-
-#: Links that one task solves at a time.
-BLOCK = 4_000_000
-
-
-def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the links and the smallest node of each one's component: roots hook onto smaller roots, then paths shorten."""
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = place[: len(a)], place[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        rx, ry = root[x], root[y]
-        open_ = rx != ry
-        if not open_.any():
-            return nodes, nodes[root]
-        x, y, rx, ry = x[open_], y[open_], rx[open_], ry[open_]
-        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                break
-            root = up
-
-
-def _solve(batches):
-    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
-    if parts:
-        node, root = local_components(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
-
-
-def components(links: DataFrame, block: int = BLOCK) -> DataFrame:
-    """links (a, b): long ids, null-free. Returns (node, component), the smallest id reachable, for every linked node.
-
-    Parts of at most ``block`` links are contracted to stars where they lie. If more than one part is left, large-star and
-    small-star rounds (Kiveris et al., 2014) hang every node onto its smallest neighbour until nothing changes; each
-    round is written to the shared folder, and minima are combined before they are shuffled, so a hub's row count
-    does not reach one task.
-    """
-    links = written(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"))
-    n = links.count()
-    parts = max(1, -(-n // block))
-    stars = written(links.repartition(parts, "a").mapInArrow(_solve, "a long, b long") if parts > 1 else links.coalesce(1).mapInArrow(_solve, "a long, b long"))
-    if parts == 1:
-        return stars.toDF("node", "component")
-    edges, before = stars.where("a <> b"), None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        hung = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges_new = written(hung)
-        state = edges_new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        dropped(edges)
-        edges = edges_new
-        if state == before:
-            break
-        before = state
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+__all__ = ["components", "local_components"]

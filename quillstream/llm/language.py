@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.common import Adam, _within, arrow_rows, doc_fold, give_back, sent, table, text_bytes
+from quillstream.llm.common import Adam, arrow_rows, doc_fold, give_back, row_hash, sample_limit, sent, table, text_bytes, within
 
 SPAN, HIDDEN = 128, 16
 
@@ -202,9 +202,9 @@ def fit(texts, langs: list[str], params: LanguageParams = LanguageParams()) -> L
 
 def train(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """docs (doc_id, text, lang); pass only rows that may be learned from."""
-    known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang", F.pmod(F.xxhash64(F.lit(params.seed), "doc_id"), F.lit(1 << 30)).alias("_h"))
-    part = min(1.0, params.most_rows / max(docs.where("lang is not null").count(), 1))
-    got = arrow_rows(_within(known.where(F.col("_h") < int(part * (1 << 30))), params.most_bytes).drop("_h"))
+    known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang", row_hash(params.seed).alias("_h"))
+    part = params.most_rows / max(docs.where("lang is not null").count(), 1)
+    got = arrow_rows(within(known.where(F.col("_h") < sample_limit(part)), params.most_bytes).drop("_h"))
     return fit(got["text"], got["lang"].to_pylist(), params)
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import IS_SPACE, LOWER, Adam, _within, arrow_rows, doc_fold, labelled_sample, mix64, pieces, runs, table, text_bytes, with_text_scores
+from quillstream.llm.common import IS_SPACE, LOWER, Adam, arrow_rows, doc_fold, labelled_sample, mix64, pieces, row_hash, runs, sample_limit, table, text_bytes, with_text_scores, within
 from quillstream.llm.jaccard import shingles
 
 #: Bytes of an n-gram anywhere, and of the beginnings of words; bits of a hash.
@@ -199,14 +199,15 @@ def fit(positive, unlabelled, prior: float, params: ToxicityParams = ToxicityPar
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """docs (doc_id, text), labels (doc_id, toxic); pass only rows that may be learned from."""
+    """docs (doc_id, text), labels (doc_id, toxic); pass only rows that may be learned from. The class prior is the share of toxic labels,
+    however small or large; params.default_prior where labels are all alike or missing."""
     known = labels.where("doc_id is not null and toxic is not null")
     seen = known.agg(F.count(F.lit(1)), F.sum(F.col("toxic"))).first()
-    prior = float(np.clip(seen[1] / seen[0], 0.01, 0.5)) if seen[0] and seen[1] is not None and seen[1] < seen[0] else params.default_prior
+    prior = seen[1] / seen[0] if seen[0] and seen[1] and seen[1] < seen[0] else params.default_prior
     positive = labelled_sample(docs, known.where("toxic = 1"), "toxic", params.most_positive, params.most_bytes, params.seed)
-    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(F.lit(params.seed + 1), "doc_id"), F.lit(1 << 30)).alias("_h"))
-    part = min(1.0, params.most_unlabelled / max(docs.select("doc_id").count(), 1))
-    unlabelled = _within(hashed.where(F.col("_h") < int(part * (1 << 30))), params.most_bytes).drop("_h")
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row_hash(params.seed + 1).alias("_h"))
+    part = params.most_unlabelled / max(docs.select("doc_id").count(), 1)
+    unlabelled = within(hashed.where(F.col("_h") < sample_limit(part)), params.most_bytes).drop("_h")
     return fit(arrow_rows(positive)["text"], arrow_rows(unlabelled)["text"], prior, params)
 
 

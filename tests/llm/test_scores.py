@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.llm import language, lm, quality, toxicity
+from quillstream.llm import common, language, lm, quality, toxicity
 from quillstream.llm.common import pieces, text_bytes, word_hashes
 from quillstream.llm.trie import EliasFano, Trie
 
@@ -89,6 +89,61 @@ def test_risk_against_plain_sums():
     assert sides == {True, False}
 
 
+def test_toxicity_score_written_out():
+    """Each text's n-grams, the chosen features, and the sum of their weights, without arrays."""
+    r = random.Random(6)
+    texts = ["", "zogmuk", "ZOGMUK vraxil  zogmuk", "é zogmuké", "abcd"] + [syllables(r, r.randint(1, 40), ["zogmuk"] if i % 2 else ()) for i in range(60)]
+    model = toxicity.fit(pa.array([syllables(r, 50, ["zogmuk", "vraxil"]) for _ in range(90)]), pa.array([syllables(r, 50) for _ in range(300)]), 0.2)
+
+    def hashed(b, salt):
+        h = len(b) + salt
+        for x in b:
+            h = (h * 0x01000193 + x) & 0xFFFFFFFF
+            h ^= h >> 15
+        return (h * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - toxicity.BITS
+
+    def score(text):
+        low = bytes(x + 32 if 65 <= x <= 90 else x for x in text.encode())
+        grams = [hashed(low[i : i + toxicity.NGRAM], 0) for i in range(len(low) - toxicity.NGRAM + 1)]
+        for i, x in enumerate(low):
+            if x not in b" \t\n\x0b\x0c\r" and (i == 0 or low[i - 1] in b" \t\n\x0b\x0c\r"):
+                grams += [hashed(low[i : i + n], 64) for n in toxicity.BEGINNINGS if i + n <= len(low)]
+        held = Counter(grams)
+        features = set(held) | {g + (1 << toxicity.BITS) for g, n in held.items() if n > 1}
+        z = model.bias + sum(model.weights[model.index[f]] for f in features if model.index[f] >= 0)
+        return 1 / (1 + math.exp(-max(-60, min(60, z))))
+
+    assert len(model.weights) > 5
+    assert model.score(*text_bytes(pa.array(texts))) == pytest.approx([score(t) for t in texts], rel=1e-9)
+
+
+@pytest.mark.parametrize(("rows", "toxic"), [(4000, 4), (400, 280)])
+def test_toxicity_prior_of_any_size(spark, rows, toxic):
+    """Of 0.1 % and of 70 % toxic labels: the risk takes the share as it is."""
+    r = random.Random(rows)
+    docs = spark.createDataFrame([(i, syllables(r, 12, ["zogmuk"] if i < toxic else ())) for i in range(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < toxic)) for i in range(rows)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, toxicity.ToxicityParams(steps=3)).prior == pytest.approx(toxic / rows)
+
+
+def test_samples_hold_their_bound(spark):
+    """One text longer than the bound beside short ones, ids that repeat and null ids by the thousand: rows in the order of their hash up
+    to the bound, long texts cut to a piece, and the same sample on each run."""
+    long = "".join(f"{i:07d} " for i in range(60_000))
+    rows = [(i, f"short text {i} " * 10) for i in range(3000)] + [(5000, long), (7, "another"), *[(None, "the same")] * 2000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_h", common.row_hash(3))
+    most = 200_000
+    got = [sorted(map(tuple, common.within(d, most).select("doc_id", "text").collect()), key=str) for d in (docs, docs.repartition(7))]
+    sizes = [len(t.encode()) for _, t in got[0]]
+    assert got[0] == got[1] and most - most // 32 - 200 < sum(sizes) <= most and max(sizes) <= most // 32
+    pieces_ = [t for i, t in got[0] if i == 5000]
+    assert all(t in long for t in pieces_) and sum(i is None for i, _ in got[0]) <= 1 and len(got[0]) > 900
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)] + [(5000, 1), (None, 1)], "doc_id long, label int")
+    sample = common.labelled_sample(docs.drop("_h"), labels, "label", 1500, most, 9).collect()
+    assert 1000 < len(sample) < 1800 and sum(len(x["text"].encode()) for x in sample) <= most and len({x["doc_id"] for x in sample}) == len(sample)
+    assert common.within(docs.limit(0), most).count() == 0
+
+
 def test_toxicity_long_text_is_scored_whole():
     r = random.Random(5)
     base = [syllables(r, 60) for _ in range(400)]
