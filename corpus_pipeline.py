@@ -11,11 +11,11 @@ becomes of null ids, null and empty texts. Nothing is cut from long texts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.llm import jaccard, mixing, packing, quality, toxicity
 from quillstream.llm.common import doc_fold, table, unused, written
+from quillstream.operators import merge
 
 #: SQL can't express the classifiers, the cube method or the dynamic program; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -42,19 +42,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at 0.8 or more. Of rows with one id the
-    first by text hash, text and source stays, the same on each run; rows without id, and texts without words, which link
-    with nothing, all stay."""
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    """The document with the smallest id of each group that five-word shingles link at 0.8 or more. An id that several texts share is
+    a document for each of them: the text with the smallest hash goes by the id, the others come behind all ids, so texts that link
+    with nothing stay whatever their id. Of rows that repeat an id and its text the first by the other columns' hash stays, the same
+    on each run. Rows without id stay, and so do all without words, which link with nothing."""
+    (mark,) = unused(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    known = marked.where("doc_id is not null").select("doc_id", mark).distinct()
+    further = known.join(known.groupBy("doc_id").agg(F.min(mark).alias("_first")), "doc_id").where(F.col(mark) != F.col("_first")).select("doc_id", mark)
+    (node,) = unused(docs, "node")
+    if further.take(1):
+        # numbered behind the largest id, in ranges, so that no task numbers them all
+        numbered = merge.next_ids(docs.select(F.col("doc_id").alias("id")), further.withColumn("_at", F.struct("doc_id", mark)), "_at").select("doc_id", mark, F.col("id").alias(node))
+        marked = marked.join(written(numbered), ["doc_id", mark], "left").withColumn(node, F.coalesce(node, "doc_id"))
+    else:
+        marked = marked.withColumn(node, F.col("doc_id"))
+    groups = jaccard.jaccard_components(marked.select(F.col(node).alias("doc_id"), "text"))
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(node)).distinct()
     few = others.count() <= jaccard.JaccardParams.broadcast  # then no text moves
-    kept = docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(*docs.columns)
-    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        return kept
-    (nth,) = unused(docs, "nth")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "source"))
-    single = kept.where(F.col("doc_id").isNotNull()).withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
-    return single.unionByName(kept.where(F.col("doc_id").isNull()))
+    kept = marked.join(F.broadcast(others) if few else others, node, "left_anti")
+    twice = groups.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias(node)).count().where("count > 1").select(node)
+    if not twice.take(1):
+        return kept.select(*docs.columns)
+    again = kept.join(twice, node, "left_semi")
+    rest = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = again.groupBy(node).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*rest)).alias("_row"))
+    return kept.join(twice, node, "left_anti").select(*docs.columns).unionByName(first.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
