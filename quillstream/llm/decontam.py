@@ -28,7 +28,7 @@ from quillstream.llm.common import IS_MARK, give_back, mix64, runs, sent, table,
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are hashed at a time.
-MOST = 8 << 20
+MOST = 2 << 20
 
 
 @dataclass(frozen=True)
