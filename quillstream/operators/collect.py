@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quillstream.functions import dates, rules, terms, text, urls
 from quillstream.operators import dedup, merge
 from quillstream.operators.lineage import cut
-from quillstream.sources.tables import SCHEMAS, Tables
+from quillstream.sources.tables import KEYS, SCHEMAS, Tables
 
 _STRINGS = T.ArrayType(T.StringType())
 
@@ -108,15 +108,14 @@ def arrivals(matched: DataFrame) -> DataFrame:
 
 
 def merged_articles(articles: DataFrame, resolved: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(articles, matches with their article_id and inserted): new articles from leaders; of each article's later items a strictly longer
-    summary replaces and a publisher fills a blank one, in order of arrival. Stored articles that no match touches pass by."""
+    """(articles that are new or were met, matches with their article_id and inserted): new articles from leaders; of each article's later
+    items a strictly longer summary replaces and a publisher fills a blank one, in order of arrival."""
     new = resolved.where("article_id is null and leader = seq").select("seq", "title", "url", "canonical_url", "fingerprint", "published_at", "rss_source_id")
     new = cut(merge.next_ids(articles, new, "seq"))
     numbered = resolved.join(new.select(F.col("seq").alias("leader"), F.col("id").alias("_new")), "leader", "left")
     numbered = numbered.withColumn("article_id", F.coalesce("article_id", "_new")).withColumn("inserted", F.col("_new").isNotNull() & (F.col("leader") == F.col("seq"))).drop("_new")
     numbered = cut(numbered)
     touched = numbered.select("article_id").distinct()
-    same = articles.join(touched, articles["id"] == touched["article_id"], "left_anti")
     met = articles.join(touched, articles["id"] == touched["article_id"], "left_semi")
     # the longest summary, the first of equally long ones; stored rows come before all
     old = met.select(F.col("id").alias("article_id"), F.lit(-1).cast("long").alias("seq"), "summary", "publisher", "publisher_normalized")
@@ -124,8 +123,7 @@ def merged_articles(articles: DataFrame, resolved: DataFrame, now: Column) -> tu
     first = lambda c: F.coalesce(F.min_by(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("seq"))), F.lit("")).alias(c)
     best = told.groupBy("article_id").agg(F.max_by(F.coalesce("summary", F.lit("")), F.struct(F.length(F.coalesce("summary", F.lit(""))), -F.col("seq"))).alias("summary"), first("publisher"), first("publisher_normalized"))
     base = met.drop("summary", "publisher", "publisher_normalized").unionByName(new.drop("seq").withColumn("collected_at", now.cast("timestamp")))
-    out = base.join(best, base["id"] == best["article_id"]).drop("article_id").select(*SCHEMAS["articles"].names)
-    return same.select(*out.columns).unionByName(out), numbered
+    return base.join(best, base["id"] == best["article_id"]).drop("article_id").select(*SCHEMAS["articles"].names), numbered
 
 
 def counters(judged_items: DataFrame, numbered: DataFrame, tasks: DataFrame, seen: DataFrame) -> DataFrame:
@@ -138,7 +136,13 @@ def counters(judged_items: DataFrame, numbered: DataFrame, tasks: DataFrame, see
 
 
 def collect(tables: Tables, items: DataFrame, now: Column, run_id: int, failures: DataFrame | None = None, settings: CollectSettings = CollectSettings()) -> Tables:
-    """The tables after a run.
+    """The tables after a run: what changes() says in place of the rows of the same keys."""
+    made = changes(tables, items, now, run_id, failures, settings)
+    return dict(tables) | {name: merge.replaced(tables[name], rows, KEYS[name]) for name, rows in made.items()}
+
+
+def changes(tables: Tables, items: DataFrame, now: Column, run_id: int, failures: DataFrame | None = None, settings: CollectSettings = CollectSettings()) -> Tables:
+    """The rows that a run writes, by table, one for each key.
 
     items: (rss_source_id, keyword_id or null for sources that are read once, position, item fields).
     failures: (rss_source_id, keyword_id or null for all of a source, error).
@@ -159,7 +163,7 @@ def collect(tables: Tables, items: DataFrame, now: Column, run_id: int, failures
     articles, numbered = merged_articles(tables["articles"], resolved, now)
 
     sightings = numbered.select("article_id", "rss_source_id", "feed_url", F.col("url").alias("observed_url"), "canonical_url", "guid", "language", "country", "categories", now.cast("timestamp").alias("seen_at"), "seq")
-    relations = merge.upsert(tables["article_keywords"], numbered.select("article_id", "keyword_id", "matched_terms", "seq"), ["article_id", "keyword_id"])
+    relations = merge.latest(numbered.select("article_id", "keyword_id", "matched_terms", "seq"), ["article_id", "keyword_id"], ["seq"]).drop("seq")
     per_source = items.groupBy("rss_source_id", F.col("keyword_id").alias("_k")).agg(F.count(F.lit(1)).alias("items_seen"))
     seen = good.select(*keys).join(per_source, "rss_source_id").where("_k is null or _k = keyword_id").groupBy(*keys).agg(F.sum("items_seen").alias("items_seen"))
     stats = cut(counters(seen_items, numbered, good, seen))
@@ -173,13 +177,13 @@ def collect(tables: Tables, items: DataFrame, now: Column, run_id: int, failures
     totals = details.agg(F.count(F.lit(1)).cast("int").alias("tasks_total"), F.count_if(F.col("status") == "success").cast("int").alias("tasks_succeeded"), F.count_if(F.col("status") == "failed").cast("int").alias("tasks_failed"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("items_matched", "items_inserted", "duplicates")], F.min("window_start").alias("window_start")).crossJoin(total_seen)
     status = rules.run_status(F.col("tasks_failed"), F.col("tasks_succeeded"), F.lit(0))
     run = totals.withColumns({"id": F.lit(run_id).cast("long"), "status": status, "started_at": now.cast("timestamp"), "finished_at": F.lit(None).cast("timestamp"), "message": F.lit("")}).select(*SCHEMAS["collection_runs"].names)
-    return tables | {
+    return {
         "articles": articles,
-        "article_sources": merge.provenance(tables["article_sources"], sightings),
+        "article_sources": merge.sighted(tables["article_sources"], sightings),
         "article_keywords": relations,
-        "collection_cursors": merge.advanced_cursors(tables["collection_cursors"], good, now),
-        "collection_run_details": tables["collection_run_details"].unionByName(details),
-        "collection_runs": tables["collection_runs"].where(F.col("id") != run_id).unionByName(run),
+        "collection_run_details": details,
+        "collection_runs": run,
+        "collection_cursors": merge.moved_cursors(good, now),
     }
 
 

@@ -20,7 +20,12 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], seq: str = "seq")
     """base, which has a row for each key, with the delta's rows in place of those of their keys, the latest by seq of each. The
     base passes through one anti join, so a small delta's keys are broadcast and the base is not shuffled."""
     new = latest(delta.select(*base.columns, seq), keys, [seq]).drop(seq)
-    return base.join(new.select(*keys), keys, "left_anti").select(*base.columns).unionByName(new)
+    return replaced(base, new, keys)
+
+
+def replaced(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """base with rows, one for each of their keys, in place of those it has."""
+    return base.join(rows.select(*keys), keys, "left_anti").select(*base.columns).unionByName(rows.select(*base.columns))
 
 
 def insert_ignore(base: DataFrame, delta: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
@@ -36,15 +41,14 @@ def keep_when(new: Column, old: Column, blank) -> Column:
     return F.when(new.isNotNull() & (new != blank), new).otherwise(old)
 
 
-def provenance(base: DataFrame, seen: DataFrame) -> DataFrame:
-    """Where articles were seen: article_sources with sightings (the same columns, seen_at and seq) merged in.
+def sighted(base: DataFrame, seen: DataFrame) -> DataFrame:
+    """The rows of article_sources that sightings (the same columns, seen_at and seq) touch, with these merged in.
 
     The feed, the URL and last_seen_at are the latest; guid, language, country and categories the last that are not blank;
-    first_seen_at stays. Rows that no sighting touches pass through unchanged.
+    first_seen_at stays.
     """
     keys = ["article_id", "rss_source_id", "canonical_url"]
     touched = seen.select(*keys).distinct()
-    same = base.join(touched, keys, "left_anti").select(*base.columns)
     old = base.join(touched, keys, "left_semi").select(*base.columns).withColumns({"seq": F.lit(-1).cast("long"), "first": F.col("first_seen_at"), "last": F.col("last_seen_at")}).drop("first_seen_at", "last_seen_at")
     new = seen.withColumns({"seq": F.col("seq").cast("long"), "first": F.col("seen_at"), "last": F.col("seen_at")}).drop("seen_at")
     both = old.unionByName(new.select(*old.columns))
@@ -55,14 +59,22 @@ def provenance(base: DataFrame, seen: DataFrame) -> DataFrame:
         last("feed_url", always), last("observed_url", always), text("guid"), text("language"), text("country"), last("categories", F.size("categories") > 0), F.min_by("first", "seq").alias("first_seen_at"), F.max_by("last", "seq").alias("last_seen_at")
     )
     filled = {c: F.coalesce(F.col(c), F.lit("")) for c in ("guid", "language", "country")} | {"categories": F.coalesce("categories", F.array().cast("array<string>"))}
-    return same.unionByName(out.withColumns(filled).select(*base.columns))
+    return out.withColumns(filled).select(*base.columns)
+
+
+def provenance(base: DataFrame, seen: DataFrame) -> DataFrame:
+    """Where articles were seen: article_sources with sightings merged in. Rows that no sighting touches pass through unchanged."""
+    return replaced(base, sighted(base, seen), ["article_id", "rss_source_id", "canonical_url"])
 
 
 def advanced_cursors(cursors: DataFrame, pairs: DataFrame, at: Column) -> DataFrame:
     """Cursors of the successful pairs (rss_source_id, keyword_id) moved to the run's start; the others stay."""
-    keys = ["rss_source_id", "keyword_id"]
-    done = pairs.select(*keys).distinct().withColumn("_at", at.cast("timestamp"))
-    return cursors.join(done, keys, "full_outer").select(*keys, F.coalesce("_at", "last_collected_at").alias("last_collected_at"))
+    return replaced(cursors, moved_cursors(pairs, at), ["rss_source_id", "keyword_id"])
+
+
+def moved_cursors(pairs: DataFrame, at: Column) -> DataFrame:
+    """The cursors of the pairs, at the run's start."""
+    return pairs.select("rss_source_id", "keyword_id").distinct().withColumn("last_collected_at", at.cast("timestamp"))
 
 
 def deleted(tables: Tables, parent: str, doomed: DataFrame, key: str = "id") -> Tables:

@@ -52,6 +52,15 @@ CHILDREN: dict[str, tuple[tuple[str, str], ...]] = {
     "daily_reports": (("daily_report_articles", "report_id"),),
     "keywords": (("article_keywords", "keyword_id"), ("collection_cursors", "keyword_id")),
 }
+#: What tells a table's rows apart.
+KEYS: dict[str, list[str]] = {name: [schema.names[0]] for name, schema in SCHEMAS.items()} | {
+    "article_sources": ["article_id", "rss_source_id", "canonical_url"],
+    "article_keywords": ["article_id", "keyword_id"],
+    "collection_cursors": ["rss_source_id", "keyword_id"],
+    "collection_run_details": ["run_id", "rss_source_id", "keyword_id"],
+    "ai_analysis_run_items": ["run_id", "article_id"],
+    "daily_report_articles": ["report_id", "article_id"],
+}
 #: What a missing column holds in rows of an older table.
 DEFAULTS: dict[str, object] = {"archived": 0, "active": 1, "crawler_enabled": 0, "crawler_failures": 0, "language": "", "country": "", "guid": "", "is_terminal": 0, "attempt_count": 0, "failure_kind": "", "lookback_days": 30, "require_local_match": 1}
 

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent.parent))
+sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
 
 @pytest.fixture(scope="session")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quillstream.operators import collect, config, dedup, enrich, graph, merge, recovery, report, retention, sinks
 from quillstream.plans import read_models as q
-from quillstream.sources.tables import ITEM, SCHEMAS, empty
+from quillstream.sources.tables import SCHEMAS, empty
+from tests_tables import item, items_of, keyword, source, tables
 
 NOW = datetime(2026, 7, 22, 4)
 
@@ -19,14 +20,6 @@ def at(moment=NOW):
     return F.lit(moment).cast("timestamp")
 
 
-def tables(spark, **rows):
-    out = {}
-    for name, schema in SCHEMAS.items():
-        given = [tuple(r.get(n) for n in schema.names) for r in rows.get(name, [])]
-        out[name] = spark.createDataFrame(given, schema)
-    return out
-
-
 def brute(items):
     prints, links, out = {}, {}, {}
     for seq, f, u in items:
@@ -98,29 +91,12 @@ def test_components(spark, block):
     assert {x["node"]: x["component"] for x in rounds.collect()} == {k: v for k, v in label.items() if k in linked}
 
 
-def source(i, **kw):
-    return {"id": i, "name": f"s{i}", "url_template": "https://n.org/?q={query}", "mode": "search", "language": "en", "country": "US", "site_domain": "", "active": 1, "archived": 0, "crawler_enabled": 0, "crawler_failures": 0} | kw
-
-
-def keyword(i, terms, **kw):
-    return {"id": i, "name": f"k{i}", "match_terms": terms, "context_terms": [], "exclude_terms": [], "lookback_days": 14, "require_local_match": 0, "active": 1, "archived": 0} | kw
-
-
 def test_routing_by_language(spark):
     t = tables(spark, rss_sources=[source(1, language="zh-CN"), source(2), source(3, language="fr")], keywords=[keyword(1, ["关税", "tariff"]), keyword(2, ["贸易"])])
     rows = collect.route(t["rss_sources"], t["keywords"]).orderBy("rss_source_id", "keyword_id").collect()
     assert [(r["rss_source_id"], r["keyword_id"], r["match_terms"]) for r in rows] == [(1, 1, ["关税"]), (1, 2, ["贸易"]), (2, 1, ["tariff"])]
 
 
-def item(source_id, keyword_id, position, **kw):
-    base = {"title": "Tariff up", "url": "https://n.org/a?utm_source=z", "publisher": "Wire", "summary": "s", "published_at": datetime(2026, 7, 20), "guid": "", "categories": []} | kw
-    return (source_id, keyword_id, position, *[base[n] for n in ("title", "url", "publisher", "summary", "published_at", "guid", "categories")])
-
-
-def items_of(spark, *rows):
-    return spark.createDataFrame(list(rows), f"rss_source_id long, keyword_id long, position int, {ITEM}")
-
-
 def test_two_runs(spark):
     t = tables(spark, rss_sources=[source(1), source(2, language="en-GB", country="GB")], keywords=[keyword(1, ["tariff"])])
     items = items_of(
