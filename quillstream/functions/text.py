@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream.functions import dates
+
 _STRINGS = T.ArrayType(T.StringType())
 HAN = r"[㐀-䶿一-鿿豈-﫿]"
 LATIN = r"[A-Za-z]"
@@ -104,7 +106,7 @@ def normalize_terms(terms: Column) -> Column:
 def fingerprint(title: Column, publisher: Column, published: Column) -> Column:
     """SHA-256 of title, publisher and UTC date; missing parts are empty, never skipped."""
     part = lambda c: F.coalesce(c, F.lit(""))
-    return F.sha2(F.concat(part(squash(F.lower(title))), F.lit("|"), part(F.lower(publisher)), F.lit("|"), part(F.date_format(published, "yyyy-MM-dd"))), 256)
+    return F.sha2(F.concat(part(squash(F.lower(title))), F.lit("|"), part(F.lower(publisher)), F.lit("|"), part(dates.wall_of(published).cast("date").cast("string"))), 256)
 
 
 @F.pandas_udf(T.StringType())

@@ -197,7 +197,7 @@ def crawler_health(sources: DataFrame, outcomes: DataFrame, now: Column, setting
     rest = rules.cooldown_seconds(F.col("kind"), F.col("explicit_seconds"), F.lit(60 * setting_minutes))
     return s.withColumns({
         "crawler_failures": F.when(good, 0).when(bad, F.col("crawler_failures") + 1).otherwise(F.col("crawler_failures")),
-        "crawler_cooldown_until": F.when(good, None).when(bad, now + F.make_dt_interval(secs=rest)).otherwise(F.col("crawler_cooldown_until")),
+        "crawler_cooldown_until": F.when(good, None).when(bad, dates.later(now, seconds=rest)).otherwise(F.col("crawler_cooldown_until")),
         "crawler_last_status": F.when(good, "success").when(bad, F.col("kind")).otherwise(F.col("crawler_last_status")),
         "crawler_last_message": F.when(good, "").when(bad, F.substring("_message", 1, 2000)).otherwise(F.col("crawler_last_message")),
     }).select(*sources.columns)

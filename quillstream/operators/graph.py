@@ -47,9 +47,9 @@ def components(links: DataFrame, block: int = BLOCK) -> DataFrame:
     links = cut(links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
     n = links.count()
     parts = max(1, -(-n // block))
-    stars = cut(links.repartitionByRange(parts, "a", "b").mapInArrow(_stars, "node long, root long"))
     if parts == 1:
-        return stars.toDF("node", "component")
+        return cut(links.coalesce(1).mapInArrow(_stars, "node long, root long")).toDF("node", "component")
+    stars = cut(links.repartitionByRange(parts, "a", "b").mapInArrow(_stars, "node long, root long"))
     own = stars.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     up = cut(stars.join(own.where("least < most"), "node").where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
     if up.count() > n // 2:

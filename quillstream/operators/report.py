@@ -25,11 +25,15 @@ def matched_names(t: Tables) -> DataFrame:
     return t["article_keywords"].join(k, "keyword_id").groupBy("article_id").agg(F.sort_array(F.collect_set("name")).alias("matched_keyword_names"))
 
 
-def report_input(t: Tables, day: str) -> DataFrame:
-    """Accepted articles published on a local day, the riskiest first, then the newest."""
+def of_day(t: Tables, day: str) -> DataFrame:
+    """Accepted articles published on a local day."""
     start, end = dates.day_window(day)
-    rows = accepted(t).where((F.col("published_at") >= F.lit(start)) & (F.col("published_at") < F.lit(end)))
-    return rows.join(matched_names(t), "article_id", "left").orderBy(F.desc("risk_score"), F.desc("published_at"), "article_id")
+    return accepted(t).where((F.col("published_at") >= F.lit(start)) & (F.col("published_at") < F.lit(end)))
+
+
+def report_input(t: Tables, day: str) -> DataFrame:
+    """Accepted articles of a day with the names they matched, the riskiest first, then the newest."""
+    return of_day(t, day).join(matched_names(t), "article_id", "left").orderBy(F.desc("risk_score"), F.desc("published_at"), "article_id")
 
 
 def assembled(inputs: DataFrame, response: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.functions import rules
+from quillstream.functions import dates, rules
 from quillstream.operators import merge
 from quillstream.operators.enrich import star
 from quillstream.sources.tables import Tables
@@ -32,7 +32,7 @@ def doomed(t: Tables, scope: str, before: str | None = None) -> dict[str, DataFr
     elif scope == "failed_records":
         where = {"collection_runs": ended, "ai_analysis_runs": ended, "daily_reports": F.col("status").isin("failed", "interrupted")}
     else:
-        at = F.lit(f"{before} 00:00:00").cast("timestamp")
+        at = dates.at(f"{before} 00:00:00")
         old = (F.col("status") != "running") & (F.col("started_at") < at)
         where = {"articles": F.col("published_at") < at, "collection_runs": old, "ai_analysis_runs": old, "daily_reports": F.col("report_date") < F.lit(before).cast("date")}
     out = {name: t[name].where(c).select("id") for name, c in where.items()}

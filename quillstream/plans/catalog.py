@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.functions import dates
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: The moment at which queries run.
@@ -28,8 +30,8 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def now():
-    return F.lit(NOW).cast("timestamp")
+    return dates.at(NOW)
 
 
 def stamp(c) -> F.Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return dates.told(c)

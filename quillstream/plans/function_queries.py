@@ -9,6 +9,7 @@ from quillstream.functions import dates, rules, terms, text, urls
 from quillstream.operators import enrich, report, sinks
 from quillstream.plans.catalog import query, read, stamp
 from quillstream.sources import feed, page, responses, tables
+from quillstream.sources import items as item_reader
 
 _MOMENT = "(TIMESTAMP '2024-01-01' + to_minutes(doc_id))"
 _SQUASHED = r"trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))"
@@ -18,8 +19,14 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents")
 
 
+def _posted(instant):
+    """As RFC 2822 has it, without a zone."""
+    wall = dates.wall_of(instant)
+    return F.concat(F.date_format(wall.cast("date"), "EEE, dd MMM yyyy"), F.lit(" "), F.substring(wall.cast("string"), 12, 8))
+
+
 def _moment() -> Column:
-    return F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    return dates.later(dates.at("2024-01-01"), minutes=F.col("doc_id"))
 
 
 def _escaped(c: Column, times: int) -> Column:
@@ -75,11 +82,11 @@ def feed_items(spark, d):
     who = F.concat(F.lit(" Desk "), F.col("lang"), F.lit(" | "))
     rss = F.concat(
         F.lit("<rss xmlns:dc='urn:dc'><channel><title>c</title><item><title>No link</title></item><item>"), title, tag("link", url), tag("description", F.lit(" "), ), tag("dc:encoded", body), tag("dc:creator", who), tag("guid", F.lit("g"), n),
-        tag("category", F.lit("Trade")), tag("category", F.upper("lang")), tag("category", F.lit("TRADE")), tag("pubDate", F.date_format(_moment(), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")), F.lit("</item></channel></rss>"),
+        tag("category", F.lit("Trade")), tag("category", F.upper("lang")), tag("category", F.lit("TRADE")), tag("pubDate", _posted(_moment()), F.lit(" GMT")), F.lit("</item></channel></rss>"),
     )
     atom = F.concat(
         F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry>"), title, F.lit("<link rel='self' href='https://n.org/self'/><link rel='alternate' href='"), url, F.lit("'/>"), tag("summary", body), tag("author", tag("name", who)),
-        F.lit("<category term='Trade'/><category label='"), F.upper("lang"), F.lit("'/>"), tag("updated", F.date_format(_moment(), "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("</entry><entry><title>No link</title></entry></feed>"),
+        F.lit("<category term='Trade'/><category label='"), F.upper("lang"), F.lit("'/>"), tag("updated", F.concat(F.translate(dates.told(_moment()), " ", "T"), F.lit("Z"))), F.lit("</entry><entry><title>No link</title></entry></feed>"),
     )
     rows = feed.parse_feeds(_docs(spark, d).select("doc_id", F.encode(F.when(n % 2 == 0, rss).otherwise(atom), "UTF-8").alias("body")))
     return rows.select("doc_id", "title", "url", "publisher", F.sha2("summary", 256).alias("summary"), stamp(F.col("published_at")).alias("published"), "guid", F.array_join("categories", ",").alias("categories"))
@@ -90,7 +97,7 @@ def feed_items(spark, d):
 def page_articles(spark, d):
     """Pages with JSON-LD, with metadata, with a heading and a dated path, and without any date."""
     n, title = F.col("doc_id"), F.concat(F.lit("T "), F.col("source"))
-    when = F.date_format(_moment(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.concat(F.translate(dates.told(_moment()), " ", "T"), F.lit("Z"))
     url = F.concat(F.lit("https://www.n.org/news/"), F.when(n % 4 == 2, F.lit("2024/5/6/")).otherwise(""), n)
     own = F.struct(F.array(F.lit("NewsArticle")).alias("@type"), title.alias("headline"), when.alias("datePublished"), F.concat(F.lit("/news/"), n).alias("url"), F.concat(F.lit("L "), F.col("lang")).alias("description"), F.struct(F.lit("Desk").alias("name")).alias("publisher"))
     other = F.struct(F.array(F.lit("Report")).alias("@type"), F.lit("Other").alias("headline"), F.lit("2023-01-01").alias("datePublished"), F.lit("/else").alias("url"), F.lit("").alias("description"), F.struct(F.lit("x").alias("name")).alias("publisher"))
@@ -201,8 +208,8 @@ def prompts(spark, d):
 
 @query("runtime_lookbacks", "SELECT o_orderkey, CAST(least(365, greatest(o_orderkey % 30 + 1, floor((o_orderkey * 7 % 800000) * 60 / 86400.0) + 1)) AS INT) AS days FROM orders")
 def runtime_lookbacks(spark, d):
-    end = F.lit("2024-02-01").cast("timestamp")
-    start = end - F.make_dt_interval(mins=(F.col("o_orderkey") * 7 % 800000).cast("int"))
+    end = dates.at("2024-02-01")
+    start = dates.later(end, minutes=-(F.col("o_orderkey") * 7 % 800000))
     return read(spark, d, "orders").select("o_orderkey", dates.runtime_lookback((F.col("o_orderkey") % 30 + 1).cast("int"), start, end).alias("days"))
 
 
@@ -263,8 +270,8 @@ def copied_rows(spark, d):
 
 @query("retry_seconds", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN greatest(1, o_orderkey % 900) WHEN 1 THEN greatest(1, o_orderkey % 3000 - 100) END AS seconds FROM orders")
 def retry_seconds(spark, d):
-    n, now = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
-    date = F.concat(F.date_format(now + F.make_dt_interval(secs=n % 3000 - 100), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    n, now = F.col("o_orderkey"), dates.instant_of(F.col("o_orderdate"))
+    date = F.concat(_posted(dates.later(now, seconds=n % 3000 - 100)), F.lit(" GMT"))
     value = F.when(n % 4 == 0, (n % 900).cast("string")).when(n % 4 == 1, date).when(n % 4 == 2, "soon")
     return read(spark, d, "orders").select("o_orderkey", dates.retry_seconds(value, now).alias("seconds"))
 
@@ -273,7 +280,7 @@ def retry_seconds(spark, d):
  SELECT o_orderkey, strftime(CASE WHEN due > now THEN due ELSE due + INTERVAL 24 HOUR END, '%Y-%m-%d %H:%M:%S') AS due FROM t""")
 def next_runs(spark, d):
     n = F.col("o_orderkey")
-    now = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=(n % 1440).cast("int"))
+    now = dates.later(dates.instant_of(F.col("o_orderdate")), minutes=n % 1440)
     schedule = F.when(n % 3 == 0, "25:00").when(n % 3 == 1, "23:59").otherwise("00:30")
     return read(spark, d, "orders").select("o_orderkey", stamp(dates.next_run_at(now, schedule)).alias("due"))
 
@@ -321,3 +328,48 @@ def crawled_articles(spark, d):
         found = one if found is None else found.unionByName(one)
     rows = page.crawl(listed, page.read_pages(found))
     return rows.select("page_id", "nth", "title", stamp(F.col("published_at")).alias("published"))
+
+
+@query("time_text_articles", """SELECT doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN 'Title ' || doc_id WHEN doc_id % 3 = 1 THEN 'Doc ' || doc_id ELSE 'One two ' || lang END AS title, strftime(TIMESTAMP '2024-05-06' + to_minutes(doc_id), '%Y-%m-%d %H:%M:%S') AS published,
+ CASE WHEN doc_id % 2 = 0 THEN 'outer inner rest' ELSE 'plain' END AS link FROM documents""")
+def time_text_articles(spark, d):
+    """Pages that say when only in the text of a time element; headings that are empty, missing or in parts, and anchors within anchors."""
+    n = F.col("doc_id")
+    drawn = F.when(n % 3 == 0, F.concat(F.lit("<title>Title "), n, F.lit("</title><h1> </h1>"))).when(n % 3 == 1, F.concat(F.lit("<h1></h1><h1>Doc "), n, F.lit("</h1><h1>Later</h1>"))).otherwise(F.concat(F.lit("<h1>One<b>two</b> "), F.col("lang"), F.lit("</h1>")))
+    link = F.when(n % 2 == 0, "<a href='/a'>outer <a href='/b'>inner<i>rest</i></a><a href='/none'> </a>").otherwise("<a href='/p'>plain</a><a href='/open'>unclosed")
+    body = F.concat(drawn, F.lit("<time datetime='soon'>at noon</time><time>"), F.translate(dates.told(dates.later(dates.at("2024-05-06"), minutes=n)), " ", "T"), F.lit("Z</time>"), link)
+    pages = page.read_pages(_docs(spark, d).select(n.alias("page_id"), F.concat(F.lit("https://n.org/x/"), n).alias("url"), body.alias("body")))
+    return pages.select("page_id", "own.title", stamp(F.col("own.published_at")).alias("published"), F.array_join(F.transform("anchors", lambda a: a["text"]), "|").alias("link"))
+
+
+def _answers(spark, d):
+    """Sources' answers, by the document's number: a feed; an empty feed; a page that a feed's source gave; a page of a crawled source, with two
+    articles in its JSON-LD; a feed that breaks off; nothing."""
+    n = F.col("doc_id")
+    when = lambda k: F.concat(F.translate(dates.told(dates.later(dates.at("2024-05-06"), minutes=n + k)), " ", "T"), F.lit("Z"))
+    item = lambda k: F.concat(F.lit("<item><title>F "), n, F.lit(f" {k}</title><link>https://n.org/"), n, F.lit(f"/{k}</link><pubDate>"), when(k), F.lit("</pubDate></item>"))
+    feed_of = F.concat(F.lit("<rss><channel>"), item(0), item(1), F.lit("</channel></rss>"))
+    own = F.concat(F.lit("<!doctype html><title>P "), n, F.lit("</title><time>"), when(0), F.lit("</time><p>no XML<br>"))
+    linked = lambda k: F.concat(F.lit('{"@type":"NewsArticle","headline":"J '), n, F.lit(f' {k}","url":"/j/'), n, F.lit(f'/{k}","datePublished":"'), when(k), F.lit('"}'))
+    listed = F.concat(F.lit("<html><script type='application/ld+json'>["), linked(0), F.lit(","), linked(1), F.lit("]</script><a href='/x'>A link</a></html>"))
+    body = F.when(n % 6 == 0, feed_of).when(n % 6 == 1, "<rss><channel></channel></rss>").when(n % 6 == 2, own).when(n % 6 == 3, listed).when(n % 6 == 4, "<rss><item>")
+    return _docs(spark, d).select(n.alias("source_id"), F.when(n % 6 == 3, "crawler").otherwise("direct").alias("mode"), F.lit(0).alias("crawler_enabled"), F.concat(F.lit("https://n.org/s/"), n).alias("url"), body.cast("binary").alias("body"))
+
+
+_ANSWERED = """WITH d AS (SELECT doc_id AS n, doc_id % 6 AS m FROM documents), k AS (SELECT * FROM d, (VALUES (0), (1)) v(k)),
+ r AS (SELECT n, 'feed' AS read_as, k AS position, 'F ' || n || ' ' || k AS title, 'https://n.org/' || n || '/' || k AS url, k AS late FROM k WHERE m = 0 UNION ALL SELECT n, 'crawler', 0, 'P ' || n, 'https://n.org/s/' || n, 0 FROM d WHERE m = 2
+ UNION ALL SELECT n, 'crawler', k, 'J ' || n || ' ' || k, 'https://n.org/j/' || n || '/' || k, k FROM k WHERE m = 3)"""
+
+
+@query("answered_items", f"{_ANSWERED} SELECT n AS source_id, read_as, position, title, url, strftime(TIMESTAMP '2024-05-06' + to_minutes(n + late), '%Y-%m-%d %H:%M:%S') AS published, FALSE AS failed FROM r UNION ALL SELECT n, 'error', NULL, NULL, NULL, NULL, TRUE FROM d WHERE m IN (4, 5)")
+def answered_items(spark, d):
+    """Bodies of all kinds in one table, read in one pass into items and errors."""
+    rows = item_reader.answered_items(item_reader.read_answers(_answers(spark, d)), "source_id")
+    return rows.select("source_id", "read_as", "position", "title", "url", stamp(F.col("published_at")).alias("published"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("lateral_items", f"""{_ANSWERED} SELECT n AS source_id, CASE WHEN title LIKE 'P %' THEN 'own' ELSE 'item' END AS kind, title, url FROM r UNION ALL SELECT n, 'link', 'A link', '/x' FROM d WHERE m = 3 UNION ALL SELECT n, 'error', NULL, NULL FROM d WHERE m IN (4, 5)""")
+def lateral_items(spark, d):
+    """The same bodies from SQL, by a table function."""
+    _answers(spark, d).createOrReplaceTempView("quillstream_answers")
+    return spark.sql(f"SELECT source_id, kind, title, i.url AS url FROM quillstream_answers a, LATERAL {item_reader.registered(spark)}(a.mode, a.crawler_enabled, a.url, a.body) i")

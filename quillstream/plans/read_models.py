@@ -22,7 +22,7 @@ def hits(t: Tables, named: dict[str, str] | None = None, new_versions: tuple[str
     """A row for each (keyword, article) with flags, once; keywords without hits have a null article."""
     k = t["keywords"].where("archived = 0").alias("k")
     c = t["keyword_categories"].alias("c")
-    ak = t["article_keywords"].select("article_id", "keyword_id").distinct().alias("ak")
+    ak = t["article_keywords"].select("article_id", "keyword_id").alias("ak")  # its key; what repeats counts once below
     rows = k.join(c, F.col("k.category_id") == F.col("c.id"), "left").join(ak, F.col("ak.keyword_id") == F.col("k.id"), "left").join(t["article_relevance_reviews"].alias("rr"), F.col("rr.article_id") == F.col("ak.article_id"), "left")
     reviewed = F.col("rr.status") == "success"
     relevant = rules.category_relevant(named or {}, new_versions, F.col("c.name"))
@@ -109,7 +109,10 @@ def search(t: Tables, q: str = "", keyword_id: int | None = None, source_id: int
     if count:
         return a.agg(F.count(F.lit(1)).alias("total"))
     a = a.orderBy(F.desc("published_at"), F.desc("id")).offset(offset).limit(limit)
-    return with_children(a, t).orderBy(F.desc("published_at"), F.desc("id"))
+    # only the children of the page's articles, at most 200, are grouped
+    ids = F.broadcast(a.select(F.col("id").alias("article_id")))
+    few = {name: t[name].join(ids, "article_id", "left_semi") for name in ("article_sources", "article_keywords")}
+    return with_children(a, {**t, **few}).orderBy(F.desc("published_at"), F.desc("id"))
 
 
 def with_children(a: DataFrame, t: Tables) -> DataFrame:

@@ -83,14 +83,14 @@ def overall_hit_rate(spark, d):
 def _star_tables(spark: SparkSession, d: str) -> tables.Tables:
     docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
     n, own = F.col("doc_id"), F.sha2("text", 256)
-    a = docs.select(n.alias("id"), F.lit("t").alias("title"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=n.cast("int"))).alias("published_at"))
+    a = docs.select(n.alias("id"), F.lit("t").alias("title"), dates.later(dates.at("2024-01-01"), minutes=n).alias("published_at"))
     failed = F.col("n_chars") % 7 == 0
     c = docs.where(n % 13 != 0).select(
         n.alias("article_id"), F.when(failed, "failed").otherwise("success").alias("status"), own.alias("content_hash"), F.when(n % 3 == 0, 1).otherwise(0).alias("is_terminal"),
-        F.when(n % 2 == 0, F.lit("2024-03-01").cast("timestamp")).alias("next_retry_at"), F.when(n % 5 == 0, F.lit("2024-01-15").cast("timestamp")).alias("ignored_at"), (F.lit("2024-01-02").cast("timestamp") + F.make_dt_interval(mins=n.cast("int"))).alias("fetched_at"),
+        F.when(n % 2 == 0, dates.at("2024-03-01")).alias("next_retry_at"), F.when(n % 5 == 0, dates.at("2024-01-15")).alias("ignored_at"), dates.later(dates.at("2024-01-02"), minutes=n).alias("fetched_at"),
     )
     both = labels.join(docs.select("doc_id", own.alias("h")), "doc_id")
-    r = both.select(n.alias("article_id"), F.when(n % 17 == 0, "failed").otherwise("success").alias("status"), F.when(n % 11 == 0, "stale").otherwise(F.col("h")).alias("content_hash"), F.col("quality").alias("is_relevant"), (F.lit("2024-01-03").cast("timestamp") + F.make_dt_interval(mins=n.cast("int"))).alias("reviewed_at"))
+    r = both.select(n.alias("article_id"), F.when(n % 17 == 0, "failed").otherwise("success").alias("status"), F.when(n % 11 == 0, "stale").otherwise(F.col("h")).alias("content_hash"), F.col("quality").alias("is_relevant"), dates.later(dates.at("2024-01-03"), minutes=n).alias("reviewed_at"))
     b = both.where("quality = 1 and doc_id % 3 = 0").select(n.alias("article_id"), F.when(n % 2 == 0, "failed").otherwise("success").alias("analysis_status"), F.col("h").alias("content_hash"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("category"), (n % 101).cast("int").alias("risk_score"))
     return {"articles": _aligned(a, "articles"), "article_contents": _aligned(c, "article_contents"), "article_relevance_reviews": _aligned(r, "article_relevance_reviews"), "business_articles": _aligned(b, "business_articles")}
 
@@ -203,17 +203,17 @@ def _arrivals(spark, d) -> tuple[DataFrame, DataFrame]:
     """Events as items, and the tasks they meet: user_id % 20 is the source, the type the strategy and its term; even sources have
     cursors."""
     items = read(spark, d, "events").select(
-        "event_id", (F.col("user_id") % 20).alias("rss_source_id"), F.crc32("event_type").alias("keyword_id"), F.col("event_type").alias("title"), F.lit("").alias("summary"), F.col("ts").cast("timestamp").alias("published_at")
+        "event_id", (F.col("user_id") % 20).alias("rss_source_id"), F.crc32("event_type").alias("keyword_id"), F.col("event_type").alias("title"), F.lit("").alias("summary"), dates.instant_of(F.col("ts")).alias("published_at")
     )
-    cursor = F.when(F.col("rss_source_id") % 2 == 0, F.lit("2024-01-10").cast("timestamp"))
-    start = dates.window_start(cursor, dates.lookback_start(F.lit("2024-01-20 04:00:00").cast("timestamp"), "Asia/Shanghai", F.lit(14)))
+    cursor = F.when(F.col("rss_source_id") % 2 == 0, dates.at("2024-01-10"))
+    start = dates.window_start(cursor, dates.lookback_start(dates.at("2024-01-20 04:00:00"), "Asia/Shanghai", F.lit(14)))
     tasks = items.select("rss_source_id", "keyword_id", "title").distinct().select("rss_source_id", "keyword_id", F.array("title").alias("match_terms"), F.col("title").alias("keyword"), start.alias("window_start"), F.lit("f").alias("feed_url"))
     return items, cut(tasks)
 
 
 def _judged(spark, d) -> DataFrame:
     items, tasks = _arrivals(spark, d)
-    return collect.judged(items, tasks, F.lit("2024-01-20 04:00:00").cast("timestamp"), True)
+    return collect.judged(items, tasks, dates.at("2024-01-20 04:00:00"), True)
 
 
 _PAIRS = "SELECT event_id, user_id, user_id % 20 AS rss_source_id, event_type AS keyword, ts AS published_at, value, CASE WHEN (user_id % 20) % 2 = 0 THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2024-01-06 16:00:00' END AS window_start FROM events"
@@ -238,7 +238,7 @@ def pair_counters(spark, d):
 @query("cursor_advance", "SELECT s AS rss_source_id, k AS keyword_id, CASE WHEN EXISTS (SELECT 1 FROM events WHERE user_id % 20 = s AND length(event_type) = k) THEN '2024-01-20 04:00:00' ELSE '2024-01-10 00:00:00' END AS at FROM (SELECT DISTINCT user_id % 20 AS s, length(event_type) AS k FROM events UNION SELECT r, 99 FROM range(10) t(r))")
 def cursor_advance(spark, d):
     done = read(spark, d, "events").select((F.col("user_id") % 20).alias("rss_source_id"), F.length("event_type").cast("long").alias("keyword_id")).distinct()
-    old = spark.range(10).select(F.col("id").alias("rss_source_id"), F.lit(99).cast("long").alias("keyword_id"), F.lit("2024-01-10").cast("timestamp").alias("last_collected_at"))
+    old = spark.range(10).select(F.col("id").alias("rss_source_id"), F.lit(99).cast("long").alias("keyword_id"), dates.at("2024-01-10").alias("last_collected_at"))
     out = merge.advanced_cursors(old, done, F.lit("2024-01-20 04:00:00"))
     return out.select("rss_source_id", "keyword_id", stamp(F.col("last_collected_at")).alias("at"))
 
@@ -247,8 +247,8 @@ def cursor_advance(spark, d):
 def run_window_start(spark, d):
     s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
     k = spark.createDataFrame([(1, 14)], "id long, lookback_days int")
-    cursors = s.where("id % 2 = 0").select(F.col("id").alias("rss_source_id"), F.lit(1).cast("long").alias("keyword_id"), F.lit("2024-01-10").cast("timestamp").alias("last_collected_at"))
-    rows = collect.run_window_start(_aligned(s, "rss_sources"), _aligned(k, "keywords"), cursors, F.lit("2024-01-20 04:00:00").cast("timestamp"))
+    cursors = s.where("id % 2 = 0").select(F.col("id").alias("rss_source_id"), F.lit(1).cast("long").alias("keyword_id"), dates.at("2024-01-10").alias("last_collected_at"))
+    rows = collect.run_window_start(_aligned(s, "rss_sources"), _aligned(k, "keywords"), cursors, dates.at("2024-01-20 04:00:00"))
     return rows.select(stamp(F.col("window_start")).alias("window_start"))
 
 
@@ -287,7 +287,7 @@ def provenance_merge(spark, d):
     e = read(spark, d, "events")
     seen = e.select(
         (F.col("user_id") % 50).alias("article_id"), (F.col("user_id") % 3).alias("rss_source_id"), F.lit("f").alias("feed_url"), F.col("event_id").cast("string").alias("observed_url"), F.col("event_type").alias("canonical_url"),
-        F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit("g"), F.col("event_id"))).alias("guid"), F.lit("").alias("language"), F.lit("").alias("country"), F.array().cast("array<string>").alias("categories"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit("g"), F.col("event_id"))).alias("guid"), F.lit("").alias("language"), F.lit("").alias("country"), F.array().cast("array<string>").alias("categories"), dates.instant_of(F.col("ts")).alias("seen_at"), F.col("event_id").alias("seq"),
     )
     out = merge.provenance(tables.empty(spark, "article_sources"), seen)
     return out.select("article_id", "rss_source_id", "canonical_url", "guid", F.col("observed_url").cast("long").alias("observed"), stamp(F.col("first_seen_at")).alias("first_seen"), stamp(F.col("last_seen_at")).alias("last_seen"))
@@ -324,8 +324,8 @@ _RUN_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success'
 def retention_preview(spark, d):
     o = read(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "success").otherwise("running")
-    runs = o.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
-    t = {"articles": _aligned(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("published_at")), "articles"), "collection_runs": _aligned(runs, "collection_runs")}
+    runs = o.select(F.col("o_orderkey").alias("id"), status.alias("status"), dates.instant_of(F.col("o_orderdate")).alias("started_at"))
+    t = {"articles": _aligned(o.select(F.col("o_orderkey").alias("id"), dates.instant_of(F.col("o_orderdate")).alias("published_at")), "articles"), "collection_runs": _aligned(runs, "collection_runs")}
     return retention.preview(t | {n: tables.empty(spark, n) for n in ("ai_analysis_runs", "daily_reports")}, "history", "1996-01-01")
 
 
@@ -353,8 +353,8 @@ def url_country(spark, d):
 
 @query("url_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE year(o_orderdate) >= 2000 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE year(o_orderdate) < 2000")
 def url_date(spark, d):
-    url = F.concat(F.lit("https://n.org/"), F.date_format("o_orderdate", "yyyy/M/d"), F.lit("/title"))
-    return read(spark, d, "orders").select("o_orderkey", F.date_format(urls.url_date(url), "yyyy-MM-dd").alias("day"))
+    url = F.concat(F.lit("https://n.org/"), F.concat_ws("/", F.year("o_orderdate"), F.month("o_orderdate"), F.day("o_orderdate")), F.lit("/title"))
+    return read(spark, d, "orders").select("o_orderkey", urls.url_date(url).cast("string").alias("day"))
 
 
 def _pages(spark, d):
@@ -421,7 +421,7 @@ def list_clean(spark, d):
 @query("backoff_schedule", "SELECT o_orderkey, CAST(least(1440, 5 * power(2, (o_orderkey % 12))) AS INT) AS minutes, CASE WHEN o_orderkey % 12 + 1 < 3 AND o_orderstatus <> 'F' THEN strftime(o_orderdate + to_minutes(CAST(5 * power(2, o_orderkey % 12) AS INT)), '%Y-%m-%d %H:%M:%S') END AS next_at FROM orders")
 def backoff_schedule(spark, d):
     attempt = (F.col("o_orderkey") % 12 + 1).cast("int")
-    at = dates.next_retry(F.col("o_orderdate").cast("timestamp"), attempt, F.col("o_orderstatus") != "F")
+    at = dates.next_retry(dates.instant_of(F.col("o_orderdate")), attempt, F.col("o_orderstatus") != "F")
     return read(spark, d, "orders").select("o_orderkey", dates.wait_minutes(attempt).alias("minutes"), stamp(at).alias("next_at"))
 
 

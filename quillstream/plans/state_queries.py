@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.functions import dates
 from quillstream.operators import collect, config, enrich, recovery, report, retention, sinks
 from quillstream.operators.lineage import shared_folder
 from quillstream.plans import read_models as q
@@ -20,7 +21,7 @@ _DAYS = "published_at >= TIMESTAMP '2023-12-31 16:00:00' AND published_at < TIME
 
 
 def _minutes(c: str = "doc_id", first: str = "2024-01-01"):
-    return F.lit(first).cast("timestamp") + F.make_dt_interval(mins=F.col(c).cast("int"))
+    return dates.later(dates.at(first), minutes=F.col(c))
 
 
 def _rows(df: DataFrame, name: str, *columns) -> DataFrame:
@@ -36,7 +37,7 @@ def _library(spark: SparkSession, d: str) -> Tables:
     a = _rows(docs, "articles", n.alias("id"), F.concat(F.lit("t"), n).alias("title"), F.concat(F.lit("https://n.org/"), n).alias("url"), F.concat(F.lit("https://n.org/"), n).alias("canonical_url"), F.col("source").alias("publisher"), F.col("text").alias("summary"), _minutes().alias("published_at"), F.when(n % 5 == 0, now()).otherwise(_minutes()).alias("collected_at"))
     seen = docs.select("doc_id", "lang", F.explode(F.when(n % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
     source = (F.col("doc_id") * 7 + F.col("k")) % 20
-    s = _rows(seen, "article_sources", F.col("doc_id").alias("article_id"), source.alias("rss_source_id"), F.concat(F.lit("https://n.org/"), n).alias("canonical_url"), F.concat(F.lit("https://s.org/"), source, F.lit("/"), n).alias("observed_url"), F.when(F.col("k") == 0, F.col("lang")).otherwise("xx").alias("language"), F.when(F.col("k") == 0, "US").otherwise("").alias("country"), F.array(F.lit("c"), F.col("lang")).alias("categories"), (_minutes() + F.make_dt_interval(hours=F.col("k"))).alias("first_seen_at"))
+    s = _rows(seen, "article_sources", F.col("doc_id").alias("article_id"), source.alias("rss_source_id"), F.concat(F.lit("https://n.org/"), n).alias("canonical_url"), F.concat(F.lit("https://s.org/"), source, F.lit("/"), n).alias("observed_url"), F.when(F.col("k") == 0, F.col("lang")).otherwise("xx").alias("language"), F.when(F.col("k") == 0, "US").otherwise("").alias("country"), F.array(F.lit("c"), F.col("lang")).alias("categories"), dates.later(_minutes(), minutes=60 * F.col("k")).alias("first_seen_at"))
     k = docs.select("doc_id", F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda x: n % (x + 1) == 0)).alias("k"))
     ak = _rows(k, "article_keywords", F.col("doc_id").alias("article_id"), F.col("k").cast("long").alias("keyword_id"), F.array(F.lit("x")).alias("matched_terms"))
     names = _rows(spark.range(20), "rss_sources", "id", F.concat(F.lit("s"), F.col("id")).alias("name"))
@@ -103,7 +104,7 @@ def queue_of_run(spark, d):
 def system_status(spark, d):
     t = _library(spark, d)
     t["rss_sources"] = _rows(read(spark, d, "supplier"), "rss_sources", F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, 0).otherwise(1).alias("active"))
-    t["collection_runs"] = _rows(read(spark, d, "orders"), "collection_runs", F.col("o_orderkey").alias("id"), F.lit("success").alias("status"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
+    t["collection_runs"] = _rows(read(spark, d, "orders"), "collection_runs", F.col("o_orderkey").alias("id"), F.lit("success").alias("status"), dates.instant_of(F.col("o_orderdate")).alias("started_at"))
     row = q.system_status(t, F.lit(datetime.fromisoformat("2024-01-31T10:00:00+00:00")), "08:00")
     return row.select("articles", "rss_sources", "keywords", F.col("latest_run.id").alias("latest_run"), stamp(F.col("next_report_at")).alias("next_report"))
 
@@ -160,7 +161,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY source, key
 
 
 def _later():
-    return F.lit("2024-01-04").cast("timestamp")
+    return dates.at("2024-01-04")
 
 
 @query("judged_items", f"{_JUDGED} SELECT doc_id AS position, source AS rss_source_id, keyword AS keyword_id, outcome FROM told")
@@ -384,7 +385,7 @@ _ASSEMBLED = f"""x AS (SELECT doc_id, doc_id % 101 AS risk FROM documents WHERE
 def daily_risk_floor(spark, d):
     """A report's risk is at least that of its riskiest article, and citations of other days' articles go."""
     answer = spark.createDataFrame([("t", "o", 20, [("kept", "b", [3, -1, 1, 3]), ("gone", "d", [-2])])], "title string, overview string, risk_score int, details array<struct<title:string,content:string,article_ids:array<bigint>>>")
-    out = report.assembled(report.report_input(_reports(spark, d), "2024-01-01"), answer)
+    out = report.assembled(report.of_day(_reports(spark, d), "2024-01-01"), answer)
     return out.select(F.col("risk_score").cast("long").alias("risk_score"), "risk_level", F.col("article_count").alias("articles"), F.array_join(F.transform("details", lambda x: F.concat_ws(":", x["title"], F.array_join(x["article_ids"], ","))), "|").alias("details"))
 
 
@@ -396,7 +397,7 @@ def report_detail(spark, d):
 
 @query("report_list", "SELECT r AS id, strftime(DATE '2024-01-01' + CAST(r % 35 AS INT), '%Y-%m-%d') AS day FROM range(1, 41) t(r) ORDER BY r % 35 DESC, r DESC LIMIT 30")
 def report_list(spark, d):
-    return q.reports(_reports(spark, d)).select("id", F.date_format("report_date", "yyyy-MM-dd").alias("day"))
+    return q.reports(_reports(spark, d)).select("id", F.col("report_date").cast("string").alias("day"))
 
 
 @query("report_days", "SELECT r AS day, r % 35 IN (SELECT x % 35 FROM range(1, 41) t(x) WHERE x % 3 <> 0) AS done FROM range(0, 3) t(r)")
@@ -419,7 +420,7 @@ def evidence_urls(spark, d):
 
 def _suppliers(spark, d) -> DataFrame:
     n = F.col("s_suppkey")
-    return _rows(read(spark, d, "supplier"), "rss_sources", n.alias("id"), F.col("s_name").alias("name"), F.when(n % 3 == 0, "").otherwise("US").alias("country"), F.lit("en-GB").alias("language"), F.concat(F.lit("https://n.org/"), n).alias("url_template"), F.lit("direct").alias("mode"), (n % 2).cast("int").alias("crawler_enabled"), F.when(n % 7 == 0, 1).otherwise(0).alias("archived"), F.when(n % 4 == 0, F.lit("2024-02-01 00:00:01").cast("timestamp")).otherwise(now()).alias("crawler_cooldown_until"))
+    return _rows(read(spark, d, "supplier"), "rss_sources", n.alias("id"), F.col("s_name").alias("name"), F.when(n % 3 == 0, "").otherwise("US").alias("country"), F.lit("en-GB").alias("language"), F.concat(F.lit("https://n.org/"), n).alias("url_template"), F.lit("direct").alias("mode"), (n % 2).cast("int").alias("crawler_enabled"), F.when(n % 7 == 0, 1).otherwise(0).alias("archived"), F.when(n % 4 == 0, dates.at("2024-02-01 00:00:01")).otherwise(now()).alias("crawler_cooldown_until"))
 
 
 @query("listed_sources", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 1 THEN 'crawler' ELSE 'direct' END AS mode, s_suppkey % 4 = 0 AS resting FROM supplier WHERE s_suppkey % 7 <> 0")
@@ -487,7 +488,7 @@ def backfilled(spark, d):
 @query("cleaned_history", "SELECT 'articles' AS name, count(*) FILTER (o_orderdate >= TIMESTAMP '1996-01-01') AS n FROM orders UNION ALL SELECT 'article_keywords', count(*) FILTER (o_orderdate >= TIMESTAMP '1996-01-01') FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT 'collection_runs', count(*) FILTER (o_orderdate >= TIMESTAMP '1996-01-01' OR o_orderstatus = 'P') FROM orders")
 def cleaned_history(spark, d):
     """History before a day goes with what hangs on it; runs in progress stay."""
-    o, day = read(spark, d, "orders"), F.col("o_orderdate").cast("timestamp")
+    o, day = read(spark, d, "orders"), dates.instant_of(F.col("o_orderdate"))
     t = {n: empty(spark, n) for n in SCHEMAS}
     t["articles"] = _rows(o, "articles", F.col("o_orderkey").alias("id"), day.alias("published_at"))
     t["article_keywords"] = _rows(read(spark, d, "lineitem"), "article_keywords", F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").cast("long").alias("keyword_id"))

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.functions import urls
+from quillstream.functions import dates, urls
 from quillstream.functions.dates import parse_instant
 from quillstream.functions.text import category_names, plain_text, publisher_name
 from quillstream.sources.tables import ITEM, arrow_fields
@@ -69,60 +69,65 @@ def looks_like_challenge(body: Column) -> Column:
 
 
 class Page(HTMLParser):
-    """Base, first value of each metadata name, anchors, JSON-LD blocks, title, first h1, and times of a page."""
+    """Base, first value of each metadata name, anchors, JSON-LD blocks, title, first h1 with text, and times of a page.
+
+    Elements whose text counts are kept apart while they are open, so they may stand within each other: an anchor in an anchor is
+    text of the outer one, a time within a heading is both. Pieces of a text that other tags part are words of their own. All
+    titles, those of drawings too, are one title; a title or heading that is never closed goes on to the end.
+    """
 
     def __init__(self, text: str):
         super().__init__(convert_charrefs=True)
         self.base, self.meta, self.anchors, self.blocks = "", {}, [], []
-        self.title, self.heading, self.times = "", "", []
-        self._open: str | None = None
-        self._href, self._text, self._had_heading = "", [], False
-        self._anchor: list[str] | None = None
+        self.heading, self.times, self.titles = "", [], []
+        self._open: dict[str, list[str]] = {}
+        self._href = ""
         self.feed(text)
         self.close()
-        self._end_anchor()
+        for tag in ("title", "h1"):
+            self.handle_endtag(tag)
+
+    @property
+    def title(self) -> str:
+        return " ".join(self.titles)
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag == "base" and not self.base:
-            self.base = a.get("href", "").strip()
+        a = {k: (v or "").strip() for k, v in attrs}
+        if tag == "base":
+            self.base = self.base or a.get("href", "")
         elif tag == "meta":
-            name = (a.get("property") or a.get("name") or a.get("itemprop") or "").strip().casefold()
-            if name and a.get("content", "").strip():
-                self.meta.setdefault(name, a["content"].strip())
-        elif tag == "a":
-            self._end_anchor()
-            self._href, self._anchor = a.get("href", "").strip(), []
-        elif tag == "time":
-            if a.get("datetime", "").strip():
-                self.times.append(a["datetime"].strip())
-        if (tag == "script" and a.get("type", "").strip().casefold() == "application/ld+json") or tag == "title" or (tag == "h1" and not self._had_heading):
-            self._open, self._text = tag, []
+            name = next((a[k] for k in ("property", "name", "itemprop") if a.get(k)), "").casefold()
+            if name and a.get("content"):
+                self.meta.setdefault(name, a["content"])
+        elif tag == "time" and a.get("datetime"):
+            self.times.append(a["datetime"])
+        if tag == "a" and "a" not in self._open:
+            self._href = a.get("href", "")
+        counts = {"a": "a" not in self._open, "title": tag not in self._open, "h1": not self.heading and tag not in self._open, "time": True, "script": a.get("type", "").casefold() == "application/ld+json"}
+        if counts.get(tag):
+            self._open[tag] = []
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "a":
-            self._end_anchor()
-        if tag != self._open:
+        parts = self._open.pop(tag, None)
+        if parts is None:
             return
-        text = "".join(self._text)
+        words = " ".join(" ".join(parts).split())
         if tag == "script":
-            self.blocks.append(text)
+            self.blocks.append("".join(parts))
+        elif not words:
+            return
+        elif tag == "a" and self._href:
+            self.anchors.append((self._href, words))
+        elif tag == "time":
+            self.times.append(words)
         elif tag == "title":
-            self.title = self.title or " ".join(text.split())
-        else:
-            self.heading, self._had_heading = " ".join(text.split()), True
-        self._open = None
+            self.titles.append(words)
+        elif tag == "h1":
+            self.heading = words
 
     def handle_data(self, data: str) -> None:
-        if self._open:
-            self._text.append(data)
-        if self._anchor is not None:
-            self._anchor.append(data)
-
-    def _end_anchor(self) -> None:
-        if self._anchor is not None and self._href:
-            self.anchors.append((self._href, " ".join("".join(self._anchor).split())))
-        self._anchor = None
+        for parts in self._open.values():
+            parts.append(data)
 
     def first(self, names: tuple[str, ...]) -> str:
         return next((self.meta[n] for n in names if self.meta.get(n)), "")
@@ -192,7 +197,7 @@ def own_article(url: Column, linked: Column, told: Column) -> Column:
     """The page's own article: the JSON-LD article of its URL, else the only one there is, else what the page says of itself,
     dated by its URL where it names no date; null without any date."""
     same = F.get(F.filter(linked, lambda x: urls.canonical_url(x["url"]) == urls.canonical_url(url)), F.lit(0))
-    by_path = F.to_utc_timestamp(urls.url_date(url).cast("timestamp"), F.current_timezone())
+    by_path = dates.instant_of(urls.url_date(url))
     dated = F.when(told.isNotNull(), told.withField("published_at", F.coalesce(told["published_at"], by_path)))
     return F.coalesce(same, F.when(F.size(linked) == 1, F.get(linked, F.lit(0))), F.when(dated["published_at"].isNotNull(), dated))
 

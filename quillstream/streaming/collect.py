@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from quillstream.functions import dates
 from quillstream.operators.collect import CollectSettings, changes
 from quillstream.sources.store import BUCKETS, Snapshot, Store
 from quillstream.sources.tables import ITEM, KEYS, SCHEMAS, Tables, load
@@ -52,7 +53,7 @@ def step(store: Store, items: DataFrame, batch: int, now: datetime, settings: Co
     t = store.begin()
     if t.base.meta["batch"] >= batch:
         return False
-    made = changes(_tables(t.base), items, F.lit(now).cast("timestamp"), batch + 1, settings=settings)
+    made = changes(_tables(t.base), items, dates.at(now), batch + 1, settings=settings)
     for name, rows in made.items():
         t.upsert(name, rows)
     t.commit(batch=batch)

@@ -78,3 +78,30 @@ def test_scorer_answers(spark):
     got = [r["r"] for r in spark.createDataFrame([(x,) for x in rows], "x string").select(responses.read_scorer(F.col("x")).alias("r")).collect()]
     assert (got[0]["data"], got[0]["prompt_tokens"], got[0]["completion_tokens"]) == ('{"a": 1}', 3, 0)
     assert [r["error"] for r in got] == [None, "invalid_json", "length"]
+
+
+def test_page_structure():
+    """Times with and without an attribute, empty and later headings, anchors in anchors, titles of drawings, metadata without a name."""
+    read = page.Page("""<base href=""><base href=' /b/ '><meta property=' ' name='Date' content=' 2024 '><meta name=date content=later>
+      <title>Page</title><svg><title>Icon</title></svg><h1></h1><h1> <i> </i></h1><h1>Big<b>news</b> <time>5 May 2024 10:00:00</time></h1><h1>Other</h1>
+      <time datetime='2024-01-02'> second </time><time datetime=''></time><a href=' /x '>one <a href='/y'>two</a> three</a><a href='/empty'> </a><a>nowhere</a>
+      <script type='application/LD+json '>{"a": "<b>"}</script><script>var x</script><a href='/open'>open""")
+    assert (read.base, read.meta, read.title, read.heading) == ("/b/", {"date": "2024"}, "Page Icon", "Big news 5 May 2024 10:00:00")
+    assert read.times == ["5 May 2024 10:00:00", "2024-01-02", "second"] and read.anchors == [("/x", "one two")] and read.blocks == ['{"a": "<b>"}']
+    assert page.Page("<h1>Head <p>goes on").heading == "Head goes on" and page.Page("").title == ""
+
+
+def test_answers_as_they_stream(spark, tmp_path):
+    """Bodies that arrive in files are read as those of a table, the feeds' items exploded on the way."""
+    from quillstream.sources import items
+
+    feed_of = b"<rss><item><title>T</title><link>https://n.org/1</link></item></rss>"
+    rows = [(1, "direct", 0, feed_of), (2, None, None, b"<html><p>x<br>"), (3, "direct", 1, feed_of), (4, "direct", 0, b"oops"), (5, "direct", 0, None), (6, "direct", 0, b""), (7, "direct", 0, b"<rss/>")]
+    answers = spark.createDataFrame(rows, "id long, mode string, crawler_enabled int, body binary")
+    want = {1: ("feed", 1), 2: ("crawler", 0), 3: ("crawler", 0), 4: ("error", 0), 5: ("error", 0), 6: ("error", 0), 7: ("feed", 0)}
+    assert {r["id"]: (r["read_as"], len(r["items"])) for r in items.read_answers(answers).collect()} == want
+    answers.write.parquet(f"{tmp_path}/in")
+    stream = items.read_answers(spark.readStream.schema(answers.schema).parquet(f"{tmp_path}/in")).select("id", "read_as", F.size("items").alias("n"))
+    stream.writeStream.format("memory").queryName("answers_read").trigger(availableNow=True).start().awaitTermination()
+    assert {r["id"]: (r["read_as"], r["n"]) for r in spark.table("answers_read").collect()} == want
+    assert items.read_answers(answers.limit(0)).count() == 0
