@@ -32,7 +32,7 @@ def hits(t: Tables, named: dict[str, str] | None = None, new_versions: tuple[str
     )
 
 
-def _counted(rows: DataFrame, *by: str) -> DataFrame:
+def counted(rows: DataFrame, *by: str) -> DataFrame:
     """Counts of distinct articles: one row for each (group, article) first, then plain conditional counts. The first
     step combines before its shuffle, and no row is expanded for several distinct counts."""
     flags = rows.groupBy(*by, "article_id").agg(*[F.max(c).alias(c) for c in ("reviewed", "business", "relevant")])
@@ -44,14 +44,14 @@ def _counted(rows: DataFrame, *by: str) -> DataFrame:
 def keyword_hit_stats(t: Tables, **rule) -> DataFrame:
     """Each keyword that is not archived, inactive ones too."""
     by = ("keyword_id", "keyword_name", "active", "category_id", "category_name", "sort_order")
-    return with_rates(_counted(hits(t, **rule), *by)).orderBy(F.coalesce("sort_order", F.lit(999999)), "keyword_id").drop("sort_order")
+    return with_rates(counted(hits(t, **rule), *by)).orderBy(F.coalesce("sort_order", F.lit(999999)), "keyword_id").drop("sort_order")
 
 
 def category_hit_stats(t: Tables, **rule) -> DataFrame:
     """Each active category, and one row for active keywords without one; articles that several keywords hit count once."""
     rows = hits(t, **rule).where("active = 1")
     keys = t["keywords"].where("archived = 0 and active = 1").groupBy("category_id").agg(F.count_distinct("id").alias("keyword_count"))
-    counted = _counted(rows, "category_id").withColumnRenamed("category_id", "_c").join(keys.withColumnRenamed("category_id", "_k"), F.expr("_c <=> _k"), "left").drop("_k")
+    counted = counted(rows, "category_id").withColumnRenamed("category_id", "_c").join(keys.withColumnRenamed("category_id", "_k"), F.expr("_c <=> _k"), "left").drop("_k")
     named = t["keyword_categories"].where("active = 1").select(F.col("id").alias("category_id"), F.col("name").alias("category_name"), "sort_order")
     spark = named.sparkSession
     every = named.unionByName(spark.createDataFrame([(None, None, 999999)], named.schema))
@@ -62,22 +62,29 @@ def category_hit_stats(t: Tables, **rule) -> DataFrame:
 def overall_hit_rate(t: Tables, **rule) -> DataFrame:
     rows = hits(t, **rule).where("active = 1")
     keys = t["keywords"].where("archived = 0 and active = 1").agg(F.count_distinct("id").alias("keyword_count"))
-    return with_rates(_counted(rows).crossJoin(keys))
+    return with_rates(counted(rows).crossJoin(keys))
 
 
-def funnel(t: Tables, now: Column) -> DataFrame:
-    """One row: how many articles are where in the pipeline, in one pass over the star."""
-    content, ok = F.col("ic.status"), F.col("ic.status") == "success"
-    failed = content == "failed"
+def funnel_cells() -> dict[str, Column]:
+    """The cells of the funnel that an article's own rows of the star decide, whatever the time."""
+    ok, failed = F.col("ic.status") == "success", F.col("ic.status") == "failed"
     fresh = lambda alias: F.col(f"{alias}.content_hash") == F.col("ic.content_hash")
     reviewed = ok & (F.col("rr.status") == "success") & fresh("rr")
-    n = F.count_if
-    out = enrich.star(t).agg(
-        F.count(F.lit(1)).alias("total"), n(rules.is_candidate(now)).alias("pending"), n(ok).alias("content_ready"), n(failed).alias("content_failed"),
-        n(failed & (F.col("ic.is_terminal") == 0) & F.col("ic.ignored_at").isNull() & (F.col("ic.next_retry_at") > now)).alias("content_retry_waiting"), n(failed & (F.col("ic.is_terminal") == 1) & F.col("ic.ignored_at").isNull()).alias("content_final_failed"), n(failed & F.col("ic.ignored_at").isNotNull()).alias("content_ignored"),
-        n(reviewed & (F.col("rr.is_relevant") == 1)).alias("relevant"), n(reviewed & (F.col("rr.is_relevant") == 0)).alias("irrelevant"), n(ok & (F.col("rr.status") == "failed") & fresh("rr")).alias("review_failed"),
-        n(ok & (F.col("ba.analysis_status") == "success") & fresh("ba")).alias("analyzed"), n(ok & (F.col("ba.analysis_status") == "failed") & fresh("ba")).alias("analysis_failed"),
-    )
+    return {
+        "total": F.lit(True), "content_ready": ok, "content_failed": failed,
+        "content_final_failed": failed & (F.col("ic.is_terminal") == 1) & F.col("ic.ignored_at").isNull(), "content_ignored": failed & F.col("ic.ignored_at").isNotNull(),
+        "relevant": reviewed & (F.col("rr.is_relevant") == 1), "irrelevant": reviewed & (F.col("rr.is_relevant") == 0), "review_failed": ok & (F.col("rr.status") == "failed") & fresh("rr"),
+        "analyzed": ok & (F.col("ba.analysis_status") == "success") & fresh("ba"), "analysis_failed": ok & (F.col("ba.analysis_status") == "failed") & fresh("ba"),
+    }
+
+
+def funnel(t: Tables, now: Column) -> DataFrame:
+    """One row: how many articles are where in the pipeline, in one pass over the star."""
+    cells = funnel_cells()
+    waiting = (F.col("ic.status") == "failed") & (F.col("ic.is_terminal") == 0) & F.col("ic.ignored_at").isNull() & (F.col("ic.next_retry_at") > now)
+    order = ("total", "pending", "content_ready", "content_failed", "content_retry_waiting", *(c for c in cells if c not in ("total", "content_ready", "content_failed")))
+    of = cells | {"pending": rules.is_candidate(now), "content_retry_waiting": waiting}
+    out = enrich.star(t).agg(*[F.count_if(of[name]).alias(name) for name in order])
     return out.withColumn("failed", F.col("content_failed") + F.col("review_failed") + F.col("analysis_failed"))
 
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import dates, rules, text, urls
 from quillstream.operators import collect, dedup, enrich, merge, report, retention
-from quillstream.operators.lineage import cut
+from quillstream.operators.lineage import cut, shared_folder
+from quillstream.plans import maintained
 from quillstream.plans import read_models as q
 from quillstream.plans.catalog import NOW, ORACLES, QUERIES, now, query, read, stamp  # noqa: F401
-from quillstream.sources import page, tables
+from quillstream.sources import bucketed, page, tables
 
 # A strategy list: id, name, category, term, active.
 KEYWORDS = [(1, "licence", 1, "license", 1), (2, "apache", 1, "apache", 1), (3, "german", 2, " der ", 1), (4, "secret", 2, "password", 1), (5, "token", None, "token", 1), (6, "french", None, " que ", 0)]
@@ -68,6 +69,21 @@ def keyword_hit_stats(spark, d):
     return q.keyword_hit_stats(_hit_tables(spark, d), **RULE)
 
 
+@query("maintained_hits", f"{_HITS}, s AS (SELECT keyword_id, keyword_name, active, category_id, category_name, {_HIT_COUNTS} FROM h GROUP BY ALL) SELECT *, {_RATES} FROM s")
+def maintained_hits(spark, d):
+    """The same counts, kept from tables without a fifth of the articles and with other reviews, and moved by two changes to what they are now."""
+    after = _hit_tables(spark, d)
+    touch = lambda n: (F.col("article_id") % n) == 0
+    flipped = after["article_relevance_reviews"].withColumn("is_relevant", F.when(touch(7), 1 - F.col("is_relevant")).otherwise(F.col("is_relevant")))
+    first = after | {"article_keywords": after["article_keywords"].where(~touch(5)), "article_relevance_reviews": flipped.where(~touch(11))}
+    middle = first | {"article_keywords": after["article_keywords"]}
+    ids = read(spark, d, "documents").select(F.col("doc_id").alias("article_id"))
+    kept = cut(maintained.counts(first, **RULE))
+    kept = cut(maintained.merged(kept, maintained.change(first, middle, ids.where(touch(5)), **RULE)))
+    kept = cut(maintained.merged(kept, maintained.change(middle, after, ids.where(touch(7) | touch(11)), **RULE)))
+    return maintained.keyword_hit_stats(after, kept)
+
+
 @query("category_hit_stats", f"""{_HITS}, a AS (SELECT * FROM h WHERE active = 1),
 s AS (SELECT c.id AS category_id, c.name AS category_name, count(DISTINCT a.keyword_id) AS keyword_count, {_HIT_COUNTS} FROM c LEFT JOIN a ON a.category_id = c.id GROUP BY ALL
  UNION ALL SELECT NULL, NULL, count(DISTINCT keyword_id), {_HIT_COUNTS} FROM a WHERE category_id IS NULL) SELECT *, {_RATES} FROM s""")
@@ -115,6 +131,16 @@ def pipeline_funnel(spark, d):
     return q.funnel(_star_tables(spark, d), now())
 
 
+@query("bucketed_funnel")
+def bucketed_funnel(spark, d):
+    """The funnel over tables in buckets by article, whose star needs no shuffle."""
+    bucketed.saved(_star_tables(spark, d), "quillstream_star", shared_folder(spark, "star"), 4)
+    return q.funnel(bucketed.loaded(spark, "quillstream_star"), now())
+
+
+ORACLES["bucketed_funnel"] = ORACLES["pipeline_funnel"]
+
+
 _QUEUE = f"{_STAR} SELECT id AS article_id, CASE WHEN ic_id IS NULL THEN 0 WHEN ic_status = 'success' THEN 1 ELSE 2 END AS rank, published_at FROM w WHERE candidate"
 
 

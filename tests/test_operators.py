@@ -355,3 +355,46 @@ def test_change_of_extractor(spark):
     rows = [{"article_id": 1, "status": "failed", "failure_kind": "http_500", "attempt_count": 3, "is_terminal": 1, "full_text": "kept"}, {"article_id": 2, "status": "failed", "failure_kind": "dns"}, {"article_id": 3, "status": "failed", "failure_kind": "not_found", "attempt_count": 1}, {"article_id": 4, "status": "success", "extractor": "old"}, {"article_id": 5, "status": "success", "extractor": "new"}, {"article_id": 6, "status": "success"}]
     out = {r["article_id"]: r for r in recovery.purged_contents(tables(spark, article_contents=rows)["article_contents"], "new").collect()}
     assert sorted(out) == [1, 3, 5, 6] and (out[1]["failure_kind"], out[1]["attempt_count"], out[1]["is_terminal"]) == ("migration_pending", 0, 0) and out[3]["attempt_count"] == 1
+
+
+def test_maintained_counts(spark):
+    """Ten random changes of matches, reviews, contents and analyses, with purges and flips among them: kept counts are those of the tables."""
+    from quillstream.operators.lineage import cut
+    from quillstream.plans import maintained
+
+    r = random.Random(17)
+    config = tables(spark, keywords=[keyword(k, ["x"], category_id=(1, 2, None)[k % 3], active=int(k % 4 > 0)) for k in range(1, 7)], keyword_categories=[{"id": i, "name": f"c{i}", "sort_order": i, "active": 1} for i in (1, 2)])
+    rule = {"named": {"c2": "toxic"}, "new_versions": ("v2",)}
+    held: dict[int, dict] = {}
+
+    def article():
+        return {
+            "keys": r.sample(range(1, 7), r.randint(0, 4)),
+            "review": r.choice([None, {"status": r.choice(["success", "failed"]), "content_hash": "h", "is_relevant": r.randint(0, 1), "category": r.choice(["toxic", "other"]), "prompt_version": r.choice(["v1", "v2"]), "keyword_categories": r.choice([[], ["c1"]])}]),
+            "content": r.choice([None, {"status": r.choice(["success", "failed"]), "content_hash": r.choice("hg"), "is_terminal": r.randint(0, 1)}]),
+            "analysis": r.choice([None, {"analysis_status": r.choice(["success", "failed"]), "content_hash": "h"}]),
+        }
+
+    def now():
+        one = lambda what: [{"article_id": i} | a[what] for i, a in held.items() if a[what]]
+        names = {"articles": [{"id": i} for i in held], "article_keywords": [{"article_id": i, "keyword_id": k} for i, a in held.items() for k in a["keys"]], "article_relevance_reviews": one("review"), "article_contents": one("content"), "business_articles": one("analysis")}
+        own = tables(spark, **names)
+        return config | {n: own[n] for n in names}
+
+    for i in range(40):
+        held[i] = article()
+    before = now()
+    kept = cut(maintained.counts(before, **rule))
+    for step in range(10):
+        touched = r.sample(sorted(held), 6)
+        for i in touched[:2]:
+            del held[i]
+        for i in [*touched[2:], 100 + step]:
+            held[i] = article()
+        after = now()
+        moved = maintained.change(before, after, spark.createDataFrame([(i,) for i in [*touched, 100 + step]], "article_id long"), **rule)
+        kept = cut(maintained.merged(kept, moved).coalesce(1))
+        before = after
+    want = maintained.merged(maintained.counts(before, **rule), kept.limit(0))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert maintained.keyword_hit_stats(before, kept).collect() == q.keyword_hit_stats(before, **rule).select(*maintained.keyword_hit_stats(before, kept).columns).collect()

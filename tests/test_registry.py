@@ -51,6 +51,57 @@ def test_pushdown(spark):
         assert "NestedLoop" not in registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_star_in_buckets(spark, tmp_path):
+    """No Exchange below the final aggregate, for the whole funnel and for the queue's candidates."""
+    from quillstream.operators import enrich
+    from quillstream.plans import read_models, registry
+    from quillstream.sources import bucketed
+
+    tables = registry._star_tables(spark, FOLDER)
+    bucketed.saved(tables, "test_star", str(tmp_path), 4)
+    stored = bucketed.loaded(spark, "test_star")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the tables were large
+        plain = read_models.funnel(tables, registry.now())._jdf.queryExecution().executedPlan().toString()
+        plan = read_models.funnel(stored, registry.now())._jdf.queryExecution().executedPlan().toString()
+        assert plain.count("Exchange hashpartitioning") >= 4 and "hashpartitioning" not in plan and plan.count("Exchange SinglePartition") == 1 and plan.count("SortMergeJoin") == 3
+        plan = enrich.candidates(stored, registry.now(), limit=100)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "TakeOrderedAndProject" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert read_models.funnel(stored, registry.now()).collect() == read_models.funnel(tables, registry.now()).collect()
+
+
+def test_page_of_articles_groups_its_children_only(spark):
+    from quillstream.plans import registry
+
+    plan = registry.QUERIES["article_search"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") >= 2
+
+
+ZONED = ("fingerprints", "next_runs", "retry_seconds", "collection_run", "collected_articles", "incremental_window", "run_window_start", "retention_preview", "cleaned_history", "url_date", "page_articles", "time_text_articles", "feed_items", "answered_items", "pipeline_funnel", "candidate_queue", "articles_in_day_range", "daily_risk_floor", "backoff_schedule", "system_status", "dedup_fingerprint", "crawler_health", "cooldowns", "judged_items")
+
+
+def test_queries_in_two_zones(spark):
+    """The session's zone changes no row."""
+    from quillstream.plans import registry
+
+    names = [n for n in ZONED if n in registry.QUERIES]
+    assert len(names) > 20
+    seen = {}
+    for zone in ("UTC", "America/Los_Angeles"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            for n in names:
+                df = registry.QUERIES[n](spark, FOLDER)
+                assert "timestamp" not in dict(df.dtypes).values(), n
+                got = sorted(map(str, df.collect()))
+                assert seen.setdefault(n, got) == got, n
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
