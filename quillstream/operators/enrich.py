@@ -172,27 +172,27 @@ def rule_reader(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def rule_scorer(terms: tuple[str, ...], category: str = "other") -> Stage:
-    """A scorer by rules: 40 points for each term that the text holds, up to 100; relevant with any."""
+    """A scorer by rules: 40 points for each term that the text holds, up to 100; relevant with any. It charges two tokens an article, and one a term."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             held = [[t for t in terms if t.casefold() in (x or "").casefold()] for x in pdf["full_text"]]
             yield pd.DataFrame({
                 "article_id": pdf["article_id"], "is_relevant": [int(bool(h)) for h in held], "relevance_score": [min(100, 40 * len(h)) for h in held], "relevance_reason": ["holds " + ", ".join(h) if h else "holds no term" for h in held],
-                "category": [category if h else "other" for h in held], "secondary_categories": [[] for _ in held], "keyword_categories": [[] for _ in held], "evidence": held, "confidence": 100, "prompt_tokens": 0, "completion_tokens": 0, "error": None,
+                "category": [category if h else "other" for h in held], "secondary_categories": [[] for _ in held], "keyword_categories": [[] for _ in held], "evidence": held, "confidence": 100, "prompt_tokens": 2, "completion_tokens": [len(h) for h in held], "error": None,
             })
 
     return run
 
 
 def rule_analyst(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """An analysis by rules; its risk is a hash of the text, so that reruns agree."""
+    """An analysis by rules; its risk is a hash of the text, so that reruns agree. It charges three tokens an article."""
     for pdf in rows:
         risk = [int(hashlib.sha256((x or "").encode()).hexdigest()[:4], 16) % 101 for x in pdf["full_text"]]
         none = [[] for _ in risk]
         yield pd.DataFrame({
             "article_id": pdf["article_id"], "category": pdf["category"], "secondary_categories": none, "summary": [(x or "-")[:200] for x in pdf["full_text"]], "impact_direction": "neutral", "impact_score": 1, "impact_analysis": "by rule",
-            "risk_level": ["critical" if r >= 85 else "high" if r >= 65 else "medium" if r >= 35 else "low" for r in risk], "risk_score": risk, "risk_factors": none, "opportunities": none, "recommended_actions": none, "evidence": none, "prompt_tokens": 0, "completion_tokens": 0, "error": None,
+            "risk_level": ["critical" if r >= 85 else "high" if r >= 65 else "medium" if r >= 35 else "low" for r in risk], "risk_score": risk, "risk_factors": none, "opportunities": none, "recommended_actions": none, "evidence": none, "prompt_tokens": 3, "completion_tokens": 0, "error": None,
         })
 
 
@@ -248,32 +248,58 @@ def guarded(reader: Stage, step: int = 20) -> Stage:
     return run
 
 
-def run_batch(t: Tables, queue: DataFrame, now: Column, run_id: int, codes: tuple[str, ...], reader: Stage = rule_reader, scorer: Stage | None = None, analyst: Stage = rule_analyst, parallelism: int = 4, threshold: int = rules.RELEVANCE_THRESHOLD, version: str = "v1", force: bool = False, boundary: Boundary | None = None) -> Tables:
+#: Rounds in which a service is asked: after each it is known whether it refuses everybody.
+ROUNDS = 4
+
+
+def answers(rows: DataFrame, stage: Stage, schema: str, parallelism: int | None, refuses: bool = False) -> DataFrame:
+    """What a stage says of rows, written as it comes. With ``parallelism`` (1 to 20) it asks a service: as many requests are in flight as
+    tasks, in rounds by the article's hash, and where ``refuses``, once an answer of a round means that the provider refuses everybody, the
+    rounds behind it ask nothing; what was answered is kept. Without, a stage is local work, and Spark's partitions are left alone."""
+    if parallelism is None:
+        return cut(rows.mapInPandas(stage, schema))
+    workers, got = max(1, min(20, parallelism)), None
+    rows = cut(rows)
+    for k in range(ROUNDS if refuses else 1):
+        own = rows.where(F.pmod(F.xxhash64("article_id"), F.lit(ROUNDS)) == k) if refuses else rows
+        part = cut(own.repartition(workers).mapInPandas(stage, schema))
+        got = part if got is None else got.unionByName(part)
+        if refuses and part.where(F.col("failure_kind").rlike(f"({'|'.join(STOPPING)})$")).take(1):
+            break
+    return got
+
+
+def refused(t: Tables, queue: DataFrame, now: Column) -> bool:
+    """Whether an article of the queue was answered just now by a provider that refuses everybody."""
+    kinds = t["article_contents"].where(F.col("failure_kind").rlike(f"({'|'.join(STOPPING)})$") & (F.col("fetched_at") == now))
+    return bool(kinds.join(queue.select("article_id"), "article_id", "left_semi").take(1))
+
+
+def run_batch(t: Tables, queue: DataFrame, now: Column, run_id: int, codes: tuple[str, ...], reader: Stage = rule_reader, scorer: Stage | None = None, analyst: Stage = rule_analyst, parallelism: int | None = None, threshold: int = rules.RELEVANCE_THRESHOLD, version: str = "v1", force: bool = False, boundary: Boundary | None = None) -> Tables:
     """Articles of the queue (article_id, and batch where it has several: each is a run of its own, numbered from run_id on)
     through its phases, all batches at once. Content that succeeded is kept unless forced, and so is a review of the same
     hash, at no tokens; analyses of relevant articles always run again. What the reader did not come to stays pending."""
     scorer = scorer or rule_scorer(())
-    workers = max(1, min(20, parallelism))
     of = F.lit(run_id).cast("long") + (F.col("batch") if "batch" in queue.columns else F.lit(0))
     queue = cut(queue.select("article_id", of.alias("run_id")))
     own = queue.select("article_id")
     have = t["article_contents"].where("status = 'success'").select("article_id")
     read = own if force else own.join(have, "article_id", "left_anti")
     read = read.join(t["articles"].withColumnRenamed("id", "article_id"), "article_id").select("article_id", "title", "url", "publisher", "summary")
-    got = cut(read.repartition(workers).mapInPandas(guarded(reader), CONTENT))
+    got = answers(read, guarded(reader), CONTENT, parallelism, refuses=True)
     t = t | {"article_contents": cut(with_content(t["article_contents"], got, now))}
 
     ready = own.join(t["article_contents"].where("status = 'success'"), "article_id")
     told = ready.join(t["articles"].select(F.col("id").alias("article_id"), "title", "publisher", "published_at"), "article_id")
     valid = t["article_relevance_reviews"].where("status = 'success'").select("article_id", "content_hash")
     ask = told if force else told.join(valid, ["article_id", "content_hash"], "left_anti")
-    scores = cut(ask.select("article_id", "title", "publisher", "published_at", "full_text").repartition(workers).mapInPandas(scorer, REVIEW))
+    scores = answers(ask.select("article_id", "title", "publisher", "published_at", "full_text"), scorer, REVIEW, parallelism)
     t = with_reviews(t, scores, now, codes, threshold, version, boundary)
     t = t | {"article_relevance_reviews": cut(t["article_relevance_reviews"]), "business_articles": cut(t["business_articles"])}
 
     relevant = t["article_relevance_reviews"].where("status = 'success' and is_relevant = 1").select("article_id", "category", "content_hash")
     accepted = told.join(relevant, ["article_id", "content_hash"])
-    found = cut(accepted.select("article_id", "title", "publisher", "published_at", "full_text", "category").repartition(workers).mapInPandas(analyst, ANALYSIS))
+    found = answers(accepted.select("article_id", "title", "publisher", "published_at", "full_text", "category"), analyst, ANALYSIS, parallelism)
     t = with_analyses(t, found, now, codes, boundary)
     t = t | {"business_articles": cut(t["business_articles"])}
 
@@ -302,20 +328,15 @@ def run_batch(t: Tables, queue: DataFrame, now: Column, run_id: int, codes: tupl
 
 def run_queue(t: Tables, now: Column, first_run_id: int, codes: tuple[str, ...], size: int = 20, stop: Callable[[Tables], bool] = lambda t: False, wave: int = 10_000, **options) -> Tables:
     """All of the queue: batches are runs of their own, but ``wave`` of them go through the phases together, so the tables are
-    merged once a wave. ``stop`` is asked between waves (a pause); a provider that refuses stops readers at once."""
+    merged once a wave. ``stop`` is asked between waves (a pause); a provider that refuses everybody stops its readers at once, the
+    rounds that have not begun, and the waves behind."""
     queue = cut(batches(candidates(t, now), size))
     last = queue.agg(F.max("batch")).first()[0]
     for k in range(0, 0 if last is None else last + 1, wave):
         if stop(t):
             break
-        t = run_batch(t, queue.where(F.col("batch").between(k, k + wave - 1)), now, first_run_id, codes, **options)
+        own = queue.where(F.col("batch").between(k, k + wave - 1))
+        t = run_batch(t, own, now, first_run_id, codes, **options)
+        if refused(t, own, now):
+            break
     return t
-
-
-def legacy_payload(payload: str | None) -> dict:
-    """An old analysis as a dictionary, empty if it is none."""
-    try:
-        value = json.loads(payload or "")
-    except ValueError:
-        return {}
-    return value if isinstance(value, dict) else {}

@@ -149,6 +149,12 @@ def candidate_queue(spark, d):
     return enrich.candidates(_star_tables(spark, d), now(), limit=100).select("article_id", "rank", stamp(F.col("published_at")).alias("published"))
 
 
+@query("queue_of_ids", f"SELECT article_id, rank FROM ({_QUEUE}) WHERE article_id IN (2, 3, 5, 8, 13, 21, 34, 55, 89, 144)")
+def queue_of_ids(spark, d):
+    """What awaits work of a list of articles."""
+    return enrich.candidates(_star_tables(spark, d), now(), article_ids=[2, 3, 5, 8, 13, 21, 34, 55, 89, 144]).select("article_id", "rank")
+
+
 @query("queue_batches", f"SELECT article_id, CAST(floor((row_number() OVER (ORDER BY rank, published_at DESC, article_id DESC) - 1) / 20) AS INT) AS batch FROM ({_QUEUE})")
 def queue_batches(spark, d):
     return enrich.batches(enrich.candidates(_star_tables(spark, d), now()), 20).select("article_id", "batch")

@@ -303,7 +303,7 @@ def _enriched(spark, d) -> Tables:
 
 
 @query("queue_run", f"""{_SCORED}, b AS (SELECT *, floor((row_number() OVER (ORDER BY doc_id DESC) - 1) / 100) + 1 AS run_id FROM p)
- SELECT CAST(run_id AS BIGINT) AS id, CASE WHEN count_if(NOT told) = 0 THEN 'success' WHEN count_if(told) = 0 THEN 'failed' ELSE 'partial' END AS status, CAST(count(*) AS INT) AS total, CAST(count_if(told) AS INT) AS succeeded, CAST(count_if(told AND hits >= 2) AS INT) AS relevant, 0 AS tokens FROM b GROUP BY 1""")
+ SELECT CAST(run_id AS BIGINT) AS id, CASE WHEN count_if(NOT told) = 0 THEN 'success' WHEN count_if(told) = 0 THEN 'failed' ELSE 'partial' END AS status, CAST(count(*) AS INT) AS total, CAST(count_if(told) AS INT) AS succeeded, CAST(count_if(told AND hits >= 2) AS INT) AS relevant, CAST(coalesce(sum(CASE WHEN told THEN 2 + hits + CASE WHEN hits >= 2 THEN 3 ELSE 0 END END), 0) AS INT) AS tokens FROM b GROUP BY 1""")
 def queue_run(spark, d):
     """The whole queue through reading, the relevance gate and analysis, in runs of a hundred."""
     rows = _enriched(spark, d)["ai_analysis_runs"]

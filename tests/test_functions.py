@@ -1,6 +1,7 @@
 """Functions against literals."""
 
 from datetime import UTC, datetime
+from urllib.parse import quote_plus
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def test_domains_and_safety(spark):
 
 def test_feed_url(spark):
     u = urls.feed_url(F.col("t"), F.col("m"), F.col("q"), F.col("d"))
-    assert one(spark, u, t="https://s.org/?q={query}", m="search", q='("a b"OR"c*~")', d="x.org OR y.org") == "https://s.org/?q=" + urls.encoded('(site:x.org OR site:y.org) ("a b"OR"c*~")')
+    assert one(spark, u, t="https://s.org/?q={query}", m="search", q='("a b"OR"c*~")', d="x.org OR y.org") == "https://s.org/?q=" + quote_plus('(site:x.org OR site:y.org) ("a b"OR"c*~")')
     assert one(spark, u, t="https://s.org/feed", m="direct", q="x", d="") == "https://s.org/feed"
 
 

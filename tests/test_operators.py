@@ -398,3 +398,26 @@ def test_maintained_counts(spark):
     want = maintained.merged(maintained.counts(before, **rule), kept.limit(0))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert maintained.keyword_hit_stats(before, kept).collect() == q.keyword_hit_stats(before, **rule).select(*maintained.keyword_hit_stats(before, kept).columns).collect()
+
+
+def test_a_provider_that_refuses_stops_what_has_not_begun(spark):
+    """Sixteen partitions in four rounds: the first round is refused, the other rounds ask nothing, what was answered is stored once, and the waves behind
+    are not begun; without a refusal every round asks."""
+    articles = [{"id": i, "title": "t", "url": f"https://n.org/{i}", "summary": "text", "published_at": NOW, "collected_at": NOW} for i in range(160)]
+    t = tables(spark, articles=articles)
+
+    def service(kind):
+        def run(frames):
+            for pdf in frames:
+                bad = (pdf["article_id"] % 10 == 0) & (kind is not None)
+                yield pd.DataFrame({"article_id": pdf["article_id"], "requested_url": pdf["url"], "final_url": pdf["url"], "full_text": ["" if b else "text" for b in bad], "http_status": 200, "content_type": "x", "failure_kind": [kind if b else None for b in bad], "retryable": True, "message": ""})
+
+        return run
+
+    asked = lambda kind, **kw: enrich.run_queue(t, at(), 1, CODES, size=40, reader=service(kind), scorer=enrich.rule_scorer(("tax",), "trade_tariff"), parallelism=4, **kw)
+    out = asked("reader_http_429", wave=2)
+    rows = out["article_contents"].collect()
+    first = {r[0] for r in spark.range(160).where(F.pmod(F.xxhash64("id"), F.lit(enrich.ROUNDS)) == 0).collect()}
+    assert rows and {r["article_id"] for r in rows} <= first and len(rows) == len({r["article_id"] for r in rows}) < 40
+    assert out["ai_analysis_runs"].count() == 2 and out["ai_analysis_run_items"].where("status = 'pending'").count() == 80 - len(rows)
+    assert asked(None)["article_contents"].count() == 160
