@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import dates
 from quillstream.operators import collect, config, enrich, recovery, report, retention, sinks
-from quillstream.operators.lineage import shared_folder
+from quillstream.operators.lineage import cut, shared_folder
 from quillstream.plans import read_models as q
 from quillstream.plans.catalog import now, query, read, stamp
-from quillstream.sources import tables
+from quillstream.sources import tables, textindex
+from quillstream.sources.store import Store
 from quillstream.sources.tables import SCHEMAS, Tables, aligned, empty
 from quillstream.streaming import collect as stream
 
@@ -238,6 +239,19 @@ def streamed_in_batches(spark, d):
     return rows.unionByName(counted("cursors", "collection_cursors")).unionByName(counted("runs", "collection_runs")).unionByName(counted("sightings", "article_sources"))
 
 
+@query("indexed_search", "SELECT DISTINCT doc_id AS id FROM documents WHERE text ILIKE '%license%' OR text ILIKE '%the%ing%' OR source ILIKE '%license%' OR source ILIKE '%the%ing%'")
+def indexed_search(spark, d):
+    """Documents as articles of a store, sought by two patterns in the files that their trigrams leave."""
+    n = F.col("doc_id")
+    rows = read(spark, d, "documents").select(n.alias("id"), F.concat(F.lit("T"), n).alias("title"), F.col("text").alias("summary"), F.col("source").alias("publisher"), F.lit("").alias("url"))
+    kept = Store(spark, shared_folder(spark, "searched"))
+    t = kept.begin()
+    t.replace("articles", rows, ["id"], 8)
+    last = t.commit()
+    index = cut(textindex.signatures(last, "articles"))
+    return textindex.holding(last, "articles", index, "License").unionByName(textindex.holding(last, "articles", index, "the%ing")).select("id").distinct()
+
+
 @query("snapshot", "SELECT doc_id AS id, 't' || doc_id AS title, source AS publisher FROM documents")
 def snapshot(spark, d):
     """A snapshot of the tables, read again as a folder of tables."""

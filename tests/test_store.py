@@ -113,3 +113,35 @@ def test_a_batch_that_runs_again(spark, tmp_path):
     assert (now["articles"].count(), now["collection_runs"].count(), now["collection_cursors"].count()) == (1, 1, 1)
     with pytest.raises(ValueError, match="not that of batch"):
         stream.current(spark, folder, -2)
+
+
+def test_search_reads_files_that_may_hold_the_text(spark, tmp_path):
+    """Equal rows for patterns of all kinds, and only the files that the trigrams leave; a commit indexes its new files alone."""
+    import random
+
+    from quillstream.sources import textindex
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5)))
+    docs = [(i, " ".join(word() for _ in range(6)), None if i % 9 == 0 else " ".join(word() for _ in range(9)), "P", f"https://n.org/{i}") for i in range(300)]
+    docs += [(300, "Quixotic ZEBRA", "", "Straße 100%", "u"), (301, "xy", "Ünïcode ÉCOLE", "a_b", "u")]
+    frame = spark.createDataFrame(docs, "id long, title string, summary string, publisher string, url string")
+    store = Store(spark, str(tmp_path))
+    t = store.begin()
+    t.replace("articles", frame, ["id"], 16)
+    first = t.commit()
+    index = textindex.signatures(first, "articles").cache()
+    every = len(first.files("articles"))
+    read = {}
+    for pattern in ("zebra", "quix", "ic ze", "école", "STRASSE", "straße", "a", "", "xy", "ab%gh", "%", "q_ix", "ixo%bra", "100\\%", "nothing here", "abc", "https://n.org/12", "zz"):
+        got = textindex.holding(first, "articles", index, pattern)
+        want = frame.where(F.col("title").ilike(f"%{pattern}%") | F.col("summary").ilike(f"%{pattern}%") | F.col("publisher").ilike(f"%{pattern}%") | F.col("url").ilike(f"%{pattern}%"))
+        assert sorted(x["id"] for x in got.collect()) == sorted(x["id"] for x in want.collect()), pattern
+        read[pattern] = len(textindex.files_with(index, first, "articles", pattern))
+    assert read["zebra"] == read["quix"] == read["ixo%bra"] == 1 and read["nothing here"] == 0 and read["a"] == read["100\\%"] == read["xy"] == every > 10
+    second = store.run(lambda t: t.upsert("articles", spark.createDataFrame([(500, "Zebra too", "", "", "")], frame.schema)))
+    fresh = set(second.files("articles")) - set(first.files("articles"))
+    later = textindex.signatures(second, "articles", known=index)
+    assert {x["file"] for x in later.select("file").collect()} == set(second.files("articles")) and len(fresh) == 1
+    assert sorted(x["id"] for x in textindex.holding(second, "articles", later, "zebra").collect()) == [300, 500]
+    assert len(textindex.holding(second, "articles", later, "zebra").inputFiles()) <= 2
