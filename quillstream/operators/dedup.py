@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.operators import graph, merge
-from quillstream.operators.lineage import cut
+from quillstream.operators.lineage import cut, dropped
 
 KEYS = ("fingerprint", "canonical_url")
 #: Items of a component, of two keys each, that one task settles at a time.
@@ -119,7 +119,10 @@ def leaders(items: DataFrame, few: int = FEW, worth: float = WORTH) -> DataFrame
         own = first.where(" and ".join(f"(_{k} is null or _{k} = seq)" for k in KEYS)).select("seq", *KEYS)
         own = cut(own)
         found = own if found is None else found.unionByName(own)
-        todo = cut(_without(todo.join(own.select("seq"), "seq", "left_anti"), own))
+        rest = cut(_without(todo.join(own.select("seq"), "seq", "left_anti"), own))
+        if todo is not items:
+            dropped(todo)
+        todo = rest
         before, left = left, todo.count()
         if left and before - left < worth * before:
             found = found.unionByName(_in_blocks(todo, few))

@@ -23,4 +23,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The frame written once to the shared folder and read again, in columns: its plan runs once, and what is read is pruned."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quillstream_path = path  # noqa: SLF001
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what cut() wrote, once no frame that is still to run reads it."""
+    path, spark = getattr(df, "_quillstream_path", None), df.sparkSession
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)  # noqa: SLF001

@@ -38,7 +38,8 @@ def report_input(t: Tables, day: str) -> DataFrame:
 
 def assembled(inputs: DataFrame, response: DataFrame) -> DataFrame:
     """A report from the model's response (title, overview, risk_score, details): the risk is at least that of the riskiest
-    article, details keep citations of the day's articles only, and those without any go."""
+    article, details keep citations of the day's articles only, and those without any go. The ids of a day's accepted articles are one
+    array: as many as a reader of the report could look at, thousands, not millions."""
     known = inputs.agg(F.max("risk_score").alias("floor"), F.sort_array(F.collect_set("article_id")).alias("allowed"), F.count(F.lit(1)).cast("int").alias("article_count"))
     score = F.greatest(F.col("risk_score"), F.coalesce("floor", F.lit(0)))
     details = rules.cited_details(F.col("details").cast(DETAILS), F.col("allowed"))
