@@ -51,11 +51,11 @@ def category_hit_stats(t: Tables, **rule) -> DataFrame:
     """Each active category, and one row for active keywords without one; articles that several keywords hit count once."""
     rows = hits(t, **rule).where("active = 1")
     keys = t["keywords"].where("archived = 0 and active = 1").groupBy("category_id").agg(F.count_distinct("id").alias("keyword_count"))
-    counted = counted(rows, "category_id").withColumnRenamed("category_id", "_c").join(keys.withColumnRenamed("category_id", "_k"), F.expr("_c <=> _k"), "left").drop("_k")
+    own = counted(rows, "category_id").withColumnRenamed("category_id", "_c").join(keys.withColumnRenamed("category_id", "_k"), F.expr("_c <=> _k"), "left").drop("_k")
     named = t["keyword_categories"].where("active = 1").select(F.col("id").alias("category_id"), F.col("name").alias("category_name"), "sort_order")
     spark = named.sparkSession
     every = named.unionByName(spark.createDataFrame([(None, None, 999999)], named.schema))
-    out = every.join(counted, F.expr("category_id <=> _c"), "left").drop("_c").na.fill(0, ["keyword_count", *COUNTS])
+    out = every.join(own, F.expr("category_id <=> _c"), "left").drop("_c").na.fill(0, ["keyword_count", *COUNTS])
     return with_rates(out).orderBy("sort_order", "category_id").drop("sort_order")
 
 
