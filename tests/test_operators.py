@@ -421,3 +421,18 @@ def test_a_provider_that_refuses_stops_what_has_not_begun(spark):
     assert rows and {r["article_id"] for r in rows} <= first and len(rows) == len({r["article_id"] for r in rows}) < 40
     assert out["ai_analysis_runs"].count() == 2 and out["ai_analysis_run_items"].where("status = 'pending'").count() == 80 - len(rows)
     assert asked(None)["article_contents"].count() == 160
+
+
+def test_texts_of_a_source_are_dealt_to_all_tasks(spark):
+    """Items of one source stay in the tasks that read them, and texts that no window admits are left behind."""
+    from quillstream.operators import collect
+
+    made = spark.range(400, numPartitions=4).select(F.lit(1).cast("long").alias("rss_source_id"), F.lit(7).cast("long").alias("keyword_id"), F.col("id").cast("int").alias("position"), F.lit("License").alias("title"), F.concat(F.lit("x"), "id").alias("summary"))
+    items = made.withColumn("published_at", F.when(F.col("position") % 2 == 0, F.lit("2024-01-02")).otherwise("2024-01-09").cast("timestamp"))
+    tasks = spark.createDataFrame([(1, 7, ["license"])], "rss_source_id long, keyword_id long, match_terms array<string>").withColumn("window_start", F.lit("2024-01-01").cast("timestamp"))
+    read = collect.scanned(items, tasks, F.lit("2024-01-03").cast("timestamp"))
+    assert len(read.inputFiles()) == 4 and read.count() == 400
+    assert read.where("summary is not null").count() == read.where("size(_held) = 1").count() == 200
+    rows = collect.judged(read, tasks, F.lit("2024-01-03").cast("timestamp"), True)
+    assert {(r["outcome"], r["count"]) for r in rows.groupBy("outcome").count().collect()} == {("matched", 200), ("outside", 200)}
+    assert collect.with_texts(rows.where("outcome = 'matched'"), read).where("title = 'License' and summary = concat('x', position)").count() == 200
