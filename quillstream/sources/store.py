@@ -159,9 +159,10 @@ class Transaction:
         self.meta = dict(self.base.meta)
 
     def _written(self, df: DataFrame, name: str, buckets: int) -> dict[str, list[str]]:
-        """Writes rows with a column _bucket, a file for each bucket and task; their names by bucket."""
+        """Writes rows with a column _bucket, a file for each bucket and task; their names by bucket. Rows are dealt by bucket, and a
+        bucket that is larger than a task should read is dealt to several, so its files are many, but none is large."""
         folder = f"{self.store.root}/data/{name}/{uuid.uuid4().hex}"
-        df.repartition(buckets, "_bucket").write.partitionBy("_bucket").parquet(folder)
+        df.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(folder)
         out = {}
         for s in self.store._listed(folder):  # noqa: SLF001
             if s.isDirectory() and s.getPath().getName().startswith("_bucket="):

@@ -45,7 +45,7 @@ def pieces(pattern: str) -> list[str]:
 
 def signatures(snapshot: Snapshot, table: str, columns: tuple[str, ...] = TEXTS, known: DataFrame | None = None) -> DataFrame:
     """(file, bucket, bitmap) of the table's files, and of files without any run (file, null, null): those of ``known`` as they are, the others
-    indexed. Runs are told apart within a text, and bits are combined in tasks before they are shuffled."""
+    indexed. Runs are told apart within a text, and bits are told apart in tasks before they are shuffled: bitmaps are made of those that differ."""
     spark, files = snapshot.spark, snapshot.files(table)
     done = {r[0] for r in known.select("file").distinct().collect()} if known is not None else set()
     fresh = [f for f in files if f not in done]
@@ -53,7 +53,7 @@ def signatures(snapshot: Snapshot, table: str, columns: tuple[str, ...] = TEXTS,
     if not fresh:
         return kept if kept is not None else spark.createDataFrame([], "file string, bucket long, bitmap binary")
     rows = spark.read.schema(snapshot[table].schema).parquet(*fresh).select(_name(F.col("_metadata.file_path")).alias("file"), F.explode(F.array(*columns)).alias("text"))
-    bits = rows.select("file", F.explode(_runs(F.col("text"))).alias("run")).select("file", _place(F.col("run")).alias("at"))
+    bits = rows.select("file", F.explode(_runs(F.col("text"))).alias("run")).select("file", _place(F.col("run")).alias("at")).distinct()
     made = bits.groupBy("file", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
     every = spark.createDataFrame([(f,) for f in fresh], "file string").join(made, "file", "left")
     return every if kept is None else kept.unionByName(every)

@@ -145,3 +145,23 @@ def test_search_reads_files_that_may_hold_the_text(spark, tmp_path):
     assert {x["file"] for x in later.select("file").collect()} == set(second.files("articles")) and len(fresh) == 1
     assert sorted(x["id"] for x in textindex.holding(second, "articles", later, "zebra").collect()) == [300, 500]
     assert len(textindex.holding(second, "articles", later, "zebra").inputFiles()) <= 2
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """One bucket of more than a task should read: its rows lie in several files, and are all there."""
+    from quillstream.sources import textindex
+
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    frame = spark.range(0, 4000, 1, 8).select("id", F.concat(F.lit("T"), "id").alias("title"), F.concat(*[F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(8)]).alias("summary"), F.lit("P").alias("publisher"), F.lit("").alias("url"))
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+        t = Store(spark, str(tmp_path)).begin()
+        t.replace("articles", frame, ["id"], 2)
+        last = t.commit()
+        assert set(last.tables["articles"]["files"]) == {"0", "1"} and all(len(last.files("articles", [b])) > 2 for b in (0, 1))
+        assert last["articles"].count() == last["articles"].select("id").distinct().count() == 4000
+        assert last.of_keys("articles", last["articles"].where("id = 77")).count() == 1
+        index = textindex.signatures(last, "articles")
+        assert [r["id"] for r in textindex.holding(last, "articles", index, "T3999").select("id").collect()] == [3999]
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
