@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 _STRINGS = T.ArrayType(T.StringType())
 #: Bytes of terms in one automaton (which takes some twenty times as much): more terms are dealt to several, one after the other.
 MOST = 8 << 20
+#: Texts of a batch that are folded and scanned at a time: what they hold goes out before the next are begun.
+STEP = 256
 
 
 @F.pandas_udf(_STRINGS)
@@ -32,8 +34,9 @@ def scanner(terms: list[str]):
             machine.add_word(t, t)
         machine.make_automaton()
         for title, summary in batches:
-            texts = (title.fillna("") + "\n" + summary.fillna("")).map(str.casefold)
-            yield texts.map(lambda x: sorted({t for _, t in machine.iter(x)}) if x != "\n" else [])
+            for i in range(0, len(title), STEP):
+                texts = (title.iloc[i : i + STEP].fillna("") + "\n" + summary.iloc[i : i + STEP].fillna("")).map(str.casefold)
+                yield texts.map(lambda x: sorted({t for _, t in machine.iter(x)}) if x != "\n" else [])
 
     from pyspark.sql import SparkSession
 

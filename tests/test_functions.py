@@ -161,3 +161,15 @@ def test_judged_reads_no_text(spark):
     assert not {"title", "summary"} & set(rows.columns) and rows.where("outcome = 'matched'").count() == 51
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and not any("title" in x or "summary" in x for x in plan.split("ReadSchema")[1:] if "ArrowEvalPython" not in x[:20])
+
+
+def test_scanned_in_steps(spark):
+    """What a batch's texts hold goes out a few texts at a time, in their order."""
+    import pandas as pd
+
+    from quillstream.functions import terms
+
+    texts = [f"ab {k}" if k % 3 else None for k in range(1000)]
+    out = list(terms.scanner(["ab", "b 7", "zz"]).func(iter([(pd.Series([None] * 1000, dtype=object), pd.Series(texts, dtype=object))])))
+    assert max(len(x) for x in out) <= terms.STEP and len(out) == -(-1000 // terms.STEP)
+    assert [list(x) for s in out for x in s] == [[t for t in ("ab", "b 7") if t in (x or "")] for x in texts]
