@@ -63,10 +63,10 @@ def with_content(contents: DataFrame, results: DataFrame, now: Column) -> DataFr
     r = results.alias("r").join(contents.select("article_id", F.col("attempt_count").alias("_before")), "article_id", "left")
     ok = F.col("failure_kind").isNull()
     attempt = F.coalesce("_before", F.lit(0)) + 1
-    clean = text.normalize_full_text(F.col("full_text"))
+    r = r.withColumn("_clean", F.when(ok, text.normalize_full_text(F.col("full_text"))))  # a step of its own, so that it is done once for all three
     new = r.select(
-        "article_id", F.when(ok, "success").otherwise("failed").alias("status"), "requested_url", F.when(ok, F.col("final_url")).alias("final_url"), F.when(ok, clean).alias("full_text"),
-        F.when(ok, text.content_hash(clean)).alias("content_hash"), F.when(ok, F.length(clean)).alias("content_chars"), "http_status", "content_type", F.lit("injected").alias("extractor"), now.cast("timestamp").alias("fetched_at"),
+        "article_id", F.when(ok, "success").otherwise("failed").alias("status"), "requested_url", F.when(ok, F.col("final_url")).alias("final_url"), F.col("_clean").alias("full_text"),
+        F.when(ok, text.content_hash(F.col("_clean"))).alias("content_hash"), F.when(ok, F.length("_clean")).alias("content_chars"), "http_status", "content_type", F.lit("injected").alias("extractor"), now.cast("timestamp").alias("fetched_at"),
         F.when(ok, "").otherwise(F.substring("message", 1, 2000)).alias("error_message"), F.when(ok, 0).otherwise(attempt).alias("attempt_count"), F.when(ok, "").otherwise(F.substring("failure_kind", 1, 100)).alias("failure_kind"),
         F.when(ok, None).otherwise(dates.next_retry(now, attempt, F.col("retryable"))).alias("next_retry_at"), F.when(ok, 0).otherwise((~F.col("retryable") | (attempt >= dates.MAX_ATTEMPTS)).cast("int")).alias("is_terminal"), F.lit(None).cast("timestamp").alias("ignored_at"),
     )

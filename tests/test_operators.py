@@ -436,3 +436,19 @@ def test_texts_of_a_source_are_dealt_to_all_tasks(spark):
     rows = collect.judged(read, tasks, F.lit("2024-01-03").cast("timestamp"), True)
     assert {(r["outcome"], r["count"]) for r in rows.groupBy("outcome").count().collect()} == {("matched", 200), ("outside", 200)}
     assert collect.with_texts(rows.where("outcome = 'matched'"), read).where("title = 'License' and summary = concat('x', position)").count() == 200
+
+
+def test_content_is_cleaned_once(spark):
+    """Text, hash and length come from one cleaning of the text."""
+    from quillstream.functions import text
+
+    got = spark.createDataFrame([(1, "u", "u", "a  b\n\n\n\nc ", 200, "text/plain", None, True, ""), (2, "u", "u", "  ", 200, "text/plain", "empty_content", True, "no text")], enrich.CONTENT)
+    once = text.normalize_full_text(F.col("full_text"))
+    out = enrich.with_content(empty(spark, "article_contents"), got, F.lit("2024-01-01").cast("timestamp"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    pieces = lambda df: plan(df).count("regexp_replace(")
+    assert pieces(out) == pieces(got.select(once.alias("x"))) > 0
+    want = got.where("article_id = 1").select(once.alias("t"), text.content_hash(once).alias("h"), F.length(once).alias("n")).first()
+    rows = {r["article_id"]: r for r in out.collect()}
+    assert (rows[1]["full_text"], rows[1]["content_hash"], rows[1]["content_chars"]) == (want["t"], want["h"], want["n"])
+    assert (rows[2]["status"], rows[2]["full_text"], rows[2]["content_hash"], rows[2]["content_chars"]) == ("failed", None, None, None)
