@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from quillstream.functions import dates, urls
 from quillstream.functions.dates import parse_instant
 from quillstream.functions.text import category_names, plain_text, publisher_name
+from quillstream.operators.lineage import cut
 from quillstream.sources.tables import ITEM, arrow_fields
 
 # JSON-LD types that are articles, and metadata names of each field in order of preference.
@@ -262,6 +263,7 @@ def crawl(pages: DataFrame, fetched: DataFrame, key: str = "page_id", most: int
     pages: what read_pages gave for the listings; fetched: what it gave for the links' pages, with their url.
     Returns (key, nth, item fields): on the page's site, one of each canonical URL, at most ``most`` a page.
     """
+    pages = cut(pages.select(key, "url", "base", "linked", "own", "anchors"))  # three steps read them, and each page is parsed once
     listed = pages.select(key, F.col("url").alias("page_url"), F.posexplode("linked").alias("pos", "item")).withColumn("step", F.lit(0))
     own = pages.where("own is not null").select(key, F.col("url").alias("page_url"), F.lit(0).alias("pos"), F.col("own").alias("item"), F.lit(1).alias("step"))
     links = ranked_links(pages, key).join(fetched.where("own is not null").select("url", F.col("own").alias("item")), "url")

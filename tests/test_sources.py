@@ -105,3 +105,13 @@ def test_answers_as_they_stream(spark, tmp_path):
     stream.writeStream.format("memory").queryName("answers_read").trigger(availableNow=True).start().awaitTermination()
     assert {r["id"]: (r["read_as"], r["n"]) for r in spark.table("answers_read").collect()} == want
     assert items.read_answers(answers.limit(0)).count() == 0
+
+
+def test_a_crawl_parses_each_page_once(spark):
+    """Listings are parsed and written before the steps that read them; only the linked pages are parsed in the plan."""
+    body = "<script type='application/ld+json'>{\"@type\": \"NewsArticle\", \"headline\": \"Own one\", \"url\": \"/own\", \"datePublished\": \"2024-05-06T01:00:00Z\"}</script><a href='/news/2024/05/06/1'>A title that is long</a>"
+    listed = page.read_pages(spark.createDataFrame([(1, "https://n.org/list", body)], "page_id long, url string, body string"))
+    linked = page.read_pages(spark.createDataFrame([(9, "https://n.org/news/2024/05/06/1", "<h1>Linked</h1>")], "page_id long, url string, body string"))
+    rows = page.crawl(listed, linked)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r["nth"], r["title"]) for r in rows.orderBy("nth").collect()] == [(1, "Own one"), (2, "Linked")]
