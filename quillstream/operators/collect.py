@@ -167,7 +167,8 @@ def changes(tables: Tables, items: DataFrame, now: Column, run_id: int, failures
 
     sightings = numbered.select("article_id", "rss_source_id", "feed_url", F.col("url").alias("observed_url"), "canonical_url", "guid", "language", "country", "categories", now.cast("timestamp").alias("seen_at"), "seq")
     relations = merge.latest(numbered.select("article_id", "keyword_id", "matched_terms", "seq"), ["article_id", "keyword_id"], ["seq"]).drop("seq")
-    per_source = items.groupBy("rss_source_id", F.col("keyword_id").alias("_k")).agg(F.count(F.lit(1)).alias("items_seen"))
+    # what is counted is read from the numbered items, which lie in columns: a micro-batch would be read anew with all its texts
+    per_source = read.groupBy("rss_source_id", F.col("keyword_id").alias("_k")).agg(F.count(F.lit(1)).alias("items_seen"))
     seen = good.select(*keys).join(per_source, "rss_source_id").where("_k is null or _k = keyword_id").groupBy(*keys).agg(F.sum("items_seen").alias("items_seen"))
     stats = cut(counters(seen_items, numbered, good, seen))
     details = stats.select(F.lit(run_id).cast("long").alias("run_id"), *keys, F.lit("success").alias("status"), "window_start", now.cast("timestamp").alias("window_end"), "feed_url", "items_seen", "items_matched", "items_inserted", "duplicates", "skipped_outside_window", "skipped_without_date", F.lit("").alias("error_message"))
@@ -176,7 +177,7 @@ def changes(tables: Tables, items: DataFrame, now: Column, run_id: int, failures
     details = details.unionByName(lost)
 
     # a run counts the items of a source that is read once once, though each of its tasks saw them all
-    total_seen = items.join(good.select("rss_source_id").distinct(), "rss_source_id", "left_semi").agg(F.count(F.lit(1)).alias("items_seen"))
+    total_seen = read.join(good.select("rss_source_id").distinct(), "rss_source_id", "left_semi").agg(F.count(F.lit(1)).alias("items_seen"))
     totals = details.agg(F.count(F.lit(1)).cast("int").alias("tasks_total"), F.count_if(F.col("status") == "success").cast("int").alias("tasks_succeeded"), F.count_if(F.col("status") == "failed").cast("int").alias("tasks_failed"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("items_matched", "items_inserted", "duplicates")], F.min("window_start").alias("window_start")).crossJoin(total_seen)
     status = rules.run_status(F.col("tasks_failed"), F.col("tasks_succeeded"), F.lit(0))
     run = totals.withColumns({"id": F.lit(run_id).cast("long"), "status": status, "started_at": now.cast("timestamp"), "finished_at": F.lit(None).cast("timestamp"), "message": F.lit("")}).select(*SCHEMAS["collection_runs"].names)

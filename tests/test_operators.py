@@ -452,3 +452,22 @@ def test_content_is_cleaned_once(spark):
     rows = {r["article_id"]: r for r in out.collect()}
     assert (rows[1]["full_text"], rows[1]["content_hash"], rows[1]["content_chars"]) == (want["t"], want["h"], want["n"])
     assert (rows[2]["status"], rows[2]["full_text"], rows[2]["content_hash"], rows[2]["content_chars"]) == ("failed", None, None, None)
+
+
+def test_a_run_reads_its_items_once(spark):
+    """Counts are taken from what was numbered, not from the items anew."""
+    from quillstream.operators import collect
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = items_of(spark, *(item(1, 1, k, url=f"https://n.org/{k}", title=f"Tariff {k}", published_at=datetime(2026, 7, 22, 3)) for k in range(30)))
+    items = rows.mapInPandas(counted, rows.schema)
+    made = collect.changes(tables(spark, rss_sources=[source(1)], keywords=[keyword(1, ["tariff"])]), items, F.lit("2026-07-22 04:00:00").cast("timestamp"), 1)
+    run = made["collection_runs"].collect()[0]
+    assert (run["items_seen"], run["items_inserted"]) == (30, 30) and made["collection_run_details"].collect()[0]["items_seen"] == 30
+    assert [made[n].count() for n in ("articles", "article_sources", "article_keywords")] == [30, 30, 30] and seen.value == 30
