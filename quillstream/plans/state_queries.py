@@ -219,8 +219,9 @@ def streamed_articles(spark, d):
 @query("streamed_in_batches", f"""{_JUDGED.replace("CASE WHEN source = 1 AND keyword = 1 THEN TIMESTAMP '2024-01-01 01:00:00' ELSE TIMESTAMP '2023-12-21 16:00:00' END", "TIMESTAMP '2023-12-21 16:00:00'")} SELECT 'https://n.org/' || doc_id AS canonical_url, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords FROM ranked GROUP BY doc_id
  UNION ALL SELECT 'cursors', (SELECT count(*) + 1 FROM (SELECT DISTINCT source, keyword FROM told)) + 1 UNION ALL SELECT 'runs', '3' UNION ALL SELECT 'sightings', (SELECT count(*) FROM (SELECT DISTINCT doc_id, source FROM ranked))""")
 def streamed_in_batches(spark, d):
-    """The items in three files, each of which also holds the half of the one before it: three micro-batches, each a transaction over buckets,
-    leave what one batch of all items would."""
+    """The items in three arrivals, each of which also holds the half of the one before it: three micro-batches, each a transaction over buckets,
+    leave what one batch of all items would. The stream is started for each arrival and goes on from its checkpoint, so an arrival has as
+    many files as the tasks that wrote it."""
     t, items = _collection(spark, d)
     folder, arriving = shared_folder(spark, "stream"), shared_folder(spark, "items")
     for name, df in t.items():
@@ -230,8 +231,8 @@ def streamed_in_batches(spark, d):
     for k in range(3):
         own = F.col("position") % 3 == k
         again = (F.col("position") % 3 == (k + 2) % 3) & (F.col("position") % 2 == 0) & (k > 0)
-        items.where(own | again).coalesce(1).write.mode("append").parquet(arriving)
-    stream.collected_stream(spark, arriving, folder, lambda batch: datetime(2024, 1, 4), collect.CollectSettings(incremental=False), files=1, buckets=4).awaitTermination()
+        items.where(own | again).write.mode("append").parquet(arriving)
+        stream.collected_stream(spark, arriving, folder, lambda batch: datetime(2024, 1, 4), collect.CollectSettings(incremental=False), buckets=4).awaitTermination()
     out = stream.current(spark, folder)
     k = out["article_keywords"].groupBy("article_id").agg(F.array_join(F.sort_array(F.collect_set(F.col("keyword_id").cast("string"))), ",").alias("keywords"))
     rows = out["articles"].join(k, F.col("id") == k["article_id"]).select("canonical_url", "keywords")

@@ -165,3 +165,14 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
         assert [r["id"] for r in textindex.holding(last, "articles", index, "T3999").select("id").collect()] == [3999]
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+
+
+def test_arrivals_of_many_files(spark, tmp_path, monkeypatch):
+    """Three arrivals are three micro-batches, whatever the number of files each was written in."""
+    from quillstream.plans import state_queries
+
+    docs = spark.range(0, 60, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("the license "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(state_queries, "shared_folder", lambda s, kind="cut": f"{tmp_path}/{kind}")
+    got = {r[0]: r[1] for r in state_queries.streamed_in_batches(spark, str(tmp_path)).collect()}
+    assert got["runs"] == "3" and len(list(Path(f"{tmp_path}/items").glob("*.parquet"))) > 3 * 3
