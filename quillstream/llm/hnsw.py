@@ -102,11 +102,14 @@ class Graph:
         vec = self.vec[layer.ids]
         n, width = layer.links.shape
         first = min(n, 2 * BATCH)
-        s = vec[:first] @ vec[:first].T
-        np.fill_diagonal(s, _FAR)
-        k = min(first, 2 * width)
-        near = np.argpartition(-s, min(k, first - 1), 1)[:, :k].astype(np.int32) if first > 1 else np.zeros((first, 1), np.int32)
-        layer.links[:first] = choose(vec, near, np.take_along_axis(s, near, 1), width)
+        if self.layers and len(self.layers[-1].ids) > first:
+            first = self._from_above(vec, layer, ef)
+        else:
+            s = vec[:first] @ vec[:first].T
+            np.fill_diagonal(s, _FAR)
+            k = min(first, 2 * width)
+            near = np.argpartition(-s, min(k, first - 1), 1)[:, :k].astype(np.int32) if first > 1 else np.zeros((first, 1), np.int32)
+            layer.links[:first] = choose(vec, near, np.take_along_axis(s, near, 1), width)
         self._back(vec, layer, np.arange(first))
         a = first
         while a < n:
@@ -124,6 +127,18 @@ class Graph:
             a = b
         self.layers.append(layer)
 
+    def _from_above(self, vec: np.ndarray, layer: Layer, ef: int) -> int:
+        """Links among the points of the layer above, found in its graph, as all of them enter before any other; returns how many they are.
+        Places that a descent ends at are then in the layer, however many points the layer above has."""
+        above = self.layers[-1]
+        known = len(above.ids)
+        for a in range(0, known, BATCH):
+            b = min(known, a + BATCH)
+            ids, sims = beam(vec[:known], above.links, vec[a:b], self._descend(vec[a:b], above.ids), ef)
+            sims[ids == np.arange(a, b)[:, None]] = _FAR
+            layer.links[a:b, :M] = choose(vec, ids, sims, M)
+        return known
+
     @staticmethod
     def _back(vec: np.ndarray, layer: Layer, new: np.ndarray) -> None:
         """Links back from the chosen neighbours of new points; full lists are chosen again."""

@@ -140,6 +140,26 @@ def test_shards_search_their_graphs(monkeypatch):
     assert ((probes @ u.T).max(1) >= 0.95).all()
 
 
+def test_layers_above_hold_more_points_than_enter_at_first():
+    """As in shards of some 16,000 and more: a descent ended at places that were not yet in the layer below, an error."""
+    v = linked_vectors(np.random.default_rng(4), 4000, 16)
+    near, _ = brute_links(v)
+    u = embedding.unit(v)
+    draw = np.random.default_rng(5).permutation(len(u))
+    draw = np.where(draw < 1200, 1 / 300, np.where(draw < 2800, 1 / 20, 1))
+    graph = embedding.Graph(u.astype(np.float32), draw, 32)
+    assert [len(x.ids) for x in graph.layers] == [1200, 2800, len(u)]
+    for x in graph.layers:
+        assert x.links.max() < len(x.ids) and (x.links >= 0).any(1).all() and not (x.links == np.arange(len(x.ids))[:, None]).any()
+    at, sims = graph.search(u.astype(np.float32), 128)
+    r, c = np.nonzero((at >= 0) & (sims >= 0.95))
+    found = np.zeros_like(near)
+    found[r, at[r, c]] = True
+    assert (found & near).sum() >= 0.99 * near.sum()
+    shard = embedding.Shard(graph, u, np.arange(len(u)), np.ones(len(u), np.int64), embedding.EmbeddingParams())
+    assert shard.hits >= 0.995 * shard.true and shard.search(u, np.arange(len(u))).count.sum() >= 0.99 * near.sum()
+
+
 def test_buckets_are_optimal():
     r = random.Random(3)
     for _ in range(20):
