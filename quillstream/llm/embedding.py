@@ -222,7 +222,7 @@ def embedding_links(vectors: DataFrame, params: EmbeddingParams = EmbeddingParam
     spark = vectors.sparkSession
     sizes = F.broadcast(spark.createDataFrame(lengths, "dim int, first long, shards long, groups long"))
     dealt = classes.join(sizes, "dim").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("shards")))
-    built = dealt.select((F.col("first") + F.col("own")).alias("shard"), "rep", "copies", "embedding").groupBy("shard").applyInArrow(_builder(32, params.piece), "shard long, part int, piece binary")
+    built = dealt.select((F.col("first") + F.col("own")).alias("shard"), "rep", "copies", "embedding").groupBy("shard").applyInArrow(_builder(64, params.piece), "shard long, part int, piece binary")
     built = written(built)
     # a cell is a shard and a group of queries
     groups = max([g for *_, g in lengths], default=1)

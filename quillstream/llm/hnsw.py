@@ -11,7 +11,7 @@ import pickle
 
 import numpy as np
 
-M, M0, BATCH = 16, 32, 512
+M, M0, BATCH = 24, 48, 512
 _FAR = np.float32(-3)
 
 
@@ -21,46 +21,63 @@ class Layer:
         self.links = np.full((len(ids), width), -1, np.int32)
 
 
-def beam(vec: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, expand: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def dots(vec: np.ndarray, i: np.ndarray, q: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Similarities of the pairs (vec[i], q[j]), of which 512 KB a side are taken at a time."""
+    out = np.empty(len(i), np.float32)
+    step = max(1, (1 << 17) // vec.shape[1])
+    for a in range(0, len(i), step):
+        np.einsum("kd,kd->k", vec[i[a : a + step]], q[j[a : a + step]], out=out[a : a + step])
+    return out
+
+
+def beam(vec: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """Best ``ef`` points (places, similarities, falling) found from each query's entry places."""
-    n, b = len(vec), len(q)
-    seen = np.zeros((b, n), bool)
-    rows = np.arange(b)
-    ids = np.full((b, ef), -1, np.int32)
-    sims = np.full((b, ef), _FAR, np.float32)
-    done = np.zeros((b, ef), bool)
-    k = min(entry.shape[1], ef)
+    n, b, expand = len(vec), len(q), max(3, ef // 8)
+    out_ids, out_sims = np.full((b, ef), -1, np.int32), np.full((b, ef), _FAR, np.float32)
     e = np.sort(entry, 1)
     e[:, 1:][e[:, 1:] == e[:, :-1]] = -1
-    start = np.where(e >= 0, np.einsum("bkd,bd->bk", vec[e], q), _FAR)
+    row, col = np.nonzero(e >= 0)
+    start = np.full(e.shape, _FAR, np.float32)
+    start[row, col] = dots(vec, e[row, col], q, row)
+    seen = np.zeros(b * n, bool)
+    seen[row * n + e[row, col]] = True
+    k = min(e.shape[1], ef)
     order = np.argsort(-start, 1)[:, :k]
+    ids, sims, done = out_ids.copy(), out_sims.copy(), np.zeros((b, ef), bool)
     ids[:, :k], sims[:, :k] = np.take_along_axis(e, order, 1), np.take_along_axis(start, order, 1)
-    seen[np.repeat(rows, e.shape[1])[e.ravel() >= 0], e.ravel()[e.ravel() >= 0]] = True
-    live = rows
-    while len(live):
-        fresh = ~done[live] & (ids[live] >= 0)
+    live = np.arange(b)
+    while True:
+        fresh = ~done & (ids >= 0)
         some = fresh.any(1)
-        live, fresh = live[some], fresh[some]
+        if not some.all():
+            out_ids[live[~some]], out_sims[live[~some]] = ids[~some], sims[~some]
+            live, ids, sims, done, fresh = live[some], ids[some], sims[some], done[some], fresh[some]
         if not len(live):
-            break
-        pick = np.argsort(~fresh, 1, kind="stable")[:, :expand]
-        ok = np.take_along_axis(fresh, pick, 1)
-        done[live[:, None], pick] = True
-        chosen = np.where(ok, ids[live[:, None], pick], -1)
-        near = np.where(chosen[:, :, None] >= 0, links[chosen], -1).reshape(len(live), -1)
-        near.sort(1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        near[seen[live[:, None], near] & (near >= 0)] = -1
-        at, col = np.nonzero(near >= 0)
-        seen[live[at], near[at, col]] = True
-        s = np.full(near.shape, _FAR, np.float32)
-        s[at, col] = np.einsum("kd,kd->k", vec[near[at, col]], q[live[at]])
-        all_ids, all_sims = np.concatenate([ids[live], near], 1), np.concatenate([sims[live], s], 1)
-        all_done = np.concatenate([done[live], np.zeros(near.shape, bool)], 1)
-        top = np.argpartition(-all_sims, ef - 1, 1)[:, :ef]
-        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(all_sims, top, 1), 1, kind="stable"), 1)
-        ids[live], sims[live], done[live] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_sims, all_done))
-    return ids, sims
+            return out_ids, out_sims
+        pick = fresh & (np.cumsum(fresh, 1) <= expand)
+        done |= pick
+        row, col = np.nonzero(pick)
+        near = links[ids[row, col]]
+        row = np.repeat(row, near.shape[1])[near.ravel() >= 0]
+        at = live[row] * n + near[near >= 0]  # query and place as one number
+        new = ~seen[at]
+        row, at = row[new], at[new]
+        seen[at] = True
+        s = dots(vec, at - live[row] * n, q, live[row])
+        better = np.flatnonzero(s > sims[row, -1])
+        at, first = np.unique(at[better], return_index=True)
+        if not len(at):
+            continue
+        row, s = row[better][first], s[better][first]
+        count = np.bincount(row, minlength=len(live))
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        more = np.full((len(live), int(count.max())), -1, np.int32)
+        more_sims = np.full(more.shape, _FAR, np.float32)
+        more[row, place], more_sims[row, place] = at - live[row] * n, s
+        all_ids, all_sims = np.concatenate([ids, more], 1), np.concatenate([sims, more_sims], 1)
+        all_done = np.concatenate([done, np.zeros(more.shape, bool)], 1)
+        top = np.argsort(-all_sims, 1, kind="stable")[:, :ef]
+        ids, sims, done = (np.take_along_axis(x, top, 1) for x in (all_ids, all_sims, all_done))
 
 
 def choose(vec: np.ndarray, ids: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
@@ -69,8 +86,9 @@ def choose(vec: np.ndarray, ids: np.ndarray, sims: np.ndarray, width: int) -> np
     ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     ids = np.where(sims > _FAR, ids, -1)
     out = np.full((len(ids), width), -1, np.int32)
-    for a in range(0, len(ids), BATCH):
-        i, s = ids[a : a + BATCH], sims[a : a + BATCH]
+    step = max(1, min(BATCH, (8 << 20) // max(1, ids.shape[1] * vec.shape[1])))
+    for a in range(0, len(ids), step):
+        i, s = ids[a : a + step], sims[a : a + step]
         v = vec[i]
         between = v @ v.transpose(0, 2, 1)
         kept = np.zeros(i.shape, bool)
@@ -83,24 +101,23 @@ def choose(vec: np.ndarray, ids: np.ndarray, sims: np.ndarray, width: int) -> np
             closest = np.where(take[:, None], np.maximum(closest, between[:, j]), closest)
         rank = np.argsort(np.where(i < 0, 2, np.where(kept, 0, 1)), 1, kind="stable")[:, :width]
         got = np.take_along_axis(i, rank, 1)
-        out[a : a + BATCH, : got.shape[1]] = got
+        out[a : a + step, : got.shape[1]] = got
     return out
 
 
 class Graph:
     def __init__(self, vec: np.ndarray, draw: np.ndarray, ef: int = 48):
         """vec: unit rows, float32. draw: uniform numbers in (0, 1], one a row, for the levels."""
-        self.vec = np.ascontiguousarray(vec, np.float32)
         level = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(M)).astype(np.int64)
+        order = np.argsort(-level, kind="stable")
+        self.vec = np.ascontiguousarray(vec[order], np.float32)  # so that each layer's points are its first rows
         self.layers: list[Layer] = []  # the highest first
         for l in range(int(level.max(initial=0)), -1, -1):
-            above = self.layers[-1].ids if self.layers else np.zeros(0, np.int64)
-            ids = np.concatenate([above, np.flatnonzero(level == l)])
-            self._build(Layer(ids, M0 if l == 0 else M), ef)
+            self._build(Layer(order[: int((level >= l).sum())], M0 if l == 0 else M), ef)
 
     def _build(self, layer: Layer, ef: int) -> None:
-        vec = self.vec[layer.ids]
         n, width = layer.links.shape
+        vec = self.vec[:n]
         first = min(n, 2 * BATCH)
         if self.layers and len(self.layers[-1].ids) > first:
             first = self._from_above(vec, layer, ef)
@@ -118,7 +135,7 @@ class Graph:
             ids, sims = beam(vec[:a], layer.links, vec[a:b], entry, ef)
             own = vec[a:b] @ vec[a:b].T
             np.fill_diagonal(own, _FAR)
-            k = min(width, b - a)
+            k = min(M, b - a)
             near = np.argpartition(-own, min(k, b - a - 1), 1)[:, :k] if b - a > 1 else np.zeros((1, 1), np.int64)
             ids = np.concatenate([ids, (near + a).astype(np.int32)], 1)
             sims = np.concatenate([sims, np.take_along_axis(own, near, 1)], 1)
@@ -150,7 +167,7 @@ class Graph:
         source, target = source[~known], target[~known]
         if not len(source):
             return
-        s = np.einsum("kd,kd->k", vec[source], vec[target])
+        s = dots(vec, source, vec, target)
         order = np.lexsort((-s, target))
         source, target, s = source[order], target[order], s[order]
         start = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
@@ -168,21 +185,21 @@ class Graph:
         full = nodes[over]
         for a in range(0, len(full), BATCH):
             own, i = full[a : a + BATCH], both[over][a : a + BATCH]
-            sims = np.where(i >= 0, np.einsum("bkd,bd->bk", vec[i], vec[own]), _FAR)
+            sims = np.where(i >= 0, dots(vec, i.ravel(), vec, np.repeat(own, i.shape[1])).reshape(i.shape), _FAR)
             layer.links[own] = choose(vec, i, sims, width)
 
     def _descend(self, q: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
         """Entry places in the layer under those built so far; its first points are the points of the layer above."""
         entry = np.zeros((len(q), 1), np.int64)
         for layer in self.layers if below is not None else self.layers[:-1]:
-            ids, _ = beam(self.vec[layer.ids], layer.links, q, entry, 4)
+            ids, _ = beam(self.vec[: len(layer.ids)], layer.links, q, entry, 4)
             entry = np.where(ids >= 0, ids, ids[:, :1]).astype(np.int64)
         return entry
 
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """Places among all points, -1 for none, and similarities, for unit rows q."""
         base = self.layers[-1]
-        ids, sims = beam(self.vec[base.ids], base.links, q, self._descend(q), min(ef, max(1, len(base.ids))))
+        ids, sims = beam(self.vec, base.links, q, self._descend(q), min(ef, max(1, len(base.ids))))
         return np.where(ids >= 0, base.ids[ids], -1), sims
 
     def dump(self) -> bytes:
@@ -192,9 +209,10 @@ class Graph:
     def load(raw: bytes, vec: np.ndarray) -> Graph:
         """What dump() wrote of the graph over these rows."""
         g = Graph.__new__(Graph)
-        g.vec, g.layers = np.ascontiguousarray(vec, np.float32), []
+        g.layers = []
         for ids, links in pickle.loads(raw):  # noqa: S301  written by dump() in this job
             layer = Layer(ids, 0)
             layer.links = links
             g.layers.append(layer)
+        g.vec = np.ascontiguousarray(vec[g.layers[-1].ids], np.float32)
         return g

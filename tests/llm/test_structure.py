@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.llm import avi, components, embedding, jaccard, license_rules, licenses, mixing, packing
+from quillstream.llm import avi, components, embedding, hnsw, jaccard, license_rules, licenses, mixing, packing
 from quillstream.llm.common import text_bytes
 from quillstream.llm.license_rules import rules
 
@@ -146,7 +146,7 @@ def test_layers_above_hold_more_points_than_enter_at_first():
     near, _ = brute_links(v)
     u = embedding.unit(v)
     draw = np.random.default_rng(5).permutation(len(u))
-    draw = np.where(draw < 1200, 1 / 300, np.where(draw < 2800, 1 / 20, 1))
+    draw = np.where(draw < 1200, float(hnsw.M) ** -2.5, np.where(draw < 2800, float(hnsw.M) ** -1.5, 1))
     graph = embedding.Graph(u.astype(np.float32), draw, 32)
     assert [len(x.ids) for x in graph.layers] == [1200, 2800, len(u)]
     for x in graph.layers:
